@@ -117,6 +117,100 @@ def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = ()) -> np.ndarray
     return out
 
 
+# -- many columns at once -------------------------------------------------------------------------
+
+
+def _window_sums(v: np.ndarray, w: int) -> np.ndarray:
+    """Sums over up to ``w`` rows ending at each row, per column, without subtracting: rows are cut in
+    blocks of ``w``, and a window is the tail of one block plus the head of the next. A huge value that has
+    left the window leaves no trace, as it would in a difference of running sums."""
+    n, c = v.shape
+    w = min(w, n)
+    blocks = -(-n // w)
+    padded = np.zeros((blocks * w, c))
+    padded[:n] = v
+    cube = padded.reshape(blocks, w, c)
+    heads = np.cumsum(cube, axis=1).reshape(-1, c)
+    tails = np.cumsum(cube[:, ::-1], axis=1)[:, ::-1].reshape(-1, c)
+    out = heads[:n].copy()
+    # a window starting inside a block takes the rest of that block; one starting on its edge is whole
+    inner = (np.arange(w, n) + 1) % w != 0
+    rows = np.arange(w, n)[inner]
+    out[rows] += tails[rows - w + 1]
+    return out
+
+
+def _trailing(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of up to ``w`` rows ending at each row, per column, holes skipped."""
+    w = min(w, len(x))
+    known = np.isfinite(x)
+    holes = np.where(known, x, np.nan)
+    centre = np.zeros(x.shape[1])
+    some = known.any(axis=0)
+    centre[some] = np.nanmedian(holes[:, some], axis=0)
+    moved = np.where(known, x - centre, 0.0)
+    n, s1, s2 = _window_sums(known.astype(float), w), _window_sums(moved, w), _window_sums(moved * moved, w)
+    changes = np.ones_like(x)
+    changes[1:] = (moved[1:] != moved[:-1]) | ~known[1:]
+    changes = np.cumsum(changes, axis=0)
+    start = np.ones_like(changes)
+    start[w:] = changes[1: len(x) - w + 1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(n > 0, centre + s1 / n, np.nan)
+        ss = s2 - s1 * s1 / n
+        std = np.sqrt(np.maximum(ss, 0.0) / (n - 1))
+    # equal values, or what is left of them after cancellation (a hole at the window's edge hides equality)
+    std = np.where((changes == start) | (ss <= 1e-14 * s2), 0.0, std)
+    return mean, np.where(n > 1, std, np.nan)
+
+
+def standardised(x: np.ndarray, z_window: int, vol_window: int | None) -> np.ndarray:
+    """The z-score against the ``z_window`` rows before each row, of values optionally divided by the
+    deviation of their own relative changes. Missing to 0."""
+    if vol_window is not None:
+        change = np.zeros_like(x)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            change[1:] = np.where((x[:-1] == 0) & (x[1:] == 0), 0.0, x[1:] / x[:-1] - 1.0)
+        vol = _trailing(change, vol_window)[1]
+        x = x / np.where(np.isnan(vol) | (vol == 0), 1.0, vol)
+    mean, std = _trailing(x, z_window)
+    out = np.zeros_like(x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out[1:] = np.where(std[:-1] == 0, np.nan, (x[1:] - mean[:-1]) / std[:-1])
+    return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def standardise_columns(
+    df: DataFrame,
+    columns: list[str],
+    z_window: int,
+    vol_window: int | None,
+    keys: tuple[str, ...],
+    order: str,
+    keep: list[str],
+    newest_only: bool = False,
+) -> DataFrame:
+    """``keep`` plus standardised ``columns`` in one Arrow pass over bounded groups. Meant for wide tables:
+    a hundred columns are one matrix here, but over a thousand window expressions as frames."""
+    # positional names inside the pass: feature names may hold a dot
+    inside = [*[(c, f"_k{i}") for i, c in enumerate(keep)], *[(c, f"_z{i}") for i, c in enumerate(columns)]]
+    fed = df.select(*[F.col(f"`{c}`") for c in (*keys, order) if c not in keep], *[F.col(f"`{c}`").alias(n) for c, n in inside])
+    names = {c: n for c, n in inside}
+    group = [names.get(k, k) for k in keys]
+    by = names.get(order, order)
+    kept, scored = [names[c] for c in keep], [names[c] for c in columns]
+    schema = T.StructType([fed.schema[n] for n in kept] + [T.StructField(n, T.DoubleType()) for n in scored])
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, kind="stable").reset_index(drop=True)
+        z = standardised(pdf[scored].to_numpy(dtype="float64", na_value=np.nan), z_window, vol_window)
+        out = pd.concat([pdf[kept], pd.DataFrame(z, columns=scored)], axis=1)
+        return out.tail(1) if newest_only else out
+
+    done = fed.groupBy(*group).applyInPandas(per_group, schema)
+    return done.select(*[F.col(n).alias(c) for c, n in inside])
+
+
 def run(df: DataFrame, todo: list[Kernel], keys: tuple[str, ...], order: tuple[str, ...], keep: list[str]) -> DataFrame:
     """``keep`` columns plus one double column per kernel."""
     inputs: dict[str, str] = {}

@@ -73,7 +73,8 @@ def chunked(df: DataFrame, halo: int, cfg: Chunking, counts_from: DataFrame | No
     so that counting does not repeat the work that led to ``df``."""
     rows = F.lit(cfg.rows)
     own = F.floor(F.col("_first") / rows).cast("long")
-    last = F.floor((F.col("_first") + F.col("_n") + F.lit(halo - 1)) / rows).cast("long") if halo else own
+    last = F.floor((F.col("_first") + F.col("_n") + F.lit(halo - 1)) / rows).cast("long")
+    last = last if halo else own
     targets = micro_counts(df if counts_from is None else counts_from, cfg).select(
         *cfg.keys,
         MICRO,

@@ -138,9 +138,12 @@ class Rolling:
         frame_limit: int = 32,
         extreme_limit: int = 64,
         rank_limit: int = 32,
+        spread_limit: int = 256,
     ):
         self.keys, self.order = keys, order
         self.frame_limit, self.extreme_limit, self.rank_limit = frame_limit, extreme_limit, rank_limit
+        # relative changes can be huge next to a near-zero value; a frame forgets them, a running sum does not
+        self.spread_limit = spread_limit
         self._w = Window.partitionBy(*keys).orderBy(*order)
         self._running = self._w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self._nodes: dict[str, _Node] = {}
@@ -219,17 +222,23 @@ class Rolling:
             mean = self._hidden(f"avg<[{x.key};{w}]", lambda: F.avg(x.c).over(prev), x.deps, back)
             std = self._hidden(f"std<[{x.key};{w}]", lambda: F.stddev_samp(x.c).over(prev), x.deps, back)
             return mean, std
+        mean, std = self._partial(x, w)
+        return self.lag(mean, 1), self.lag(std, 1)
+
+    def _partial(self, x: Series, w: int) -> tuple[Series, Series]:
+        """Mean and deviation of up to w rows by running sums, holes skipped."""
         m = self._moved(x)
         n, s1, s2 = self.count(x, w), self._span(m, w), self._span(m * m, w)
-        mean = self._centre(x) + s1 / n
-        ss = (s2 - s1 * s1 / n).map("pos", lambda v: F.greatest(v, F.lit(0.0)))
+        ss = s2 - s1 * s1 / n
+        ss = when(ss <= s2 * 1e-14, 0.0, ss)
         std = when(self._constant(x, w), 0.0, (ss / (n - 1.0)).map("sqrt", F.sqrt))
-        std = when(n > 1.0, std, Series("null", F.lit(None).cast("double")))
-        return self.lag(mean, 1), self.lag(std, 1)
+        return self._centre(x) + s1 / n, when(n > 1.0, std, Series("null", F.lit(None).cast("double")))
 
     def spread(self, x: Series, w: int) -> Series:
         """Sample deviation of up to w rows, current one included, holes skipped."""
-        return self._over("std", F.stddev_samp, (x,), w)
+        if w <= self.spread_limit:
+            return self._over("std", F.stddev_samp, (x,), w)
+        return self._partial(x, w)[1]
 
     def sum(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
@@ -264,8 +273,10 @@ class Rolling:
 
     def corr(self, x: Series, y: Series, w: int) -> Series:
         if w <= self.frame_limit:
-            px, _ = self._pair(x, y)
-            return self._full(px, w, self._over("corr", F.corr, (x, y), w).map("fin", finite))
+            # not F.corr, which divides by zero on a constant window
+            px, py = self._pair(x, y)
+            spread = self._over("std", F.stddev_samp, (px,), w) * self._over("std", F.stddev_samp, (py,), w)
+            return self._full(px, w, self._over("cov", F.covar_samp, (x, y), w) / spread)
         px, py, mx, my, sx, sy, cross = self._cross(x, y, w)
         vx = self._span(mx * mx, w) - sx * sx / float(w)
         vy = self._span(my * my, w) - sy * sy / float(w)

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.functions import kernels
 from tickloom.functions import rolling as R
 from tickloom.functions.layout import CHUNK, HALO, Chunking, chunked, tail_rows, unchunked
-from tickloom.functions.numeric import div, zero_missing_columns
+from tickloom.functions.numeric import zero_missing_columns
 from tickloom.functions.rolling import Rolling, Series
 from tickloom.operators import alphas
 from tickloom.session import materialize
@@ -50,13 +51,32 @@ def _standardise(r: Rolling, x: Series, window: int) -> Series:
     return ((x - mean) / std).fill()
 
 
-def _z(df: DataFrame, columns: list[str], series, chunking: Chunking | None, counts_from: DataFrame | None = None) -> DataFrame:
-    r = Rolling()
-    outputs = {c: series(r, r.source(c)) for c in columns}
-    laid = chunked(df, R.lookback(outputs), chunking, counts_from) if chunking else unchunked(df)
+WIDE = 16
+
+
+def _z(
+    df: DataFrame,
+    columns: list[str],
+    z_window: int,
+    vol_window: int | None,
+    chunking: Chunking | None,
+    counts_from: DataFrame | None = None,
+    wide: int = WIDE,
+) -> DataFrame:
+    """Few columns: running-sum frames. Many: one matrix pass per chunk, for the plan would hold a dozen
+    window expressions per column."""
     rest = [c for c in df.columns if c not in columns]
-    out = r.select(laid, outputs, keep=(*rest, HALO)).filter(~F.col(HALO))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    halo = z_window + 1 + (vol_window + 1 if vol_window else 0)
+    laid = chunked(df, halo, chunking, counts_from) if chunking else unchunked(df)
+    if len(columns) > wide:
+        out = kernels.standardise_columns(laid, columns, z_window, vol_window, ("symbol", CHUNK), "timestamp", [*rest, HALO])
+    else:
+        r = Rolling()
+        source = {c: r.source(c) for c in columns}
+        if vol_window:
+            source = {c: _vol_adjusted(r, x, vol_window) for c, x in source.items()}
+        out = r.select(laid, {c: _standardise(r, x, z_window) for c, x in source.items()}, keep=(*rest, HALO))
+    return out.filter(~F.col(HALO)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _numeric(df: DataFrame, exclude: tuple[str, ...]) -> list[str]:
@@ -75,7 +95,7 @@ def rolling_z_score(
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Every numeric column against the mean and deviation of the ``window`` rows before it."""
-    return _z(df, _numeric(df, exclude), lambda r, x: _standardise(r, x, window), chunking, counts_from)
+    return _z(df, _numeric(df, exclude), window, None, chunking, counts_from)
 
 
 def rolling_z_score_vol(
@@ -87,11 +107,7 @@ def rolling_z_score_vol(
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """As ``rolling_z_score``, on values divided by the deviation of their own relative changes."""
-
-    def series(r: Rolling, x: Series) -> Series:
-        return _standardise(r, _vol_adjusted(r, x, vol_window), z_window)
-
-    return _z(df, _numeric(df, exclude), series, chunking, counts_from)
+    return _z(df, _numeric(df, exclude), z_window, vol_window, chunking, counts_from)
 
 
 def z_score_stats(df: DataFrame, window: int, columns: list[str], chunking: Chunking | None = None) -> DataFrame:
@@ -156,26 +172,17 @@ def feature_vectors(
 ) -> DataFrame:
     """Serving form: one vector per symbol for its newest bar, from its last ``history + 1`` bars.
 
-    The tail is bounded, so each symbol is one group; its mean and deviation over all earlier rows of the
-    tail come from one aggregate instead of a frame per row.
+    The tail is bounded, so each symbol is one group of at most ``history + 1`` rows.
     """
     tail = tail_rows(bars, history + 1, chunking)
     if width <= 0:
         return tail.select("symbol").distinct().select("symbol", fixed_width([], 0).alias("features"))
     built = zero_missing_columns(alphas.compute(tail, config, compat_float32=compat_float32))
     names = _numeric(built, ())
-    r = Rolling()
-    outputs = {c: (r.source(c) if c in exclude else _vol_adjusted(r, r.source(c), vol_window)) for c in names}
-    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("timestamp").desc()))
-    ready = r.select(unchunked(built), outputs, keep=KEYS).withColumn("_newest", newest == 1)
-    aggs = []
-    for c in names:
-        x = F.col(f"`{c}`")
-        now = F.max(F.when(F.col("_newest"), x))
-        past = F.when(~F.col("_newest"), x)
-        z = now if c in exclude else F.coalesce(div(now - F.avg(past), F.stddev_samp(past)), F.lit(0.0))
-        aggs.append(z.alias(c))
-    last = ready.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"), *aggs)
+    scaled = [c for c in names if c not in exclude]
+    last = kernels.standardise_columns(
+        built, scaled, history + 1, vol_window, ("symbol",), "timestamp", [*KEYS, *[c for c in names if c in exclude]], newest_only=True
+    )
     return last.select("symbol", "timestamp", fixed_width(names, width).alias("features"))
 
 

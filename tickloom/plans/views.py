@@ -12,7 +12,10 @@ from tickloom.session import use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table; its zone-less timestamps are UTC instants."""
+    df = use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"}
+    return df.withColumns(zoneless) if zoneless else df
 
 
 def bars(spark: SparkSession, sf_dir: str, unit: str = "hour") -> DataFrame:
