@@ -42,23 +42,21 @@ def directed_pnl() -> Column:
 
 def order_stats(orders: DataFrame) -> DataFrame:
     """Counts in total and by status, direction, symbol and account: one pass over grouping sets."""
-    orders.createOrReplaceTempView("_tickloom_orders")
-    return orders.sparkSession.sql(
-        """
-        select case grouping_id(status, direction, symbol, assigned_account)
-                 when 7 then 'status' when 11 then 'direction' when 13 then 'symbol' when 14 then 'account'
-                 else 'total' end as kind,
-               coalesce(status, direction, symbol, assigned_account, '') as name,
-               count(*) as orders,
-               count_if(status in ('ASSIGNED', 'OPEN')) as active_orders,
-               count_if(status = 'CLOSED') as closed_orders,
-               count_if(status = 'FAILED') as failed_orders,
-               min(created_at) as first_created, max(created_at) as last_created
-        from _tickloom_orders
-        group by grouping sets ((status), (direction), (symbol), (assigned_account), ())
-        having grouping(assigned_account) = 1 or assigned_account is not null
-        """
+    by = ["status", "direction", "symbol", "assigned_account"]
+    counted = orders.groupingSets([*[[c] for c in by], []], *by).agg(
+        F.grouping_id().alias("_id"),
+        F.count(F.lit(1)).alias("orders"),
+        F.count_if(F.col("status").isin(ACTIVE)).alias("active_orders"),
+        F.count_if(F.col("status") == "CLOSED").alias("closed_orders"),
+        F.count_if(F.col("status") == "FAILED").alias("failed_orders"),
+        F.min("created_at").alias("first_created"),
+        F.max("created_at").alias("last_created"),
     )
+    gid = F.col("_id")
+    kind = F.when(gid == 7, "status").when(gid == 11, "direction").when(gid == 13, "symbol").when(gid == 14, "account").otherwise("total")
+    named = counted.select(kind.alias("kind"), F.coalesce(*by).alias("name"), *counted.columns[5:])
+    # rows without an account or direction take no part in those two counts
+    return named.filter((F.col("kind") == "total") | F.col("name").isNotNull()).fillna("", ["name"])
 
 
 def latest(orders: DataFrame, n: int = 10, status: str | None = None, symbol: str | None = None) -> DataFrame:

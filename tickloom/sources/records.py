@@ -169,15 +169,16 @@ def parse_ohlcv(df: DataFrame, column: str = "ohlcv_data") -> DataFrame:
 
 def store_stats(df: DataFrame) -> DataFrame:
     """Totals by model and by symbol and the overall range, one pass by grouping sets."""
-    df.createOrReplaceTempView("_tickloom_records")
-    return df.sparkSession.sql(
-        """
-        select case grouping_id(model_name, symbol) when 1 then 'model' when 2 then 'symbol' else 'total' end as kind,
-               coalesce(model_name, symbol, '') as name, count(*) as records,
-               count(distinct request_id) as requests, min(timestamp) as first_time, max(timestamp) as last_time
-        from _tickloom_records group by grouping sets ((model_name), (symbol), ())
-        """
+    counted = df.groupingSets([["model_name"], ["symbol"], []], "model_name", "symbol").agg(
+        F.grouping_id().alias("_id"),
+        F.count(F.lit(1)).alias("records"),
+        F.count_distinct("request_id").alias("requests"),
+        F.min("timestamp").alias("first_time"),
+        F.max("timestamp").alias("last_time"),
     )
+    kind = F.when(F.col("_id") == 1, "model").when(F.col("_id") == 2, "symbol").otherwise("total")
+    name = F.coalesce("model_name", "symbol", F.lit(""))
+    return counted.select(kind.alias("kind"), name.alias("name"), *counted.columns[3:])
 
 
 def totals(df: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def freshness(spark, d):
     return src.freshness(b, "2024-01-31 00:00:40").withColumn("last_close_time", F.unix_timestamp("last_close_time"))
 
 
-@query("""select event_type as symbol, cast(epoch(to_timestamp(epoch_ms(ts) // 1000)) as bigint) as bar_ts,
+@query("""select event_type as symbol, epoch_us(ts) // 1000000 as bar_ts,
 value as open, value as close, cast(json_extract_string(props, '$.k') as double) as volume, user_id as number_of_trades from events""")
 def kline_parse(spark, d):
     """S-3: twelve-field JSON klines to typed bars."""
@@ -178,21 +178,21 @@ def rolling_primitives(spark, d):
 
 _WIDE = {
     "sum": win("sum", "close", 113), "avg": win("avg", "close", 113), "std": win("stddev_samp", "close", 113),
-    "corr": win2("corr", "close", "volume", 113), "cov": win2("covar_samp", "close", "volume", 113),
+    "corr": win2("corr", "close", "volume", 113), "cov": win2("covar_samp", "close", "returns", 113),
     "lo": win("min", "low", 113), "hi": win("max", "high", 113),
 }
 
 
-@query(f"with {BARS} select symbol, {TS}, {', '.join(rd(e, n, 4) for n, e in _WIDE.items())} from base", 4)
+@query(f"with {BARS} select symbol, {TS}, {', '.join(rd(e, n, 5) for n, e in _WIDE.items())} from base", 5)
 def rolling_primitives_wide(spark, d):
     """The same by running sums and the min/max kernel."""
     r = Rolling()
     c, v = r.source("close"), r.source("volume")
     out = {
         "sum": r.sum(c, 113), "avg": r.mean(c, 113), "std": r.std(c, 113), "corr": r.corr(c, v, 113),
-        "cov": r.cov(c, v, 113), "lo": r.min(r.source("low"), 113), "hi": r.max(r.source("high"), 113),
+        "cov": r.cov(c, r.source("returns"), 113), "lo": r.min(r.source("low"), 113), "hi": r.max(r.source("high"), 113),
     }
-    return seconds(r.select(unchunked(views.bars(spark, d)), out, keep=("symbol", "timestamp")))
+    return seconds(r.select(unchunked(features.base_columns(views.bars(spark, d))), out, keep=("symbol", "timestamp")))
 
 
 _L10 = "list(close) over (partition by symbol order by timestamp rows between 9 preceding and current row)"
