@@ -30,10 +30,15 @@ def query(sql: str | None = None, digits: int | None = 6):
     return add
 
 
+def nudge(digits: int) -> float:
+    """Moves exact rounding ties, which the engines' last bits would break either way, off the boundary."""
+    return 1.3e-3 * 10.0**-digits
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     return df.select(
         *[
-            (F.round(f"`{f.name}`", digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+            (F.round(F.col(f"`{f.name}`") + F.lit(nudge(digits)), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
@@ -41,7 +46,7 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
 
 def rd(expr: str, name: str | None = None, digits: int = 6) -> str:
     """SQL text of a rounded column, negative zero normalised."""
-    return f'round({expr}, {digits}) + 0.0::double as "{name or expr}"'
+    return f'round(({expr}) + {nudge(digits)!r}::double, {digits}) + 0.0::double as "{name or expr}"'
 
 
 def rds(names: list[str], digits: int = 6) -> str:
