@@ -82,12 +82,16 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs, one row per event."""
+    return predictions_of(table(spark, sf_dir, "events"))
+
+
+def predictions_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
 
     def spread(base: float, prime: int) -> Column:
         return F.lit(base) + (e * prime % 200) / 100.0
 
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("id"),
         F.col("event_type").alias("symbol"),
         F.col("ts").alias("timestamp"),

@@ -1 +1,233 @@
-"""Placeholder."""
+"""Scoring, evaluation, the daily job, streaming and configured jobs."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tickloom.functions.layout import Chunking
+from tickloom.functions.scalars import training_table
+from tickloom.operators import evaluate, scoring
+from tickloom.plans import daily, steps, views
+from tickloom.session import scratch_path
+from tickloom.sources import records as rec
+from tickloom.streaming import decisions, ingest
+from tickloom.workload.base import BARS, EVALSET, RECORDS, TS, query, rd, seconds
+from tickloom.workload.trade import CFG
+
+DAYS = Chunking(micro_seconds=86_400)
+
+
+# -- scoring --------------------------------------------------------------------------------------
+
+
+def _vectors(spark, d):
+    e = views.table(spark, d, "embeddings")
+    wide = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array_repeat(F.lit(0.0), 47))
+    return e.select(F.col("vec_id").alias("id"), wide.alias("features"))
+
+
+@query()
+def score_ple(spark, d):
+    """M-1, M-2: the layered network over vectors padded to the model width."""
+    return scoring.score(_vectors(spark, d), "ple", scoring.seeded_weights("ple"))
+
+
+@query()
+def score_dragonnet(spark, d):
+    """M-1, M-2: the shared-trunk network."""
+    return scoring.score(_vectors(spark, d), "dragonnet", scoring.seeded_weights("dragonnet"))
+
+
+_HIDDEN = ", ".join(
+    f"greatest(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::double * sin({j} * 64 + i))) + 0.1::double * {j}, 0)" for j in range(4)
+)
+_OUT = " + ".join(f"h[{j + 1}] * cos({j})" for j in range(4))
+
+
+@query(f"""with n as (select vec_id as id, [{_HIDDEN}] as h from embeddings)
+select id, {rd(f"1 / (1 + exp(-(({_OUT}) / 10)))", "t_out")} from n""")
+def score_dense(spark, d):
+    """M-2 layers and sigmoid head on a net small enough to spell out in SQL."""
+    w = {
+        "net.0.weight": np.sin(np.arange(4)[:, None] * 64 + np.arange(64)[None, :]), "net.0.bias": 0.1 * np.arange(4),
+        "net.1.weight": np.cos(np.arange(4))[None, :] / 10, "net.1.bias": np.zeros(1),
+    }
+    e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+
+    def net(x, weights):
+        return [scoring.dense(x, weights, "net", False)[:, 0]]
+
+    return scoring.apply_network(e, net, ["t_out"], w, "features", ("id",))
+
+
+# -- evaluation -----------------------------------------------------------------------------------
+
+
+@query(f"""with {EVALSET}, r as (select y_true, rank() over (order by y_pred) + (count(*) over (partition by y_pred) - 1) / 2.0::double as rk from evalset)
+select {rd("(sum(rk) filter (y_true = 1) - count(*) filter (y_true = 1) * (count(*) filter (y_true = 1) + 1) / 2.0::double) / (count(*) filter (y_true = 1) * count(*) filter (y_true = 0))", "auc")} from r""")
+def auc(spark, d):
+    """M-3."""
+    return evaluate.auc(views.evalset(spark, d), "y_true", "y_pred")
+
+
+_PAIRS = """with v as (select o_orderkey as i, o_custkey % 97 as y, round(o_totalprice / 1000) as s from orders),
+c as (select y, s, count(*) as n from v group by 1, 2),
+p as (select sum(a.n * b.n) filter (a.s < b.s) as good, sum(a.n * b.n) filter (a.s = b.s) as tied, sum(a.n * b.n) as pairs from c a join c b on a.y < b.y)"""
+
+
+@query(f"{_PAIRS} select {rd('(good + tied / 2.0::double) / pairs', 'regauc')}, cast(pairs as double) as pairs from p")
+def regauc_exact(spark, d):
+    """M-4 over all orders: every unequal-label pair counted, none produced."""
+    o = views.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("y"), F.round(F.col("o_totalprice") / 1000).alias("s"))
+    return evaluate.regression_auc(o, "y", "s", 16)
+
+
+@query()
+def regauc_sampled(spark, d):
+    """M-4 by random pairs."""
+    o = views.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 97).alias("y"), (F.col("o_totalprice") / 1000).alias("s"))
+    return evaluate.regression_auc_sampled(o, "y", "s", 2000)
+
+
+_LOSS = f"""with {EVALSET}, m as (select e.*, l.toxic, (y_pred % 200 - 100) / 20 as x, [(y_pred % 7) / 3, (y_pred % 11) / 4] as z from evalset e join labels l using (doc_id)),
+s as (select *, ln(exp(z[1]) + exp(z[2])) as lse, (y_pred % 100) / 100 as soft from m),
+c as (select *, lse - z[cast(y_true as int) + 1] as ce, list_transform(range(50), lambda i: exp(-abs(soft - i / 49.0::double) / (sqrt(soft) + 1e-6))) as spread from s)"""
+
+
+def _mm(expr: str, mask: str, name: str) -> str:
+    return rd(f"sum(({expr}) * {mask}) / greatest(sum({mask}), 1)", name)
+
+
+@query(f"""{_LOSS} select {_mm("greatest(x, 0) - x * y_true + ln(1 + exp(-abs(x)))", "(1 - toxic)", "logloss")}, {_mm("0.5::double * power(y_true - x, 2)", "(1 - toxic)", "mse")},
+{_mm("ce * [0.7::double, 1.3::double][cast(y_true as int) + 1]", "1", "cross_entropy")},
+{_mm("[0.7::double, 1.3::double][cast(y_true as int) + 1] * power(1 - exp(-ce), 2) * case when y_true = 0 then 1.05::double else 1 end * ce", "1", "focal")},
+{_mm("-list_sum(list_transform(spread, lambda p, i: p * (case when i % 2 = 1 then z[1] else z[2] end - ln(25 * exp(z[1]) + 25 * exp(z[2])))) ) / list_sum(spread)", "1", "distilled")} from c""")
+def masked_losses(spark, d):
+    """M-5."""
+    e = views.evalset(spark, d).join(views.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+    x = (F.col("y_pred") % 200 - 100) / 20
+    z = F.array((F.col("y_pred") % 7) / 3, (F.col("y_pred") % 11) / 4)
+    soft, y, mask = (F.col("y_pred") % 100) / 100, F.col("y_true"), 1 - F.col("toxic")
+    many = F.flatten(F.array_repeat(z, 25))
+    return e.agg(
+        evaluate.masked_mean(evaluate.logloss(x, y), mask).alias("logloss"),
+        evaluate.masked_mean(evaluate.half_square(x, y), mask).alias("mse"),
+        evaluate.masked_mean(evaluate.cross_entropy(z, y, [0.7, 1.3])).alias("cross_entropy"),
+        evaluate.masked_mean(evaluate.focal(z, y, [0.7, 1.3])).alias("focal"),
+        evaluate.masked_mean(evaluate.distilled(many, soft)).alias("distilled"),
+    )
+
+
+@query(f"""with {EVALSET}, m as (select *, ((y_pred % 50) / 60 + 0.01::double) / 1.02::double as p, y_pred / 1000 as y0, y_pred / 900 as y1, (y_pred % 13) / 3 as y from evalset)
+select {rd("avg(power(y - (y_true * y1 + (1 - y_true) * y0 + (y_true / p - (1 - y_true) / (1 - p)) * 0.1::double), 2) * 2)", "loss", 4)} from m""", 4)
+def targeted_loss(spark, d):
+    """M-6."""
+    x = F.col("y_pred")
+    loss = evaluate.targeted_loss((x % 50) / 60, x / 1000, x / 900, F.col("y_true"), (x % 13) / 3, 0.1, 2.0)
+    return views.evalset(spark, d).agg(evaluate.masked_mean(loss).alias("loss"))
+
+
+@query(f"""with {EVALSET} select cast(y_true as int) as treatment, {rd("avg(y_pred)", "pred_mean")}, {rd("avg(y_pred % 10)", "label_mean")}, count(*) as n from evalset group by 1""")
+def means_by_treatment(spark, d):
+    """M-7."""
+    e = views.evalset(spark, d).select(F.col("y_true").cast("int").alias("treatment"), "y_pred", (F.col("y_pred") % 10).alias("y"))
+    return evaluate.means_by_treatment(e, "treatment", "y_pred", "y")
+
+
+@query(f"""with {BARS} select symbol, {rd("coalesce(vwap, 0)", "vwap")}, {rd("coalesce(returns, 0) * 1000", "amplitude")} from base""")
+def training_prep(spark, d):
+    """V-15."""
+    from tickloom.operators.features import base_columns
+
+    base = base_columns(views.bars(spark, d)).select("symbol", "timestamp", "vwap", F.col("returns").alias("amplitude"))
+    return training_table(base)
+
+
+# -- the daily job --------------------------------------------------------------------------------
+
+
+def _store(spark, d):
+    r = views.records(spark, d)
+    r = r.withColumns({"features": F.array(F.col("seq").cast("double")), "model_output": F.lit("{}")})
+    path = scratch_path(spark, "store")
+    rec.append_records(rec.to_records(r, F.col("timestamp")), path)
+    return path
+
+
+@query(f"""with {RECORDS} select symbol, strftime(timestamp, '%Y-%m-%d') as dt, count(*) as records, count(*) as rows, {rd("count(*) / 70.0::double * 100", "completeness_pct")},
+count(*) < 63 as low, 'processed' as status from records group by 1, 2""")
+def aggregation_report(spark, d):
+    """R-32."""
+    out = daily.report(views.records(spark, d), 70)
+    return out.withColumn("dt", F.date_format("dt", "yyyy-MM-dd"))
+
+
+_DAY = "over (partition by symbol order by timestamp rows between 20 preceding and 1 preceding)"
+
+
+@query(f"""with {RECORDS}, v as (select symbol, timestamp, json_extract(ohlcv_data, '$.close')::double as close from records where cast(timestamp as date) = date '2024-01-15')
+select symbol, epoch_us(timestamp) as ts_us, {rd("close")}, {rd(f"case when count(close) {_DAY} = 20 then avg(close) {_DAY} end", "close_mean")},
+{rd(f"case when count(close) {_DAY} = 20 then stddev_samp(close) {_DAY} end", "close_std")}, 20 as window_rows from v""")
+def daily_aggregation(spark, d):
+    """ST-2, S-16: one day of the record store, written by symbol and day, run twice, read back."""
+    path, out = _store(spark, d), scratch_path(spark, "aggregated")
+    for _ in range(2):
+        daily.run_day(spark, path, out, "2024-01-15", 20, DAYS)
+    back = spark.read.parquet(out)
+    return back.select(F.col("symbol").cast("string").alias("symbol"), F.unix_micros("timestamp").alias("ts_us"), "close", "close_mean", "close_std", "window_rows")
+
+
+# -- streaming ------------------------------------------------------------------------------------
+
+
+def _stream(spark, d, name):
+    """The table's file as a stream, zone-less times as UTC instants."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    zoneless = {f.name: F.col(f.name).cast("timestamp") for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"}
+    return raw.withColumns(zoneless)
+
+
+@query("""select event_type as symbol, strftime(ts, '%Y-%m-%d') as day, count(distinct ts) as n from events group by 1, 2""")
+def stream_ingest(spark, d):
+    """ST-1: every bar arrives twice and is kept once."""
+    views.table(spark, d, "events")
+    e = _stream(spark, d, "events").select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp"), "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
+    )
+    path = scratch_path(spark, "ingest")
+    ingest.append_days(ingest.clean_stream(e), path, scratch_path(spark, "ingest-state")).awaitTermination()
+    back = spark.read.parquet(path)
+    return back.groupBy("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def stream_decisions(spark, d):
+    """ST-3: decisions from keyed state, the same as the batch job's."""
+    views.table(spark, d, "events")
+    preds = views.predictions_of(_stream(spark, d, "events"))
+    path = scratch_path(spark, "decisions")
+    decisions.start(decisions.decide_stream(preds, CFG), path, scratch_path(spark, "decisions-state")).awaitTermination()
+    return spark.read.parquet(path).select("symbol", "id", "sec", "final_score", "quantile", "direction", "is_valid")
+
+
+# -- configured jobs ------------------------------------------------------------------------------
+
+CONFIG = {
+    "default": "window",
+    "methods": {"process_1": "window"},
+    "jobs": {
+        "window": {"steps": [{"type": "time_range", "start": "2024-01-10", "end": "2024-01-20"}, {"type": "previous_window_stats", "window": 12}]},
+        "range": {"steps": [{"type": "time_range", "start": "2024-01-10", "end": "2024-01-20"}]},
+    },
+}
+_TWELVE = "over (partition by symbol order by timestamp rows between 12 preceding and 1 preceding)"
+
+
+@query(f"""with {BARS} select symbol, {TS}, {rd(f"case when count(close) {_TWELVE} = 12 then avg(close) {_TWELVE} end", "close_mean")} from bars
+where timestamp between timestamp '2024-01-10' and timestamp '2024-01-20'""")
+def configured_job(spark, d):
+    """U-1: the default job's steps."""
+    out = steps.run(views.bars(spark, d), CONFIG, steps.REGISTRY)
+    return seconds(out.select("symbol", "timestamp", "close_mean"))
