@@ -20,6 +20,7 @@ read them.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,19 @@ def power(a: Series, b: Series) -> Series:
     return a._binary(b, " pow ", F.pow)
 
 
+def once(fn):
+    """Build a series once per (function, input keys, widths); building columns is the driver's cost."""
+
+    @wraps(fn)
+    def cached(self, *args, **kwargs):
+        key = (fn.__name__, *[a.key if isinstance(a, Series) else a for a in args], *kwargs.items())
+        if key not in self._built:
+            self._built[key] = fn(self, *args, **kwargs)
+        return self._built[key]
+
+    return cached
+
+
 @dataclass
 class _Node:
     name: str
@@ -147,6 +161,7 @@ class Rolling:
         self._w = Window.partitionBy(*keys).orderBy(*order)
         self._running = self._w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self._nodes: dict[str, _Node] = {}
+        self._built: dict[tuple, object] = {}
 
     # -- building blocks ------------------------------------------------------------------------
 
@@ -174,17 +189,21 @@ class Rolling:
     def _run(self, fn: str, agg, x: Series) -> Series:
         return self._hidden(f"{fn}~[{x.key}]", lambda: agg(x.c).over(self._running), x.deps, x.lookback)
 
+    @once
     def lag(self, x: Series, p: int = 1) -> Series:
         return self._hidden(
             f"lag[{x.key};{p}]", lambda: F.lag(x.c, p).over(self._w), x.deps, x.lookback + p
         )
 
+    @once
     def delta(self, x: Series, p: int = 1) -> Series:
         return x - self.lag(x, p)
 
+    @once
     def pct(self, x: Series, p: int = 1) -> Series:
         return x / self.lag(x, p) - 1.0
 
+    @once
     def count(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
             return self._over("count", F.count, (x,), w)
@@ -197,23 +216,28 @@ class Rolling:
 
     # -- sums by differences of running sums ----------------------------------------------------
 
+    @once
     def _centre(self, x: Series) -> Series:
         return self._run("first", lambda c: F.first(c, ignorenulls=True), x)
 
+    @once
     def _moved(self, x: Series) -> Series:
         return (x - self._centre(x)).fill()
 
+    @once
     def _span(self, x: Series, w: int) -> Series:
         running = self._run("sum", F.sum, x)
         out = running - self.lag(running, w).fill()
         return Series(out.key, out.c, out.deps, x.lookback + w)
 
+    @once
     def _constant(self, x: Series, w: int) -> Series:
         """True when the last w values are all equal; exact where a difference of sums is not."""
         changed = when(x.same(self.lag(x, 1)), 0.0, 1.0)
         running = self._run("sum", F.sum, changed)
         return running.same(self.lag(running, w - 1).fill(1.0))
 
+    @once
     def before(self, x: Series, w: int) -> tuple[Series, Series]:
         """Mean and deviation of the w rows before the current one, from the first row on."""
         if w <= self.frame_limit:
@@ -225,6 +249,7 @@ class Rolling:
         mean, std = self._partial(x, w)
         return self.lag(mean, 1), self.lag(std, 1)
 
+    @once
     def _partial(self, x: Series, w: int) -> tuple[Series, Series]:
         """Mean and deviation of up to w rows by running sums, holes skipped."""
         m = self._moved(x)
@@ -240,16 +265,19 @@ class Rolling:
             return self._over("std", F.stddev_samp, (x,), w)
         return self._partial(x, w)[1]
 
+    @once
     def sum(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
             return self._full(x, w, self._over("sum", F.sum, (x,), w))
         return self._full(x, w, self._centre(x) * float(w) + self._span(self._moved(x), w))
 
+    @once
     def mean(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
             return self._full(x, w, self._over("avg", F.avg, (x,), w))
         return self._full(x, w, self._centre(x) + self._span(self._moved(x), w) / float(w))
 
+    @once
     def std(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
             return self._full(x, w, self._over("std", F.stddev_samp, (x,), w))
@@ -259,6 +287,7 @@ class Rolling:
         std = (ss / float(w - 1)).map("sqrt", F.sqrt)
         return self._full(x, w, when(self._constant(x, w), 0.0, std))
 
+    @once
     def _pair(self, x: Series, y: Series) -> tuple[Series, Series]:
         """Both series with a hole wherever either has one."""
         px = Series(f"({x.key}|{y.key})", F.when(y.c.isNotNull(), x.c), x.deps | y.deps, max(x.lookback, y.lookback))
@@ -271,6 +300,7 @@ class Rolling:
         sx, sy = self._span(mx, w), self._span(my, w)
         return px, py, mx, my, sx, sy, self._span(mx * my, w) - sx * sy / float(w)
 
+    @once
     def corr(self, x: Series, y: Series, w: int) -> Series:
         if w <= self.frame_limit:
             # not F.corr, which divides by zero on a constant window
@@ -285,6 +315,7 @@ class Rolling:
         flat = self._constant(px, w) | self._constant(py, w)
         return self._full(px, w, when(flat, Series("null", F.lit(None).cast("double")), r))
 
+    @once
     def cov(self, x: Series, y: Series, w: int) -> Series:
         px, _ = self._pair(x, y)
         if w <= self.frame_limit:
@@ -294,9 +325,11 @@ class Rolling:
 
     # -- everything else ------------------------------------------------------------------------
 
+    @once
     def min(self, x: Series, w: int) -> Series:
         return self._extreme("min", F.min, x, w)
 
+    @once
     def max(self, x: Series, w: int, native: bool = False) -> Series:
         return self._extreme("max", F.max, x, w, native)
 
@@ -305,6 +338,7 @@ class Rolling:
             return self._full(x, w, self._over(fn, agg, (x,), w))
         return self.kernel(fn, x, w)
 
+    @once
     def skew(self, x: Series, w: int) -> Series:
         """Bias-adjusted skewness; 0 when the spread is numerically nil, as the reference has it."""
         adjust = (w * (w - 1.0)) ** 0.5 / (w - 2.0)
@@ -329,6 +363,7 @@ class Rolling:
     def _list(self, x: Series, w: int) -> Series:
         return self._over("list", F.collect_list, (x,), w)
 
+    @once
     def rank(self, x: Series, w: int) -> Series:
         """Average rank (1..w) of the newest value among the last w."""
         if w > self.rank_limit:
