@@ -110,6 +110,8 @@ def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = ()) -> np.ndarray
             got = (block[:, :-1] < block[:, -1:]).sum(axis=1) / (w - 1.0)
         elif kind == "wavelet":
             got = block @ weights
+        elif kind == "product":
+            got = block.prod(axis=1)
         else:
             got = _spectral(kind, block, w, params)
         got = np.where(np.isnan(block).any(axis=1), np.nan, got)
@@ -216,9 +218,9 @@ def run(df: DataFrame, todo: list[Kernel], keys: tuple[str, ...], order: tuple[s
     inputs: dict[str, str] = {}
     for k in todo:
         inputs.setdefault(k.series.key, f"_in{len(inputs)}")
-    columns = {k.series.key: k.series.c for k in todo}
-    fed = df.select(
-        *[F.col(f"`{c}`") for c in keep], *[columns[key].cast("double").alias(name) for key, name in inputs.items()]
+    columns = {k.series.key: k.series.sql for k in todo}
+    fed = df.selectExpr(
+        *[f"`{c}`" for c in keep], *[f"CAST({columns[key]} AS DOUBLE) AS {name}" for key, name in inputs.items()]
     )
     plan = [(k.kind, k.name, inputs[k.series.key], k.w, k.params) for k in todo]
     order_by = list(order)

@@ -1,7 +1,8 @@
 """Rolling series as Spark expressions.
 
-``Rolling`` hands out ``Series``: ordinary Columns that know which windowed columns they stand on. Each
-distinct (function, inputs, width) is one hidden column, however many features use it, and all hidden
+``Rolling`` hands out ``Series``: SQL expressions that know which windowed columns they stand on (text,
+because a full feature set is thousands of nodes, and a Column object each would cost the driver more
+than the plan). Each distinct (function, inputs, width) is one hidden column, however many features use it, and all hidden
 columns of one dependency level are computed by a single ``select`` - one Window node per level over the
 same (symbol, chunk) exchange and sort.
 
@@ -22,85 +23,88 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import kernels
 from tickloom.functions.layout import CHUNK
-from tickloom.functions.numeric import finite
 
 
 @dataclass(frozen=True)
 class Series:
     key: str
-    c: Column = field(compare=False, hash=False)
+    sql: str = field(compare=False, hash=False)
     deps: frozenset[str] = frozenset()
     lookback: int = 0
 
-    def _binary(self, other, op: str, fn) -> "Series":
+    @property
+    def c(self) -> Column:
+        return F.expr(self.sql)
+
+    def _binary(self, other, op: str, sql: str | None = None) -> "Series":
         right = other if isinstance(other, Series) else number(other)
-        return Series(
-            f"({self.key}{op}{right.key})",
-            fn(self.c, right.c),
-            self.deps | right.deps,
-            max(self.lookback, right.lookback),
-        )
+        text = (sql or f"({{}} {op} {{}})").format(self.sql, right.sql)
+        return Series(f"({self.key} {op} {right.key})", text, self.deps | right.deps, max(self.lookback, right.lookback))
 
     def __add__(self, o):
-        return self._binary(o, "+", lambda a, b: a + b)
+        return self._binary(o, "+")
 
     def __sub__(self, o):
-        return self._binary(o, "-", lambda a, b: a - b)
+        return self._binary(o, "-")
 
     def __mul__(self, o):
-        return self._binary(o, "*", lambda a, b: a * b)
+        return self._binary(o, "*")
 
     def __truediv__(self, o):
-        return self._binary(o, "/", F.try_divide)
+        return self._binary(o, "/", "try_divide({}, {})")
 
     def __neg__(self):
-        return self.map("neg", lambda x: -x)
+        return self.map("neg", "(- {})")
 
     def __lt__(self, o):
-        return self._binary(o, "<", lambda a, b: a < b)
+        return self._binary(o, "<")
 
     def __le__(self, o):
-        return self._binary(o, "<=", lambda a, b: a <= b)
+        return self._binary(o, "<=")
 
     def __gt__(self, o):
-        return self._binary(o, ">", lambda a, b: a > b)
+        return self._binary(o, ">")
 
     def __ge__(self, o):
-        return self._binary(o, ">=", lambda a, b: a >= b)
+        return self._binary(o, ">=")
 
     def __and__(self, o):
-        return self._binary(o, "&", lambda a, b: a & b)
+        return self._binary(o, "AND")
 
     def __or__(self, o):
-        return self._binary(o, "|", lambda a, b: a | b)
+        return self._binary(o, "OR")
 
     def same(self, o):
-        return self._binary(o, "==", lambda a, b: a == b)
+        return self._binary(o, "=")
 
-    def map(self, label: str, fn) -> "Series":
-        return Series(f"{label}({self.key})", fn(self.c), self.deps, self.lookback)
+    def map(self, label: str, sql: str) -> "Series":
+        """Row-wise SQL over this series, written ``{}``."""
+        return Series(f"{label}({self.key})", sql.format(self.sql), self.deps, self.lookback)
 
     def abs(self):
-        return self.map("abs", F.abs)
+        return self.map("abs", "abs({})")
 
     def sign(self):
-        return self.map("sign", lambda x: F.signum(x))
+        return self.map("sign", "signum({})")
 
     def fill(self, value: float = 0.0):
-        return self.map(f"fill{value}", lambda x: F.coalesce(x, F.lit(float(value))))
+        return self.map(f"fill{value}", f"coalesce({{}}, {number(value).sql})")
 
     def clean(self):
         """Missing or infinite to 0."""
-        return self.map("clean", lambda x: F.coalesce(finite(x), F.lit(0.0)))
+        return self.map("clean", "coalesce(nullif(nullif(nullif({}, double('NaN')), double('Infinity')), double('-Infinity')), 0.0D)")
 
 
 def number(value) -> Series:
-    return Series(repr(value), F.lit(float(value)))
+    return Series(repr(value), f"({float(value)!r}D)")
+
+
+MISSING = Series("null", "CAST(NULL AS DOUBLE)")
 
 
 def when(cond: Series, yes, no) -> Series:
@@ -109,18 +113,18 @@ def when(cond: Series, yes, no) -> Series:
     no = no if isinstance(no, Series) else number(no)
     return Series(
         f"if({cond.key},{yes.key},{no.key})",
-        F.when(cond.c, yes.c).otherwise(no.c),
+        f"CASE WHEN {cond.sql} THEN {yes.sql} ELSE {no.sql} END",
         cond.deps | yes.deps | no.deps,
         max(cond.lookback, yes.lookback, no.lookback),
     )
 
 
 def least(a: Series, b: Series) -> Series:
-    return a._binary(b, " least ", F.least)
+    return a._binary(b, "least", "least({}, {})")
 
 
 def power(a: Series, b: Series) -> Series:
-    return a._binary(b, " pow ", F.pow)
+    return a._binary(b, "pow", "pow({}, {})")
 
 
 def once(fn):
@@ -139,7 +143,7 @@ def once(fn):
 @dataclass
 class _Node:
     name: str
-    column: Column | None
+    sql: str | None
     deps: frozenset[str]
     kernel: kernels.Kernel | None = None
 
@@ -158,42 +162,44 @@ class Rolling:
         self.frame_limit, self.extreme_limit, self.rank_limit = frame_limit, extreme_limit, rank_limit
         # relative changes can be huge next to a near-zero value; a frame forgets them, a running sum does not
         self.spread_limit = spread_limit
-        self._w = Window.partitionBy(*keys).orderBy(*order)
-        self._running = self._w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self._over_rows = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
+        self._running = f"OVER ({self._over_rows} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         self._nodes: dict[str, _Node] = {}
         self._built: dict[tuple, object] = {}
 
     # -- building blocks ------------------------------------------------------------------------
 
     def source(self, column: str) -> Series:
-        return Series(column, F.col(f"`{column}`"))
+        return Series(column, f"`{column}`")
 
-    def _hidden(self, key: str, column, deps: frozenset[str], lookback: int, kernel=None) -> Series:
+    def _hidden(self, key: str, sql: str | None, deps: frozenset[str], lookback: int, kernel=None) -> Series:
         node = self._nodes.get(key)
         if node is None:
-            node = _Node(f"_r{len(self._nodes)}", None if kernel else column(), deps)
+            node = _Node(f"_r{len(self._nodes)}", sql, deps)
             if kernel:
                 node.kernel = kernel(node.name)
             self._nodes[key] = node
-        return Series(key, F.col(node.name), frozenset({key}), lookback)
+        return Series(key, node.name, frozenset({key}), lookback)
 
-    def _frame(self, w: int):
-        return self._w.rowsBetween(-(w - 1), 0)
+    def previous(self, agg: str, x: Series, w: int) -> Series:
+        """``agg`` (SQL with ``{}``) over the w rows before the current one."""
+        over = f"OVER ({self._over_rows} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+        return self._hidden(f"{agg}<[{x.key};{w}]", f"{agg.format(x.sql)} {over}", x.deps, x.lookback + w)
 
-    def _over(self, fn: str, agg, xs: tuple[Series, ...], w: int) -> Series:
+    def _over(self, fn: str, xs: tuple[Series, ...], w: int) -> Series:
         key = f"{fn}[{','.join(x.key for x in xs)};{w}]"
         deps = frozenset().union(*[x.deps for x in xs])
         back = max(x.lookback for x in xs) + w - 1
-        return self._hidden(key, lambda: agg(*[x.c for x in xs]).over(self._frame(w)), deps, back)
+        sql = f"{fn}({', '.join(x.sql for x in xs)}) OVER ({self._over_rows} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        return self._hidden(key, sql, deps, back)
 
-    def _run(self, fn: str, agg, x: Series) -> Series:
-        return self._hidden(f"{fn}~[{x.key}]", lambda: agg(x.c).over(self._running), x.deps, x.lookback)
+    def _run(self, agg: str, x: Series) -> Series:
+        """``agg`` (SQL with ``{}``) from the chunk's first row to the current one."""
+        return self._hidden(f"{agg}~[{x.key}]", f"{agg.format(x.sql)} {self._running}", x.deps, x.lookback)
 
     @once
     def lag(self, x: Series, p: int = 1) -> Series:
-        return self._hidden(
-            f"lag[{x.key};{p}]", lambda: F.lag(x.c, p).over(self._w), x.deps, x.lookback + p
-        )
+        return self._hidden(f"lag[{x.key};{p}]", f"lag({x.sql}, {p}) OVER ({self._over_rows})", x.deps, x.lookback + p)
 
     @once
     def delta(self, x: Series, p: int = 1) -> Series:
@@ -206,19 +212,19 @@ class Rolling:
     @once
     def count(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
-            return self._over("count", F.count, (x,), w)
-        running = self._run("count", F.count, x)
+            return self._over("count", (x,), w)
+        running = self._run("count({})", x)
         return running - self.lag(running, w).fill()
 
     def _full(self, x: Series, w: int, value: Series) -> Series:
-        out = when(self.count(x, w).same(float(w)), value, Series("null", F.lit(None).cast("double")))
-        return Series(value.key, out.c, out.deps, max(out.lookback, x.lookback + w - 1))
+        out = when(self.count(x, w).same(float(w)), value, MISSING)
+        return Series(value.key, out.sql, out.deps, max(out.lookback, x.lookback + w - 1))
 
     # -- sums by differences of running sums ----------------------------------------------------
 
     @once
     def _centre(self, x: Series) -> Series:
-        return self._run("first", lambda c: F.first(c, ignorenulls=True), x)
+        return self._run("first({}, true)", x)
 
     @once
     def _moved(self, x: Series) -> Series:
@@ -226,26 +232,22 @@ class Rolling:
 
     @once
     def _span(self, x: Series, w: int) -> Series:
-        running = self._run("sum", F.sum, x)
+        running = self._run("sum({})", x)
         out = running - self.lag(running, w).fill()
-        return Series(out.key, out.c, out.deps, x.lookback + w)
+        return Series(out.key, out.sql, out.deps, x.lookback + w)
 
     @once
     def _constant(self, x: Series, w: int) -> Series:
         """True when the last w values are all equal; exact where a difference of sums is not."""
         changed = when(x.same(self.lag(x, 1)), 0.0, 1.0)
-        running = self._run("sum", F.sum, changed)
+        running = self._run("sum({})", changed)
         return running.same(self.lag(running, w - 1).fill(1.0))
 
     @once
     def before(self, x: Series, w: int) -> tuple[Series, Series]:
         """Mean and deviation of the w rows before the current one, from the first row on."""
         if w <= self.frame_limit:
-            prev = self._w.rowsBetween(-w, -1)
-            back = x.lookback + w
-            mean = self._hidden(f"avg<[{x.key};{w}]", lambda: F.avg(x.c).over(prev), x.deps, back)
-            std = self._hidden(f"std<[{x.key};{w}]", lambda: F.stddev_samp(x.c).over(prev), x.deps, back)
-            return mean, std
+            return self.previous("avg({})", x, w), self.previous("stddev_samp({})", x, w)
         mean, std = self._partial(x, w)
         return self.lag(mean, 1), self.lag(std, 1)
 
@@ -256,42 +258,42 @@ class Rolling:
         n, s1, s2 = self.count(x, w), self._span(m, w), self._span(m * m, w)
         ss = s2 - s1 * s1 / n
         ss = when(ss <= s2 * 1e-14, 0.0, ss)
-        std = when(self._constant(x, w), 0.0, (ss / (n - 1.0)).map("sqrt", F.sqrt))
-        return self._centre(x) + s1 / n, when(n > 1.0, std, Series("null", F.lit(None).cast("double")))
+        std = when(self._constant(x, w), 0.0, (ss / (n - 1.0)).map("sqrt", "sqrt({})"))
+        return self._centre(x) + s1 / n, when(n > 1.0, std, MISSING)
 
     def spread(self, x: Series, w: int) -> Series:
         """Sample deviation of up to w rows, current one included, holes skipped."""
         if w <= self.spread_limit:
-            return self._over("std", F.stddev_samp, (x,), w)
+            return self._over("stddev_samp", (x,), w)
         return self._partial(x, w)[1]
 
     @once
     def sum(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
-            return self._full(x, w, self._over("sum", F.sum, (x,), w))
+            return self._full(x, w, self._over("sum", (x,), w))
         return self._full(x, w, self._centre(x) * float(w) + self._span(self._moved(x), w))
 
     @once
     def mean(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
-            return self._full(x, w, self._over("avg", F.avg, (x,), w))
+            return self._full(x, w, self._over("avg", (x,), w))
         return self._full(x, w, self._centre(x) + self._span(self._moved(x), w) / float(w))
 
     @once
     def std(self, x: Series, w: int) -> Series:
         if w <= self.frame_limit:
-            return self._full(x, w, self._over("std", F.stddev_samp, (x,), w))
+            return self._full(x, w, self._over("stddev_samp", (x,), w))
         m = self._moved(x)
         s1, s2 = self._span(m, w), self._span(m * m, w)
-        ss = (s2 - s1 * s1 / float(w)).map("pos", lambda v: F.greatest(v, F.lit(0.0)))
-        std = (ss / float(w - 1)).map("sqrt", F.sqrt)
+        ss = (s2 - s1 * s1 / float(w)).map("pos", "greatest({}, 0.0D)")
+        std = (ss / float(w - 1)).map("sqrt", "sqrt({})")
         return self._full(x, w, when(self._constant(x, w), 0.0, std))
 
     @once
     def _pair(self, x: Series, y: Series) -> tuple[Series, Series]:
         """Both series with a hole wherever either has one."""
-        px = Series(f"({x.key}|{y.key})", F.when(y.c.isNotNull(), x.c), x.deps | y.deps, max(x.lookback, y.lookback))
-        py = Series(f"({y.key}|{x.key})", F.when(x.c.isNotNull(), y.c), x.deps | y.deps, max(x.lookback, y.lookback))
+        px = Series(f"({x.key}|{y.key})", f"CASE WHEN {y.sql} IS NOT NULL THEN {x.sql} END", x.deps | y.deps, max(x.lookback, y.lookback))
+        py = Series(f"({y.key}|{x.key})", f"CASE WHEN {x.sql} IS NOT NULL THEN {y.sql} END", x.deps | y.deps, max(x.lookback, y.lookback))
         return px, py
 
     def _cross(self, x: Series, y: Series, w: int):
@@ -305,21 +307,21 @@ class Rolling:
         if w <= self.frame_limit:
             # not F.corr, which divides by zero on a constant window
             px, py = self._pair(x, y)
-            spread = self._over("std", F.stddev_samp, (px,), w) * self._over("std", F.stddev_samp, (py,), w)
-            return self._full(px, w, self._over("cov", F.covar_samp, (x, y), w) / spread)
+            spread = self._over("stddev_samp", (px,), w) * self._over("stddev_samp", (py,), w)
+            return self._full(px, w, self._over("covar_samp", (x, y), w) / spread)
         px, py, mx, my, sx, sy, cross = self._cross(x, y, w)
         vx = self._span(mx * mx, w) - sx * sx / float(w)
         vy = self._span(my * my, w) - sy * sy / float(w)
-        scale = (vx * vy).map("sqrtpos", lambda v: F.when(v > 0, F.sqrt(v)))
-        r = (cross / scale).map("unit", lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))))
+        scale = (vx * vy).map("sqrtpos", "sqrt(greatest({}, 0.0D))")
+        r = (cross / scale).map("unit", "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, -1.0D), 1.0D) END")
         flat = self._constant(px, w) | self._constant(py, w)
-        return self._full(px, w, when(flat, Series("null", F.lit(None).cast("double")), r))
+        return self._full(px, w, when(flat, MISSING, r))
 
     @once
     def cov(self, x: Series, y: Series, w: int) -> Series:
         px, _ = self._pair(x, y)
         if w <= self.frame_limit:
-            return self._full(px, w, self._over("cov", F.covar_samp, (x, y), w))
+            return self._full(px, w, self._over("covar_samp", (x, y), w))
         *_, cross = self._cross(x, y, w)
         return self._full(px, w, cross / float(w - 1))
 
@@ -327,15 +329,15 @@ class Rolling:
 
     @once
     def min(self, x: Series, w: int) -> Series:
-        return self._extreme("min", F.min, x, w)
+        return self._extreme("min", x, w)
 
     @once
     def max(self, x: Series, w: int, native: bool = False) -> Series:
-        return self._extreme("max", F.max, x, w, native)
+        return self._extreme("max", x, w, native)
 
-    def _extreme(self, fn: str, agg, x: Series, w: int, native: bool = False) -> Series:
+    def _extreme(self, fn: str, x: Series, w: int, native: bool = False) -> Series:
         if w <= self.extreme_limit or native:
-            return self._full(x, w, self._over(fn, agg, (x,), w))
+            return self._full(x, w, self._over(fn, (x,), w))
         return self.kernel(fn, x, w)
 
     @once
@@ -343,25 +345,27 @@ class Rolling:
         """Bias-adjusted skewness; 0 when the spread is numerically nil, as the reference has it."""
         adjust = (w * (w - 1.0)) ** 0.5 / (w - 2.0)
         if w <= self.frame_limit:
-            spread = self._over("varp", F.var_pop, (x,), w)
-            skew = self._over("skew", F.skewness, (x,), w)
+            spread = self._over("var_pop", (x,), w)
+            skew = self._over("skewness", (x,), w)
         else:
             m = self._moved(x)
             s1, s2, s3 = self._span(m, w), self._span(m * m, w), self._span(m * m * m, w)
             mean = s1 / float(w)
             spread = when(self._constant(x, w), 0.0, s2 / float(w) - mean * mean)
             third = s3 / float(w) - mean * s2 * 3.0 / float(w) + mean * mean * mean * 2.0
-            skew = third / spread.map("pow1.5", lambda v: F.when(v > 0, F.pow(v, F.lit(1.5))))
+            skew = third / spread.map("pow1.5", "pow(greatest({}, 0.0D), 1.5D)")
         return self._full(x, w, when(spread <= 1e-14, 0.0, skew * adjust))
 
     def product(self, x: Series, w: int) -> Series:
-        return self._full(x, w, self._over("product", F.product, (x,), w))
+        if w > self.rank_limit:
+            return self.kernel("product", x, w)
+        return self._full(x, w, self._list(x, w).map("product", "aggregate({}, 1.0D, (_a, _v) -> _a * _v)"))
 
     def first_in(self, x: Series, w: int) -> Series:
         return self._full(x, w, self.lag(x, w - 1))
 
     def _list(self, x: Series, w: int) -> Series:
-        return self._over("list", F.collect_list, (x,), w)
+        return self._over("collect_list", (x,), w)
 
     @once
     def rank(self, x: Series, w: int) -> Series:
@@ -369,25 +373,21 @@ class Rolling:
         if w > self.rank_limit:
             return self.kernel("rank", x, w)
         values = self._list(x, w)
-        less = F.size(F.filter(values.c, lambda v: v < x.c))
-        equal = F.size(F.filter(values.c, lambda v: v == x.c))
-        out = Series(
-            f"rank[{x.key};{w}]", less + (equal + 1) / F.lit(2.0), values.deps | x.deps, values.lookback
-        )
+        less, equal = (f"size(filter({values.sql}, _v -> _v {op} {x.sql}))" for op in ("<", "="))
+        out = Series(f"rank[{x.key};{w}]", f"({less} + ({equal} + 1) / 2.0D)", values.deps | x.deps, values.lookback)
         return self._full(x, w, out)
 
     def rank_below_top(self, x: Series, top: int, w: int) -> Series:
         """Rank over ``w`` rows of the distance to the highest value of the last ``top`` rows."""
         if w > self.rank_limit or top > self.extreme_limit:
             out = self.kernel("rank_below_top", x, w, top)
-            return Series(out.key, out.c, out.deps, out.lookback + top - 1)
+            return Series(out.key, out.sql, out.deps, out.lookback + top - 1)
         return self.rank(x - self.max(x, top), w)
 
     def arg(self, fn: str, x: Series, w: int) -> Series:
         """1-based position of the window's first maximum or minimum."""
         values = self._list(x, w)
-        pick = F.array_max if fn == "max" else F.array_min
-        out = values.map(f"arg{fn}", lambda a: F.array_position(a, pick(a)).cast("double"))
+        out = values.map(f"arg{fn}", f"double(array_position({{0}}, array_{fn}({{0}})))")
         return self._full(x, w, out)
 
     def kernel(self, kind: str, x: Series, w: int, *params) -> Series:
@@ -395,10 +395,6 @@ class Rolling:
         back = x.lookback + w - 1
         return self._hidden(key, None, x.deps, back, lambda name: kernels.Kernel(kind, name, x, w, params))
 
-    def running(self, fn: str, agg, x: Series) -> Series:
-        """Aggregate from the chunk's first row to the current one."""
-        return self._run(fn, agg, x)
-
     # -- execution ------------------------------------------------------------------------------
 
     def _closure(self, roots: frozenset[str], stop: frozenset[str]) -> set[str]:
@@ -416,7 +412,7 @@ class Rolling:
         left = wanted - done
         while left:
             level = [k for k in self._nodes if k in left and self._nodes[k].deps <= done]
-            df = df.select("*", *[self._nodes[k].column.alias(self._nodes[k].name) for k in level])
+            df = df.selectExpr("*", *[f"{self._nodes[k].sql} AS {self._nodes[k].name}" for k in level])
             done |= set(level)
             left -= set(level)
         return df
@@ -436,9 +432,7 @@ class Rolling:
             staged = self._compute(df, for_kernels, frozenset())
             df = kernels.run(staged, [self._nodes[k].kernel for k in kern], self.keys, self.order, source)
         df = self._compute(df, self._closure(roots, ready), ready)
-        return df.select(
-            *[F.col(f"`{c}`") for c in keep], *[s.c.cast("double").alias(n) for n, s in outputs.items()]
-        )
+        return df.selectExpr(*[f"`{c}`" for c in keep], *[f"CAST({x.sql} AS DOUBLE) AS `{n}`" for n, x in outputs.items()])
 
 
 def lookback(outputs: dict[str, Series]) -> int:

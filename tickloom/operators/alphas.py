@@ -209,7 +209,7 @@ def _nonzero(x: Series, value: float) -> Series:
 
 @alpha
 def alpha041(r, b):
-    return (b.high * b.low).map("sqrt", F.sqrt) - b.vwap
+    return (b.high * b.low).map("sqrt", "sqrt({})") - b.vwap
 
 
 @alpha
@@ -264,8 +264,8 @@ def alpha125(r, b, w):
 def alpha102(r, b, w):
     """Relative strength with simple means, written so that no losses at all gives 1."""
     d = r.delta(b.close, 1)
-    up = r.mean(d.map("up", lambda x: F.when(x > 0, x).when(x <= 0, F.lit(0.0))), w)
-    down = r.mean(d.map("down", lambda x: F.when(x < 0, -x).when(x >= 0, F.lit(0.0))), w)
+    up = r.mean(d.map("up", "greatest({0}, 0.0D + 0 * {0})"), w)
+    down = r.mean(d.map("down", "greatest(- {0}, 0.0D + 0 * {0})"), w)
     return up / (up + down)
 
 

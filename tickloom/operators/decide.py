@@ -161,9 +161,8 @@ def score_quantile(scored: DataFrame, queue: int = 1440, chunking: Chunking | No
     r = Rolling(order=order)
     x = r.source("final_score")
     if queue < r.rank_limit:
-        prev = r._w.rowsBetween(-queue, -1)
-        below = r._hidden("queue", lambda: F.collect_list("final_score").over(prev), frozenset(), queue)
-        share = below.map("share", lambda a: F.when(F.size(a) == queue, F.size(F.filter(a, lambda s: s < x.c)) / F.lit(float(queue))))
+        queued = r.previous("collect_list({})", x, queue)
+        share = queued.map("share", f"CASE WHEN size({{0}}) = {queue} THEN size(filter({{0}}, _v -> _v < {x.sql})) / {float(queue)}D END")
     else:
         share = r.kernel("share_below", x, queue + 1)
     laid = chunked(some, queue, chunking) if chunking else unchunked(some)

@@ -150,37 +150,46 @@ def half_square(logit: Column, label: Column) -> Column:
     return F.pow(label - clamp_logit(logit), F.lit(2.0)) * 0.5
 
 
-def _log_softmax(logits: Column) -> Column:
-    x = F.transform(logits, clamp_logit)
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    return F.transform(x, lambda v: v - top - F.log(total))
+def _log_total(logits: Column) -> Column:
+    """log Σ exp; clamped logits cannot overflow, so no shift by the maximum is needed."""
+    return F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(clamp_logit(v))))
 
 
 def _chosen(values: Column, label: Column) -> Column:
     return F.element_at(values, label.cast("int") + 1)
 
 
+def _weights(class_weight: list[float], label: Column) -> Column:
+    return _chosen(F.array(*[F.lit(float(w)) for w in class_weight]), label)
+
+
 def cross_entropy(logits: Column, label: Column, class_weight: list[float] | None = None) -> Column:
-    loss = -_chosen(_log_softmax(logits), label)
-    return loss if class_weight is None else loss * _chosen(F.array(*[F.lit(float(w)) for w in class_weight]), label)
+    loss = _log_total(logits) - clamp_logit(_chosen(logits, label))
+    return loss if class_weight is None else loss * _weights(class_weight, label)
 
 
 def focal(logits: Column, label: Column, class_weight: list[float], gamma: float = 2.0, zero_extra: float = 1.05) -> Column:
     ce = cross_entropy(logits, label)
-    weight = _chosen(F.array(*[F.lit(float(w)) for w in class_weight]), label) * F.pow(1 - F.exp(-ce), F.lit(gamma))
+    weight = _weights(class_weight, label) * F.pow(1 - F.exp(-ce), F.lit(gamma))
     return F.when(label == 0, weight * zero_extra).otherwise(weight) * ce
 
 
 def distilled(logits: Column, label: Column, buckets: int = 50, top: float = 1.0) -> Column:
-    """Cross-entropy against a label spread over buckets, sharper for small labels."""
+    """Cross-entropy against a label spread over buckets, sharper for small labels. The spread sums to
+    one, so the loss is the log total less the spread-weighted mean logit: one pass over the buckets."""
     step = top / (buckets - 1)
-    spread = F.transform(
-        F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.exp(-F.abs(label - i * step) / (F.sqrt(label) + 1e-6))
+    pairs = F.transform(
+        logits,
+        lambda v, i: F.struct(F.exp(-F.abs(label - i * step) / (F.sqrt(label) + 1e-6)).alias("p"), clamp_logit(v).alias("v")),
+    )
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("pv"))
+    sums = F.aggregate(
+        pairs,
+        zero,
+        lambda acc, x: F.struct((acc["p"] + x["p"]).alias("p"), (acc["pv"] + x["p"] * x["v"]).alias("pv")),
+        lambda acc: acc["pv"] / acc["p"],
     )
-    total = F.aggregate(spread, F.lit(0.0), lambda acc, v: acc + v)
-    cross = F.zip_with(spread, _log_softmax(logits), lambda p, q: p * q)
-    return -F.aggregate(cross, F.lit(0.0), lambda acc, v: acc + v) / total
+    return _log_total(logits) - sums
 
 
 def masked_mean(loss: Column, mask: Column | None = None, weight: float = 1.0) -> Column:

@@ -38,11 +38,11 @@ def _vol_adjusted(r: Rolling, x: Series, vol_window: int) -> Series:
     before = r.lag(x, 1)
     change = Series(
         f"change[{x.key}]",
-        F.when(before.c.isNull() | ((before.c == 0) & (x.c == 0)), F.lit(0.0)).otherwise(F.try_divide(x.c, before.c) - 1),
+        f"CASE WHEN {before.sql} IS NULL OR ({before.sql} = 0 AND {x.sql} = 0) THEN 0.0D ELSE try_divide({x.sql}, {before.sql}) - 1 END",
         before.deps | x.deps,
         before.lookback,
     )
-    vol = r.spread(change, vol_window).map("unit0", lambda v: F.coalesce(F.nullif(v, F.lit(0.0)), F.lit(1.0)))
+    vol = r.spread(change, vol_window).map("unit0", "coalesce(nullif({}, 0.0D), 1.0D)")
     return x / vol
 
 
