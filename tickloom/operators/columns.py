@@ -20,8 +20,10 @@ def value_ranges(counted: DataFrame, keys: list[str], value: str, ranges: int =
     """``counted`` with the number of its value range, ascending, per key."""
     points = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
     splits = F.array_sort(F.array_distinct(F.percentile_approx(value, points, F.lit(10 * ranges))))
-    per_key = counted.groupBy(*keys).agg(splits.alias("_splits")) if keys else counted.agg(splits.alias("_splits"))
-    joined = counted.join(per_key, keys) if keys else counted.crossJoin(per_key)  # one row on the right
+    if keys:
+        joined = counted.join(counted.groupBy(*keys).agg(splits.alias("_splits")), keys)
+    else:
+        joined = counted.withColumn("_splits", counted.agg(splits).scalar())
     below = F.size(F.filter("_splits", lambda s: s < F.col(value)))
     return joined.withColumn(RANGE, below).drop("_splits")
 

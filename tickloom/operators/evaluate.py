@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 from tickloom.operators.columns import positions
 from tickloom.session import materialize
 
-ALL = "_all"
-
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Share of (positive, negative) pairs scored in order, ties one half."""
-    counted = df.groupBy(F.lit(0).alias(ALL), F.col(score).alias("_s")).agg(
+    counted = df.groupBy(F.col(score).alias("_s")).agg(
         F.count_if(F.col(y) > 0).alias("pos"), F.count_if(F.col(y) <= 0).alias("neg")
     )
-    placed = positions(counted, [ALL], "_s", ["neg"])
+    placed = positions(counted, [], "_s", ["neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     return placed.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
@@ -32,9 +30,8 @@ def _ranges(df: DataFrame, value: str, out: str, splits: int) -> DataFrame:
     """Number of the value's range. A split value is a range of its own (odd numbers), so one value that
     fills a third of the table never shares its range; the open spans between splits are even."""
     points = F.array(*[F.lit((i + 1) / (splits + 1)) for i in range(splits)])
-    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, points, F.lit(20 * splits)))).alias("_cuts"))
-    # exactly one row of at most ``splits`` numbers
-    laid = df.join(F.broadcast(cuts))
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, points, F.lit(20 * splits)))))
+    laid = df.withColumn("_cuts", cuts.scalar())
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     return laid.withColumn(out, below * 2 + F.array_contains("_cuts", F.col(value)).cast("int")).drop("_cuts")
 

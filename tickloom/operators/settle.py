@@ -132,18 +132,26 @@ def needs(new_orders: DataFrame, total_btc: float, mark_price: float) -> DataFra
     return new_orders.withColumn("_qty", qty).withColumn("_margin", F.col("_qty") * F.lit(float(mark_price)) / lev * MARGIN_SAFETY)
 
 
+def _offers(eligible: DataFrame) -> DataFrame:
+    """Per direction the eligible accounts, smallest balance first. Two rows; the account list is
+    configuration, not data, and is refused beyond ``MAX_ACCOUNTS``, so this side may be broadcast."""
+    listed = eligible.groupBy("direction").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("available").alias("b"), F.col("account").alias("a")))).alias("_free")
+    )
+    refused = F.raise_error(F.lit("too many accounts")).cast(listed.schema["_free"].dataType)
+    return F.broadcast(listed.withColumn("_free", F.when(F.size("_free") > MAX_ACCOUNTS, refused).otherwise(F.col("_free"))))
+
+
 def candidates(orders: DataFrame, eligible: DataFrame, total_btc: float, mark_price: float) -> DataFrame:
     """Per new order: how many accounts could take it and the smallest balance among them, before any
-    order of the round has taken one. The eligible side is the account list, a small table."""
-    asked = needs(orders.filter(F.col("status") == "NEW"), total_btc, mark_price).select("id", "direction", "_qty", "_margin")
-    fits = F.col("available") >= F.col("_margin")
-    return (
-        asked.join(eligible, "direction", "left")
-        .groupBy("id", "direction")
-        .agg(
-            F.count_if(fits).alias("n_accounts"),
-            F.min_by(F.when(fits, F.col("account")), F.when(fits, F.struct("available", "account"))).alias("first_choice"),
-        )
+    order of the round has taken one. One row per order throughout; no order-account pairs."""
+    asked = needs(orders.filter(F.col("status") == "NEW"), total_btc, mark_price)
+    fit = F.filter("_free", lambda o: o.b >= F.col("_margin"))
+    return asked.join(_offers(eligible), "direction", "left").select(
+        "id",
+        "direction",
+        F.coalesce(F.size(fit), F.lit(0)).cast("bigint").alias("n_accounts"),
+        F.try_element_at(fit, F.lit(1))["a"].alias("first_choice"),
     )
 
 
@@ -157,12 +165,7 @@ def route(orders: DataFrame, accounts: DataFrame, total_btc: float, mark_price:
     """
     eligible = eligible_accounts(accounts, orders)
     asked = needs(orders.filter(F.col("status") == "NEW"), total_btc, mark_price)
-    offers = eligible.groupBy("direction").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("available").alias("b"), F.col("account").alias("a")))).alias("_free")
-    )
-    # the account list is configuration, not data; refuse it rather than carry an unbounded array
-    free = F.when(F.size("_free") > MAX_ACCOUNTS, F.raise_error(F.lit("too many accounts")).cast(offers.schema["_free"].dataType)).otherwise(F.col("_free"))
-    asked = asked.join(offers.withColumn("_free", free), "direction", "left")
+    asked = asked.join(_offers(eligible), "direction", "left")
     level = F.size(F.filter("_free", lambda o: o.b < F.col("_margin")))
     posed = asked.withColumn("_level", level).filter((F.col("_qty") > 0) & (F.col("_level") < F.size("_free")))
     nth = F.row_number().over(Window.partitionBy("direction", "_level").orderBy("id"))
