@@ -97,7 +97,7 @@ class Series:
 
     def clean(self):
         """Missing or infinite to 0."""
-        return self.map("clean", "coalesce(nullif(nullif(nullif({}, double('NaN')), double('Infinity')), double('-Infinity')), 0.0D)")
+        return self.map("clean", "CASE WHEN abs({0}) < double('Infinity') THEN {0} ELSE 0.0D END")
 
 
 def number(value) -> Series:
