@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, langid, licenses, shards
+from tickloom.llm import bpe, jaccard_join, langid, licenses, shards
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,3 +71,26 @@ def op10_shards(spark, sf_dir):
     """Eight shards of near equal bytes."""
     placed = shards.kd_shards(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_JACCARD_SQL = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \t-\r]+') as words from documents),
+s as (
+  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+         else list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i : i + 2], ' ')) end) as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+ids as (select x, dense_rank() over (order by x) as xi from (select distinct x from e)),
+p as (select doc_id, n, xi from e join ids using (x)),
+links as (
+  select a.doc_id as a, b.doc_id as b from p a join p b on a.xi = b.xi and a.doc_id < b.doc_id and a.n * 100 >= b.n * 90 and b.n * 100 >= a.n * 90
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways as (select a, b from links union all select b, a from links),
+reach(a, b) as (select doc_id, doc_id from documents union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a)
+select doc_id, cast(len(sh) as bigint) as n_shingles, c.component_id from s join (select a as doc_id, min(b) as component_id from reach group by 1) c using (doc_id)"""
+
+
+@query("op7_jaccard", _JACCARD_SQL)
+def op7_jaccard(spark, sf_dir):
+    """Near-duplicate classes of every document: three words, similarity 0.9."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("th").withColumnRenamed("id", "doc_id")
