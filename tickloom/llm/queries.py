@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, jaccard_join, langid, licenses, shards
+from tickloom.llm import bpe, embed_dups, jaccard_join, langid, licenses, shards
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,3 +94,24 @@ select doc_id, cast(len(sh) as bigint) as n_shingles, c.component_id from s join
 def op7_jaccard(spark, sf_dir):
     """Near-duplicate classes of every document: three words, similarity 0.9."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("th").withColumnRenamed("id", "doc_id")
+
+
+_EMBEDDING_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0
+    and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(a, b) as (select vec_id, vec_id from embeddings union select reach.a, links.b from reach join links on reach.b = links.a),
+c as (select a as vec_id, min(b) as component_id from reach group by 1),
+n as (select a as vec_id, count(*) as n_links from links group by 1)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)"""
+
+
+@query("op6_embeddings", _EMBEDDING_SQL)
+def op6_embeddings(spark, sf_dir):
+    """Links and classes of every vector at cosine 0.98 within its label."""
+    found = embed_dups.link(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
