@@ -157,3 +157,14 @@ def distinct_by_owner(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np
     keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
     h, o = h[keep], o[keep]
     return h, np.searchsorted(o, np.arange(n + 1))
+
+
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table, written once; marked for broadcast only if its counted rows are few enough, else Spark shuffles it."""
+    from tickloom.session import materialize
+
+    kept = materialize(df, label)
+    return F.broadcast(kept) if kept.count() <= limit else kept

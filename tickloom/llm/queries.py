@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, embed_dups, jaccard_join, langid, licenses, shards
+from tickloom.llm import bpe, decontaminate, embed_dups, jaccard_join, langid, licenses, shards
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,3 +115,29 @@ def op6_embeddings(spark, sf_dir):
     """Links and classes of every vector at cosine 0.98 within its label."""
     found = embed_dups.link(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+_WHITE = "'[^ \\t-\\r]+'"
+
+
+def _shingle_sql(name: str, source: str, key: str) -> str:
+    return f"""
+{name}_w as (select {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_WHITE}) as words from {source}),
+{name} as (
+  select {key}, list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+         else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) end) as sh from {name}_w)"""
+
+
+_LEAK_SQL = f"""
+with {_shingle_sql('docs', 'documents', 'doc_id')},
+{_shingle_sql('items', 'benchmark', 'item_id')},
+wanted as (select item_id, len(sh) as n_item, unnest(sh) as x from items),
+have as (select doc_id, unnest(sh) as x from docs)
+select doc_id, item_id, cast(n_item as bigint) as n_item, count(*) as n_common, count(*) / n_item::double as containment
+from wanted join have using (x) group by doc_id, item_id, n_item having count(*) >= 0.8 * n_item - 1e-9"""
+
+
+@query("op3_decontamination", _LEAK_SQL)
+def op3_decontamination(spark, sf_dir):
+    """Documents that hold four fifths or more of a test item's five-word shingles."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
