@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, embed_dups, jaccard_join, langid, licenses, shards
+from tickloom.llm import bpe, decontaminate, embed_dups, jaccard_join, langid, learning, licenses, quality, shards, toxicity
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -141,3 +141,26 @@ from wanted join have using (x) group by doc_id, item_id, n_item having count(*)
 def op3_decontamination(spark, sf_dir):
     """Documents that hold four fifths or more of a test item's five-word shingles."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def _not_held():
+    return crc_mod(F.col("k"), 3) != 1
+
+
+def _classified(spark, sf_dir, module, target: str, threshold: float):
+    docs = table(spark, sf_dir, "documents")
+    net = module.train(*learning.labelled_sample(docs, table(spark, sf_dir, "labels"), target, _not_held(), module.PER_CLASS))
+    held = F.coalesce(crc_mod(F.col("id"), 3) == 1, F.lit(False))
+    return module.score(docs, net).select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    return _classified(spark, sf_dir, toxicity, "toxic", 0.7)
+
+
+@query("op2_quality")
+def op2_quality(spark, sf_dir):
+    """Quality of every document."""
+    return _classified(spark, sf_dir, quality, "quality", 0.5)
