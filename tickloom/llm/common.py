@@ -72,6 +72,16 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schem
     return df.mapInArrow(run, schema)
 
 
+def filter_slices(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray], column: str = "text", rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of ``df``, all columns as they are, where ``keep`` says so; nothing is shuffled."""
+
+    def run(batches):
+        for part in slices(batches, column, rows=rows):
+            yield part.filter(pa.array(keep(part), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # ---- hashing of words and shingles, over the bytes of a whole slice at once ----
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import distinct_by_owner, keyed_text, map_slices, mix, shingles_of
+from tickloom.llm.common import distinct_by_owner, keyed_text, map_slices, mix, shingles_of, small
 from tickloom.llm.graph import components, with_roots
 from tickloom.session import materialize
 
@@ -219,9 +219,44 @@ def _compare(rule: Rule):
     return run
 
 
+def _hash(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
 def near_duplicates(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, th): component_id is the least id reachable by links of similarity num / den or more."""
-    docs = keyed_text(df, key, text).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """(id, n_shingles, component_id): component_id is the least id reachable by links of similarity num / den or more."""
+    sets, classes = _classes(df, k, num, den, key, text)
+    per_set = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least")).join(classes, ["s1", "s2"], "left")
+    named = per_set.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = per_set.join(named, "component", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
+    full = sets.where("n > 0").join(ids, ["s1", "s2"]).select("id", F.col("n").alias("n_shingles"), "component_id")
+    return full.union(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def one_of_each(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without the near-duplicates of another: of each class the least (id, text hash) stays, of
+    repeated rows one. Texts without a shingle all stay. Only (id, hash) pairs of rows that go are joined to the texts."""
+    sets, classes = _classes(df, k, num, den, key, text)
+    rows = sets.where("n > 0").groupBy("s1", "s2", F.coalesce("id", F.lit(-1)).alias("i"), "th").agg(F.count(F.lit(1)).alias("rows")).join(classes, ["s1", "s2"], "left")
+    group = [F.coalesce("component", F.lit(-1)).alias("g"), F.when(F.col("component").isNull(), F.col("s1")).alias("g1"), F.when(F.col("component").isNull(), F.col("s2")).alias("g2")]
+    rows = rows.select("i", "th", "rows", F.coalesce("component", F.lit(-1)).alias("g"), F.coalesce(group[1], F.lit(0)).alias("g1"), F.coalesce(group[2], F.lit(0)).alias("g2"))
+    first = rows.groupBy("g", "g1", "g2").agg(F.min(F.struct("i", "th")).alias("one"))
+    marked = rows.join(first, ["g", "g1", "g2"]).select("i", "th", "rows", ((F.col("i") == F.col("one.i")) & (F.col("th") == F.col("one.th"))).alias("stays"))
+    marked = materialize(marked.where("not stays or rows > 1"), "marked")
+    go = small(marked.where("not stays").select("i", "th"), "go")
+    kept = df.withColumns({"__i": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)), "__th": _hash(text)})
+    on = (F.col("__i") == F.col("i")) & (F.col("__th") == F.col("th"))
+    kept = kept.join(go, on, "left_anti")
+    repeated = marked.where("stays").select("i", "th")
+    if repeated.limit(1).count():
+        repeated = small(repeated, "repeated")
+        kept = kept.join(repeated, on, "left_anti").union(kept.join(repeated, on, "left_semi").dropDuplicates(["__i", "__th"]))
+    return kept.drop("__i", "__th")
+
+
+def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Sets by row, and (s1, s2, component) of the sets that are linked with another."""
+    docs = keyed_text(df, key, text).withColumn("th", _hash())
     rule = Rule(k, num, den, docs.count())
     sets = materialize(shingle_sets(docs, rule), "sets")
     posted = index(docs.select("id", "text", "th"), rule).repartition("entry")
@@ -255,9 +290,4 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, key:
 
     joined = with_roots(components(links, "classes"))
     classes = members.select("s1", "s2", "node").join(joined, "node").select("s1", "s2", "component")
-    # Sets outside any link keep a component of their own, named by their sums.
-    per_set = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("least")).join(classes, ["s1", "s2"], "left")
-    named = per_set.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = per_set.join(named, "component", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
-    full = sets.where("n > 0").join(ids, ["s1", "s2"]).select("id", F.col("n").alias("n_shingles"), "component_id", "th")
-    return full.union(sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "th"))
+    return sets, classes

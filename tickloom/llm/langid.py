@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import keyed_text, map_slices
+from tickloom.llm.common import filter_slices, keyed_text, map_slices
 
 DIMS = 1024
 UNKNOWN = "und"
@@ -127,25 +127,42 @@ def learn(df: DataFrame, label: str = "lang", text: str = "text") -> dict[str, n
     return {k: (v / (np.linalg.norm(v) or 1)).astype(np.float32) for k, v in sorted(out.items())}
 
 
+def classify(texts: list[str | None], names: list[str], matrix: np.ndarray | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    known = np.array(has_letter(texts), dtype=bool)
+    if matrix is None:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    found, place, owner = trigrams(texts)
+    cosines = np.zeros((len(texts), len(names)))
+    if len(found):
+        counts = np.bincount(owner * len(found) + place, minlength=len(texts) * len(found)).reshape(len(texts), -1).astype(np.float32)
+        bundles = counts @ bind(found).astype(np.float32)
+        size = np.linalg.norm(bundles, axis=1, keepdims=True)
+        cosines = (bundles / np.where(size > 0, size, 1)) @ matrix
+    best = cosines.argmax(axis=1)
+    score = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0)
+    return [names[b] if k else UNKNOWN for b, k in zip(best, known)], score.astype(np.float64)
+
+
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score): score is the cosine, not below 0."""
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else None
 
     def run(part: pa.RecordBatch):
-        texts = part.column("text").to_pylist()
-        known = np.array(has_letter(texts))
-        if matrix is None:
-            return {"id": part.column("id"), "lang_pred": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))}
-        found, place, owner = trigrams(texts)
-        cosines = np.zeros((len(texts), len(names)))
-        if len(found):
-            counts = np.bincount(owner * len(found) + place, minlength=len(texts) * len(found)).reshape(len(texts), -1).astype(np.float32)
-            bundles = counts @ bind(found).astype(np.float32)
-            size = np.linalg.norm(bundles, axis=1, keepdims=True)
-            cosines = (bundles / np.where(size > 0, size, 1)) @ matrix
-        best = cosines.argmax(axis=1)
-        score = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0.0)
-        return {"id": part.column("id"), "lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best, known)], "score": score.astype(np.float64)}
+        found, score = classify(part.column("text").to_pylist(), names, matrix)
+        return {"id": part.column("id"), "lang_pred": found, "score": score}
 
     return map_slices(keyed_text(df, key, text), run, "id long, lang_pred string, score double", rows=256)
+
+
+def known_language(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows whose text has a language, all columns as they are."""
+    names = list(prototypes)
+    matrix = np.stack([prototypes[n] for n in names], axis=1) if names else None
+
+    def keep(part: pa.RecordBatch):
+        found, _ = classify(part.column(part.schema.get_field_index(text)).to_pylist(), names, matrix)
+        return np.array([f != UNKNOWN for f in found], dtype=bool)
+
+    return filter_slices(df, keep, text, rows=256)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, embed_dups, jaccard_join, langid, learning, licenses, quality, shards, toxicity
+from tickloom.llm import bpe, decontaminate, embed_dups, html_wrap, jaccard_join, langid, learning, licenses, quality, shards, toxicity
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,7 +93,7 @@ select doc_id, cast(len(sh) as bigint) as n_shingles, c.component_id from s join
 @query("op7_jaccard", _JACCARD_SQL)
 def op7_jaccard(spark, sf_dir):
     """Near-duplicate classes of every document: three words, similarity 0.9."""
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("th").withColumnRenamed("id", "doc_id")
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).withColumnRenamed("id", "doc_id")
 
 
 _EMBEDDING_SQL = """
@@ -143,13 +143,14 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
-def _not_held():
+def not_held_out():
+    """Which rows of a label table (key k) classifiers may learn from."""
     return crc_mod(F.col("k"), 3) != 1
 
 
 def _classified(spark, sf_dir, module, target: str, threshold: float):
     docs = table(spark, sf_dir, "documents")
-    net = module.train(*learning.labelled_sample(docs, table(spark, sf_dir, "labels"), target, _not_held(), module.PER_CLASS))
+    net = module.train(*learning.labelled_sample(docs, table(spark, sf_dir, "labels"), target, not_held_out(), module.PER_CLASS))
     held = F.coalesce(crc_mod(F.col("id"), 3) == 1, F.lit(False))
     return module.score(docs, net).select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -164,3 +165,20 @@ def op1_toxicity(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     """Quality of every document."""
     return _classified(spark, sf_dir, quality, "quality", 0.5)
+
+
+_PAGES_SQL = r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as body from pages),
+b as (select page_id, generate_subscripts(parts, 1) as nth, unnest(parts) as part from (select page_id, regexp_split_to_array(body, '</?(p|h1)>') as parts from a)),
+c as (
+  select page_id, nth, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', '', 'g'),
+         '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) as block from b),
+d as (select page_id, string_agg(block, chr(10) order by nth) as text from c where block <> '' group by 1)
+select a.page_id, a.url, coalesce(text, '') as text, cast(length(coalesce(text, '')) as bigint) as n_chars from a left join d using (page_id)"""
+
+
+@query("op8_pages", _PAGES_SQL)
+def op8_pages(spark, sf_dir):
+    """Main text of every page."""
+    found = html_wrap.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import keyed_text, map_slices
+from tickloom.llm.common import filter_slices, keyed_text, map_slices
 from tickloom.llm.learning import Adam, ByteWords, sigmoid
 
 WINDOW = 24
@@ -198,3 +198,9 @@ def score(df: DataFrame, net: Net | float, key: str = "doc_id", text: str = "tex
         return {"id": part.column("id"), "score": score_texts(sent.value, part.column("text"))}
 
     return map_slices(keyed_text(df, key, text), run, "id long, score double")
+
+
+def clean(df: DataFrame, net: Net | float, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows that score below ``threshold``, all columns as they are."""
+    sent = df.sparkSession.sparkContext.broadcast(net)
+    return filter_slices(df, lambda part: score_texts(sent.value, part.column(part.schema.get_field_index(text))) < threshold, text)
