@@ -3,10 +3,10 @@
 Test items are short and documents long, so whole documents would make every similarity tiny. Items are put in
 partitions by the number of their distinct k-word shingles (doubling upper bounds); for the partition with bound
 s, every document is cut into windows of 2s shingles, one starting every s shingles, so that any run of s
-shingles lies in one window. Within a partition a containment threshold t becomes a Jaccard threshold of at
-least t (s/2) / (2s + ...) >= 0.18; with ``HASHES`` MinHash values of one row per band the chance to miss such a
-pair is below 0.82 ** 128 = 1e-11. Minima over windows are minima of two neighbouring blocks of s, and blocks of the
-next partition are pairs of blocks of this one, so each hash passes over a document once.
+shingles lies in one window. Within a partition the containment threshold t thus is a Jaccard threshold j of
+about t / 4, and the partition gets so many MinHash values, of one row per band, that (1 - j) ** values < MISS.
+Minima over windows are minima of two neighbouring blocks of s, and blocks of the next partition are pairs of
+blocks of this one, so each hash passes over a document once, from the first partition that has items on.
 
 An item and a document that share a minimum are a candidate, and their exact containment (distinct item
 shingles found anywhere in the document / distinct item shingles) decides. Items are worked on in blocks of
@@ -18,6 +18,8 @@ a document with just these words has; null ids and repeated rows are kept; other
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,45 +29,47 @@ from tickloom.llm.common import distinct_by_owner, keyed_text, map_slices, mix,
 
 K = 5
 THRESHOLD = 0.8
-HASHES = 128
-FIRST_BOUND = 16
+MISS = 1e-11  # chance that the search misses an item that stands in a document in one piece
 ITEMS_AT_ONCE = 2_000  # items sent to every task at once, further bounded by
 SHINGLES_AT_ONCE = 400_000
-_SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _FILTER_BITS = 18
 
 
+def hashes_for(bound: int, threshold: float) -> int:
+    """MinHash values that a partition needs: its least Jaccard similarity of an item and its window decides."""
+    least = 1.0
+    for size in range(bound // 2 + 1, bound + 1):
+        shared = max(1, math.ceil(threshold * size - 1e-9))
+        least = min(least, shared / (2 * bound + size - shared))
+    return min(len(_SEEDS), math.ceil(math.log(MISS) / math.log(1 - least))) if least < 1 else 1
+
+
 class Items:
     """One block of test items: shingle sets, and minima by partition and hash."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray]):
+    def __init__(self, ids: list, sets: list[np.ndarray], threshold: float = THRESHOLD):
         self.ids, self.sets = ids, sets
         sizes = np.array([len(s) for s in sets])
-        self.bounds = []
-        bound, most = FIRST_BOUND, int(sizes.max(initial=1))
-        while True:
-            self.bounds.append(bound)
-            if bound >= most:
-                break
-            bound *= 2
-        part = np.searchsorted(self.bounds, sizes)
-        self.minima = []  # by partition and hash: sorted minima, the items they belong to, a bitmap of their top bits
-        for p in range(len(self.bounds)):
+        part = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)  # bound 2 ** part
+        self.first = int(part.min(initial=0)) if len(part) else 0
+        self.minima = []  # by partition: per hash the sorted minima, the items they belong to, a bitmap of their low bits
+        for p in range(self.first, int(part.max(initial=0)) + 1):
             mine = np.flatnonzero((part == p) & (sizes > 0))
             rows = []
-            for seed in _SEEDS:
+            for seed in _SEEDS[: hashes_for(2**p, threshold)] if len(mine) else ():
                 values = np.array([(sets[i] * seed).min() for i in mine], dtype=np.uint64)
                 order = np.argsort(values)
                 bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
                 bits[(values & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
                 rows.append((values[order], mine[order], bits))
-            self.minima.append(rows if len(mine) else None)
+            self.minima.append(rows)
 
     def candidates(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Pairs (document, item) that share a minimum in some window; a row each."""
         found = []
         counts = np.bincount(owner, minlength=n)
-        base = self.bounds[0]
+        base = 2**self.first
         blocks = -(-counts // base)
         first = np.concatenate(([0], np.cumsum(blocks)))
         position = np.arange(len(owner)) - np.concatenate(([0], np.cumsum(counts)))[owner]
@@ -73,7 +77,7 @@ class Items:
         starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         whose = owner[starts]
         low = np.uint64((1 << _FILTER_BITS) - 1)
-        for k, seed in enumerate(_SEEDS):
+        for k, seed in enumerate(_SEEDS[: max(map(len, self.minima), default=0)]):
             minima, of = np.minimum.reduceat(hashes * seed, starts), whose
             for p, rows in enumerate(self.minima):
                 if p:  # pairs of blocks of the partition below, counted from the start of each document
@@ -81,7 +85,7 @@ class Items:
                     place = np.arange(len(of)) - np.maximum.accumulate(np.where(edge, np.arange(len(of)), 0))
                     heads = np.flatnonzero(place % 2 == 0)
                     minima, of = np.minimum.reduceat(minima, heads), of[heads]
-                if rows is None:
+                if k >= len(rows):
                     continue
                 window = minima.copy()
                 same = of[1:] == of[:-1]
@@ -95,7 +99,7 @@ class Items:
         return np.unique(np.array(found, dtype=np.int64).reshape(-1, 2), axis=0)
 
 
-def _item_blocks(items: DataFrame, key: str, text: str, k: int):
+def _item_blocks(items: DataFrame, key: str, text: str, k: int, threshold: float):
     """Blocks of items of bounded size, streamed from the workers one partition at a time."""
 
     def run(part: pa.RecordBatch):
@@ -106,13 +110,13 @@ def _item_blocks(items: DataFrame, key: str, text: str, k: int):
     ids, sets, total = [], [], 0
     for r in map_slices(keyed_text(items, key, text), run, "id long, shingles array<long>").where("size(shingles) > 0").toLocalIterator():
         if ids and (len(ids) >= ITEMS_AT_ONCE or total + len(r["shingles"]) > SHINGLES_AT_ONCE):
-            yield Items(ids, sets)
+            yield Items(ids, sets, threshold)
             ids, sets, total = [], [], 0
         ids.append(r["id"])
         sets.append(np.array(r["shingles"], dtype=np.int64).view(np.uint64))
         total += len(r["shingles"])
     if ids:
-        yield Items(ids, sets)
+        yield Items(ids, sets, threshold)
 
 
 SCHEMA = "id long, item_id long, n_item long, n_common long, containment double"
@@ -122,7 +126,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k:
     """(id, item_id, n_item, n_common, containment) of every document row that holds ``threshold`` of an item's shingles."""
     rows = keyed_text(docs, key, text)
     out = None
-    for block in _item_blocks(items, item_key, item_text, k):
+    for block in _item_blocks(items, item_key, item_text, k, threshold):
         sent = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(part: pa.RecordBatch, sent=sent):

@@ -354,7 +354,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 found[h] = align(found[h], one) if h in found else one
         return {"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]} if found else None
 
-    def join(key, table: pa.Table) -> pa.Table:
+    def join(key, table):
         rows = sorted(table.column("wrapper").to_pylist())
         one = json.loads(rows[0])
         for r in rows[1:]:

@@ -238,16 +238,16 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, key: str
     repeated rows one. Texts without a shingle all stay. Only (id, hash) pairs of rows that go are joined to the texts."""
     sets, classes = _classes(df, k, num, den, key, text)
     rows = sets.where("n > 0").groupBy("s1", "s2", F.coalesce("id", F.lit(-1)).alias("i"), "th").agg(F.count(F.lit(1)).alias("rows")).join(classes, ["s1", "s2"], "left")
-    group = [F.coalesce("component", F.lit(-1)).alias("g"), F.when(F.col("component").isNull(), F.col("s1")).alias("g1"), F.when(F.col("component").isNull(), F.col("s2")).alias("g2")]
-    rows = rows.select("i", "th", "rows", F.coalesce("component", F.lit(-1)).alias("g"), F.coalesce(group[1], F.lit(0)).alias("g1"), F.coalesce(group[2], F.lit(0)).alias("g2"))
+    alone = lambda c: F.when(F.col("component").isNull(), F.col(c)).otherwise(0)
+    rows = rows.select("i", "th", "rows", F.coalesce("component", F.lit(-1)).alias("g"), alone("s1").alias("g1"), alone("s2").alias("g2"))
     first = rows.groupBy("g", "g1", "g2").agg(F.min(F.struct("i", "th")).alias("one"))
     marked = rows.join(first, ["g", "g1", "g2"]).select("i", "th", "rows", ((F.col("i") == F.col("one.i")) & (F.col("th") == F.col("one.th"))).alias("stays"))
     marked = materialize(marked.where("not stays or rows > 1"), "marked")
-    go = small(marked.where("not stays").select("i", "th"), "go")
+    go = small(marked.where("not stays").select(F.col("i").alias("__gi"), F.col("th").alias("__gth")), "go")
     kept = df.withColumns({"__i": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-1)), "__th": _hash(text)})
-    on = (F.col("__i") == F.col("i")) & (F.col("__th") == F.col("th"))
+    on = (F.col("__i") == F.col("__gi")) & (F.col("__th") == F.col("__gth"))
     kept = kept.join(go, on, "left_anti")
-    repeated = marked.where("stays").select("i", "th")
+    repeated = marked.where("stays").select(F.col("i").alias("__gi"), F.col("th").alias("__gth"))
     if repeated.limit(1).count():
         repeated = small(repeated, "repeated")
         kept = kept.join(repeated, on, "left_anti").union(kept.join(repeated, on, "left_semi").dropDuplicates(["__i", "__th"]))
@@ -259,7 +259,8 @@ def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) ->
     docs = keyed_text(df, key, text).withColumn("th", _hash())
     rule = Rule(k, num, den, docs.count())
     sets = materialize(shingle_sets(docs, rule), "sets")
-    posted = index(docs.select("id", "text", "th"), rule).repartition("entry")
+    # Both uses below read one shuffle: the filter is spelled out so that their plans are the same.
+    posted = index(docs.select("id", "text", "th"), rule).where("entry is not null and th is not null").repartition("entry")
     hubs = posted.groupBy("entry").agg(F.min("th").alias("hub"), F.max("th").alias("other")).where("hub <> other").select("entry", "hub")
     touching = posted.join(hubs, "entry").where("th <> hub").select(F.col("th").alias("a"), F.col("hub").alias("b"))
     families = with_roots(components(touching, "families")).select(F.col("node").alias("th"), F.col("component").alias("family"))

@@ -26,6 +26,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, learn: Colu
     return [t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.float32)
 
 
+def schedule(sizes: np.ndarray, batch: int, epochs: int, rng, least_steps: int = 240, most_epochs: int = 60):
+    """(share of training done, rows of a batch), again and again: batches of about ``batch`` in size, smaller where
+    that would give under 12, and more epochs where the sample is so small that there would be few steps."""
+    batch = max(1, min(batch, int(sizes.sum()) // 12))
+    per_epoch = max(1, int(sizes.sum()) // batch)
+    epochs = min(most_epochs, max(epochs, -(-least_steps // per_epoch)))
+    for epoch in range(epochs):
+        order = rng.permutation(len(sizes))
+        for rows in np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes[order]) // batch)) + 1):
+            yield epoch / epochs, rows
+
+
 class Adam:
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.w, self.rate, self.t = weights, rate, 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.common import keyed_text, map_slices
-from tickloom.llm.learning import Adam, sigmoid
+from tickloom.llm.learning import Adam, schedule, sigmoid
 
 WIDTH, STRIDE, DIM, FILTERS = 8, 2, 8, 24
 BLOCK = 48  # filter places in a block; a chunk is two blocks, 192 bytes
@@ -101,7 +101,7 @@ class Net:
             some = np.flatnonzero(dchunk[:, f])
             d = dchunk[some, f]
             raw = c.bytes[place[some, f][:, None] * STRIDE + np.arange(WIDTH)]
-            dconv[:, f] = (w["byte"][raw].reshape(len(some), -1) * d[:, None]).sum(axis=0)
+            dconv[:, f] = (w["byte"][raw].reshape(len(some), WIDTH * DIM) * d[:, None]).sum(axis=0)
             per_byte = np.zeros((256, WIDTH), np.float32)
             np.add.at(per_byte, (raw, np.arange(WIDTH)[None]), d[:, None])
             dbyte += per_byte @ w["conv"][:, f].reshape(WIDTH, DIM)
@@ -117,14 +117,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Net | float
     rng = np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     size = np.array([len(t) + 100 for t in texts])
-    for epoch in range(EPOCHS):
-        opt.rate = RATE * (1.0 if epoch < EPOCHS - 3 else 0.3)
-        order = rng.permutation(len(texts))
-        for batch in np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // BATCH_BYTES)) + 1):
-            c = Chunks(pa.array([texts[i] for i in batch]))
-            logits, kept = net.run(c, keep=True)
-            d = ((sigmoid(logits) - labels[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            opt.step(net.gradients(c, kept, d))
+    for done, batch in schedule(size, BATCH_BYTES, EPOCHS, rng):
+        opt.rate = RATE * (1.0 if done < 0.7 else 0.3)
+        c = Chunks(pa.array([texts[i] for i in batch]))
+        logits, kept = net.run(c, keep=True)
+        d = ((sigmoid(logits) - labels[batch]) * weight[batch] / len(batch)).astype(np.float32)
+        opt.step(net.gradients(c, kept, d))
     return net
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tickloom.llm.common import filter_slices, keyed_text, map_slices
-from tickloom.llm.learning import Adam, ByteWords, sigmoid
+from tickloom.llm.learning import Adam, ByteWords, schedule, sigmoid
 
 WINDOW = 24
 STEP = WINDOW // 2
@@ -150,27 +150,24 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Net | float
     rng = np.random.default_rng(seed)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     size = np.array([max(1, len(t) // (6 * STEP)) for t in texts])
-    for epoch in range(EPOCHS):
-        opt.rate = RATE * (1.0 if epoch < EPOCHS - 2 else 0.3)
-        order = rng.permutation(len(texts))
-        batches = np.split(order, np.flatnonzero(np.diff(np.cumsum(size[order]) // BATCH_WINDOWS)) + 1)
-        for batch in batches:
-            words = ByteWords(pa.array([texts[i] for i in batch]))
-            index, text = windows(words.counts)
-            if not len(index):
-                continue
-            gates, extra = net.inputs(words)
-            at = np.where(index >= 0, words.place[np.maximum(index, 0)], len(gates) - 1)
-            logits, kept = net.run(gates, at, keep=True)
-            heads = np.flatnonzero(np.diff(text, prepend=-1))
-            whose = text[heads]
-            top = np.maximum.reduceat(logits, heads)
-            spread = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(text))))
-            share = np.exp(logits - top[spread])
-            share /= np.add.reduceat(share, heads)[spread]
-            y, c = labels[batch][whose], weight[batch][whose]
-            dtop = ((sigmoid(top) - y) * c).astype(np.float32) / len(heads)
-            opt.step(net.gradients(words, gates, extra, at, kept, (share * dtop[spread]).astype(np.float32)))
+    for done, batch in schedule(size, BATCH_WINDOWS, EPOCHS, rng):
+        opt.rate = RATE * (1.0 if done < 0.6 else 0.3)
+        words = ByteWords(pa.array([texts[i] for i in batch]))
+        index, text = windows(words.counts)
+        if not len(index):
+            continue
+        gates, extra = net.inputs(words)
+        at = np.where(index >= 0, words.place[np.maximum(index, 0)], len(gates) - 1)
+        logits, kept = net.run(gates, at, keep=True)
+        heads = np.flatnonzero(np.diff(text, prepend=-1))
+        whose = text[heads]
+        top = np.maximum.reduceat(logits, heads)
+        spread = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(text))))
+        share = np.exp(logits - top[spread])
+        share /= np.add.reduceat(share, heads)[spread]
+        y, c = labels[batch][whose], weight[batch][whose]
+        dtop = ((sigmoid(top) - y) * c).astype(np.float32) / len(heads)
+        opt.step(net.gradients(words, gates, extra, at, kept, (share * dtop[spread]).astype(np.float32)))
     return net
 
 
