@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import make_bars, to_spark
+from tickloom.functions import rolling
 from tickloom.functions.layout import Chunking, chunked, tail_rows
 from tickloom.operators import alphas, columns, features
 
@@ -52,9 +53,10 @@ def test_features_do_not_depend_on_chunks(bars, rows, seconds):
 
 def test_z_scores_do_not_depend_on_chunks_or_width(bars):
     df = bars.select("symbol", "timestamp", "close", "volume")
-    whole = collect(features.rolling_z_score_vol(df, 30, 100))
+    whole = collect(features.rolling_z_score_vol(df, 30, 100, chunking=None))
     cut = collect(features.rolling_z_score_vol(df, 30, 100, chunking=Chunking(64, 600)))
-    wide = collect(features._z(df, ["close", "volume"], 100, 30, Chunking(64, 600), wide=1))
+    many = df.select("*", *[(F.col("close") * i).alias(f"c{i}") for i in range(2, 22)])
+    wide = collect(features.rolling_z_score_vol(many, 30, 100, chunking=Chunking(64, 600)))
     for c in ("close", "volume"):
         np.testing.assert_allclose(whole[c], cut[c], rtol=1e-7, atol=1e-7)
         np.testing.assert_allclose(whole[c], wide[c], rtol=1e-7, atol=1e-7)
@@ -76,3 +78,23 @@ def test_tail_rows(bars):
 def test_repeated_times_stay(spark):
     pdf = pd.concat([make_bars(40, symbols=("AAA",))] * 2)
     assert chunked(to_spark(spark, pdf), 0, Chunking(10, 300)).count() == 80
+
+
+@pytest.mark.parametrize("w", [20, 40, 200])
+def test_windows_forget_outliers(spark, w):
+    """A huge value leaves no trace once it has left the window, by frames and by the Arrow pass alike."""
+    pdf = make_bars(900, symbols=("AAA",))
+    pdf.loc[[0, 300, 601], "volume"] = 1e16
+    r = rolling.Rolling()
+    c, v = r.source("close"), r.source("volume")
+    out = {"sum": r.sum(v, w), "mean": r.mean(v, w), "std": r.std(v, w), "corr": r.corr(c, v, w), "cov": r.cov(v, c, w), "skew": r.skew(v, w), "deep": r.corr(r.mean(v, w), c, w), "vol": r.spread(v, w)}
+    laid = chunked(to_spark(spark, pdf), rolling.lookback(out), Chunking(250, 600))
+    got = collect(r.select(laid, out, keep=("symbol", "timestamp", "_halo")).filter("not _halo"))
+    x, y = pdf["volume"], pdf["close"]
+    roll = lambda s, f: pd.Series([getattr(s[max(0, i - w + 1) : i + 1], f)() if i >= w - 1 else np.nan for i in range(len(s))])
+    two = lambda a, b, f: pd.Series([getattr(a[i - w + 1 : i + 1], f)(b[i - w + 1 : i + 1]) if i >= w - 1 else np.nan for i in range(len(a))])
+    calm = (x < 1e10).rolling(2 * w).min() == 1
+    want = {"sum": roll(x, "sum"), "mean": roll(x, "mean"), "std": roll(x, "std"), "corr": two(y, x, "corr"), "cov": two(x, y, "cov"), "skew": roll(x, "skew"), "vol": roll(x, "std")}
+    want["deep"] = two(want["mean"], y, "corr")
+    for name, values in want.items():
+        np.testing.assert_allclose(got[name][calm], values[calm], rtol=1e-9, atol=1e-9, err_msg=name)

@@ -39,6 +39,7 @@ class Kernel:
     series: Any
     w: int
     params: tuple = ()
+    other: Any = None  # second input of a pair measure
 
 
 def db4_high() -> list[float]:
@@ -87,10 +88,18 @@ def _spectral(kind: str, windows: np.ndarray, w: int, params: tuple) -> np.ndarr
     return np.where(total > 0, -(share * np.log(share)).sum(axis=1) / math.log(half), 0.0)
 
 
-def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = ()) -> np.ndarray:
-    """One value per row; NaN until a window is full and has no hole."""
+def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = (), y: np.ndarray | None = None) -> np.ndarray:
+    """One value per row; NaN until a window is full and has no hole (``spread`` and ``before_*`` take what is there)."""
     x = np.where(np.isfinite(x), x, np.nan)
     out = np.full(len(x), np.nan)
+    if kind == "spread":
+        return _trailing(x[:, None], w)[1][:, 0] if len(x) else out
+    if kind in ("before_mean", "before_std"):
+        if len(x):
+            out[1:] = _trailing(x[:, None], w)[kind == "before_std"][:-1, 0]
+        return out
+    if kind in MOMENTS:
+        return moment(kind, x, w, y)
     if len(x) < w:
         return out
     if kind == "rank_below_top":
@@ -119,6 +128,68 @@ def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = ()) -> np.ndarray
     return out
 
 
+# -- moments of full windows ----------------------------------------------------------------------
+
+MOMENTS = ("sum", "mean", "std", "skew", "cov", "corr")
+
+
+def moment(kind: str, x: np.ndarray, w: int, y: np.ndarray | None = None) -> np.ndarray:
+    """A moment of each full window of ``w`` rows without a hole, by window sums that never subtract; values are
+    centred on the group's median, which no outlier moves. NaN elsewhere, and for a correlation with a constant side."""
+    if y is not None:
+        y = np.where(np.isfinite(y) & np.isfinite(x), y, np.nan)
+        x = np.where(np.isnan(y), np.nan, x)
+    known = ~np.isnan(x)
+    if len(x) < w or not known.any():
+        return np.full(len(x), np.nan)
+
+    def moved(v):
+        centre = np.median(v[known])
+        return centre, np.where(known, v - centre, 0.0)
+
+    cx, mx = moved(x)
+    columns = [known.astype(float), mx]
+    if kind in ("std", "skew", "corr"):
+        columns.append(mx * mx)
+    if kind == "skew":
+        columns.append(mx**3)
+    if y is not None:
+        _, my = moved(y)
+        columns += [my, my * my, mx * my]
+    sums = _window_sums(np.stack(columns, axis=1), w)
+    full = sums[:, 0] == w
+
+    def steady(v):
+        """Whether the window holds one value only: no change after its first row."""
+        change = np.cumsum(np.concatenate(([0], v[1:] != v[:-1])))
+        out = np.zeros(len(v), dtype=bool)
+        out[w - 1 :] = change[w - 1 :] == change[: len(v) - w + 1]
+        return out
+
+    s1 = sums[:, 1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if kind == "sum":
+            out = cx * w + s1
+        elif kind == "mean":
+            out = cx + s1 / w
+        elif kind == "std":
+            out = np.where(steady(mx), 0.0, np.sqrt(np.maximum(sums[:, 2] - s1 * s1 / w, 0.0) / (w - 1)))
+        elif kind == "skew":
+            mean = s1 / w
+            spread = np.where(steady(mx), 0.0, np.maximum(sums[:, 2] / w - mean * mean, 0.0))
+            third = sums[:, 3] / w - 3.0 * mean * sums[:, 2] / w + 2.0 * mean**3
+            out = np.where(spread <= 1e-14, 0.0, third / spread**1.5 * (w * (w - 1.0)) ** 0.5 / (w - 2.0))
+        else:
+            sy, syy, sxy = sums[:, -3], sums[:, -2], sums[:, -1]
+            cross = sxy - s1 * sy / w
+            if kind == "cov":
+                out = cross / (w - 1)
+            else:
+                scale = np.sqrt(np.maximum(sums[:, 2] - s1 * s1 / w, 0.0)) * np.sqrt(np.maximum(syy - sy * sy / w, 0.0))
+                out = np.where(steady(mx) | steady(my) | (scale == 0), np.nan, np.clip(cross / scale, -1.0, 1.0))
+    return np.where(full, out, np.nan)
+
+
 # -- many columns at once -------------------------------------------------------------------------
 
 
@@ -217,12 +288,14 @@ def run(df: DataFrame, todo: list[Kernel], keys: tuple[str, ...], order: tuple[s
     """``keep`` columns plus one double column per kernel."""
     inputs: dict[str, str] = {}
     for k in todo:
-        inputs.setdefault(k.series.key, f"_in{len(inputs)}")
-    columns = {k.series.key: k.series.sql for k in todo}
+        for s in (k.series, k.other):
+            if s is not None:
+                inputs.setdefault(s.key, f"_in{len(inputs)}")
+    columns = {s.key: s.sql for k in todo for s in (k.series, k.other) if s is not None}
     fed = df.selectExpr(
         *[f"`{c}`" for c in keep], *[f"CAST({columns[key]} AS DOUBLE) AS {name}" for key, name in inputs.items()]
     )
-    plan = [(k.kind, k.name, inputs[k.series.key], k.w, k.params) for k in todo]
+    plan = [(k.kind, k.name, inputs[k.series.key], k.w, k.params, inputs[k.other.key] if k.other is not None else None) for k in todo]
     order_by = list(order)
     schema = T.StructType(
         [fed.schema[c] for c in keep] + [T.StructField(k.name, T.DoubleType()) for k in todo]
@@ -230,10 +303,8 @@ def run(df: DataFrame, todo: list[Kernel], keys: tuple[str, ...], order: tuple[s
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_by, kind="stable")
-        values = {
-            name: evaluate(kind, pdf[column].to_numpy(dtype="float64", na_value=np.nan), w, params)
-            for kind, name, column, w, params in plan
-        }
+        series = {c: pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in inputs.values()}
+        values = {name: evaluate(kind, series[c], w, params, None if o is None else series[o]) for kind, name, c, w, params, o in plan}
         result = pdf[keep].reset_index(drop=True)
         return pd.concat([result, pd.DataFrame(values)], axis=1)
 

@@ -8,14 +8,15 @@ same (symbol, chunk) exchange and sort.
 
 Cost rules:
 
-* sums, means, deviations, correlations: plain frames up to ``frame_limit`` rows; above it, differences
-  of running sums (constant work per row whatever the width), centred on the chunk's first value;
+* sums, means, deviations, correlations, skewness: plain frames up to ``frame_limit`` rows; above it window sums
+  that never subtract, in the Arrow pass (constant work per row whatever the width). Both forget a value as soon
+  as it has left the window;
 * min/max: plain frames up to ``extreme_limit`` rows; above it an Arrow kernel;
 * rank of the last value: ``collect_list`` and a higher-order function up to ``rank_limit`` rows; above
   it an Arrow kernel. Spectral and wavelet measures are always kernels.
 
-All kernels of a job run in one pass (``kernels.run``), between the frames they read and the frames that
-read them.
+All kernels that read no other kernel run in one pass (``kernels.run``), between the frames they read and the
+frames that read them; kernels that read kernels take another pass.
 """
 
 from __future__ import annotations
@@ -156,12 +157,9 @@ class Rolling:
         frame_limit: int = 32,
         extreme_limit: int = 64,
         rank_limit: int = 32,
-        spread_limit: int = 256,
     ):
         self.keys, self.order = keys, order
         self.frame_limit, self.extreme_limit, self.rank_limit = frame_limit, extreme_limit, rank_limit
-        # relative changes can be huge next to a near-zero value; a frame forgets them, a running sum does not
-        self.spread_limit = spread_limit
         self._over_rows = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
         self._running = f"OVER ({self._over_rows} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         self._nodes: dict[str, _Node] = {}
@@ -220,74 +218,30 @@ class Rolling:
         out = when(self.count(x, w).same(float(w)), value, MISSING)
         return Series(value.key, out.sql, out.deps, max(out.lookback, x.lookback + w - 1))
 
-    # -- sums by differences of running sums ----------------------------------------------------
-
-    @once
-    def _centre(self, x: Series) -> Series:
-        return self._run("first({}, true)", x)
-
-    @once
-    def _moved(self, x: Series) -> Series:
-        return (x - self._centre(x)).fill()
-
-    @once
-    def _span(self, x: Series, w: int) -> Series:
-        running = self._run("sum({})", x)
-        out = running - self.lag(running, w).fill()
-        return Series(out.key, out.sql, out.deps, x.lookback + w)
-
-    @once
-    def _constant(self, x: Series, w: int) -> Series:
-        """True when the last w values are all equal; exact where a difference of sums is not."""
-        changed = when(x.same(self.lag(x, 1)), 0.0, 1.0)
-        running = self._run("sum({})", changed)
-        return running.same(self.lag(running, w - 1).fill(1.0))
+    # -- moments: a plain frame, or window sums that never subtract in the Arrow pass -------------------
 
     @once
     def before(self, x: Series, w: int) -> tuple[Series, Series]:
         """Mean and deviation of the w rows before the current one, from the first row on."""
         if w <= self.frame_limit:
             return self.previous("avg({})", x, w), self.previous("stddev_samp({})", x, w)
-        mean, std = self._partial(x, w)
-        return self.lag(mean, 1), self.lag(std, 1)
-
-    @once
-    def _partial(self, x: Series, w: int) -> tuple[Series, Series]:
-        """Mean and deviation of up to w rows by running sums, holes skipped."""
-        m = self._moved(x)
-        n, s1, s2 = self.count(x, w), self._span(m, w), self._span(m * m, w)
-        ss = s2 - s1 * s1 / n
-        ss = when(ss <= s2 * 1e-14, 0.0, ss)
-        std = when(self._constant(x, w), 0.0, (ss / (n - 1.0)).map("sqrt", "sqrt({})"))
-        return self._centre(x) + s1 / n, when(n > 1.0, std, MISSING)
+        return self.kernel("before_mean", x, w + 1), self.kernel("before_std", x, w + 1)
 
     def spread(self, x: Series, w: int) -> Series:
         """Sample deviation of up to w rows, current one included, holes skipped."""
-        if w <= self.spread_limit:
-            return self._over("stddev_samp", (x,), w)
-        return self._partial(x, w)[1]
+        return self._over("stddev_samp", (x,), w) if w <= self.frame_limit else self.kernel("spread", x, w)
 
     @once
     def sum(self, x: Series, w: int) -> Series:
-        if w <= self.frame_limit:
-            return self._full(x, w, self._over("sum", (x,), w))
-        return self._full(x, w, self._centre(x) * float(w) + self._span(self._moved(x), w))
+        return self._full(x, w, self._over("sum", (x,), w)) if w <= self.frame_limit else self.kernel("sum", x, w)
 
     @once
     def mean(self, x: Series, w: int) -> Series:
-        if w <= self.frame_limit:
-            return self._full(x, w, self._over("avg", (x,), w))
-        return self._full(x, w, self._centre(x) + self._span(self._moved(x), w) / float(w))
+        return self._full(x, w, self._over("avg", (x,), w)) if w <= self.frame_limit else self.kernel("mean", x, w)
 
     @once
     def std(self, x: Series, w: int) -> Series:
-        if w <= self.frame_limit:
-            return self._full(x, w, self._over("stddev_samp", (x,), w))
-        m = self._moved(x)
-        s1, s2 = self._span(m, w), self._span(m * m, w)
-        ss = (s2 - s1 * s1 / float(w)).map("pos", "greatest({}, 0.0D)")
-        std = (ss / float(w - 1)).map("sqrt", "sqrt({})")
-        return self._full(x, w, when(self._constant(x, w), 0.0, std))
+        return self._full(x, w, self._over("stddev_samp", (x,), w)) if w <= self.frame_limit else self.kernel("std", x, w)
 
     @once
     def _pair(self, x: Series, y: Series) -> tuple[Series, Series]:
@@ -296,34 +250,20 @@ class Rolling:
         py = Series(f"({y.key}|{x.key})", f"CASE WHEN {x.sql} IS NOT NULL THEN {y.sql} END", x.deps | y.deps, max(x.lookback, y.lookback))
         return px, py
 
-    def _cross(self, x: Series, y: Series, w: int):
-        px, py = self._pair(x, y)
-        mx, my = self._moved(px), self._moved(py)
-        sx, sy = self._span(mx, w), self._span(my, w)
-        return px, py, mx, my, sx, sy, self._span(mx * my, w) - sx * sy / float(w)
-
     @once
     def corr(self, x: Series, y: Series, w: int) -> Series:
-        if w <= self.frame_limit:
-            # not F.corr, which divides by zero on a constant window
-            px, py = self._pair(x, y)
-            spread = self._over("stddev_samp", (px,), w) * self._over("stddev_samp", (py,), w)
-            return self._full(px, w, self._over("covar_samp", (x, y), w) / spread)
-        px, py, mx, my, sx, sy, cross = self._cross(x, y, w)
-        vx = self._span(mx * mx, w) - sx * sx / float(w)
-        vy = self._span(my * my, w) - sy * sy / float(w)
-        scale = (vx * vy).map("sqrtpos", "sqrt(greatest({}, 0.0D))")
-        r = (cross / scale).map("unit", "CASE WHEN {0} IS NOT NULL THEN least(greatest({0}, -1.0D), 1.0D) END")
-        flat = self._constant(px, w) | self._constant(py, w)
-        return self._full(px, w, when(flat, MISSING, r))
+        if w > self.frame_limit:
+            return self.kernel("corr", x, w, other=y)
+        # not F.corr, which divides by zero on a constant window
+        px, py = self._pair(x, y)
+        spread = self._over("stddev_samp", (px,), w) * self._over("stddev_samp", (py,), w)
+        return self._full(px, w, self._over("covar_samp", (x, y), w) / spread)
 
     @once
     def cov(self, x: Series, y: Series, w: int) -> Series:
-        px, _ = self._pair(x, y)
-        if w <= self.frame_limit:
-            return self._full(px, w, self._over("covar_samp", (x, y), w))
-        *_, cross = self._cross(x, y, w)
-        return self._full(px, w, cross / float(w - 1))
+        if w > self.frame_limit:
+            return self.kernel("cov", x, w, other=y)
+        return self._full(self._pair(x, y)[0], w, self._over("covar_samp", (x, y), w))
 
     # -- everything else ------------------------------------------------------------------------
 
@@ -343,17 +283,10 @@ class Rolling:
     @once
     def skew(self, x: Series, w: int) -> Series:
         """Bias-adjusted skewness; 0 when the spread is numerically nil, as the reference has it."""
+        if w > self.frame_limit:
+            return self.kernel("skew", x, w)
         adjust = (w * (w - 1.0)) ** 0.5 / (w - 2.0)
-        if w <= self.frame_limit:
-            spread = self._over("var_pop", (x,), w)
-            skew = self._over("skewness", (x,), w)
-        else:
-            m = self._moved(x)
-            s1, s2, s3 = self._span(m, w), self._span(m * m, w), self._span(m * m * m, w)
-            mean = s1 / float(w)
-            spread = when(self._constant(x, w), 0.0, s2 / float(w) - mean * mean)
-            third = s3 / float(w) - mean * s2 * 3.0 / float(w) + mean * mean * mean * 2.0
-            skew = third / spread.map("pow1.5", "pow(greatest({}, 0.0D), 1.5D)")
+        spread, skew = self._over("var_pop", (x,), w), self._over("skewness", (x,), w)
         return self._full(x, w, when(spread <= 1e-14, 0.0, skew * adjust))
 
     def product(self, x: Series, w: int) -> Series:
@@ -390,10 +323,11 @@ class Rolling:
         out = values.map(f"arg{fn}", f"double(array_position({{0}}, array_{fn}({{0}})))")
         return self._full(x, w, out)
 
-    def kernel(self, kind: str, x: Series, w: int, *params) -> Series:
-        key = f"{kind}[{x.key};{w};{params}]"
-        back = x.lookback + w - 1
-        return self._hidden(key, None, x.deps, back, lambda name: kernels.Kernel(kind, name, x, w, params))
+    def kernel(self, kind: str, x: Series, w: int, *params, other: Series | None = None) -> Series:
+        key = f"{kind}[{x.key};{w};{params}]" if other is None else f"{kind}[{x.key},{other.key};{w}]"
+        deps = x.deps if other is None else x.deps | other.deps
+        back = max(x.lookback, other.lookback if other else 0) + w - 1
+        return self._hidden(key, None, deps, back, lambda name: kernels.Kernel(kind, name, x, w - 1 if kind.startswith("before") else w, params, other))
 
     # -- execution ------------------------------------------------------------------------------
 
@@ -422,15 +356,15 @@ class Rolling:
         keep = tuple(df.columns) if keep is None else keep
         roots = frozenset().union(*[s.deps for s in outputs.values()]) if outputs else frozenset()
         used = self._closure(roots, frozenset())
-        kern = [k for k in self._nodes if k in used and self._nodes[k].kernel]
-        ready = frozenset(kern)
-        if kern:
-            if self._closure(frozenset().union(*[self._nodes[k].deps for k in kern]), frozenset()) & ready:
-                raise ValueError("a kernel cannot read another kernel's output")
-            source = df.columns
-            for_kernels = self._closure(frozenset().union(*[self._nodes[k].deps for k in kern]), frozenset())
-            staged = self._compute(df, for_kernels, frozenset())
-            df = kernels.run(staged, [self._nodes[k].kernel for k in kern], self.keys, self.order, source)
+        pending = {k for k in self._nodes if k in used and self._nodes[k].kernel}
+        ready: frozenset[str] = frozenset()
+        while pending:  # a pass per level of kernels that read kernels
+            below = {k: self._closure(self._nodes[k].deps, ready) for k in pending}
+            now = [k for k in self._nodes if k in pending and not below[k] & pending]
+            staged = self._compute(df, set().union(*[below[k] for k in now]), ready)
+            df = kernels.run(staged, [self._nodes[k].kernel for k in now], self.keys, self.order, df.columns)
+            ready |= set(now)
+            pending -= set(now)
         df = self._compute(df, self._closure(roots, ready), ready)
         return df.selectExpr(*[f"`{c}`" for c in keep], *[f"CAST({x.sql} AS DOUBLE) AS `{n}`" for n, x in outputs.items()])
 

@@ -527,7 +527,7 @@ def with_base(laid: DataFrame, compat_float32: bool = False) -> DataFrame:
 def compute(
     bars: DataFrame,
     config: dict[str, list] | None = None,
-    chunking: Chunking | None = None,
+    chunking: Chunking | None = Chunking(),
     rolling: Rolling | None = None,
     compat_float32: bool = False,
 ) -> DataFrame:

@@ -70,7 +70,7 @@ def norm(df: DataFrame, value: str, out: str = "normed", keys: tuple[str, ...] =
     return t.withColumn(out, div(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))).select(*df.columns, out)
 
 
-def fill_holes(df: DataFrame, value: str, chunking: Chunking | None = None) -> DataFrame:
+def fill_holes(df: DataFrame, value: str, chunking: Chunking | None = Chunking()) -> DataFrame:
     """Holes take the last value before them, at the head the first after, else 0.
 
     A donor may lie any distance away, in another chunk: each chunk's last known value is carried into the
@@ -92,7 +92,7 @@ def fill_holes(df: DataFrame, value: str, chunking: Chunking | None = None) -> D
     return laid.join(carry, ["symbol", CHUNK]).select(*[filled if c == value else F.col(c) for c in df.columns])
 
 
-def decay_linear(df: DataFrame, value: str, period: int = 10, out: str = "decayed", chunking: Chunking | None = None) -> DataFrame:
+def decay_linear(df: DataFrame, value: str, period: int = 10, out: str = "decayed", chunking: Chunking | None = Chunking()) -> DataFrame:
     """Mean with weights 1..period, newest heaviest, holes filled first; rows before ``period - 1`` keep
     the value itself."""
     filled = fill_holes(df, value, chunking)

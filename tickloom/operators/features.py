@@ -10,7 +10,7 @@ from tickloom.functions import kernels
 from tickloom.functions import rolling as R
 from tickloom.functions.layout import CHUNK, HALO, Chunking, chunked, tail_rows, unchunked
 from tickloom.functions.numeric import zero_missing_columns
-from tickloom.functions.rolling import Rolling, Series
+from tickloom.functions.rolling import Rolling
 from tickloom.operators import alphas
 from tickloom.session import materialize
 
@@ -19,7 +19,7 @@ RANK_COLUMNS = ["alpha021_60_new", "alpha021_240_new", "alpha104_60_240_new", "a
 KEYS = ("symbol", "timestamp")
 
 
-def base_columns(bars: DataFrame, chunking: Chunking | None = None, compat_float32: bool = False) -> DataFrame:
+def base_columns(bars: DataFrame, chunking: Chunking | None = Chunking(), compat_float32: bool = False) -> DataFrame:
     """Numeric columns as double, plus ``vwap`` and ``returns`` (first row of a symbol: 0).
 
     ``compat_float32`` rounds inputs and derived columns to single precision, as the reference stores them.
@@ -32,28 +32,6 @@ def base_columns(bars: DataFrame, chunking: Chunking | None = None, compat_float
 # -- z-scores -------------------------------------------------------------------------------------
 
 
-def _vol_adjusted(r: Rolling, x: Series, vol_window: int) -> Series:
-    """The value over the deviation of its own relative changes. A zero base gives 0 when the value is
-    zero too and a hole otherwise; no deviation counts as 1."""
-    before = r.lag(x, 1)
-    change = Series(
-        f"change[{x.key}]",
-        f"CASE WHEN {before.sql} IS NULL OR ({before.sql} = 0 AND {x.sql} = 0) THEN 0.0D ELSE try_divide({x.sql}, {before.sql}) - 1 END",
-        before.deps | x.deps,
-        before.lookback,
-    )
-    vol = r.spread(change, vol_window).map("unit0", "coalesce(nullif({}, 0.0D), 1.0D)")
-    return x / vol
-
-
-def _standardise(r: Rolling, x: Series, window: int) -> Series:
-    mean, std = r.before(x, window)
-    return ((x - mean) / std).fill()
-
-
-WIDE = 16
-
-
 def _z(
     df: DataFrame,
     columns: list[str],
@@ -61,21 +39,12 @@ def _z(
     vol_window: int | None,
     chunking: Chunking | None,
     counts_from: DataFrame | None = None,
-    wide: int = WIDE,
 ) -> DataFrame:
-    """Few columns: running-sum frames. Many: one matrix pass per chunk, for the plan would hold a dozen
-    window expressions per column."""
+    """One matrix pass per chunk, whatever the number of columns."""
     rest = [c for c in df.columns if c not in columns]
     halo = z_window + 1 + (vol_window + 1 if vol_window else 0)
     laid = chunked(df, halo, chunking, counts_from) if chunking else unchunked(df)
-    if len(columns) > wide:
-        out = kernels.standardise_columns(laid, columns, z_window, vol_window, ("symbol", CHUNK), "timestamp", [*rest, HALO])
-    else:
-        r = Rolling()
-        source = {c: r.source(c) for c in columns}
-        if vol_window:
-            source = {c: _vol_adjusted(r, x, vol_window) for c, x in source.items()}
-        out = r.select(laid, {c: _standardise(r, x, z_window) for c, x in source.items()}, keep=(*rest, HALO))
+    out = kernels.standardise_columns(laid, columns, z_window, vol_window, ("symbol", CHUNK), "timestamp", [*rest, HALO])
     return out.filter(~F.col(HALO)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -91,7 +60,7 @@ def rolling_z_score(
     df: DataFrame,
     window: int = 10000,
     exclude: tuple[str, ...] = (),
-    chunking: Chunking | None = None,
+    chunking: Chunking | None = Chunking(),
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Every numeric column against the mean and deviation of the ``window`` rows before it."""
@@ -103,14 +72,14 @@ def rolling_z_score_vol(
     vol_window: int = 60,
     z_window: int = 10000,
     exclude: tuple[str, ...] = (),
-    chunking: Chunking | None = None,
+    chunking: Chunking | None = Chunking(),
     counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """As ``rolling_z_score``, on values divided by the deviation of their own relative changes."""
     return _z(df, _numeric(df, exclude), z_window, vol_window, chunking, counts_from)
 
 
-def z_score_stats(df: DataFrame, window: int, columns: list[str], chunking: Chunking | None = None) -> DataFrame:
+def z_score_stats(df: DataFrame, window: int, columns: list[str], chunking: Chunking | None = Chunking()) -> DataFrame:
     """Mean and deviation that the newest row of each symbol is standardised with, one row per column."""
     r = Rolling()
     outputs = {}

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.layout import Chunking, tail_rows
-from tickloom.functions.rolling import Rolling
-from tickloom.functions.layout import unchunked
+from tickloom.functions.layout import HALO, Chunking, chunked, tail_rows
+from tickloom.functions.rolling import Rolling, lookback
 from tickloom.operators import alphas, columns, features
 from tickloom.plans import views
 from tickloom.sources import bars as src
 from tickloom.workload.base import BARS, TS, delta, lag, pct, query, rank_of_last, rd, rds, seconds, win, win2, zero
 
 HOURS = Chunking(micro_seconds=86_400 * 7)
+SMALL_CHUNKS = Chunking(rows=200, micro_seconds=86_400)  # several chunks a symbol on the sample tables
 NUMBERS = ["open", "high", "low", "close", "volume", "quote_asset_volume", "taker_buy_base_vol", "taker_buy_quote_vol"]
 
 
@@ -154,6 +155,11 @@ def completeness(spark, d):
     return features.completeness(views.bars(spark, d), 24)
 
 
+def _rolled(r, df, out):
+    laid = chunked(df, lookback(out), SMALL_CHUNKS)
+    return r.select(laid, out, keep=("symbol", "timestamp", HALO)).filter(~F.col(HALO)).drop(HALO)
+
+
 _PRIMS = {
     "sum": win("sum", "close", 5), "avg": win("avg", "close", 5), "std": win("stddev_samp", "close", 5),
     "lo": win("min", "low", 5), "hi": win("max", "high", 5), "corr": win2("corr", "close", "volume", 6),
@@ -173,7 +179,7 @@ def rolling_primitives(spark, d):
         "prod": r.product(r.source("returns") / 100.0 + 1.0, 4), "diff": r.delta(c, 3), "prev": r.lag(c, 2),
     }
     base = features.base_columns(views.bars(spark, d))
-    return seconds(r.select(unchunked(base), out, keep=("symbol", "timestamp")))
+    return seconds(_rolled(r, base, out))
 
 
 _WIDE = {
@@ -185,14 +191,45 @@ _WIDE = {
 
 @query(f"with {BARS} select symbol, {TS}, {', '.join(rd(e, n, 5) for n, e in _WIDE.items())} from base", 5)
 def rolling_primitives_wide(spark, d):
-    """The same by running sums and the min/max kernel."""
+    """The same by the Arrow pass."""
     r = Rolling()
     c, v = r.source("close"), r.source("volume")
     out = {
         "sum": r.sum(c, 113), "avg": r.mean(c, 113), "std": r.std(c, 113), "corr": r.corr(c, v, 113),
         "cov": r.cov(c, r.source("returns"), 113), "lo": r.min(r.source("low"), 113), "hi": r.max(r.source("high"), 113),
     }
-    return seconds(r.select(unchunked(features.base_columns(views.bars(spark, d))), out, keep=("symbol", "timestamp")))
+    return seconds(_rolled(r, features.base_columns(views.bars(spark, d)), out))
+
+
+_LOUD = f"""{BARS},
+loud as (select symbol, timestamp, close, case when (epoch(timestamp) // 3600) % 97 = 0 then volume * 1e9::double else volume end as volume from bars),
+quiet as (select *, max(volume) over (partition by symbol order by timestamp rows between 60 preceding and current row) < 1e8 as calm from loud)"""
+_LOUD_ZSCORE = (
+    "(volume - avg(volume) over (partition by symbol order by timestamp rows between 60 preceding and 1 preceding)) / "
+    "nullif(stddev_samp(volume) over (partition by symbol order by timestamp rows between 60 preceding and 1 preceding), 0)"
+)
+
+
+@query(f"""with {_LOUD}, x as (select symbol, timestamp, calm, {win("avg", "volume", 60)} as mean, {win("stddev_samp", "volume", 60)} as std,
+{win2("corr", "close", "volume", 60)} as corr, {win("sum", "volume", 40)} as total, {_LOUD_ZSCORE} as z from quiet)
+select symbol, {TS}, {rds(["mean", "std", "corr", "total"])}, {rd("coalesce(z, 0)", "z_one")}, {rd("coalesce(z, 0)", "z_many")} from x where calm""")
+def windows_after_outliers(spark, d):
+    """W-1..W-4, W-17 where every 97th hour is 1e9 times as large: once out of the window, it must leave no trace,
+    and the number of columns standardised together must not matter."""
+    hour = F.floor(F.unix_timestamp("timestamp") / 3600)
+    loud = views.bars(spark, d).select("symbol", "timestamp", "close", F.when(hour % 97 == 0, F.col("volume") * 1e9).otherwise(F.col("volume")).alias("volume"))
+    r = Rolling()
+    c, v = r.source("close"), r.source("volume")
+    out = {"mean": r.mean(v, 60), "std": r.std(v, 60), "corr": r.corr(c, v, 60), "total": r.sum(v, 40), "_top": r.max(v, 61)}
+    moments = _rolled(r, loud, out)
+    one = features.rolling_z_score(loud.drop("close"), 60, chunking=SMALL_CHUNKS).withColumnRenamed("volume", "z_one")
+    many = features.rolling_z_score(loud.select("*", *[(F.col("close") + i).alias(f"c{i}") for i in range(20)]), 60, chunking=SMALL_CHUNKS)
+    found = moments.join(one, ["symbol", "timestamp"]).join(many.select("symbol", "timestamp", F.col("volume").alias("z_many")), ["symbol", "timestamp"])
+    nth = F.row_number().over(Window.partitionBy("symbol").orderBy("timestamp"))
+    early = F.max("volume").over(Window.partitionBy("symbol").orderBy("timestamp").rowsBetween(-60, 0))
+    first = loud.select("symbol", "timestamp", nth.alias("_nth"), early.alias("_early")).filter("_nth <= 60")
+    found = found.join(first, ["symbol", "timestamp"], "left").filter(F.coalesce("_top", "_early") < 1e8)
+    return seconds(found.drop("_top", "_nth", "_early"))
 
 
 _L10 = "list(close) over (partition by symbol order by timestamp rows between 9 preceding and current row)"
@@ -209,14 +246,14 @@ def ts_rank_small(spark, d):
     r = Rolling()
     c = r.source("close")
     out = {"rank": r.rank(c, 10), "argmax": r.arg("max", c, 10), "argmin": r.arg("min", c, 10)}
-    return seconds(r.select(unchunked(views.bars(spark, d)), out, keep=("symbol", "timestamp")))
+    return seconds(_rolled(r, views.bars(spark, d), out))
 
 
 @query(f"with {BARS} select symbol, {TS}, {rd(rank_of_last('volume', 90), 'rank')} from base")
 def ts_rank_wide(spark, d):
     """W-6 by kernel."""
     r = Rolling()
-    return seconds(r.select(unchunked(views.bars(spark, d)), {"rank": r.rank(r.source("volume"), 90)}, keep=("symbol", "timestamp")))
+    return seconds(_rolled(r, views.bars(spark, d), {"rank": r.rank(r.source("volume"), 90)}))
 
 
 @query(f"""with {BARS} select symbol, {TS},
