@@ -76,10 +76,12 @@ def test_upsert_days(spark, tmp_path):
         data = [("AAA", "1m", pd.Timestamp(START + 60000 * m, unit="ms").to_pydatetime(), v, version) for m, v in values]
         return spark.createDataFrame(data, "symbol string, interval string, timestamp timestamp, close double, ingest_ts int")
 
-    src.write_days(rows([(0, 1.0), (1, 1.0), (1500, 1.0)], 1), path)
+    src.upsert_days(spark, path, rows([(0, 1.0), (1, 1.0), (1500, 1.0)], 1))
     src.upsert_days(spark, path, rows([(1, 2.0), (2, 2.0)], 2))
     got = sorted((F_ms(r.timestamp), r.close) for r in spark.read.parquet(path).collect())
     assert got == [(0, 1.0), (1, 2.0), (2, 2.0), (1500, 1.0)]
+    plan = src.stored_days(spark, path, [pd.Timestamp(START, unit="ms").date()])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "(dt" in plan
 
 
 def test_reversed_range_is_empty(spark):
@@ -142,19 +144,22 @@ def test_steps_configuration(spark):
         "default": "a", "methods": {"process_1": "b"},
         "jobs": {"a": {"steps": [{"type": "previous_window_stats", "window": 10}]}, "b": {"steps": [{"type": "time_range", "start": "2021-01-01", "end": "2021-01-01 00:09"}]}},
     }
-    assert steps.choose(config, "b", None) == "b" and steps.choose(config, None, "process_1") == "b"
-    assert steps.choose(config, "a", "process_1") == "a" and steps.choose(config) == "a"
+    plan = steps.parse(config, steps.REGISTRY)
+    assert steps.choose(plan, "b", None) == "b" and steps.choose(plan, None, "process_1") == "b"
+    assert steps.choose(plan, "a", "process_1") == "a" and steps.choose(plan) == "a"
     assert steps.run(df, config, steps.REGISTRY, method="process_1").count() == 20
     for bad, place in [
-        ({**config, "default": "z"}, "default"),
-        ({**config, "methods": {"m": "z"}}, "methods.m"),
-        ({**config, "jobs": {"a": {"steps": []}, "b": config["jobs"]["b"]}}, r"jobs.a.steps"),
-        ({**config, "jobs": {"a": {"steps": [{"type": "nope"}]}, "b": config["jobs"]["b"]}}, r"steps\[0\].type unknown"),
+        ([], r"\$: want dict"),
+        ({**config, "default": "z"}, r"\$.default: 'z'"),
+        ({**config, "methods": {"m": "z"}}, r"\$.methods.m: 'z'"),
+        ({**config, "jobs": {"a": {"steps": []}, "b": config["jobs"]["b"]}}, r"jobs.a.steps: empty"),
+        ({**config, "jobs": {"a": {"steps": [{"type": "nope"}]}, "b": config["jobs"]["b"]}}, r"jobs.a.steps.0: no step"),
+        ({**config, "jobs": {"a": {"steps": [{"type": "time_range", "begin": 1}]}, "b": 3}}, r"steps.0: .*jobs.b: want dict"),
     ]:
         with pytest.raises(steps.ConfigError, match=place):
-            steps.check(bad, steps.REGISTRY)
+            steps.parse(bad, steps.REGISTRY)
     with pytest.raises(steps.ConfigError):
-        steps.choose(config, "gone")
+        steps.choose(plan, "gone")
     with pytest.raises(steps.ConfigError):
         steps.run(df.drop("close"), config, steps.REGISTRY)
 

@@ -2,14 +2,16 @@
 
     {"default": "a", "methods": {"m": "b"}, "jobs": {"a": {"steps": [{"type": "..."}]}, "b": {...}}}
 
-The whole configuration is checked before any step runs; an error names the place.
+The whole configuration is parsed, settings included, before any step runs; an error lists every fault.
 """
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -32,45 +34,75 @@ def load(path: str) -> dict[str, Any]:
             raise ConfigError(f"{path} is not JSON: {e}") from e
 
 
-def check(config: Any, registry: Mapping[str, Step]) -> None:
-    if not isinstance(config, dict):
-        raise ConfigError("the configuration must be an object")
-    jobs = config.get("jobs")
-    if not isinstance(jobs, dict) or not jobs:
-        raise ConfigError("jobs must be a non-empty object")
-    if config.get("default") not in jobs:
-        raise ConfigError("default names no job")
-    methods = config.get("methods", {})
-    if not isinstance(methods, dict):
-        raise ConfigError("methods must be an object")
-    for method, job in methods.items():
-        if job not in jobs:
-            raise ConfigError(f"methods.{method} names no job: {job}")
-    for name, job in jobs.items():
-        steps = job.get("steps") if isinstance(job, dict) else None
-        if not isinstance(steps, list) or not steps:
-            raise ConfigError(f"jobs.{name}.steps must be a non-empty array")
-        for i, step in enumerate(steps):
-            place = f"jobs.{name}.steps[{i}]"
-            kind = step.get("type") if isinstance(step, dict) else None
-            if not isinstance(kind, str) or not kind:
-                raise ConfigError(f"{place}.type must be a non-empty string")
-            if kind not in registry:
-                raise ConfigError(f"{place}.type unknown: {kind}")
-
-
-def choose(config: Mapping[str, Any], job: str | None = None, method: str | None = None) -> str:
+@dataclass(frozen=True)
+class Stage:
+    """One step of a job: the function that runs it and its settings."""
+
+    fn: Step
+    settings: dict[str, Any]
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A configuration in which every name leads somewhere and every step can be called."""
+
+    jobs: dict[str, tuple[Stage, ...]]
+    methods: dict[str, str]
+    default: str
+
+
+def _settings_fault(fn: Step, settings: dict[str, Any]) -> str | None:
+    """Why a step cannot be called with these settings, from its own signature."""
+    try:
+        inspect.signature(fn).bind(None, **settings)
+    except TypeError as e:
+        return str(e)
+    return None
+
+
+def parse(config: Any, registry: Mapping[str, Step]) -> Plan:
+    """The plan a configuration describes. All faults are gathered, each with its path, and raised together."""
+    faults: list[str] = []
+
+    def section(value: Any, path: str, kind: type, default: Any) -> Any:
+        if isinstance(value, kind):
+            return value
+        faults.append(f"{path}: want {kind.__name__}, got {type(value).__name__}")
+        return default
+
+    top = section(config, "$", dict, {})
+    jobs: dict[str, tuple[Stage, ...]] = {}
+    for name, body in section(top.get("jobs"), "$.jobs", dict, {}).items():
+        stages = []
+        listed = section(section(body, f"$.jobs.{name}", dict, {}).get("steps"), f"$.jobs.{name}.steps", list, [])
+        for at, item in enumerate(listed):
+            path = f"$.jobs.{name}.steps.{at}"
+            settings = dict(section(item, path, dict, {}))
+            fn = registry.get(str(settings.pop("type", "")))
+            fault = f"no step of this type among {sorted(registry)}" if fn is None else _settings_fault(fn, settings)
+            if fault:
+                faults.append(f"{path}: {fault}")
+            else:
+                stages.append(Stage(fn, settings))
+        if not listed:
+            faults.append(f"$.jobs.{name}.steps: empty job")
+        jobs[name] = tuple(stages)
+    methods = section(top.get("methods", {}), "$.methods", dict, {})
+    wanted = {"$.default": top.get("default"), **{f"$.methods.{m}": j for m, j in methods.items()}}
+    faults += [f"{path}: {job!r} is not a job" for path, job in wanted.items() if not isinstance(job, str) or job not in jobs]
+    if faults:
+        raise ConfigError("; ".join(faults))
+    return Plan(jobs, methods, top["default"])
+
+
+def choose(plan: Plan, job: str | None = None, method: str | None = None) -> str:
     """An explicit job wins over a method, a method over the default."""
-    job, method = (job or "").strip(), (method or "").strip()
-    if job:
-        if job not in config["jobs"]:
-            raise ConfigError(f"unknown job: {job}")
-        return job
-    if method:
-        if method not in config.get("methods", {}):
-            raise ConfigError(f"unknown method: {method}")
-        return config["methods"][method]
-    return config["default"]
+    for asked, known in ((job, {j: j for j in plan.jobs}), (method, plan.methods)):
+        if name := (asked or "").strip():
+            if name not in known:
+                raise ConfigError(f"{name!r} is none of {sorted(known)}")
+            return known[name]
+    return plan.default
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
@@ -81,11 +113,10 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def run(df: DataFrame, config: Mapping[str, Any], registry: Mapping[str, Step], job: str | None = None, method: str | None = None) -> DataFrame:
-    check(config, registry)
-    for step in config["jobs"][choose(config, job, method)]["steps"]:
-        params = {k: v for k, v in step.items() if k != "type"}
-        df = df.transform(registry[step["type"]], **params)
+def run(df: DataFrame, config: Any, registry: Mapping[str, Step], job: str | None = None, method: str | None = None) -> DataFrame:
+    plan = parse(config, registry)
+    for stage in plan.jobs[choose(plan, job, method)]:
+        df = df.transform(stage.fn, **stage.settings)
     return df
 
 

@@ -76,11 +76,26 @@ def write_days(df: DataFrame, path: str, ts: str = "timestamp", keys: tuple[str,
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def stored_days(spark: SparkSession, path: str, days: list) -> DataFrame:
+    """The rows of these days; the days are literals, so only their partitions are listed and read."""
+    return spark.read.parquet(path).filter(F.col("dt").isin(days))
+
+
 def upsert_days(spark: SparkSession, path: str, incoming: DataFrame, version: str = "ingest_ts") -> None:
-    """Upsert into a day-partitioned table, reading back only the days that ``incoming`` touches."""
-    touched = incoming.select("symbol", "interval", F.to_date("timestamp").alias("dt")).distinct()
-    old = spark.read.parquet(path).join(touched, ["symbol", "interval", "dt"], "left_semi").drop("dt")
-    merged = upsert_latest(old, incoming, ("symbol", "interval", "timestamp"), version)
+    """Upsert into a day-partitioned table. Only the days that ``incoming`` touches are read back, and of them
+    only the touched (symbol, interval) are rewritten; a path without a table starts one."""
+    new = materialize(incoming, "incoming")
+    touched = new.select("symbol", "interval", F.to_date("timestamp").alias("dt")).distinct()
+    days = [r["dt"] for r in touched.select("dt").distinct().collect()]  # one date per day in the batch
+    old = new.limit(0)
+    if days and path_exists(spark, path):
+        old = stored_days(spark, path, days).join(touched, ["symbol", "interval", "dt"], "left_semi").select(*new.columns)
+    merged = upsert_latest(old, new, ("symbol", "interval", "timestamp"), version)
     write_days(materialize(merged, "upsert"), path)
 
 
@@ -147,8 +162,9 @@ def latest_close(bars: DataFrame) -> DataFrame:
 
 
 def with_current_price(predictions: DataFrame, bars: DataFrame) -> DataFrame:
-    """Predictions with the newest close of their symbol; one row per symbol on the right."""
-    return predictions.drop("cur_price").join(latest_close(bars), "symbol")
+    """Predictions with the newest close of their symbol; one row per symbol on the right. A prediction whose
+    symbol has no bar stays, without a price."""
+    return predictions.drop("cur_price").join(latest_close(bars), "symbol", "left")
 
 
 def wanted_symbols(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -156,7 +172,7 @@ def wanted_symbols(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def missing_symbols(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    return wanted.select("symbol").distinct().join(df, "symbol", "left_anti")
+    return wanted.select("symbol").distinct().join(df.select("symbol").distinct(), "symbol", "left_anti")
 
 
 def snapshot(bars: DataFrame, n: int = 100, chunking: Chunking = Chunking()) -> DataFrame:

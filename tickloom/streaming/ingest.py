@@ -1,4 +1,4 @@
-"""Streaming ingest of bars: parse, validate, drop repeats, append by day."""
+"""Streaming ingest of bars: parse, validate, upsert by day."""
 
 from __future__ import annotations
 
@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.sources.bars import parse_klines
+from tickloom.sources.bars import parse_klines, upsert_days
 
 
-def clean_stream(bars: DataFrame, delay: str = "2 hours", keys: tuple[str, ...] = ("symbol", "timestamp")) -> DataFrame:
-    """Valid bars, one per symbol and time. State is kept only as long as repeats may arrive late."""
-    ok = F.coalesce((F.col("symbol") != "") & F.col("timestamp").isNotNull(), F.lit(False))
-    return bars.filter(ok).withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
+def clean_stream(bars: DataFrame) -> DataFrame:
+    """Valid bars. Repeats are left to the upsert, which knows all that is stored, however late they come."""
+    return bars.filter(F.coalesce((F.col("symbol") != "") & F.col("timestamp").isNotNull(), F.lit(False)))
 
 
 def parse_stream(raw: DataFrame, column: str = "klines") -> tuple[DataFrame, DataFrame]:
@@ -21,14 +20,13 @@ def parse_stream(raw: DataFrame, column: str = "klines") -> tuple[DataFrame, Dat
     return parsed.filter(~F.col("_bad")).drop("_bad"), parsed.filter(F.col("_bad"))
 
 
-def append_days(bars: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """Append by symbol-free day partitions; exactly once through the checkpoint."""
-    writer = (
-        bars.withColumn("dt", F.to_date("timestamp"))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("dt")
-    )
+def upsert_stream(bars: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
+    """Upsert every micro-batch into the day-partitioned table: a bar is kept once, the last write wins, and bars of
+    any age get in. Rewriting the touched days with the same batch again gives the same table, so a batch that
+    is repeated after a failure does no harm."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        upsert_days(batch.sparkSession, path, batch.withColumn("ingest_ts", F.lit(number).cast("long")), "ingest_ts")
+
+    writer = bars.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()

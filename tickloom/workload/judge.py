@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.layout import Chunking
 from tickloom.functions.scalars import training_table
 from tickloom.operators import evaluate, scoring
+from tickloom.sources import bars as src
 from tickloom.plans import daily, steps, views
 from tickloom.session import scratch_path
 from tickloom.sources import records as rec
@@ -191,17 +192,33 @@ def _stream(spark, d, name):
 
 @query("""select event_type as symbol, strftime(ts, '%Y-%m-%d') as day, count(distinct ts) as n from events group by 1, 2""")
 def stream_ingest(spark, d):
-    """ST-1: every bar arrives twice and is kept once."""
+    """ST-1: every bar arrives twice; the older half of the bars comes after the newer half was stored."""
     views.table(spark, d, "events")
     e = _stream(spark, d, "events").select(
-        F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp"), "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
+        F.col("event_type").alias("symbol"), F.lit("tick").alias("interval"), F.col("ts").alias("timestamp"), "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
     )
     path = scratch_path(spark, "ingest")
-    ingest.append_days(ingest.clean_stream(e), path, scratch_path(spark, "ingest-state")).awaitTermination()
+    cut = F.lit("2024-01-16").cast("timestamp")
+    for part in (e.filter(F.col("timestamp") >= cut), e.filter(F.col("timestamp") < cut)):
+        ingest.upsert_stream(ingest.clean_stream(part), path, scratch_path(spark, "ingest-state")).awaitTermination()
     back = spark.read.parquet(path)
     return back.groupBy("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""select event_type as symbol, strftime(ts, '%Y-%m-%d') as day, count(distinct ts) as n, round(sum(v) + 1.3e-9::double, 6) + 0.0::double as total
+from (select event_type, ts, max(value) + 1 as v from events group by 1, 2) group by 1, 2""")
+def upsert_store(spark, d):
+    """S-4, stored: a first load, then a second one that repeats every bar with a later version of its value."""
+    e = views.table(spark, d, "events")
+    bars = e.groupBy(F.col("event_type").alias("symbol"), F.col("ts").alias("timestamp")).agg(F.max("value").alias("value"))
+    bars = bars.withColumn("interval", F.lit("tick"))
+    path = scratch_path(spark, "upsert-store")
+    src.upsert_days(spark, path, bars.filter(F.dayofmonth("timestamp") % 2 == 0).withColumn("ingest_ts", F.lit(1)))
+    src.upsert_days(spark, path, bars.withColumns({"value": F.col("value") + 1, "ingest_ts": F.lit(2)}))
+    back = spark.read.parquet(path)
+    return back.groupBy("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query()
 def stream_decisions(spark, d):
     """ST-3: decisions from keyed state, the same as the batch job's."""

@@ -89,7 +89,7 @@ def exit_now(spark, d):
 
 
 @query(f"""with {BARS}, {PREDICTIONS}, p as (select symbol, max_by(close, timestamp) as mark from bars group by 1)
-select id, symbol, {rd("mark", "cur_price")} from predictions join p using (symbol)""")
+select id, symbol, {rd("mark", "cur_price")} from predictions left join p using (symbol)""")
 def price_attached(spark, d):
     """V-11, J-7."""
     out = src.with_current_price(views.predictions(spark, d), views.bars(spark, d))
@@ -100,29 +100,30 @@ def price_attached(spark, d):
 
 
 def _accounts(spark, d):
-    """Accounts with balances from their own orders; one of them holds a short position."""
-    o = views.ledger(spark, d).filter(F.col("assigned_account").isNotNull())
-    return o.groupBy(F.col("assigned_account").alias("account")).agg(
-        (F.count(F.lit(1)) * 10.0).alias("available"), F.lit(0.0).alias("LONG"), F.when(F.col("assigned_account") == "acct_3", 1.0).otherwise(0.0).alias("SHORT")
-    )
+    """Every customer is an account; some hold a position already."""
+    c = views.table(spark, d, "customer")
+    held = lambda k, r: F.when(F.col("c_custkey") % k == r, 1.0).otherwise(0.0)
+    return c.select(F.concat(F.lit("acct_"), F.col("c_custkey").cast("string")).alias("account"), F.col("c_acctbal").cast("double").alias("available"), held(7, 3).alias("LONG"), held(11, 5).alias("SHORT"))
 
 
 def _round(spark, d):
-    """Orders of a routing round: the busy ones are those of acct_0 only, so that others stay free."""
+    """Orders of a routing round: all new and all active ones, assigned to the customers' accounts."""
     o = views.ledger(spark, d)
-    busy = (F.col("assigned_account") == "acct_0") & (F.col("direction") == "LONG")
-    return o.filter((F.col("status") == "NEW") | busy).withColumn("kelly_rate", (F.col("id") % 9) * 0.1)
+    owner = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("acct_"), F.col("o_custkey").cast("string")).alias("_owner"))
+    o = o.join(owner, "id").withColumn("assigned_account", F.when(F.col("assigned_account").isNotNull(), F.col("_owner"))).drop("_owner")
+    return o.filter(F.col("status").isin("NEW", "ASSIGNED", "OPEN")).withColumn("kelly_rate", (F.col("id") % 9) * 0.1)
 
 
 _ROUND = f"""with {LEDGER},
-acc as (select assigned_account as account, count(*) * 10.0::double as available, 0.0::double as l, case when assigned_account = 'acct_3' then 1.0::double else 0.0::double end as s
-  from ledger where assigned_account is not null group by 1),
-rnd as (select * replace ((id % 9) * 0.1::double as kelly_rate) from ledger where status = 'NEW' or (assigned_account = 'acct_0' and direction = 'LONG')),
+acc as (select concat('acct_', cast(c_custkey as varchar)) as account, cast(c_acctbal as double) as available,
+  case when c_custkey % 7 = 3 then 1.0::double else 0.0::double end as l, case when c_custkey % 11 = 5 then 1.0::double else 0.0::double end as s from customer),
+rnd as (select ledger.* replace ((id % 9) * 0.1::double as kelly_rate, case when assigned_account is not null then concat('acct_', cast(o_custkey as varchar)) end as assigned_account)
+  from ledger join orders on o_orderkey = id where status in ('NEW', 'ASSIGNED', 'OPEN')),
 busy as (select distinct assigned_account as account, direction from rnd where status in ('ASSIGNED', 'OPEN') and assigned_account is not null),
 free as (select a.account, a.available, dir.direction from acc a, (values ('LONG'), ('SHORT')) dir(direction)
   where (case when dir.direction = 'LONG' then a.l else a.s end) = 0 and not exists (select 1 from busy b where b.account = a.account and b.direction = dir.direction)),
-asked as (select id, direction, floor(kelly_rate * 3000.0::double * 1000) / 1000 as qty, leverage,
-  floor(kelly_rate * 3000.0::double * 1000) / 1000 * 25.0::double / leverage * 1.05::double as margin from rnd where status = 'NEW')"""
+asked as (select id, direction, floor(kelly_rate * 300.0::double * 1000) / 1000 as qty, leverage,
+  floor(kelly_rate * 300.0::double * 1000) / 1000 * 25.0::double / leverage * 1.05::double as margin from rnd where status = 'NEW')"""
 
 
 @query(f"{_ROUND} select account, direction, {rd('available')} from free")
@@ -136,7 +137,7 @@ arg_min(f.account, (f.available, f.account)) filter (f.available >= a.margin) as
 def route_candidates(spark, d):
     """J-3, J-4 before any order of the round has taken an account."""
     r = _round(spark, d)
-    return settle.candidates(r, settle.eligible_accounts(_accounts(spark, d), r), 3000.0, 25.0)
+    return settle.candidates(r, settle.eligible_accounts(_accounts(spark, d), r), 300.0, 25.0)
 
 
 @query(f"""with recursive {_ROUND[5:]},
@@ -144,18 +145,17 @@ f as (select direction, list(account order by available, account) as accts, list
 walk as (
   select direction, accts, bals, -1::bigint as id, null::varchar as account from f
   union all
-  select w.direction, list_filter(w.accts, lambda x: x <> w.pick), list_filter(w.bals, lambda b, i: i <> w.pos), w.nid, w.pick from (
-    select w.direction, w.accts, w.bals, a.id as nid, list_position(list_transform(w.bals, lambda b: b >= a.margin), true) as pos,
-      w.accts[list_position(list_transform(w.bals, lambda b: b >= a.margin), true)] as pick,
-      row_number() over (partition by w.direction order by a.id) as rn
-    from walk w join asked a on a.direction = w.direction and a.id > w.id and a.qty > 0 and a.margin <= w.bals[len(w.bals)]) w where rn = 1)
+  select w.direction, list_filter(w.accts, lambda x, i: i <> w.pos), list_filter(w.bals, lambda x, i: i <> w.pos), w.nid, w.accts[w.pos] from (
+    select n.*, list_position(list_transform(n.bals, lambda b: b >= n.margin), true) as pos from (
+      select w.direction, any_value(w.accts) as accts, any_value(w.bals) as bals, min(a.id) as nid, arg_min(a.margin, a.id) as margin
+      from walk w join asked a on a.direction = w.direction and a.id > w.id and a.qty > 0 and a.margin <= w.bals[len(w.bals)] group by w.direction) n) w)
 select a.id, a.direction, case when w.account is not null then 'ASSIGNED' else 'FAILED' end as status, w.account as assigned_account,
   {rd("case when w.account is not null then a.qty end", "quantity")},
   case when a.qty <= 0 then 'Calculated order quantity= 0.0 is zero or negative' when w.account is null then 'No elegible account found' end as failed_reason
 from asked a left join walk w on w.id = a.id""")
 def route(spark, d):
     """J-4: the round itself, accounts taken as it goes."""
-    return settle.route(_round(spark, d), _accounts(spark, d), 3000.0, 25.0)
+    return settle.route(_round(spark, d), _accounts(spark, d), 300.0, 25.0)
 
 
 @query(f"with {LEDGER} select id, {rd('floor(quantity * kelly_rate * 7 * 1000) / 1000', 'scaled')} from ledger")
