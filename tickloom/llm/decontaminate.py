@@ -33,7 +33,7 @@ MISS = 1e-11  # chance that the search misses an item that stands in a document
 ITEMS_AT_ONCE = 2_000  # items sent to every task at once, further bounded by
 SHINGLES_AT_ONCE = 400_000
 _SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_FILTER_BITS = 18
+_FILTER_BITS = 16
 
 
 def hashes_for(bound: int, threshold: float) -> int:
@@ -52,18 +52,23 @@ class Items:
         self.ids, self.sets = ids, sets
         sizes = np.array([len(s) for s in sets])
         part = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)  # bound 2 ** part
-        self.first = int(part.min(initial=0)) if len(part) else 0
-        self.minima = []  # by partition: per hash the sorted minima, the items they belong to, a bitmap of their low bits
+        self.first = int(part[sizes > 0].min()) if (sizes > 0).any() else 0
+        self.minima = []  # by partition: per hash the sorted minima and the items they belong to
         for p in range(self.first, int(part.max(initial=0)) + 1):
             mine = np.flatnonzero((part == p) & (sizes > 0))
             rows = []
             for seed in _SEEDS[: hashes_for(2**p, threshold)] if len(mine) else ():
                 values = np.array([(sets[i] * seed).min() for i in mine], dtype=np.uint64)
                 order = np.argsort(values)
-                bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
-                bits[(values & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-                rows.append((values[order], mine[order], bits))
+                rows.append((values[order], mine[order]))
             self.minima.append(rows)
+        self.bits: dict = {}  # built where it is used: bitmaps of the minima's low bits
+
+    def filter(self, p: int, k: int) -> np.ndarray:
+        if (p, k) not in self.bits:
+            bits = self.bits[p, k] = np.zeros(1 << _FILTER_BITS, dtype=bool)
+            bits[(self.minima[p][k][0] & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
+        return self.bits[p, k]
 
     def candidates(self, hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Pairs (document, item) that share a minimum in some window; a row each."""
@@ -74,24 +79,30 @@ class Items:
         first = np.concatenate(([0], np.cumsum(blocks)))
         position = np.arange(len(owner)) - np.concatenate(([0], np.cumsum(counts)))[owner]
         block = first[owner] + position // base
-        starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        whose = owner[starts]
+        # The blocks of every partition are the same for all hashes: where they begin in the row before, whose they
+        # are, and whether the next one is of the same document.
+        heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+        of = owner[heads]
+        levels = []
+        for p in range(len(self.minima)):
+            if p:  # pairs of blocks of the partition below, counted from the start of each document
+                edge = np.concatenate(([True], of[1:] != of[:-1]))
+                place = np.arange(len(of)) - np.maximum.accumulate(np.where(edge, np.arange(len(of)), 0))
+                heads = np.flatnonzero(place % 2 == 0)
+                of = of[heads]
+            levels.append((heads, of, np.flatnonzero(of[1:] == of[:-1])))
         low = np.uint64((1 << _FILTER_BITS) - 1)
         for k, seed in enumerate(_SEEDS[: max(map(len, self.minima), default=0)]):
-            minima, of = np.minimum.reduceat(hashes * seed, starts), whose
+            minima = hashes * seed
             for p, rows in enumerate(self.minima):
-                if p:  # pairs of blocks of the partition below, counted from the start of each document
-                    edge = np.concatenate(([True], of[1:] != of[:-1]))
-                    place = np.arange(len(of)) - np.maximum.accumulate(np.where(edge, np.arange(len(of)), 0))
-                    heads = np.flatnonzero(place % 2 == 0)
-                    minima, of = np.minimum.reduceat(minima, heads), of[heads]
+                heads, of, same = levels[p]
+                minima = np.minimum.reduceat(minima, heads)
                 if k >= len(rows):
                     continue
                 window = minima.copy()
-                same = of[1:] == of[:-1]
-                window[:-1] = np.where(same, np.minimum(minima[:-1], minima[1:]), minima[:-1])
-                values, items, bits = rows[k]
-                at = np.flatnonzero(bits[(window & low).astype(np.int64)])
+                window[same] = np.minimum(minima[same], minima[same + 1])
+                values, items = rows[k]
+                at = np.flatnonzero(self.filter(p, k)[(window & low).view(np.int64)])
                 if len(at):
                     a, b = np.searchsorted(values, window[at], "left"), np.searchsorted(values, window[at], "right")
                     for i in np.flatnonzero(b > a):
