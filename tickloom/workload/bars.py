@@ -676,3 +676,65 @@ def feature_vectors_small(spark, d):
 def feature_table_offline(spark, d):
     """A-5: offline form, the last 1440 bars per symbol after the plain z-score."""
     return seconds(features.offline_matrix(views.bars(spark, d), _SMALL, 50000, 1440, HOURS))
+
+
+# -- served widths over minute bars ---------------------------------------------------------------
+
+MINUTE_BARS = BARS.replace("date_trunc('hour'", "date_trunc('minute'")
+MINUTE_CHUNKS = Chunking(rows=700, micro_seconds=86_400)
+
+
+def _served_sql(w: int) -> str:
+    """Every feature that frames can express, at width ``w``."""
+    out = {
+        "alpha006": f"-{zero('c6')}", "alpha009": "case when coalesce(lo5 > 0, false) or coalesce(hi5 < 0, false) then dw else -dw end",
+        "alpha010": "case when coalesce(lo4 > 0, false) or coalesce(hi4 < 0, false) then dw else -dw end", "alpha012": "sign(dvw) * -dw",
+        "alpha013": f"avg7 / 7 * {w} - close", "alpha014": "c14", "alpha021": "case when avg4 + std4 < avgw or vol10 / nullif(volume, 0) < 1 then -1.0::double else 1.0::double end",
+        "alpha023": "case when high10 < high then -coalesce(dhw, 0) else 0.0::double end",
+        "alpha024": "case when case when l33 = 0 then rise < 0 else rise / l33 <= 0.05 end then -(close - min33) else -d33 end",
+        "alpha028": f"{zero('c28')} + (high + low) / 2 - close", "alpha046": "case when bend > 0.25 then -1.0::double when bend < 0 then 1.0::double else -d1 end",
+        "alpha049": "case when bend < -0.1 then 1.0::double else -d1 end", "alpha051": "case when bend < -0.05 then 1.0::double else -d1 end",
+        "alpha053": f"-{delta('inner_', w)}", "alpha102": "up102 / nullif(up102 + down102, 0)", "alpha103": "pw", "alpha105": "pw / nullif(rsw, 0)", "alpha107": "(close - maxw) / nullif(maxw, 0)",
+        "alpha108": "psw", "alpha109": "case when rsw > 1e-6 then raw / rsw else 0 end", "alpha110": "c110", "alpha111": "case when rvw <= 1e-14 then 0 else skw end",
+        "alpha112": "(close - (avgw - 2 * stdw)) / nullif(4 * stdw, 0)", "alpha113": "volume / (volw + 1e-9) * coalesce(p1, 0)", "alpha115": "stdvc", "alpha116": "low / nullif(bodyw, 0) - 1",
+        "alpha117": "((close - hw) - (lw - close)) / (lw - hw + 1e-6)", "alpha118": f"close - {lag('open', w - 1)}", "alpha120": "(volume - volw) / nullif(vsw, 0)", "alpha122": "pw - pvw",
+        "alpha123": "(lw - hw) / nullif(close, 0)", "alpha125": "(lw - close) / nullif(lw - hw, 0) * -100", "alpha126": "100 - 100 / (1 + up126 / (down126 + 1e-6))",
+    }
+    return f"""with {MINUTE_BARS},
+l1 as (select *, {delta("close", w)} as dw, {delta("volume", w)} as dvw, {delta("high", w)} as dhw, {delta("close", 1)} as d1, {delta("close", 33)} as d33,
+  {pct("close", w)} as pw, {pct("volume", w)} as pvw, {pct("close", 1)} as p1, {lag("close", 5 * w)} as l5, {lag("close", 33 * w)} as l33,
+  ({lag("close", 2 * w)} - {lag("close", w)}) / 10 - ({lag("close", w)} - close) / 10 as bend,
+  {win("avg", "close", w)} as avgw, {win("avg", "close", 4 * w)} as avg4, {win("avg", "close", 7 * w)} as avg7, {win("avg", "close", 33 * w)} as avg33,
+  {win("stddev_samp", "close", w)} as stdw, {win("stddev_samp", "close", 4 * w)} as std4, {win("avg", "volume", w)} as volw, {win("avg", "volume", 4 * w)} as vol4,
+  {win("avg", "volume", 10 * w)} as vol10, {win("stddev_samp", "volume", w)} as vsw, {win("stddev_samp", "(volume * close)", w)} as stdvc, {win("avg", "high", 10 * w)} as high10,
+  {win("min", "close", 33 * w)} as min33, {win("max", "close", w)} as maxw, {win("min", "high", w)} as hw, {win("max", "low", w)} as lw, {win("min", "least(open, close)", w)} as bodyw,
+  {win2("corr", "open", "volume", w)} as c6, {win2("corr", "close", "volume", w)} as c110, {win("stddev_samp", "returns", w)} as rsw, {win("avg", "returns", w)} as raw,
+  {win("var_pop", "returns", w)} as rvw, {win("skewness", "returns", w)} as skw, (high + low + close) / 3 as tp,
+  ((close - low) - (high - close)) / (case when close - low = 0 then 0.0001::double else close - low end) as inner_ from base),
+l2 as (select *, {win("min", "dw", 5 * w)} as lo5, {win("max", "dw", 5 * w)} as hi5, {win("min", "dw", 4 * w)} as lo4, {win("max", "dw", 4 * w)} as hi4, {delta("avg33", 33 * w)} as rise,
+  {win2("corr", "vwap", "l5", 230 * w)} as c14, {win2("corr", "vol4", "low", w)} as c28, {win("stddev_samp", "p1", w)} as psw,
+  {win("avg", "greatest(d1, 0 * d1)", w)} as up102, {win("avg", "greatest(-d1, 0 * d1)", w)} as down102,
+  case when tp > {lag("tp")} then tp * volume else 0 end as up, case when tp < {lag("tp")} then tp * volume else 0 end as down from l1),
+l3 as (select *, {win("sum", "up", w)} as up126, {win("sum", "down", w)} as down126 from l2)
+select symbol, {TS}, {_clean({f"{n}_{w}_new": e for n, e in out.items()}, 4)} from l3"""
+
+
+_SERVED = [6, 9, 10, 12, 13, 14, 21, 23, 24, 28, 46, 49, 51, 53, 102, 103, 105, 107, 108, 109, 110, 111, 112, 113, 115, 116, 117, 118, 120, 122, 123, 125, 126]
+
+
+def _served(spark, d, config):
+    out = alphas.compute(views.bars(spark, d, "minute"), config, MINUTE_CHUNKS)
+    names = [c for c, _, _ in alphas.tasks(config)]
+    return seconds(features.zero_missing_columns(out.select("symbol", "timestamp", *[f"`{n}`" for n in names])))
+
+
+@query(_served_sql(60), 4)
+def served_60(spark, d):
+    """The frame features at 60 rows over minute bars, several chunks a symbol."""
+    return _served(spark, d, {f"alpha{n:03d}": [60] for n in _SERVED})
+
+
+@query(_served_sql(240), 4)
+def served_240(spark, d):
+    """The same at 240 rows."""
+    return _served(spark, d, {f"alpha{n:03d}": [240] for n in _SERVED})
