@@ -199,11 +199,12 @@ def recent_valid(decided: DataFrame, cfg: StrategyConfig = StrategyConfig(), buc
     own = F.floor(sec / bucket_seconds)
     reach = F.when(F.col("is_valid"), F.floor((sec + span) / bucket_seconds)).otherwise(own)
     laid = decided.withColumn("_sec", sec).withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence(own, reach)))
-    earlier = Window.partitionBy("symbol", "_bucket").orderBy("_sec").rangeBetween(-span, -1)
-    same = Window.partitionBy("symbol", "_bucket", "_sec").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    # running counts: those before this row less those before its hour; the work per row does not grow with the hour
+    before = Window.partitionBy("symbol", "_bucket").orderBy("_sec", "id").rowsBetween(Window.unboundedPreceding, -1)
+    gone = Window.partitionBy("symbol", "_bucket").orderBy("_sec").rangeBetween(Window.unboundedPreceding, -span - 1)
     for d in ("LONG", "SHORT"):
         hit = (F.col("direction") == d) & F.col("is_valid")
-        laid = laid.withColumn(f"recent_{d.lower()}", F.count_if(hit).over(earlier) + F.count_if(hit).over(same))
+        laid = laid.withColumn(f"recent_{d.lower()}", F.count_if(hit).over(before) - F.count_if(hit).over(gone))
     return laid.filter(F.col("_bucket") == F.col("_own")).drop("_sec", "_own", "_bucket")
 
 
@@ -243,7 +244,7 @@ def dynamic_direction(
     static = finish(quantiled.withColumn("direction", static_direction(cfg, strategy)), cfg, strategy)
     if cut:
         static = materialize(static, "decisions")
-    could = static.filter("is_valid").select("symbol", "direction", "timestamp", "id", "quantile", F.unix_timestamp("timestamp").alias("_sec"))
+    could = static.filter("is_valid").select("symbol", "direction", "timestamp", "id", "quantile", F.unix_timestamp("timestamp").alias("_sec"), F.unix_micros("timestamp").alias("_us"))
     runs = _runs(could, cfg.recent_seconds, chunking)
     ordered = runs.repartition("symbol", "direction", "_run").sortWithinPartitions("symbol", "direction", "_run", "timestamp", "id")
     top, bottom, k, span = cfg.top_threshold, cfg.bottom_threshold, cfg.k, cfg.recent_seconds
@@ -261,10 +262,10 @@ def dynamic_direction(
                 if ok:
                     recent.append(at)
                 kept.append(ok)
-            yield pdf.loc[kept, ["id"]]
+            yield pdf.loc[kept, ["symbol", "_us", "id"]]
 
-    accepted = ordered.mapInPandas(walk, "id bigint").withColumn("_accepted", F.lit(True))
-    out = static.join(accepted, "id", "left")
+    accepted = ordered.mapInPandas(walk, "symbol string, _us bigint, id bigint").withColumn("_accepted", F.lit(True))
+    out = static.withColumn("_us", F.unix_micros("timestamp")).join(accepted, ["symbol", "_us", "id"], "left")
     refused = F.col("is_valid") & F.col("_accepted").isNull()
     # rows that passed the base thresholds but not a later check keep their direction only if the
     # tightened threshold lets them; that needs the count of accepted rows before them

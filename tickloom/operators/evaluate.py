@@ -55,14 +55,21 @@ def _ordered_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
     return count(0, len(b))
 
 
-def regression_auc(df: DataFrame, y: str, score: str, splits: int = 64) -> DataFrame:
+CELLS_PER_RANGE = 20_000
+
+
+def regression_auc(df: DataFrame, y: str, score: str, splits: int | None = None) -> DataFrame:
     """Exact share of unequal-label pairs whose scores are ordered alike, score ties one half.
 
     Pairs in different ranges of both label and score come from a small grid of counts. Pairs that share a
-    label range, or a score range only, are counted inside that range - about rows/splits distinct cells
-    each - by merging; a range that is one repeated value has none. Raise ``splits`` with the data.
+    label range, or a score range only, are counted inside that range - about CELLS_PER_RANGE distinct cells
+    each - by merging; a range that is one repeated value has none. ``splits`` follows from the number of cells
+    unless it is given.
     """
     cells = df.groupBy(F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    if splits is None:
+        cells = materialize(cells, "cells")
+        splits = max(16, -(-cells.count() // CELLS_PER_RANGE))
     laid = materialize(_ranges(_ranges(cells, "y", "yr", splits), "s", "sr", splits), "pairs")
 
     grid = laid.groupBy("yr", "sr").agg(F.sum("n").cast("double").alias("n"))

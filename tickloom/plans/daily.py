@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.layout import Chunking
 from tickloom.operators.features import completeness, previous_window_stats
+from tickloom.session import materialize
 from tickloom.sources import records as rec
 
 
@@ -15,9 +16,10 @@ def aggregate_records(records: DataFrame, window: int = 60, chunking: Chunking =
     return previous_window_stats(rec.parse_ohlcv(records), window, chunking)
 
 
-def report(records: DataFrame, expected: int = 1440, warn_below: float = 0.9) -> DataFrame:
-    """Per symbol and day: rows read, rows usable, completeness, and whether anything could be processed."""
-    usable = completeness(rec.parse_ohlcv(records), expected, warn_below)
+def report(records: DataFrame, expected: int = 1440, warn_below: float = 0.9, parsed: DataFrame | None = None) -> DataFrame:
+    """Per symbol and day: rows read, rows usable, completeness, and whether anything could be processed.
+    ``parsed`` names the usable rows where they are written already."""
+    usable = completeness(rec.parse_ohlcv(records) if parsed is None else parsed, expected, warn_below)
     seen = records.groupBy("symbol", F.to_date("timestamp").alias("dt")).agg(F.count(F.lit(1)).alias("records"))
     return seen.join(usable, ["symbol", "dt"], "left").select(
         "symbol",
@@ -34,5 +36,6 @@ def run_day(spark: SparkSession, store: str, out: str, day: str, window: int = 6
     """One day of the store (``YYYY-MM-DD``) to the aggregated table; returns the report. Running it again
     replaces that day's partitions."""
     records = rec.read_records(spark, store).filter(F.col("dt") == F.to_date(F.lit(day)))
-    rec.write_aggregated(aggregate_records(records, window, chunking), out, window)
-    return report(records)
+    parsed = materialize(rec.parse_ohlcv(records), "parsed")  # payloads are parsed once
+    rec.write_aggregated(previous_window_stats(parsed, window, chunking), out, window)
+    return report(records, parsed=parsed)

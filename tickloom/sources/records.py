@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,7 +174,6 @@ def store_stats(df: DataFrame) -> DataFrame:
     counted = df.groupingSets([["model_name"], ["symbol"], []], "model_name", "symbol").agg(
         F.grouping_id().alias("_id"),
         F.count(F.lit(1)).alias("records"),
-        F.count_distinct("request_id").alias("requests"),
         F.min("timestamp").alias("first_time"),
         F.max("timestamp").alias("last_time"),
     )
@@ -269,3 +270,24 @@ def expired_days(df: DataFrame, today: str, keep_days: int = 90) -> DataFrame:
 
 def keep_recent(df: DataFrame, today: str, keep_days: int = 90) -> DataFrame:
     return df.filter(F.col("dt") >= F.date_sub(F.to_date(F.lit(today)), keep_days))
+
+
+def remove_expired_days(spark: SparkSession, path: str, today: str, keep_days: int = 90) -> DataFrame:
+    """Delete the day partitions of a stored table that are strictly older than ``keep_days``, whatever they are
+    nested in; returns (removed, kept, cutoff), counted in partitions. Only directory names are read."""
+    cutoff = (datetime.date.fromisoformat(today) - datetime.timedelta(days=keep_days)).isoformat()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = kept = 0
+    open_ = [hadoop(path)]
+    while open_:
+        for entry in fs.listStatus(open_.pop()):
+            name = entry.getPath().getName()
+            if name.startswith("dt=") and name[3:] < cutoff:
+                fs.delete(entry.getPath(), True)
+                removed += 1
+            elif name.startswith("dt="):
+                kept += 1
+            elif entry.isDirectory() and not name.startswith("_"):
+                open_.append(entry.getPath())
+    return spark.sql(f"SELECT {removed}L AS removed, {kept}L AS kept, '{cutoff}' AS cutoff")

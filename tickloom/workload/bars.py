@@ -672,10 +672,23 @@ def feature_vectors_small(spark, d):
     return seconds(out.select("symbol", "timestamp", vec))
 
 
-@query()
+def _offline_sql() -> str:
+    prev = "over (partition by symbol order by timestamp rows between 50000 preceding and 1 preceding)"
+    cells = ", ".join(
+        f'round(cast(coalesce(("{c}" - avg("{c}") {prev}) / nullif(stddev_samp("{c}") {prev}, 0), 0) as float)::double + 1.3e-7, 3) + 0.0::double'
+        for c in [*_FVCOLS, "alpha104_5_12_new"]
+    )
+    head = _fv_sql().split("l3 as (")[0].rstrip().rstrip(",")
+    return f"""{head}, z as (select symbol, timestamp, row_number() over (partition by symbol order by timestamp desc) as rn, [{cells}] as features from l2)
+select symbol, {TS}, features from z where rn <= 1440"""
+
+
+@query(_offline_sql(), None)
 def feature_table_offline(spark, d):
     """A-5: offline form, the last 1440 bars per symbol after the plain z-score."""
-    return seconds(features.offline_matrix(views.bars(spark, d), _SMALL, 50000, 1440, HOURS))
+    out = features.offline_matrix(views.bars(spark, d), _SMALL, 50000, 1440, HOURS)
+    vec = F.transform("features", lambda v: F.round(v.cast("double") + 1.3e-7, 3) + F.lit(0.0)).alias("features")
+    return seconds(out.select("symbol", "timestamp", vec))
 
 
 # -- served widths over minute bars ---------------------------------------------------------------

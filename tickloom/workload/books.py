@@ -246,7 +246,7 @@ def _us(df, *columns):
 
 
 @query(f"""{_DATED}, c as (select 'model' as kind, model_name as name, * from dated union all select 'symbol', symbol, * from dated union all select 'total', '', * from dated)
-select kind, name, count(*) as records, count(distinct request_id) as requests, epoch_us(min(timestamp)) as first_time, epoch_us(max(timestamp)) as last_time from c group by 1, 2""")
+select kind, name, count(*) as records, epoch_us(min(timestamp)) as first_time, epoch_us(max(timestamp)) as last_time from c group by 1, 2""")
 def store_stats(spark, d):
     """R-15."""
     out = rec.store_stats(views.records(spark, d))
@@ -359,6 +359,16 @@ def day_retention(spark, d):
     return rec.expired_days(_dated(spark, d), "2024-01-31", 20).withColumn("cutoff", F.col("cutoff").cast("string"))
 
 
+@query(f"""{_DATED} select symbol, strftime(dt, '%Y-%m-%d') as day, count(*) as n from dated where dt >= date '2024-01-11' group by 1, 2""")
+def stored_retention(spark, d):
+    """S-18, S-8: expired day partitions leave the store, the others stay as they are."""
+    path = scratch_path(spark, "retention")
+    _dated(spark, d).write.partitionBy("model_name", "dt").parquet(path)
+    rec.remove_expired_days(spark, path, "2024-01-31", 20)
+    back = spark.read.parquet(path)
+    return back.groupBy("symbol", F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""with {EVALSET}, q as (select doc_id as i from evalset)
 select vec_id, len(embedding) as n from embeddings where vec_id in (select i from q)""")
 def features_by_request(spark, d):

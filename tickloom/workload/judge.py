@@ -81,7 +81,7 @@ p as (select sum(a.n * b.n) filter (a.s < b.s) as good, sum(a.n * b.n) filter (a
 def regauc_exact(spark, d):
     """M-4 over all orders: every unequal-label pair counted, none produced."""
     o = views.table(spark, d, "orders").select((F.col("o_custkey") % 97).alias("y"), F.round(F.col("o_totalprice") / 1000).alias("s"))
-    return evaluate.regression_auc(o, "y", "s", 16)
+    return evaluate.regression_auc(o, "y", "s")
 
 
 @query()
