@@ -90,18 +90,26 @@ def _cells(home: bool, cosine: float):
     return run, "label long, dims int, block int, cell long, node long, own boolean, " + ", ".join(f"{n} float" for n in names)
 
 
-def cosine_of(a, b):
-    """Cosine of two float arrays in doubles; each is scaled by its largest component, so that nothing overflows."""
+def _verify(cosine: float):
+    """The pairs (a, b) whose whole vectors u and v reach the cosine, in doubles; each vector is scaled by its
+    largest component first, so that nothing overflows."""
 
-    def unit(v):
-        top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-        return F.transform(v, lambda x: x.cast("double") / top)
+    def unit(x):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, p: acc + p)
+    def run(batches):
+        for batch in batches:
+            u, v = batch.column("u"), batch.column("v")
+            lengths = np.diff(np.asarray(u.offsets))  # both of a pair are of one length: the join was on it
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for dims in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == dims)
+                x, y = (np.asarray(c.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, dims) for c in (u, v))
+                keep[at] = (unit(x) * unit(y)).sum(axis=1) >= cosine
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    u, v = unit(a), unit(b)
-    return dot(u, v) / F.sqrt(dot(u, u) * dot(v, v))
+    return run
 
 
 def link(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -121,7 +129,7 @@ def link(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str =
     pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a <> b").distinct()
     left = slim.select(F.col("node").alias("a"), F.col("embedding").alias("u"))
     right = slim.select(F.col("node").alias("b"), F.col("embedding").alias("v"))
-    links = materialize(pairs.join(left, "a").join(right, "b").where(cosine_of(F.col("u"), F.col("v")) >= cosine).select("a", "b"), "vector-links")
+    links = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(cosine), "a long, b long"), "vector-links")
 
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
