@@ -51,6 +51,16 @@ def test_features_do_not_depend_on_chunks(bars, rows, seconds):
         np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-7, err_msg=c)
 
 
+def test_arrays_and_frames_agree(bars):
+    config = alphas.DEFAULT_CONFIG | SMALL | {"alpha028": [5], "alpha053": [4], "alpha109": [12], "alpha116": [8], "alpha118": [6], "alpha126": [6], "alpha130": [16]}
+    config = {k: ([v[0]] if k not in SMALL else v) for k, v in config.items()}
+    frames = collect(alphas.compute(bars, config, Chunking(150, 1200)))
+    at_once = collect(alphas.compute(bars, config, Chunking(150, 1200), arrays=True))
+    assert list(frames.columns) == list(at_once.columns)
+    for c in frames.columns[2:]:
+        np.testing.assert_allclose(frames[c].to_numpy(float), at_once[c].to_numpy(float), rtol=1e-7, atol=1e-7, err_msg=c)
+
+
 def test_z_scores_do_not_depend_on_chunks_or_width(bars):
     df = bars.select("symbol", "timestamp", "close", "volume")
     whole = collect(features.rolling_z_score_vol(df, 30, 100, chunking=None))

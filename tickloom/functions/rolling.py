@@ -27,7 +27,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions import kernels
+from tickloom.functions import arrays, kernels
 from tickloom.functions.layout import CHUNK
 
 
@@ -43,6 +43,8 @@ class Series:
         return F.expr(self.sql)
 
     def _binary(self, other, op: str, sql: str | None = None) -> "Series":
+        if isinstance(other, arrays.Values):
+            return arrays.Values.of(self).binary(other, op)
         right = other if isinstance(other, Series) else number(other)
         text = (sql or f"({{}} {op} {{}})").format(self.sql, right.sql)
         return Series(f"({self.key} {op} {right.key})", text, self.deps | right.deps, max(self.lookback, right.lookback))
@@ -110,6 +112,8 @@ MISSING = Series("null", "CAST(NULL AS DOUBLE)")
 
 def when(cond: Series, yes, no) -> Series:
     """``yes`` where the condition is true, ``no`` where it is false or unknown."""
+    if isinstance(cond, arrays.Values):
+        return arrays.when(cond, yes, no)
     yes = yes if isinstance(yes, Series) else number(yes)
     no = no if isinstance(no, Series) else number(no)
     return Series(
@@ -121,10 +125,14 @@ def when(cond: Series, yes, no) -> Series:
 
 
 def least(a: Series, b: Series) -> Series:
+    if isinstance(a, arrays.Values):
+        return a.binary(b, "least")
     return a._binary(b, "least", "least({}, {})")
 
 
 def power(a: Series, b: Series) -> Series:
+    if isinstance(a, arrays.Values):
+        return a.binary(b, "pow")
     return a._binary(b, "pow", "pow({}, {})")
 
 

@@ -14,10 +14,14 @@ import logging
 from collections.abc import Callable
 from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import rolling as R
+from tickloom.functions.arrays import ArrayRolling
 from tickloom.functions.layout import CHUNK, HALO, Chunking, chunked, unchunked
 from tickloom.functions.rolling import Rolling, Series
 
@@ -524,14 +528,40 @@ def with_base(laid: DataFrame, compat_float32: bool = False) -> DataFrame:
     )
 
 
+def _in_arrays(laid: DataFrame, todo: list[tuple[str, str, tuple]], available: list[str], kept: list[str]) -> DataFrame:
+    """All formulas of a group at once; rows sent along as context are dropped here."""
+    inputs = [c for c in (*BASE, *OPTIONAL) if c in available]
+    through = {f"{n}_new" for n in UNBOUNDED} & set(laid.columns)
+    names = [c for c, n, _ in todo if n in REGISTRY]
+    fed = laid.select(*kept, *sorted(through - set(kept)), CHUNK, HALO)
+    keep = [c for c in fed.columns if c != CHUNK]
+    schema = T.StructType([fed.schema[c] for c in keep] + [T.StructField(f"_f{i}", T.DoubleType()) for i in range(len(names))])
+
+    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("timestamp", kind="stable")
+        own = ~pdf[HALO].to_numpy(dtype=bool)
+        if not own.any():
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        r = ArrayRolling({c: pdf[c].to_numpy(dtype="float64", na_value=np.nan) for c in inputs})
+        found = formulas(r, inputs, todo)
+        values = {f"_f{i}": np.broadcast_to(found[c].v, (len(pdf),)).astype("float64")[own] for i, c in enumerate(names)}
+        return pd.concat([pdf.loc[own, keep].reset_index(drop=True), pd.DataFrame(values)], axis=1)
+
+    done = fed.groupBy("symbol", CHUNK).applyInPandas(per_group, schema)
+    return done.select(*keep, *[F.nullif(F.col(f"_f{i}"), F.lit(float("nan"))).alias(c) for i, c in enumerate(names)])
+
+
 def compute(
     bars: DataFrame,
     config: dict[str, list] | None = None,
     chunking: Chunking | None = Chunking(),
     rolling: Rolling | None = None,
     compat_float32: bool = False,
+    arrays: bool = False,
 ) -> DataFrame:
     """``bars`` with ``vwap`` and ``returns`` (derived when absent) plus one column per configured feature.
+    ``arrays`` evaluates the formulas in one Arrow pass over the (symbol, chunk) groups instead of as window
+    expressions: the same numbers, and the better plan for more than a few dozen features.
 
     With ``chunking`` the history of a symbol may be any length. Without it every symbol is one group, for
     series already cut to a bounded tail. An empty configuration adds no feature.
@@ -549,6 +579,9 @@ def compute(
     if any(name in UNBOUNDED for _, name, _ in todo):
         laid = with_unbounded(laid, exact=chunking is not None)
         outputs |= {f"{n}_new": r.source(f"{n}_new") for n in UNBOUNDED}
-    out = r.select(laid, outputs, keep=(*kept, HALO))
+    if arrays:
+        out = _in_arrays(laid, todo, columns, kept)
+    else:
+        out = r.select(laid, outputs, keep=(*kept, HALO))
     order = [column for column, _, _ in todo]
     return out.filter(~F.col(HALO)).select(*[F.col(f"`{c}`") for c in [*kept, *order]])

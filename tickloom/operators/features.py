@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions import kernels
 from tickloom.functions import rolling as R
+from tickloom.functions.arrays import ArrayRolling
 from tickloom.functions.layout import CHUNK, HALO, Chunking, chunked, tail_rows, unchunked
 from tickloom.functions.numeric import zero_missing_columns
 from tickloom.functions.rolling import Rolling
@@ -146,13 +149,39 @@ def feature_vectors(
     tail = tail_rows(bars, history + 1, chunking)
     if width <= 0:
         return tail.select("symbol").distinct().select("symbol", fixed_width([], 0).alias("features"))
-    built = zero_missing_columns(alphas.compute(tail, config, compat_float32=compat_float32))
-    names = _numeric(built, ())
-    scaled = [c for c in names if c not in exclude]
-    last = kernels.standardise_columns(
-        built, scaled, history + 1, vol_window, ("symbol",), "timestamp", [*KEYS, *[c for c in names if c in exclude]], newest_only=True
-    )
-    return last.select("symbol", "timestamp", fixed_width(names, width).alias("features"))
+    todo = alphas.tasks(alphas.DEFAULT_CONFIG if config is None else config)
+    laid = alphas.with_base(unchunked(tail), compat_float32)
+    numbers = _numeric(laid, (CHUNK,))
+    if any(name in alphas.UNBOUNDED for _, name, _ in todo):
+        laid = alphas.with_unbounded(laid, exact=False)
+    names = [*numbers, *[column for column, _, _ in todo]]
+    inputs = [c for c in (*alphas.BASE, *alphas.OPTIONAL) if c in laid.columns]
+    apart = np.array([c in exclude for c in names])
+
+    def newest(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A symbol's rows to its newest vector, in one pass: expressions per column would cost more than the data."""
+        pdf = pdf.sort_values("timestamp", kind="stable")
+        column = lambda c: pdf[c].to_numpy(dtype="float64", na_value=np.nan)
+        built = alphas.formulas(ArrayRolling({c: column(c) for c in inputs}), inputs, todo)
+        matrix = np.empty((len(pdf), len(names)))
+        for k, c in enumerate(names):
+            matrix[:, k] = built[c].v if c in built else column(c)
+        matrix[~np.isfinite(matrix)] = 0.0
+        last = matrix[-1].copy()
+        last[~apart] = kernels.standardised(matrix[:, ~apart], history + 1, vol_window)[-1]
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[-1:], "timestamp": pdf["timestamp"].iloc[-1:], "features": [_fitted(last, width)]})
+
+    fed = laid.select("symbol", "timestamp", *[c for c in laid.columns if c in {*inputs, *names}])
+    schema = T.StructType([fed.schema["symbol"], fed.schema["timestamp"], T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return fed.groupBy("symbol").applyInPandas(newest, schema)
+
+
+def _fitted(values: np.ndarray, width: int) -> np.ndarray:
+    """``fixed_width`` for one row of numbers."""
+    if width < len(values):
+        tame = np.abs(values) < 10.0
+        values = np.concatenate((values[tame], values[~tame]))[:width]
+    return np.concatenate((values, np.zeros(width - len(values))))
 
 
 def feature_table(
@@ -167,7 +196,7 @@ def feature_table(
     """Every bar of every symbol, standardised: training form. ``vol_window`` None is the plain z-score.
     ``cut`` writes the alpha table to the shared folder before the z-scores; worth it for the full set,
     whose two halves are each a wide plan."""
-    built = zero_missing_columns(alphas.compute(bars, config, chunking))
+    built = zero_missing_columns(alphas.compute(bars, config, chunking, arrays=True))
     if cut:
         built = materialize(built, "alphas")
     if vol_window is None:
