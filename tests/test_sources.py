@@ -177,3 +177,13 @@ def test_scoring(spark, tmp_path, model):
         want = 1 / (1 + np.exp(-v)) if name.startswith("t_") else v
         np.testing.assert_allclose(got[name], want, rtol=1e-9)
     assert len(names) == (6 if model == "ple" else 5)
+
+
+def test_clean_up_removes_what_was_written(spark):
+    from tickloom.session import clean_up, materialize
+
+    clean_up(spark)
+    kept = materialize(spark.range(3), "clean-up-test")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert src.path_exists(spark, path)
+    assert clean_up(spark) == 1 and not src.path_exists(spark, path)

@@ -47,9 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; ``clean_up`` removes what was written there."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the intermediates this driver has written, once no frame that reads them is needed any more.
+    Returns how many there were."""
+    count = 0
+    while _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return count
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

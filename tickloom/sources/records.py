@@ -206,6 +206,13 @@ def day_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def day_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of every day of a stored table, from a file listing; no data is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    day = F.to_date(F.regexp_extract("path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1))
+    return files.groupBy(day.alias("dt")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def one_day(df: DataFrame, day: str) -> DataFrame:
     return day_stats(df.filter(F.col("dt") == F.to_date(F.lit(day), "yyyyMMdd")))
 

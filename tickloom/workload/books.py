@@ -369,6 +369,16 @@ def stored_retention(spark, d):
     return back.groupBy("symbol", F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{_DATED} select strftime(dt, '%Y-%m-%d') as day, count(*) as records, true as has_bytes from dated group by 1""")
+def store_day_bytes(spark, d):
+    """R-16, R-17, S-9: records beside the files and bytes of every stored day."""
+    path = scratch_path(spark, "day-bytes")
+    _dated(spark, d).repartition("dt").write.partitionBy("dt").parquet(path)
+    counts = spark.read.parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("records"))
+    out = counts.join(rec.day_bytes(spark, path), "dt", "left")
+    return out.select(F.date_format("dt", "yyyy-MM-dd").alias("day"), "records", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("has_bytes"))
+
+
 @query(f"""with {EVALSET}, q as (select doc_id as i from evalset)
 select vec_id, len(embedding) as n from embeddings where vec_id in (select i from q)""")
 def features_by_request(spark, d):
