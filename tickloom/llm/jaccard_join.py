@@ -5,9 +5,11 @@ segments; which segmentation holds depends on the band of sizes the larger set i
 its own band and, if a partner there is possible, under the next one. If all segments are given weight 1 and
 there are H + 1 of them, a linked pair agrees on one whole segment; a segment of weight 2 counts as agreeing
 with one difference and is found by its one-deletion neighbourhood. The allocation is by cost: for every band
-the cheaper of (a) whole segments with ``spare`` extra ones, so that a set may leave out that many empty
-segments (the only ones that unrelated sets share by chance), and (b) segments of weight 2, from the number of
-index entries and of chance agreements expected. Both are exact.
+the cheaper of (a) whole segments with ``spare`` extra ones, and (b) segments of weight 2, from the number of index
+entries and of chance agreements expected. With ``spare`` extra segments a linked pair agrees on spare + 1 of
+them, so every set may leave out its ``spare`` costliest entries, as long as all sets rank them alike: empty
+segments come first, then entries by how many texts have them. What is left out are segments that unrelated texts
+share, such as those filled by one common passage. Both ways are exact.
 
 What shares an index entry forms a family (connected by one entry per hub, never by pairs). A family's distinct
 sets are fetched once, dealt by size into blocks of bounded size, and every pair of blocks that can hold a link
@@ -25,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import distinct_by_owner, keyed_text, map_slices, mix, shingles_of, small
@@ -90,8 +92,8 @@ class Rule:
         return self.den * shared >= self.num * (a + b - shared)
 
 
-def entries(tokens: np.ndarray, size: int, rule: Rule) -> np.ndarray:
-    """Index entries of one set, under all its views."""
+def entries(tokens: np.ndarray, size: int, rule: Rule) -> list[tuple[int, int, np.ndarray]]:
+    """(view, how many more entries may be left out, index entries) of one set, for each of its views."""
     out = []
     for band in rule.views(size):
         weight, m, spare = rule.plan(band)
@@ -103,16 +105,15 @@ def entries(tokens: np.ndarray, size: int, rule: Rule) -> np.ndarray:
         running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)))
         sums = running[at[1:]] - running[at[:-1]]
         names = mix(np.arange(m, dtype=np.uint64) + salt)
-        filled = at[1:] > at[:-1]
         if weight == 1:
-            empty = np.flatnonzero(~filled)
-            keep = filled.copy()
-            keep[empty[spare:]] = True  # at most ``spare`` empty segments are left out
-            out.append(mix(sums[keep] * np.uint64(3) ^ names[keep]))
+            keep = at[1:] > at[:-1]
+            empty = np.flatnonzero(~keep)
+            keep[empty[spare:]] = True  # empty segments are left out first, in their order
+            out.append((band, max(spare - len(empty), 0), mix(sums[keep] * np.uint64(3) ^ names[keep])))
         else:
-            out.append(mix(sums * np.uint64(3) ^ names))
-            out.append(mix((sums[segment] - value) * np.uint64(3) ^ names[segment]))
-    return np.unique(np.concatenate(out))
+            whole, without = mix(sums * np.uint64(3) ^ names), mix((sums[segment] - value) * np.uint64(3) ^ names[segment])
+            out.append((band, 0, np.unique(np.concatenate((whole, without)))))
+    return out
 
 
 def shingle_sets(df: DataFrame, rule: Rule) -> DataFrame:
@@ -130,7 +131,7 @@ def shingle_sets(df: DataFrame, rule: Rule) -> DataFrame:
 
 
 def index(df: DataFrame, rule: Rule) -> DataFrame:
-    """(entry, th): the index entries of every distinct text of a task."""
+    """(entry, th, view, spare): the index entries of every distinct text of a task."""
     from pyspark.sql.functions import explode
 
     seen: set[int] = set()
@@ -149,15 +150,15 @@ def index(df: DataFrame, rule: Rule) -> DataFrame:
         part = part.take(pa.array(fresh))
         h, _, owner = shingles_of(part.column("text"), rule.k)
         h, at = distinct_by_owner(h, owner, part.num_rows)
-        found, kept = [], []
+        out: dict[str, list] = {"th": [], "view": [], "spare": [], "entries": []}
         for i in range(part.num_rows):
             size = int(at[i + 1] - at[i])
-            if size:
-                found.append(entries(h[at[i] : at[i + 1]], size, rule).view(np.int64))
-                kept.append(names[fresh[i]])
-        return {"th": kept, "entries": found}
+            for view, spare, found in entries(h[at[i] : at[i + 1]], size, rule) if size else ():
+                for name, value in zip(out, (names[fresh[i]], view, spare, found.view(np.int64))):
+                    out[name].append(value)
+        return out
 
-    return map_slices(df, run, "th long, entries array<long>").select(explode("entries").alias("entry"), "th")
+    return map_slices(df, run, "th long, view int, spare int, entries array<long>").select(explode("entries").alias("entry"), "th", "view", "spare")
 
 
 def _forest(shared_mask: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +262,12 @@ def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) ->
     sets = materialize(shingle_sets(docs, rule), "sets")
     # Both uses below read one shuffle: the filter is spelled out so that their plans are the same.
     posted = index(docs.select("id", "text", "th"), rule).where("entry is not null and th is not null").repartition("entry")
-    hubs = posted.groupBy("entry").agg(F.min("th").alias("hub"), F.max("th").alias("other")).where("hub <> other").select("entry", "hub")
-    touching = posted.join(hubs, "entry").where("th <> hub").select(F.col("th").alias("a"), F.col("hub").alias("b"))
+    shared = posted.groupBy("entry").agg(F.count(F.lit(1)).alias("texts"), F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high").select("entry", "texts")
+    costly = Window.partitionBy("th", "view").orderBy(F.col("texts").desc(), "entry")
+    hot = posted.join(shared, "entry").withColumn("nth", F.row_number().over(costly)).where("nth > spare").select("entry", "th")
+    hot = materialize(hot, "entries")
+    hubs = hot.groupBy("entry").agg(F.min("th").alias("hub"), F.max("th").alias("other")).where("hub <> other").select("entry", "hub")
+    touching = hot.join(hubs, "entry").where("th <> hub").select(F.col("th").alias("a"), F.col("hub").alias("b"))
     families = with_roots(components(touching, "families")).select(F.col("node").alias("th"), F.col("component").alias("family"))
 
     # One member for each distinct set of a family: the least (id, text hash), numbered by a written table.

@@ -24,8 +24,10 @@ OUT = "symbol string, id bigint, sec bigint, final_score double, quantile double
 
 
 def with_outcomes(preds: DataFrame, cfg: StrategyConfig, strategy: str) -> DataFrame:
-    """Row-wise part: score, and for each direction whether the later checks would pass."""
-    out = decide.decode(preds, strategy).withColumn("quantile", F.lit(0.0))
+    """Row-wise part: score, and for each direction whether the later checks would pass. Predictions that carry
+    a ``final_score`` are decoded already."""
+    decoded = preds if "final_score" in preds.columns else decide.decode(preds, strategy)
+    out = decoded.withColumn("quantile", F.lit(0.0))
     base = out.columns
     for d in ("LONG", "SHORT"):
         done = decide.finish(out.withColumn("direction", F.lit(d)), cfg, strategy)

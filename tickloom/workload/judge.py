@@ -14,7 +14,7 @@ from tickloom.session import scratch_path
 from tickloom.sources import records as rec
 from tickloom.streaming import decisions, ingest
 from tickloom.workload.base import BARS, EVALSET, RECORDS, TS, query, rd, seconds
-from tickloom.workload.trade import CFG
+from tickloom.workload.trade import _DYNAMIC, CFG, with_even_scores
 
 DAYS = Chunking(micro_seconds=86_400)
 
@@ -219,11 +219,11 @@ def upsert_store(spark, d):
     return back.groupBy("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query()
+@query(f"""{_DYNAMIC} select symbol, id, sec, {rd("final_score", digits=5)}, {rd("quantile", digits=5)}, direction, reason is null as is_valid from done""", 5)
 def stream_decisions(spark, d):
     """ST-3: decisions from keyed state, the same as the batch job's."""
     views.table(spark, d, "events")
-    preds = views.predictions_of(_stream(spark, d, "events"))
+    preds = with_even_scores(views.predictions_of(_stream(spark, d, "events")))
     path = scratch_path(spark, "decisions")
     decisions.start(decisions.decide_stream(preds, CFG), path, scratch_path(spark, "decisions-state")).awaitTermination()
     return spark.read.parquet(path).select("symbol", "id", "sec", "final_score", "quantile", "direction", "is_valid")

@@ -206,7 +206,11 @@ dir as (select *, {{direction}} as direction from q)"""
 
 
 def _decoded(spark, d):
-    p = views.predictions(spark, d)
+    return with_even_scores(views.predictions(spark, d))
+
+
+def with_even_scores(p):
+    """Decoded predictions whose scores both engines round alike."""
     return p.withColumns(
         {
             "y0_trmt": F.col("trmt_return_1h_out") * 10, "y0_ctrl": F.col("ctrl_return_1h_out") * 10,
@@ -282,11 +286,41 @@ def recent_valid(spark, d):
     return decide.recent_valid(v).select("id", "recent_long", "recent_short")
 
 
-@query()
+def _one_way(direction: str, tag: str) -> str:
+    """The stop price every row would get if it went this way."""
+    text = _stop(True).replace("from dir)", f"from dir{tag})")
+    for n in ("t1", "t2", "t3", "t4"):
+        text = text.replace(f"{n} as (", f"{tag}{n} as (").replace(f"from {n})", f"from {tag}{n})")
+    return f"dir{tag} as (select *, '{direction}' as direction from q), {text}"
+
+
+_DYNAMIC = f"""{_STATIC.split("dir as (")[0].replace("with ", "with recursive ", 1).replace("{{", "{").replace("}}", "}")}
+{_one_way("LONG", "a")}, {_one_way("SHORT", "b")},
+rows_ as (select q.*, epoch_us(q.timestamp) // 1000000 as sec, row_number() over (partition by q.symbol order by q.timestamp, q.id) as rn,
+  l.stop_loss_price is not null and q.y0_trmt >= {CFG.min_long_threshold} as ok_long, s.stop_loss_price is not null and q.y0_ctrl >= {CFG.min_short_threshold} as ok_short
+  from q join at4 l on l.id = q.id join bt4 s on s.id = q.id),
+walk as (
+  select symbol, 0::bigint as rn, []::struct(d varchar, s bigint)[] as recent, ''::varchar as direction from (select distinct symbol from rows_)
+  union all
+  select symbol, rn, case when (direction = 'LONG' and ok_long) or (direction = 'SHORT' and ok_short) then list_append(recent, {{'d': direction, 's': sec}}) else recent end, direction from (
+    select *, case when quantile = -999 then '' when quantile >= 1.0::double - (1.0::double - {CFG.top_threshold}::double) / ({CFG.k} * n_long + 1) then 'LONG'
+        when quantile <= {CFG.bottom_threshold}::double / ({CFG.k} * (len(recent) - n_long) + 1) then 'SHORT' else '' end as direction from (
+      select *, len(list_filter(recent, lambda x: x.d = 'LONG')) as n_long from (
+        select r.symbol, r.rn, r.sec, r.quantile, r.ok_long, r.ok_short, list_filter(w.recent, lambda x: x.s >= r.sec - {CFG.recent_seconds}) as recent
+        from walk w join rows_ r on r.symbol = w.symbol and r.rn = w.rn + 1)))),
+dir as (select r.*, w.direction from rows_ r join walk w on w.symbol = r.symbol and w.rn = r.rn),
+{_stop(True)},
+done as (select *, case when final_score is null then '{decide.FAIL_MISSING}' when quantile = -999 then '{decide.FAIL_DATA}' when direction = '' then '{decide.FAIL_RANGE}' when stop_loss_price is null then '{decide.FAIL_STOP}'
+    when direction = 'LONG' and not ok_long then '{decide.FAIL_LONG}' when direction = 'SHORT' and not ok_short then '{decide.FAIL_SHORT}' end as reason from t4)"""
+
+
+@query(f"""{_DYNAMIC}
+select id, symbol, sec as timestamp, {rd("final_score", digits=5)}, {rd("quantile", digits=5)}, direction, case when direction <> '' then {float(CFG.leverage_list[-1])!r}::double end as leverage,
+  {rd("cur_price", digits=5)}, {rd("stop_loss_price", digits=5)}, case when stop_loss_price is not null then 0.1::double end as position_ratio, reason is null as is_valid, coalesce(reason, '') as fail_reason from done""", 5)
 def direction_dynamic(spark, d):
-    """D-5 mode 2: thresholds that follow the symbol's own recent decisions."""
-    out = decide.decide(views.predictions(spark, d), "ple", CFG, DAYS)
-    return decide.score_rows(out)
+    """D-5 mode 2, D-10: thresholds that follow the symbol's own recent decisions, as score rows."""
+    quantiled = decide.score_quantile(_decoded(spark, d), CFG.queue_length, DAYS)
+    return decide.score_rows(decide.dynamic_direction(quantiled, CFG, "ple", DAYS))
 
 
 @query(f"""{_STATIC.format(direction=_PLE_DIR)}, {_stop(True)}
