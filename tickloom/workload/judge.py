@@ -28,16 +28,95 @@ def _vectors(spark, d):
     return e.select(F.col("vec_id").alias("id"), wide.alias("features"))
 
 
-@query()
+# Both networks at sizes small enough to spell out in SQL: six inputs, experts and trunk of four and three units.
+
+
+def _small_sizes(model: str) -> dict[str, tuple[int, int]]:
+    """Layer name to (outputs, inputs)."""
+    if model == "dragonnet":
+        return {"trunk.0": (4, 6), "trunk.1": (3, 4)} | {f"{o}.{i}": n for o in scoring.DRAGON_OUTPUTS for i, n in enumerate([(2, 3), (1, 2)])}
+    out = {}
+    for level, width in ((0, 6), (1, 3)):
+        for g in ("shared", "ctrl", "trmt"):
+            for e in (0, 1):
+                out |= {f"{g}.{level}.{e}.0": (4, width), f"{g}.{level}.{e}.1": (3, 4)}
+            out[f"gate.{g}.{level}"] = (6 if g == "shared" else 4, width)
+    return out | {f"{o}.{i}": n for o in scoring.PLE_OUTPUTS for i, n in enumerate([(2, 3), (1, 2)])}
+
+
+def _formula_weights(model: str) -> dict[str, np.ndarray]:
+    out = {}
+    for c, (name, (rows, columns)) in enumerate(_small_sizes(model).items()):
+        i, j = np.arange(rows)[:, None], np.arange(columns)[None, :]
+        out[f"{name}.weight"], out[f"{name}.bias"] = ((i * 7 + j * 3 + c) % 11 - 5) / 10.0, ((np.arange(rows) + c) % 5 - 2) / 10.0
+    return out
+
+
+def _network_sql(model: str) -> str:
+    """The same forward pass as a chain of common table expressions, a column per layer."""
+    sizes, names = _small_sizes(model), {n: c for c, n in enumerate(_small_sizes(model))}
+    steps: list[tuple[str, str]] = []
+
+    def add(expr: str) -> str:
+        steps.append((f"v{len(steps)}", expr))
+        return steps[-1][0]
+
+    def linear(x: str, name: str) -> str:
+        (rows, columns), c = sizes[name], names[name]
+        cells = [" + ".join([f"{x}[{j + 1}] * {((i * 7 + j * 3 + c) % 11 - 5) / 10.0!r}::double" for j in range(columns)] + [f"{((i + c) % 5 - 2) / 10.0!r}::double"]) for i in range(rows)]
+        return add(f"[{', '.join(cells)}]")
+
+    def dense(x: str, name: str, last: bool) -> str:
+        i = 0
+        while f"{name}.{i}" in sizes:
+            x = linear(add(f"list_transform({x}, lambda v: greatest(v, 0))") if i else x, f"{name}.{i}")
+            i += 1
+        return add(f"list_transform({x}, lambda v: greatest(v, 0))") if last else x
+
+    def mix(x: str, name: str, experts: list[str]) -> str:
+        e = add(f"list_transform({linear(x, name)}, lambda v: exp(v))")
+        return add("[" + ", ".join(f"({' + '.join(f'{e}[{k + 1}] * {w}[{i + 1}]' for k, w in enumerate(experts))}) / list_sum({e})" for i in range(3)) + "]")
+
+    if model == "dragonnet":
+        trunk = dense("x", "trunk", True)
+        heads = {o: dense(trunk, o, False) for o in scoring.DRAGON_OUTPUTS}
+    else:
+        at = {"shared": "x", "ctrl": "x", "trmt": "x"}
+        for level in (0, 1):
+            e = {g: [dense(at[g], f"{g}.{level}.{k}", True) for k in (0, 1)] for g in at}
+            seen = {"ctrl": e["ctrl"] + e["shared"], "trmt": e["trmt"] + e["shared"], "shared": e["shared"] + e["ctrl"] + e["trmt"]}
+            at = {g: mix(at[g], f"gate.{g}.{level}", seen[g]) for g in at}
+        heads = {o: dense(at["trmt" if "trmt" in o else "ctrl"], o, False) for o in scoring.PLE_OUTPUTS}
+    chain = "n as (select vec_id as id, list_transform(embedding[1:6], lambda v: v::double * 4) as x from embeddings)"
+    last = "n"
+    for name, expr in steps:
+        chain += f",\nn_{name} as (select *, {expr} as {name} from {last})"
+        last = f"n_{name}"
+    out = ", ".join(rd(f"1 / (1 + exp(-{v}[1]))" if o in scoring.SIGMOID_OUTPUTS else f"{v}[1]", o) for o, v in heads.items())
+    return f"with {chain}\nselect id, {out} from {last}"
+
+
+def _six(spark, d):
+    e = views.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double") * 4).alias("features"))
+
+
+@query(_network_sql("ple"))
 def score_ple(spark, d):
-    """M-1, M-2: the layered network over vectors padded to the model width."""
-    return scoring.score(_vectors(spark, d), "ple", scoring.seeded_weights("ple"))
+    """M-1, M-2: the layered network."""
+    return scoring.score(_six(spark, d), "ple", _formula_weights("ple"))
 
 
-@query()
+@query(_network_sql("dragonnet"))
 def score_dragonnet(spark, d):
     """M-1, M-2: the shared-trunk network."""
-    return scoring.score(_vectors(spark, d), "dragonnet", scoring.seeded_weights("dragonnet"))
+    return scoring.score(_six(spark, d), "dragonnet", _formula_weights("dragonnet"))
+
+
+@query()
+def score_served_width(spark, d):
+    """M-1 at the served size: 111 inputs, full layers, stand-in weights."""
+    return scoring.score(_vectors(spark, d), "ple", scoring.seeded_weights("ple"))
 
 
 _HIDDEN = ", ".join(
