@@ -109,33 +109,38 @@ def regression_auc(df: DataFrame, y: str, score: str, splits: int | None = None)
     return parts.agg(F.try_divide(part("ordered") + tied / 2, unequal).alias("regauc"), unequal.alias("pairs"))
 
 
-def regression_auc_sampled(df: DataFrame, y: str, score: str, rounds: int = 10000, seed: int = 11) -> DataFrame:
-    """The same from ``rounds`` random pairs: first row uniform, second uniform among rows of another
-    label. A draw that hits an equal label is drawn again until none is left."""
-    rows = df.select(F.col(y).alias("y"), F.col(score).alias("s"), F.pmod(F.xxhash64(*df.columns), F.lit(1024)).alias("_b"))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    first = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_b", first.alias("_first"))  # at most 1024 rows
-    at = F.col("_first") + F.row_number().over(Window.partitionBy("_b").orderBy("y", "s")) - 1
-    indexed = materialize(rows.join(starts, "_b").select(at.alias("_at"), "y", "s"), "indexed")
-    total, labels = indexed.agg(F.count(F.lit(1)), F.min("y") != F.max("y")).first()
-    if not labels:
+def regression_auc_sampled(df: DataFrame, y: str, score: str, rounds: int = 10000, seed: int = 11, draws: DataFrame | None = None) -> DataFrame:
+    """The same from ``rounds`` random pairs: first row uniform, second uniform among the rows of another label.
+
+    Rows are placed by (label, score) through counts of distinct cells, so repeated rows are one cell, however
+    many. The rows of a label are one stretch of places; the second draw counts the places outside that
+    stretch, so it never has to be repeated. ``draws`` (u, v in [0, 1)) replaces the random numbers.
+    """
+    rows = df.select(F.col(y).alias("y"), F.col(score).alias("s")).filter("y is not null and s is not null")
+    cells = materialize(rows.groupBy("y", "s").agg(F.count(F.lit(1)).alias("n")), "cells")
+    labels = positions(cells.groupBy("y").agg(F.sum("n").alias("_ny")), [], "y", ["_ny"])
+    placed = positions(cells, ["y"], "s", ["n"]).join(labels, "y")
+    first = F.col("_ny_before") + F.col("n_before")
+    placed = materialize(placed.select("y", "s", "_ny", F.col("_ny_before").alias("_ystart"), first.alias("_from"), (first + F.col("n") - 1).alias("_to")), "placed")
+    total, kinds = cells.agg(F.sum("n"), F.count_distinct("y")).first()
+    if kinds < 2:
         raise ValueError("all labels are equal: there is no pair to draw")
-    spark, picked, todo, turn = df.sparkSession, None, None, 0
-    left = indexed.select(F.col("_at").alias("_i"), F.col("y").alias("yi"), F.col("s").alias("si"))
-    right = indexed.select(F.col("_at").alias("_j"), F.col("y").alias("yj"), F.col("s").alias("sj"))
-    drawn = spark.range(rounds).select("id", F.floor(F.rand(seed) * total).cast("bigint").alias("_i"))
-    todo = materialize(drawn.join(left, "_i").drop("_i"), "draws")
-    while not todo.isEmpty():
-        turn += 1
-        tried = todo.withColumn("_j", F.floor(F.rand(seed + turn) * total).cast("bigint"))
-        tried = materialize(tried.join(right, "_j"), "draws")
-        good = tried.filter("yi <> yj")
-        picked = good if picked is None else picked.unionByName(good)
-        todo = tried.filter("yi = yj").select("id", "yi", "si")
+    step = max(1, total // 1024)  # cells are found by the stretches of places they reach into
+    bins = placed.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step))))
+
+    def look_up(drawn: DataFrame, place: str, names: dict[str, str]) -> DataFrame:
+        found = drawn.withColumn("_bin", F.floor(F.col(place) / step)).join(bins, "_bin").filter(F.col(place).between(F.col("_from"), F.col("_to")))
+        return found.select(*drawn.columns, *[F.col(c).alias(n) for c, n in names.items()])
+
+    if draws is None:
+        draws = df.sparkSession.range(rounds).select(F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"))
+    one = look_up(materialize(draws.select(F.floor(F.col("u") * total).alias("_i"), "v"), "draws"), "_i", {"y": "yi", "s": "si", "_ny": "_n", "_ystart": "_start"})
+    other = F.floor(F.col("v") * (total - F.col("_n")))
+    two = one.withColumn("_j", F.when(other < F.col("_start"), other).otherwise(other + F.col("_n")))
+    pairs = look_up(two, "_j", {"y": "yj", "s": "sj"})
     dy, ds = F.col("yi") - F.col("yj"), F.col("si") - F.col("sj")
     same = F.when(dy * ds > 0, 1.0).when(ds == 0, 0.5).otherwise(0.0)
-    return picked.agg((F.sum(same) / F.count(F.lit(1))).alias("regauc"), F.count(F.lit(1)).alias("pairs"))
+    return pairs.agg((F.sum(same) / F.count(F.lit(1))).alias("regauc"), F.count(F.lit(1)).alias("pairs"))
 
 
 # -- losses ---------------------------------------------------------------------------------------

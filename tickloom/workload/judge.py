@@ -163,11 +163,22 @@ def regauc_exact(spark, d):
     return evaluate.regression_auc(o, "y", "s")
 
 
-@query()
+_U, _V = "((r * 7919 + 17) % 10007) / 10007.0", "((r * 104729 + 31) % 99991) / 99991.0"
+
+
+@query(f"""with o as (select o_custkey % 97 as y, o_totalprice / 1000 as s from orders),
+p as (select y, s, row_number() over (order by y, s) - 1 as pos, count(*) over () as total, count(*) over (partition by y) as ny from o),
+b as (select *, min(pos) over (partition by y) as ystart from p),
+d as (select {_U}::double as u, {_V}::double as v from range(2000) t(r)),
+i as (select b.*, d.v from d join b on b.pos = cast(floor(d.u * b.total) as bigint)),
+j as (select *, cast(floor(v * (total - ny)) as bigint) as k from i),
+w as (select y, s, case when k < ystart then k else k + ny end as pos2 from j)
+select {rd("avg(case when (w.y - b.y) * (w.s - b.s) > 0 then 1.0 when w.s = b.s then 0.5 else 0.0 end)", "regauc")}, count(*) as pairs from w join b on b.pos = w.pos2""")
 def regauc_sampled(spark, d):
-    """M-4 by random pairs."""
+    """M-4 by drawn pairs, the draws from a formula that SQL can repeat."""
     o = views.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 97).alias("y"), (F.col("o_totalprice") / 1000).alias("s"))
-    return evaluate.regression_auc_sampled(o, "y", "s", 2000)
+    draws = spark.range(2000).withColumnRenamed("id", "r").selectExpr(f"CAST({_U.replace('.0', '.0D')} AS DOUBLE) AS u", f"CAST({_V.replace('.0', '.0D')} AS DOUBLE) AS v")
+    return evaluate.regression_auc_sampled(o, "y", "s", draws=draws)
 
 
 _LOSS = f"""with {EVALSET}, m as (select e.*, l.toxic, (y_pred % 200 - 100) / 20 as x, [(y_pred % 7) / 3, (y_pred % 11) / 4] as z from evalset e join labels l using (doc_id)),
