@@ -302,7 +302,7 @@ def zscore_prev(spark, d):
 
 @query(f"with {BARS} select symbol, {TS}, {rd(_z('close', _P200), 'close')}, {rd(_z('volume', _P200), 'volume')} from base")
 def zscore_prev_wide(spark, d):
-    """W-17 by running sums."""
+    """W-17 by the matrix pass."""
     b = views.bars(spark, d).select("symbol", "timestamp", "close", "volume")
     return seconds(features.rolling_z_score(b, 200, chunking=HOURS))
 
@@ -496,7 +496,7 @@ l2 as (select *, {win("avg", "(case when d1 > 0 then d1 when d1 <= 0 then 0 end)
   {win("avg", "(case when d1 < 0 then -d1 when d1 >= 0 then 0 end)", 60)} as down60 from l1)
 select symbol, {TS}, {_clean(_RISK60, 3)} from l2""", 3)
 def alpha_served_windows(spark, d):
-    """Served width 60: running sums and kernels instead of frames."""
+    """Served width 60: kernels instead of frames."""
     return _alphas(spark, d, {
         "alpha102": [60], "alpha105": [60], "alpha109": [60], "alpha111": [60], "alpha112": [60], "alpha115": [60], "alpha117": [60], "alpha120": [60],
     })
