@@ -104,7 +104,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
+        size = max(n, 1 << 16)
         factors = np.full(size, base, dtype=np.uint64)
         factors[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(factors)
@@ -117,6 +117,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+SPAN_BYTES = 1 << 20
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans (words) of a byte array, worked on in stretches of about a megabyte: the working memory
+    is a few times that, or a few times the longest single word."""
+    out = np.empty(len(begin), dtype=np.uint64)
+    first = 0
+    while first < len(begin):
+        last = max(int(np.searchsorted(end, begin[first] + SPAN_BYTES, side="right")), first + 1)
+        low = begin[first]
+        b, e = begin[first:last] - low, end[first:last] - low
+        m = int(e[-1])
+        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data[low : low + m]] * _powers(_BASE, m), dtype=np.uint64)))
+        out[first:last] = mix((running[e] - running[b]) * _powers(_INV, m + 1)[b] + (e - b).astype(np.uint64))
+        first = last
+    return out
+
+
 def words_of(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the white-space separated words (ASCII letters lower-cased) of every text, and how many each text has."""
     if part.null_count:
@@ -131,11 +150,7 @@ def words_of(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word = ~_WHITE[joined]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    values = _BYTES[_LOWER[joined]]
-    m = len(joined)
-    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, m), dtype=np.uint64)))
-    hashes = (running[end] - running[begin]) * _powers(_INV, m + 1)[begin]
-    hashes = mix(hashes + (end - begin).astype(np.uint64))
+    hashes = span_hashes(_LOWER[joined], begin, end)
     owner = np.searchsorted(starts_of_text, begin, side="right") - 1
     return hashes, np.bincount(owner, minlength=n).astype(np.int64)[:n]
 

@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import distinct_by_owner, keyed_text, map_slices, mix, shingles_of, small
+from tickloom.llm.common import distinct_by_owner, keyed_text, map_slices, mix, shingles_of, slices, small
 from tickloom.llm.graph import components, with_roots
 from tickloom.session import materialize
 
 RATIO = 1.5  # of the largest to the least size in a band
 BLOCK = 384  # sets compared with each other in a task, twice that for two blocks
+BLOCK_SHINGLES = 300_000  # and about so many shingles
 BROADCAST_ROWS = 500_000  # rows of three numbers that may be sent to every task
 SEEN = 200_000  # texts a task remembers, so that copies are indexed once
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -131,7 +132,7 @@ def shingle_sets(df: DataFrame, rule: Rule) -> DataFrame:
 
 
 def index(df: DataFrame, rule: Rule) -> DataFrame:
-    """(entry, th, view, spare): the index entries of every distinct text of a task."""
+    """(entry, th, view): the index entries of every distinct text of a task; view * 2**16 + what it may leave out."""
     from pyspark.sql.functions import explode
 
     seen: set[int] = set()
@@ -150,15 +151,15 @@ def index(df: DataFrame, rule: Rule) -> DataFrame:
         part = part.take(pa.array(fresh))
         h, _, owner = shingles_of(part.column("text"), rule.k)
         h, at = distinct_by_owner(h, owner, part.num_rows)
-        out: dict[str, list] = {"th": [], "view": [], "spare": [], "entries": []}
+        out: dict[str, list] = {"th": [], "view": [], "entries": []}
         for i in range(part.num_rows):
             size = int(at[i + 1] - at[i])
             for view, spare, found in entries(h[at[i] : at[i + 1]], size, rule) if size else ():
-                for name, value in zip(out, (names[fresh[i]], view, spare, found.view(np.int64))):
+                for name, value in zip(out, (names[fresh[i]], view << 16 | spare, found.view(np.int64))):
                     out[name].append(value)
         return out
 
-    return map_slices(df, run, "th long, view int, spare int, entries array<long>").select(explode("entries").alias("entry"), "th", "view", "spare")
+    return map_slices(df, run, "th long, view long, entries array<long>").select(explode("entries").alias("entry"), "th", "view")
 
 
 def _forest(shared_mask: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,10 +206,13 @@ def _compare(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
         nodes = np.asarray(table.column("node"))
-        texts = table.column("text").combine_chunks()
-        h, _, owner = shingles_of(texts, rule.k)
-        h, at = distinct_by_owner(h, owner, len(nodes))
-        sizes = np.diff(at)
+        parts, sizes = [], []
+        for piece in slices(iter(table.select(["text"]).to_batches())):  # shingles of a bounded stretch of text at a time
+            h, _, owner = shingles_of(piece.column(0), rule.k)
+            h, at = distinct_by_owner(h, owner, piece.num_rows)
+            parts.append(h)
+            sizes.append(np.diff(at))
+        h, sizes = np.concatenate(parts), np.concatenate(sizes)
         owner = np.repeat(np.arange(len(nodes)), sizes)
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0)
@@ -260,11 +264,12 @@ def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) ->
     docs = keyed_text(df, key, text).withColumn("th", _hash())
     rule = Rule(k, num, den, docs.count())
     sets = materialize(shingle_sets(docs, rule), "sets")
-    # Both uses below read one shuffle: the filter is spelled out so that their plans are the same.
-    posted = index(docs.select("id", "text", "th"), rule).where("entry is not null and th is not null").repartition("entry")
-    shared = posted.groupBy("entry").agg(F.count(F.lit(1)).alias("texts"), F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high").select("entry", "texts")
+    # Both uses below read one shuffle: the filter is spelled out and all columns are used, so that their plans are the same.
+    posted = index(docs.select("id", "text", "th"), rule).where("entry is not null and th is not null and view is not null").repartition("entry")
+    shared = posted.groupBy("entry").agg(F.count(F.lit(1)).alias("texts"), F.min("th").alias("low"), F.max("th").alias("high"), F.sum("view").alias("views"))
+    shared = shared.where("low <> high and views >= 0").select("entry", "texts")
     costly = Window.partitionBy("th", "view").orderBy(F.col("texts").desc(), "entry")
-    hot = posted.join(shared, "entry").withColumn("nth", F.row_number().over(costly)).where("nth > spare").select("entry", "th")
+    hot = posted.join(shared, "entry").withColumn("nth", F.row_number().over(costly)).where("nth > (view & 65535)").select("entry", "th")
     hot = materialize(hot, "entries")
     hubs = hot.groupBy("entry").agg(F.min("th").alias("hub"), F.max("th").alias("other")).where("hub <> other").select("entry", "hub")
     touching = hot.join(hubs, "entry").where("th <> hub").select(F.col("th").alias("a"), F.col("hub").alias("b"))
@@ -275,7 +280,8 @@ def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) ->
     step = math.log(den / num)
     members = members.select("family", "s1", "s2", "n", "one.i", "one.th", F.floor(F.log("n") / step).cast("int").alias("bin"), F.monotonically_increasing_id().alias("node"))
     members = materialize(members, "members")
-    blocks = members.groupBy("family", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
+    fits = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = members.groupBy("family", "bin").agg(fits.alias("blocks"), F.count(F.lit(1)).alias("sets"))
     alone = blocks.groupBy("family").agg(F.sum("sets").alias("all_sets")).where("all_sets > 1").select("family")
     blocks = blocks.join(alone, "family").drop("sets")
     above = blocks.select("family", (F.col("bin") - 1).alias("bin"), F.col("blocks").alias("above"))

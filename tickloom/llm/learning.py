@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import _BASE, _BYTES, _INV, _LOWER, _powers, mix
+from tickloom.llm.common import _LOWER, mix, span_hashes
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -73,9 +73,7 @@ class ByteWords:
         starts = 1 + np.concatenate(([0], np.cumsum([len(d) + 1 for d in data])))
         owner = np.searchsorted(starts, self.begin, side="right") - 1
         self.counts = np.bincount(owner, minlength=len(data))[: len(data)]
-        m = len(joined)
-        running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[self.bytes] * _powers(_BASE, m), dtype=np.uint64)))
-        h = mix((running[self.end] - running[self.begin]) * _powers(_INV, m + 1)[self.begin] + (self.end - self.begin).astype(np.uint64))
+        h = span_hashes(self.bytes, self.begin, self.end)
         self.hashes, first, self.place = np.unique(h, return_index=True, return_inverse=True)
         self.first_begin, self.first_end = self.begin[first], self.end[first]
 
