@@ -35,8 +35,8 @@ from tickloom.llm.graph import components, with_roots
 from tickloom.session import materialize
 
 RATIO = 1.5  # of the largest to the least size in a band
-BLOCK = 384  # sets compared with each other in a task, twice that for two blocks
-BLOCK_SHINGLES = 300_000  # and about so many shingles
+BLOCK = 1024  # sets compared with each other in a task, twice that for two blocks
+BLOCK_SHINGLES = 1_000_000  # and about so many shingles
 BROADCAST_ROWS = 500_000  # rows of three numbers that may be sent to every task
 SEEN = 200_000  # texts a task remembers, so that copies are indexed once
 _SALT = np.uint64(0xA24BAED4963EE407)
