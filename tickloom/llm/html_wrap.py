@@ -6,7 +6,8 @@ what only one side has becomes optional, a run of equal neighbours becomes repea
 slot. Aligning all pages of a host this way gives its wrapper, a union-free regular expression over tags and
 slots with the text mass of every slot. The wrapper decides once per host which slots are the article: those
 below its article or main element, else below the deepest element that still holds most of the text, without
-menus, headers, footers, asides, forms, adverts, notices, comments and code.
+menus, headers, footers, asides, forms, adverts, notices, comments and code. Such an element is told by its tag or by a
+whole class, id or role token, and is not left out where it encloses the article or holds most of the text.
 
 Alignment runs in three steps so that no host is one task: pages of a host that meet in a slice are folded into
 one stream where they are read, streams of a host are aligned in bounded groups until one is left, and pages
@@ -46,31 +47,59 @@ OUTSIDE_ONLY = {"header"}
 NOT_MAIN_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond disqus cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup share sharing social related recommended widget login search pagination pager toolbar alert masthead".split()
 )
+COMMENT_WORDS = {"comment", "comments", "respond", "disqus"}
+# What a name made of such words may hold besides; "has-sidebar", "no-sidebar" or "related-work" are no such names.
+PLACE_WORDS = set("area bar block bottom box button buttons container form group inner item items left link links list outer panel post posts right row section site slot top unit wrap wrapper x".split())
+HEADED = {"h1", "h2", "h3", "h4", "h5", "h6", "section"}
+
+# Flags of a node.
+OPTIONAL, REPEATED, ASIDE, ARTICLE = 1, 2, 4, 8
+ASIDE_OUTSIDE = 16  # marked by the id of a heading or section, which inside the article is an anchor
+FIRM = 32  # an element that is never the article, whatever its text mass
+COMMENTS = 64
+MAIN = 128  # an article that a page has once
+OPENED = 256  # marked, and still part of the article or around it
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+[^\s\"'>=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|\s*/)*)\s*>|</?[a-zA-Z][^<>]*>", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _DIGITS = re.compile(r"\d+")
-_LETTERS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^-_0-9]+")
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(name of a path step, marked as not the article, marked as the article)."""
-    name, aside, main = tag, tag in NOT_MAIN, tag in ("article", "main")
+def _marks(token: str) -> set[str]:
+    """The words by which a whole class, id or role token marks what is not the article."""
+    if token in NOT_MAIN_WORDS:
+        return {token}
+    parts = set(_PARTS.findall(token))
+    return parts & NOT_MAIN_WORDS if parts <= NOT_MAIN_WORDS | PLACE_WORDS else set()
+
+
+def _step(tag: str, attributes: str) -> tuple[str, int]:
+    """(name of a path step, flags)."""
+    name, flags = tag, (ASIDE if tag in NOT_MAIN else 0) | (FIRM if tag in NOT_MAIN - {"form", "fieldset"} else 0)
+    flags |= ARTICLE if tag in ("article", "main") else 0
+    flags |= MAIN if tag == "main" else 0
     if attributes and not attributes.isspace():
-        for m in _NAMES.finditer(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if kind == "hidden" or kind == "style":
-                aside |= kind == "hidden" or "display:none" in value.replace(" ", "")
-                continue
-            aside |= not NOT_MAIN_WORDS.isdisjoint(_LETTERS.findall(value))
-            main |= kind == "role" and value == "main"
-            if value:
-                name += "." + _DIGITS.sub("0", value.replace("/", "-"))[:60]
-    return name, aside and not main, main
+            if kind == "hidden" or (kind == "style" and "display:none" in value.replace(" ", "")):
+                flags |= ASIDE
+            elif kind in ("class", "id", "role"):
+                marks = set().union(*map(_marks, value.split()))
+                if marks:
+                    flags |= ASIDE_OUTSIDE if kind == "id" and tag in HEADED else ASIDE
+                    flags |= COMMENTS if marks & COMMENT_WORDS else 0
+                if kind == "role" and value == "main":
+                    flags |= ARTICLE | MAIN
+                if value:
+                    name += "." + _DIGITS.sub("0", value.replace("/", "-"))[:60]
+    if flags & ARTICLE or tag in ("html", "body"):
+        flags &= ARTICLE | MAIN
+    return name, flags
 
 
 def events(html: str):
-    """("open", step, aside, main), ("close",), ("text", raw) and ("break",) of a page; closing tags close what they must."""
+    """("open", step, flags), ("close",), ("text", raw) and ("break",) of a page; closing tags close what they must."""
     stack: list[str] = []
     at, n = 0, len(html)
     while at < n:
@@ -116,7 +145,7 @@ def events(html: str):
         yield ("close",)
 
 
-# ---- wrappers: a node is [step, flags, text mass, children]; flags: 1 optional, 2 repeated, 4 not the article, 8 the article ----
+# ---- wrappers: a node is [step, flags, text mass, children] ----
 
 SLOT = "#"
 
@@ -127,7 +156,7 @@ def stream(html: str) -> list:
     stack = [root]
     for e in events(html):
         if e[0] == "open":
-            node = [e[1], (4 if e[2] else 0) | (8 if e[3] else 0), 0, []]
+            node = [e[1], e[2], 0, []]
             stack[-1][3].append(node)
             stack.append(node)
         elif e[0] == "close":
@@ -154,7 +183,7 @@ def _repeat(children: list) -> list:
         if out and out[-1][0] == c[0]:
             out[-1] = _merge(out[-1], c)
             if c[0] != SLOT:
-                out[-1][1] |= 2
+                out[-1][1] |= REPEATED
         else:
             out.append(c)
     return out
@@ -169,7 +198,7 @@ def _folded(node: list) -> list:
             if [c[0] for c in children[at : at + width]] == [c[0] for c in children[at + width : at + 2 * width]]:
                 for k in range(width):
                     children[at + k] = _merge(children[at + k], children[at + width + k])
-                    children[at + k][1] |= 2
+                    children[at + k][1] |= REPEATED
                 del children[at + width : at + 2 * width]
             else:
                 at += 1
@@ -241,59 +270,139 @@ def expression(node: list) -> str:
     if not node[0]:
         return inner
     text = f"<{node[0]}>{inner}</{node[0].split('.')[0]}>"
-    if node[1] & 2:
-        return f"({text}){'*' if node[1] & 1 else '+'}"
-    return f"({text})?" if node[1] & 1 else text
+    if node[1] & REPEATED:
+        return f"({text}){'*' if node[1] & OPTIONAL else '+'}"
+    return f"({text})?" if node[1] & OPTIONAL else text
 
 
 def _mass(node: list, inside: bool = False) -> int:
     """Text below a node, without what is not the article."""
     if _skipped(node[0], node[1], inside):
         return 0
-    inside |= bool(node[1] & 8)
+    inside |= bool(node[1] & ARTICLE)
     return (node[2] if node[0] == SLOT else 0) + sum(_mass(c, inside) for c in node[3])
 
 
+def _whole(node: list) -> int:
+    """All text below a node."""
+    return (node[2] if node[0] == SLOT else 0) + sum(map(_whole, node[3]))
+
+
 def _skipped(step: str, flags: int, inside: bool) -> bool:
-    return bool(flags & 4) or (not inside and step.split(".")[0] in OUTSIDE_ONLY)
+    if flags & OPENED:
+        return False
+    return bool(flags & ASIDE) or (not inside and (bool(flags & ASIDE_OUTSIDE) or step.split(".")[0] in OUTSIDE_ONLY))
 
 
-def article_paths(wrapper: list) -> list[str]:
-    """Paths of the elements whose slots are the article."""
-    named: list[tuple[str, int]] = []
+def _outermost(node: list, inside: bool = False):
+    """(node, whether inside an article) of the skipped elements that no other skipped element holds."""
+    if _skipped(node[0], node[1], inside):
+        yield node, inside
+        return
+    inside |= bool(node[1] & ARTICLE)
+    for c in node[3]:
+        yield from _outermost(c, inside)
 
-    def find(node, path):
-        if _skipped(node[0], node[1], False):
-            return
-        here = f"{path}/{node[0]}" if node[0] else path
-        if node[1] & 8:
-            # a main element around article elements gives way to them
-            inner = len(named)
+
+def _copy(node: list) -> list:
+    return [*node[:3], [_copy(c) for c in node[3]]]
+
+
+def _holds(node: list, flag: int) -> bool:
+    """Whether an element with ``flag`` and some text stands below."""
+    return bool(node[1] & flag and _whole(node)) or any(_holds(c, flag) for c in node[3])
+
+
+def _open(wrapper: list, wanted) -> bool:
+    """Open the outermost skipped elements that ``wanted`` names, and those below them in turn."""
+    some, again = False, True
+    while again:
+        again = False
+        for node, inside in list(_outermost(wrapper)):
+            if wanted(node, inside):
+                node[1] |= OPENED
+                some = again = True
+    return some
+
+
+def article_paths(wrapper: list) -> list[str]:
+    """Paths of the elements whose slots are the article.
+
+    A marked element is skipped unless it is around the article: one that holds the main element, or articles and
+    most of the text, is opened, and so is one that holds an article when there is none outside marked elements and
+    it has half of the text that stands there (else its articles are teasers or comments). Inside the article, and where no element names it, one that holds most of
+    the page's text is opened too. Opened elements inside the article are paths of their own."""
+    most = MOST * _whole(wrapper)
+
+    def heavy(node):
+        return most > 0 and not node[1] & FIRM and _whole(node) >= most
+
+    def around(node, inside):
+        if inside or node[1] & FIRM:
+            return inside and heavy(node) and not node[1] & COMMENTS
+        return _holds(node, MAIN) or (heavy(node) and not node[1] & COMMENTS and _holds(node, ARTICLE))
+
+    def named() -> list[str]:
+        found: list[str] = []
+
+        def find(node, path):
+            if _skipped(node[0], node[1], False):
+                return
+            here = f"{path}/{node[0]}" if node[0] else path
+            if node[1] & ARTICLE:
+                # a main element around article elements gives way to them
+                inner = len(found)
+                for c in node[3]:
+                    find(c, here)
+                if len(found) == inner and _mass(node, True):
+                    found.append(here)
+                    opened(node, here, found)
+                return
             for c in node[3]:
                 find(c, here)
-            if len(named) == inner and _mass(node, True):
-                named.append((here, _mass(node, True)))
-            return
-        for c in node[3]:
-            find(c, here)
 
-    find(wrapper, "")
-    if named:
-        return sorted({p for p, _ in named})
+        find(wrapper, "")
+        return sorted(set(found))
+
+    def opened(node, path, found):
+        """Paths of opened elements below an article."""
+        for c in node[3]:
+            here = f"{path}/{c[0]}"
+            if c[1] & OPENED:
+                found.append(here)
+            if not _skipped(c[0], c[1], True):
+                opened(c, here, found)
+
+    wrapper = _copy(wrapper)
+    _open(wrapper, around)
+    found = named()
+    for share, flags in ((2, FIRM | COMMENTS), (1, 0)):
+        rest = _mass(wrapper)
+        while not found and _open(wrapper, lambda node, inside: not inside and not node[1] & flags and _holds(node, ARTICLE) and share * _whole(node) >= rest):
+            _open(wrapper, around)
+            found = named()
+    if found:
+        return found
+    _open(wrapper, lambda node, inside: heavy(node))
     node, path = wrapper, ""
     total = _mass(wrapper)
     while total:
-        heavy = [c for c in node[3] if c[0] != SLOT and not c[1] & 2 and _mass(c) >= MOST * total]
-        if not heavy:
+        largest = [c for c in node[3] if c[0] != SLOT and not c[1] & REPEATED and _mass(c) >= MOST * total]
+        if not largest:
             break
-        node = heavy[0]
+        node = largest[0]
         path += "/" + node[0]
-    return [path] if total else []
+    if not total:
+        return []
+    found = [path]
+    opened(node, path, found)
+    return found
 
 
 def extract(html: str, paths: list[str]) -> tuple[str, bool]:
     """(main text, whether any of ``paths`` was met): the blocks below the paths, in page order."""
     wanted = set(paths)
+    around = {p[:at] for p in paths for at, c in enumerate(p) if c == "/"}
     blocks: list[str] = []
     now: list[str] = []
     stack: list[tuple[bool, bool]] = []  # (inside the article, skipped)
@@ -316,9 +425,12 @@ def extract(html: str, paths: list[str]) -> tuple[str, bool]:
             flush()
             stack.append((inside, skip))
             path.append(e[1])
-            skip = skip or _skipped(e[1], 4 if e[2] else 0, inside and "" not in wanted)
-            if not inside and not skip and "/" + "/".join(path) in wanted:
-                inside = met = True
+            if not skip:
+                here = "/" + "/".join(path)
+                if here in wanted:
+                    inside = met = True
+                elif here not in around or inside:
+                    skip = _skipped(e[1], e[2], inside and "" not in wanted)
         elif kind == "close":
             flush()
             inside, skip = stack.pop()
