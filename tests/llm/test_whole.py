@@ -2,7 +2,7 @@
 
 import pytest
 
-from tickloom.llm import html_wrap
+from tickloom.llm import html_wrap, licenses
 
 LONG = "words of the article " * 20
 CHROME = "<nav>menu <a>one</a></nav>", "<div class='comments'><p>first!</p></div><footer>foot</footer>"
@@ -47,3 +47,39 @@ def test_marked_pages_of_a_host(spark):
     rows = [(i, "http://a.example/x", page(i)) for i in range(50)]
     got = {r["id"]: r["text"] for r in html_wrap.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"page {i} {LONG}".strip() for i in range(50)}
+
+
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice."""
+ISC = """ * Permission to use, copy, modify, and/or distribute this software for any
+ * purpose with or without fee is hereby granted, provided that the above
+ * copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_licenses(spark, docs):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+    half = " ".join(mit[10:]) + "\n" + " ".join(mit[:10])  # all words, none of the text
+    texts = [MIT, BSD, ISC, "words before\n" * 50 + MIT.replace("\n", "\r\n"), MIT.replace("copy\nof", "copy\n\nof"), half, "one\nword\n" * 500, "\n".join(mit), MIT + "\n\n" + ISC]
+    got = {r["id"]: r for r in licenses.scan(docs(list(enumerate(texts)))).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == ["mit-text", "bsd", "isc", "mit-text", "", "", "", "mit-text", "isc,mit-text"]
+    assert [got[i]["score"] for i in (0, 1, 2, 5)] == [1.0, 1.0, 1.0, 0.0]
+    assert [b["line"] for b in got[8]["blocks"]] == [2, 8]
+
+
+def test_windows_of_long_templates(docs):
+    text = [f"w{i}" for i in range(3000)]
+    long = {"long": " ".join(text)}
+    join = licenses.Join(long, {}, 0.8)
+    words = [w.encode() for w in ["x"] * 777 + text[:1200] + ["y"] * 100 + text[1300:] + ["z"] * 5000]
+    assert abs(join.paragraph(words, set())["long"][0] - 2900 / 3000) < 1e-12
+    assert join.paragraph(words[::-1], set()) == {}

@@ -6,6 +6,12 @@ threshold must hold one of the template's first ``size - needed + 1`` words (pre
 words (length filter), and where the first shared word stands in both orders must leave room for ``needed``
 shared words (positional filter). What passes is counted exactly, so the filters never lose a match.
 
+A notice wrapped over several lines is found by windows of the words of a paragraph (lines up to one without words):
+``SLACK`` times as long as the template, one at every word of it (long templates: at every 32nd part). A window
+matches when the same share of distinct words stands in it and as large a share of the template's words in order, so
+that pieces of different notices do not add up. The paragraph passes the filters above first, and windows are taken
+only for templates that no line of the text reaches.
+
 Templates are a parameter of checked size that travels with the task; word frequencies are counted over all
 texts by an aggregate of one row per template word. Rows: null texts are empty; empty texts have no words, no
 labels, score 0 and null places; null ids and repeated rows are kept; other columns are ignored.
@@ -37,6 +43,7 @@ TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
 }
 THRESHOLD = 0.8
+SLACK = 1.1  # words of a window by words of its template: a notice may have a few words between its own
 MAX_TEMPLATE_BYTES = 8 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -65,13 +72,56 @@ def word_counts(df: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {r["word"].encode(): r["n"] for r in rows}
 
 
+class Wrapped:
+    """A template in its own order, to be found in windows of a paragraph."""
+
+    def __init__(self, words: list[int], threshold: float):
+        self.words, self.distinct = len(words), len(set(words))
+        self.least, self.in_order = needed(self.distinct, threshold), needed(self.words, threshold)
+        self.step = max(1, self.words // 32)
+        self.window = math.ceil(SLACK * self.words) + self.step - 1
+        self.places: dict[int, int] = {}
+        for k, w in enumerate(words):
+            self.places[w] = self.places.get(w, 0) | 1 << k
+
+    def common(self, window: list[int | None]) -> int:
+        """Length of the longest common subsequence with the template, by bits."""
+        every = (1 << self.words) - 1
+        open_ = every
+        for w in window:
+            met = open_ & self.places.get(w, 0)
+            open_ = ((open_ + met) | (open_ - met)) & every
+        return self.words - open_.bit_count()
+
+    def find(self, ranks: list[int | None]) -> tuple[float, int] | None:
+        """(share of distinct words, first word) of the best matching window, the first of equal ones."""
+        best = None
+        held: Counter = Counter()
+        end = 0
+        for start in range(0, len(ranks), self.step):
+            while end < min(start + self.window, len(ranks)):
+                if ranks[end] in self.places:
+                    held[ranks[end]] += 1
+                end += 1
+            if len(held) >= self.least and (best is None or len(held) > best[0]) and self.common(ranks[start:end]) >= self.in_order:
+                best = len(held), start
+                if len(held) == self.distinct:
+                    break
+            for w in ranks[start : start + self.step]:
+                if w in held:
+                    held[w] -= 1
+                    if not held[w]:
+                        del held[w]
+        return best and (best[0] / self.distinct, best[1])
+
+
 class Join:
     """The templates in global order with their prefixes indexed."""
 
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float):
         order = sorted({w for t in templates.values() for w in _WORD.findall(lowered(t))}, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(order)}
-        self.templates, self.prefix = [], {}
+        self.templates, self.prefix, self.wrapped = [], {}, {}
         for label in sorted(templates):
             words = sorted({self.rank[w] for w in _WORD.findall(lowered(templates[label]))})
             if not words:
@@ -80,6 +130,7 @@ class Join:
             for place, word in enumerate(words[: len(words) - least + 1]):
                 self.prefix.setdefault(word, []).append((len(self.templates), place))
             self.templates.append((label, frozenset(words), least))
+            self.wrapped[label] = Wrapped([self.rank[w] for w in _WORD.findall(lowered(templates[label]))], threshold)
         self.starts = [order[k] for k in self.prefix]
 
     def block(self, words: list[bytes]) -> dict[str, float]:
@@ -99,10 +150,17 @@ class Join:
                     found[label] = shared / len(all_words)
         return found
 
+    def paragraph(self, words: list[bytes], reached: set[str]) -> dict[str, tuple[float, int]]:
+        """Label, containment and first word of the best window of every further template."""
+        labels = self.block(words).keys() - reached
+        ranks = [self.rank.get(w) for w in words] if labels else []
+        some = {label: self.wrapped[label].find(ranks) for label in sorted(labels)}
+        return {label: x for label, x in some.items() if x}
+
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks): ``blocks`` lists the line
-    and label of every matching block; score is the largest containment, 1 where a base phrase stands."""
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks): ``blocks`` lists the
+    (first) line and label of every matching block or window; score is the largest containment, 1 where a base phrase stands."""
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     if sum(len(t) for t in templates.values()) > MAX_TEMPLATE_BYTES:
@@ -113,11 +171,20 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[s
     wanted = [(_WORD.findall(lowered(p)), label) for p, label in sorted(phrases.items())]
 
     def look(data: bytes) -> tuple:
-        words, blocks, bounds = [], [], []
+        words, blocks, bounds, paragraphs = [], [], [], [[]]
         for number, line in enumerate(data.split(b"\n")):
             some = _WORD.findall(line)
             words += some
             blocks += [(number, label, c) for label, c in join.block(some).items()]
+            if some:
+                paragraphs[-1].append((number, some))
+            elif paragraphs[-1]:
+                paragraphs.append([])
+        reached = {label for _, label, _ in blocks}
+        for lines in paragraphs:
+            if len(lines) > 1:
+                numbers = [number for number, some in lines for _ in some]
+                blocks += [(numbers[at], label, c) for label, (c, at) in join.paragraph([w for _, some in lines for w in some], reached).items()]
         base = set()
         places: list[int] = []
         for phrase, label in wanted:
