@@ -1,8 +1,12 @@
 """What earlier versions left out of the text operators' job."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tickloom.llm import html_wrap, licenses
+from tickloom.llm import html_wrap, licenses, quality
 
 LONG = "words of the article " * 20
 CHROME = "<nav>menu <a>one</a></nav>", "<div class='comments'><p>first!</p></div><footer>foot</footer>"
@@ -83,3 +87,13 @@ def test_windows_of_long_templates(docs):
     words = [w.encode() for w in ["x"] * 777 + text[:1200] + ["y"] * 100 + text[1300:] + ["z"] * 5000]
     assert abs(join.paragraph(words, set())["long"][0] - 2900 / 3000) < 1e-12
     assert join.paragraph(words[::-1], set()) == {}
+
+
+def test_quality_of_a_text_does_not_depend_on_its_neighbours():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh $#") for _ in range(n)) for n in [0, 1, 89, 90, 91, 95, 96, 97, 191, 192, 193, *(rng.randint(0, 2000) for _ in range(60))]]
+    net = quality.Net(4)
+    alone = [net.run(quality.Chunks(pa.array([t])))[0][0] for t in texts]
+    for order in (list(range(len(texts))), rng.sample(range(len(texts)), len(texts))):
+        among = net.run(quality.Chunks(pa.array([texts[i] for i in order])))[0]
+        assert np.allclose(among, [alone[i] for i in order], atol=1e-5)

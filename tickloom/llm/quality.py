@@ -28,19 +28,24 @@ EPOCHS, BATCH_BYTES, RATE, SEED = 10, 120_000, 0.01, 2
 
 
 class Chunks:
-    """Bytes of a slice of texts, laid out so that each text begins a block."""
+    """Bytes of a slice of texts, a row for each block: its own bytes and the next ones its last places reach into. Each
+    text begins a block; past its last block there is padding, whatever text comes next."""
 
     def __init__(self, texts: pa.Array):
         span = BLOCK * STRIDE
         data = [(t or "").encode("utf-8") for t in texts.to_pylist()]
         self.blocks = np.array([max(1, -(-len(d) // span)) for d in data])
         self.first = np.concatenate(([0], np.cumsum(self.blocks)))
-        flat = np.zeros(int(self.first[-1]) * span + WIDTH, dtype=np.uint8)
+        flat = np.zeros(int(self.first[-1]) * span, dtype=np.uint8)
         for d, b in zip(data, self.first):
             flat[b * span : b * span + len(d)] = np.frombuffer(d, dtype=np.uint8)
-        self.bytes = flat
         self.last = np.zeros(int(self.first[-1]), dtype=bool)
         self.last[self.first[1:] - 1] = True
+        own = flat.reshape(-1, span)
+        self.bytes = np.zeros((len(own), span + WIDTH - STRIDE), dtype=np.uint8)
+        self.bytes[:, :span] = own
+        self.bytes[:-1, span:] = own[1:, : WIDTH - STRIDE]
+        self.bytes[self.last, span:] = 0
 
 
 class Net:
@@ -52,11 +57,11 @@ class Net:
             "out": f(2 * HIDDEN, scale=0.3), "bias": np.zeros(1, np.float32),
         }
 
-    def places(self, flat: np.ndarray, start: int, n: int) -> np.ndarray:
-        """Inputs of ``n`` filter places from place ``start`` on: WIDTH embedded bytes each."""
-        e = self.w["byte"][flat[start * STRIDE : (start + n) * STRIDE + WIDTH]]
-        view = np.lib.stride_tricks.as_strided(e, (n, WIDTH * DIM), (e.strides[0] * STRIDE, e.strides[1]))
-        return view
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Inputs of the filter places of some blocks: WIDTH embedded bytes each."""
+        e = self.w["byte"][rows]
+        view = np.lib.stride_tricks.as_strided(e, (len(rows), BLOCK, WIDTH * DIM), (e.strides[0], e.strides[1] * STRIDE, e.strides[2]))
+        return view.reshape(-1, WIDTH * DIM)
 
     def pooled(self, c: Chunks, keep: bool = False):
         """Largest filter output in each block, and where it is (counted in places)."""
@@ -65,7 +70,7 @@ class Net:
         where = np.empty((total, FILTERS), np.int64) if keep else None
         for b in range(0, total, 256):
             n = min(256, total - b)
-            y = (self.places(c.bytes, b * BLOCK, n * BLOCK) @ w["conv"]).reshape(n, BLOCK, FILTERS)
+            y = (self.places(c.bytes[b : b + n]) @ w["conv"]).reshape(n, BLOCK, FILTERS)
             most[b : b + n] = y.max(axis=1)
             if keep:
                 where[b : b + n] = y.argmax(axis=1) + (np.arange(b, b + n) * BLOCK)[:, None]
@@ -100,7 +105,8 @@ class Net:
         for f in range(FILTERS):
             some = np.flatnonzero(dchunk[:, f])
             d = dchunk[some, f]
-            raw = c.bytes[place[some, f][:, None] * STRIDE + np.arange(WIDTH)]
+            block, inner = np.divmod(place[some, f][:, None], BLOCK)
+            raw = c.bytes[block, inner * STRIDE + np.arange(WIDTH)]
             dconv[:, f] = (w["byte"][raw].reshape(len(some), WIDTH * DIM) * d[:, None]).sum(axis=0)
             per_byte = np.zeros((256, WIDTH), np.float32)
             np.add.at(per_byte, (raw, np.arange(WIDTH)[None]), d[:, None])
