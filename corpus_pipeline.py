@@ -1,6 +1,6 @@
 """Training-text pipeline: each stage works on the documents its predecessor kept.
 
-Language ID drops texts without a language, toxicity drops toxic texts, the n-gram Jaccard join keeps one text of
+Language ID drops texts without a letter, toxicity drops toxic texts, the n-gram Jaccard join keeps one text of
 each near-duplicate class (five words, similarity 0.8), decontamination drops texts that hold a benchmark item,
 and BPE gives token counts and digests of what is left. Learned stages learn from labelled rows only (toxicity:
 those whose checksum rule does not hold them out) and judge every row.

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tickloom.llm import html_wrap, licenses, quality
+from tests.llm.conftest import ODD
+from tickloom.llm import html_wrap, langid, licenses, quality
 
 LONG = "words of the article " * 20
 CHROME = "<nav>menu <a>one</a></nav>", "<div class='comments'><p>first!</p></div><footer>foot</footer>"
@@ -97,3 +98,8 @@ def test_quality_of_a_text_does_not_depend_on_its_neighbours():
     for order in (list(range(len(texts))), rng.sample(range(len(texts)), len(texts))):
         among = net.run(quality.Chunks(pa.array([texts[i] for i in order])))[0]
         assert np.allclose(among, [alone[i] for i in order], atol=1e-5)
+
+
+def test_texts_with_letters_stay_where_no_language_was_learned(docs):
+    kept = langid.known_language(docs(ODD), langid.learn(docs([(1, "text without a label")])))
+    assert kept.columns == docs([]).columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 4, 5, 5, 6, 7, 9]

@@ -157,12 +157,16 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id
 
 
 def known_language(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """The rows whose text has a language, all columns as they are."""
+    """The rows whose text has a letter, all columns as they are: a text with letters always gets the nearest language, however
+    small the cosine, and is kept too where no language was learned."""
     names = list(prototypes)
     matrix = np.stack([prototypes[n] for n in names], axis=1) if names else None
 
     def keep(part: pa.RecordBatch):
-        found, _ = classify(part.column(part.schema.get_field_index(text)).to_pylist(), names, matrix)
+        texts = part.column(part.schema.get_field_index(text)).to_pylist()
+        if matrix is None:
+            return np.array(has_letter(texts), dtype=bool)
+        found, _ = classify(texts, names, matrix)
         return np.array([f != UNKNOWN for f in found], dtype=bool)
 
     return filter_slices(df, keep, text, rows=256)
