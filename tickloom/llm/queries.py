@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, embed_dups, html_wrap, jaccard_join, langid, learning, licenses, quality, shards, toxicity
+from tickloom.llm import bpe, decontaminate, divergence, embed_dups, exact_dedup, html_wrap, jaccard_join, langid, learning, licenses, quality, shards, toxicity
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -182,3 +182,44 @@ def op8_pages(spark, sf_dir):
     """Main text of every page."""
     found = html_wrap.main_text(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_DEDUP_SQL = r"""
+with n as (select doc_id, length(coalesce(text, '')) as n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents),
+g as (select *, row_number() over (partition by body order by n_chars desc, doc_id) as nth, first_value(doc_id) over (partition by body order by n_chars desc, doc_id) as keep_id,
+  count(*) over (partition by body) as group_size from n)
+select doc_id, keep_id, group_size, nth = 1 as kept, sha256(body) as text_sha256 from g"""
+
+
+@query("op12_exact_dedup", _DEDUP_SQL)
+def op12_exact_dedup(spark, sf_dir):
+    """Which document of every group of equal texts stays."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_AUDIT_SQL = rf"""
+with d as (select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+w as (select doc, lang, source, unnest(words) as term from d),
+kept as (select lang, term from w group by 1, 2 having count(distinct doc) >= 10),
+v as (select lang, count(*)::hugeint as v from kept group by 1),
+groups as (select lang, source, coalesce(v, 0)::hugeint as v from (select distinct lang, source from d) left join v using (lang)),
+c as (select lang, source, term, count(*)::hugeint as n from w join kept using (lang, term) group by 1, 2, 3),
+total as (select groups.lang, groups.source, any_value(v) as v, coalesce(sum(n), 0)::hugeint as total from groups left join c using (lang, source) group by 1, 2),
+p as (select total.lang, total.source, term, coalesce(n, 0) as n, (1 + (1000000000::hugeint * (coalesce(n, 0) + 2)) // (total + 2 * v))::hugeint as p
+  from total join kept using (lang) left join c using (lang, source, term)),
+q as (select lang, term, (1 + (1000000000::hugeint * (sum(n) + 2)) // ((select sum(total) from total t where t.lang = p.lang) + 2 * (select any_value(v) from total t where t.lang = p.lang)))::hugeint as q
+  from p group by lang, term),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p join q using (lang, term) where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from every union all select * from terms)
+qualify part = 'pair' or rank <= 10"""
+
+
+@query("op13_divergence", _AUDIT_SQL)
+def op13_divergence(spark, sf_dir):
+    """How far each two sources of a language stand apart, and the words that mark a source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
