@@ -109,7 +109,7 @@ def _shard_sums(counts: pa.Table, totals: pa.Table) -> pa.Table:
     out = {k: [] for k in ("source", "part", "item", "value")}
 
     def add(source, part, item, value):
-        out["source"].append(source), out["part"].append(pa.array([part] * len(value))), out["item"].append(item), out["value"].append(pa.array(value))
+        out["source"].append(source), out["part"].append(pa.array([part] * len(value), pa.string())), out["item"].append(item), out["value"].append(pa.array(value))
 
     blocks = [range(i, min(i + BLOCK, n_sources)) for i in range(0, n_sources, BLOCK)]
     for one in blocks:

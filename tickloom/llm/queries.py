@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontaminate, divergence, embed_dups, exact_dedup, html_wrap, jaccard_join, langid, learning, licenses, quality, shards, toxicity
+from tickloom.llm import bpe, decontaminate, divergence, embed_dups, exact_dedup, html_wrap, jaccard_join, langid, learning, licenses, prefix_trie, quality, shards, toxicity
 from tickloom.llm.common import crc_mod, query, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -223,3 +223,32 @@ qualify part = 'pair' or rank <= 10"""
 def op13_divergence(spark, sf_dir):
     """How far each two sources of a language stand apart, and the words that mark a source."""
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_TRIE_SQL = r"""
+with o as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n,
+  {'r': coalesce(role, ''), 't': coalesce(text, '')} as turn from conversations where conv_id is not null),
+crc as (select c, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, len(c::varchar) + 1), lambda k: ascii(substring(c::varchar, k::int, 1))::ubigint)),
+  lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), list_transform(range(8), lambda z: 0::ubigint)), lambda a, z: case when a % 2 = 1 then xor(a // 2, 3988292384::ubigint) else a // 2 end))) as code
+  from (select distinct conv_id as c from conversations where conv_id is not null)),
+lists as (select c, list(turn order by i) as own from o group by c),
+whole as (select l.c, list_concat(coalesce(b.own, [])[1 : (code % 4)::bigint], l.own[(code % 4)::bigint + 1 :]) as turns
+  from lists l join crc using (c) left join lists b on b.c = l.c - l.c % 20),
+path as (select c, d::bigint as d, turns[1 : d] as prefix, len(turns) = d as ends, len(turns) as total from (select c, turns, unnest(range(0, len(turns) + 1)) as d from whole)),
+node as (select prefix, d, min(c) as m, count(*) as n_convs, case when d = 0 then 0 else len(regexp_extract_all(any_value(prefix[d].t), '[^\x20\x09-\x0D]+')) end as words,
+  sha256(coalesce(string_agg(case when ends then c::varchar end, ',' order by c), '')) as ends_sha256 from path group by prefix, d),
+named as (select path.c, path.d, node.m, n_convs, words, ends_sha256 from path join node on path.prefix = node.prefix and path.d = node.d),
+edges as (select distinct a.m, a.d, b.m as child from named a join named b on a.c = b.c and b.d = a.d + 1),
+kids as (select m, d, count(*) as n_children from edges group by 1, 2),
+parent as (select child as m, d + 1 as d, m as parent from edges),
+below as (select distinct a.m, a.d, b.m as um, b.d as ud, b.n_convs, b.words from named a join named b on a.c = b.c and b.d >= a.d),
+sums as (select b.m, b.d, sum((b.n_convs - 1) * b.words)::bigint as saved_tokens, count(*) filter (kids.m is null) as n_leaves
+  from below b left join kids on kids.m = b.um and kids.d = b.ud group by 1, 2)
+select n.m as conv_id, n.d as depth, parent.parent as parent_conv_id, n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, ends_sha256
+from node n join sums on sums.m = n.m and sums.d = n.d left join kids on kids.m = n.m and kids.d = n.d left join parent on parent.m = n.m and parent.d = n.d"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
