@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickloom.sources.bars import parse_klines, upsert_days
+from tickloom.sources.bars import parse_klines
+from tickloom.sources.commits import commit_bars, stream_writer
 
 
 def clean_stream(bars: DataFrame) -> DataFrame:
@@ -20,13 +21,15 @@ def parse_stream(raw: DataFrame, column: str = "klines") -> tuple[DataFrame, Dat
     return parsed.filter(~F.col("_bad")).drop("_bad"), parsed.filter(F.col("_bad"))
 
 
-def upsert_stream(bars: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
+def upsert_stream(bars: DataFrame, path: str, checkpoint: str, available_now: bool = True, interval: str = "1 minute", order: tuple[str, ...] = ()) -> StreamingQuery:
     """Upsert every micro-batch into the day-partitioned table: a bar is kept once, the last write wins, and bars of
-    any age get in. Rewriting the touched days with the same batch again gives the same table, so a batch that
-    is repeated after a failure does no harm."""
+    any age get in. Versions come from the table's commit log, not from the stream: a stream with a new checkpoint goes
+    on after all that is stored, and a batch that comes again after a failure changes nothing. ``order`` names the
+    columns (a source's offset, an arrival time) that order repeated bars inside a batch."""
 
     def store(batch: DataFrame, number: int) -> None:
-        upsert_days(batch.sparkSession, path, batch.withColumn("ingest_ts", F.lit(number).cast("long")), "ingest_ts")
+        spark = batch.sparkSession
+        commit_bars(spark, path, batch, stream_writer(spark, checkpoint), number, order)
 
     writer = bars.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()

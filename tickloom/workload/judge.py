@@ -9,6 +9,7 @@ from tickloom.functions.layout import Chunking
 from tickloom.functions.scalars import training_table
 from tickloom.operators import evaluate, scoring
 from tickloom.sources import bars as src
+from tickloom.sources import commits
 from tickloom.plans import daily, steps, views
 from tickloom.session import scratch_path
 from tickloom.sources import records as rec
@@ -280,19 +281,29 @@ def _stream(spark, d, name):
     return raw.withColumns(zoneless)
 
 
-@query("""select event_type as symbol, strftime(ts, '%Y-%m-%d') as day, count(distinct ts) as n from events group by 1, 2""")
+_WAVES = [("ts < timestamp '2024-01-16'", 1), ("ts >= timestamp '2024-01-16'", 2), ("event_id % 3 = 0", 10), ("event_id % 5 = 0", 100)]
+
+
+@query(f"""with told as ({" union all ".join(f"select event_type, ts, event_id, {n} as wave, value + {more} + 1 as v from events where {where}" for n, (where, more) in enumerate(_WAVES))}),
+last as (select event_type, ts, max_by(v, (wave, event_id)) as v from told group by 1, 2)
+select event_type as symbol, strftime(ts, '%Y-%m-%d') as day, count(*) as n, {rd("sum(v)", "total", 4)} from last group by 1, 2""", 4)
 def stream_ingest(spark, d):
-    """ST-1: every bar arrives twice; the older half of the bars comes after the newer half was stored."""
-    views.table(spark, d, "events")
-    e = _stream(spark, d, "events").select(
-        F.col("event_type").alias("symbol"), F.lit("tick").alias("interval"), F.col("ts").alias("timestamp"), "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")
-    )
-    path = scratch_path(spark, "ingest")
-    cut = F.lit("2024-01-16").cast("timestamp")
-    for part in (e.filter(F.col("timestamp") >= cut), e.filter(F.col("timestamp") < cut)):
-        ingest.upsert_stream(ingest.clean_stream(part), path, scratch_path(spark, "ingest-state")).awaitTermination()
+    """ST-1: a stream fed three times (the third restates stored bars), then a stream with a new checkpoint that
+    restates bars once more, then its last batch a second time. Every bar arrives twice in a batch."""
+    events = views.table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.lit("tick").alias("interval"), F.col("ts").alias("timestamp"), "value", "event_id")
+    path, inbox = scratch_path(spark, "ingest"), [scratch_path(spark, "inbox") for _ in range(2)]
+    states = [scratch_path(spark, "ingest-state") for _ in range(2)]
+    for n, (where, more) in enumerate(_WAVES):
+        late = int(n == 3)
+        wave = events.withColumnRenamed("timestamp", "ts").where(where).withColumnRenamed("ts", "timestamp").withColumn("value", F.col("value") + more)
+        wave.write.mode("append").parquet(inbox[late])
+        fed = spark.readStream.schema(events.schema).parquet(inbox[late])
+        twice = fed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).withColumn("value", F.col("value") + F.col("copy"))
+        ingest.upsert_stream(ingest.clean_stream(twice), path, states[late], order=("event_id", "copy")).awaitTermination()
+    again = events.withColumn("value", F.lit(-1.0)).withColumn("copy", F.lit(0))
+    commits.commit_bars(spark, path, again, commits.stream_writer(spark, states[1]), 0, ("event_id", "copy"))
     back = spark.read.parquet(path)
-    return back.groupBy("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy("symbol", F.date_format("timestamp", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 @query("""select event_type as symbol, strftime(ts, '%Y-%m-%d') as day, count(distinct ts) as n, round(sum(v) + 1.3e-9::double, 6) + 0.0::double as total
