@@ -1,5 +1,6 @@
 """Decisions, routing, settlement and evaluation against brute force."""
 
+import bisect
 from collections import deque
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import Chunking
-from tickloom.operators import decide, evaluate, ledger, settle
+from tickloom.operators import decide, evaluate, ledger, routing
 from tickloom.streaming import decisions
 
 CFG = decide.StrategyConfig(queue_length=40, top_threshold=0.8, bottom_threshold=0.2, min_long_threshold=3.0, min_short_threshold=3.0, k=2.0)
@@ -102,7 +103,8 @@ def test_zero_step_has_no_stop(spark):
     assert decide.with_stop(df, CFG, "ple").first().stop_loss_price is None
 
 
-def test_routing_equals_walking_the_orders(spark):
+@pytest.mark.parametrize("how", [{}, {"size": 2, "piece": 7}, {"size": 1, "piece": 1}])
+def test_routing_equals_walking_the_orders(spark, how):
     rng = np.random.default_rng(2)
     orders = pd.DataFrame(
         {
@@ -114,7 +116,7 @@ def test_routing_equals_walking_the_orders(spark):
     accounts = [(f"a{i}", float(b), 0.0, 1.0 if i == 4 else 0.0) for i, b in enumerate([500, 90, 2000, 90, 700, 40])]
     df = spark.createDataFrame(orders, "id bigint, direction string, kelly_rate double, leverage int, status string, assigned_account string")
     acc = spark.createDataFrame(accounts, "account string, available double, LONG double, SHORT double")
-    got = {r.id: (r.status, r.assigned_account) for r in settle.route(df, acc, 10.0, 100.0).collect()}
+    got = {r.id: (r.status, r.assigned_account) for r in routing.route(df, acc, 10.0, 100.0, **how).collect()}
     busy, want = {("a1", "LONG")}, {}
     for r in orders[orders.status == "NEW"].sort_values("id").itertuples():
         qty = np.floor(r.kelly_rate * 10.0 * 1000) / 1000
@@ -130,10 +132,36 @@ def test_routing_equals_walking_the_orders(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["few orders", "twice the accounts", "one margin", "one balance", "rising margins"])
+def test_routing_in_ranges(spark, kind):
+    """15,000 accounts in ten ranges, against a walk over all orders with a sorted list."""
+    rng = np.random.default_rng(7)
+    n, m = 15_000, {"few orders": 3_000, "twice the accounts": 30_000}.get(kind, 16_000)
+    balance = np.full(n, 70.0) if kind == "one balance" else rng.gamma(2.0, 50.0, n).round(1)
+    margin = {"one margin": np.full(m, 20.0), "rising margins": np.sort(rng.gamma(2.0, 50.0, m))}.get(kind, rng.gamma(2.0, 40.0, m)).round(1)
+    accounts = sorted((b, f"a{i}") for i, b in enumerate(balance))
+    free, want = list(accounts), {}
+    for i, need in enumerate(margin.tolist()):
+        at = bisect.bisect_left(free, (need, ""))
+        if at < len(free):
+            want[i] = free.pop(at)[1]
+    eligible = spark.createDataFrame([("LONG", a, float(b)) for b, a in accounts], "direction string, account string, available double")
+    posed = spark.createDataFrame([(i, "LONG", float(x)) for i, x in enumerate(margin)], "id bigint, direction string, _margin double")
+    ladder = routing._ranges(eligible, 1500)
+    assert ladder.select("range").distinct().count() == 10
+    got = {r.id: r._account for r in routing.assignments(posed, eligible, size=1500, piece=2_000).collect()}
+    assert got == want
+
+
+def test_next_free_accounts():
+    assert routing.next_free([5.0, 1.0, 5.0, 5.0, 9.0, 0.0], np.array([1.0, 2.0, 5.0, 6.0])) == [2, 0, 3, -1, -1, 1]
+    assert routing.next_free([1.0], np.array([])) == [-1]
+
+
 def test_no_account_at_all(spark):
     df = spark.createDataFrame([(1, "LONG", 0.5, 1, "NEW", None)], "id bigint, direction string, kelly_rate double, leverage int, status string, assigned_account string")
     acc = spark.createDataFrame([], "account string, available double, LONG double, SHORT double")
-    row = settle.route(df, acc, 10.0, 100.0).first()
+    row = routing.route(df, acc, 10.0, 100.0).first()
     assert (row.status, row.failed_reason) == ("FAILED", ledger.NO_ACCOUNT_REASON)
 
 

@@ -1,15 +1,12 @@
-"""Settlement, exits and routing: the joins around the order ledger."""
+"""Settlement, exits and what routing asks of accounts: the joins around the order ledger."""
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import floor_to
-from tickloom.operators.ledger import ACCOUNT_MISSING_REASON, ACTIVE, MARGIN_SAFETY, NO_ACCOUNT_REASON, fill_prices
+from tickloom.operators.ledger import ACCOUNT_MISSING_REASON, ACTIVE, MARGIN_SAFETY, fill_prices
 
 TRADES_MISSING_REASON = "Trades not ready or unavailable"
 BAD_PRICE_REASON = "Invalid price detected"
@@ -129,68 +126,3 @@ def needs(new_orders: DataFrame, total_btc: float, mark_price: float) -> DataFra
     qty = floor_to(F.col("kelly_rate") * F.lit(float(total_btc)), 3)
     lev = F.when(F.coalesce("leverage", F.lit(0)) == 0, 1).otherwise(F.col("leverage"))
     return new_orders.withColumn("_qty", qty).withColumn("_margin", F.col("_qty") * F.lit(float(mark_price)) / lev * MARGIN_SAFETY)
-
-
-def _placed(asked: DataFrame, eligible: DataFrame) -> DataFrame:
-    """Orders with ``_level``, how many eligible accounts of their direction have too small a balance, and
-    ``_total``, how many there are. Balances and distinct margins are merged in value order, in ranges of value
-    (sixteen a doubling) so that no direction is one sorted group; accounts in lower ranges are added as a count."""
-    value = lambda c: F.floor(F.log2(F.greatest(F.col(c), F.lit(1e-6))) * 16)
-    points = asked.filter(F.col("_margin").isNotNull()).select("direction", F.col("_margin").alias("_v"), F.lit(0).alias("_account")).distinct()
-    points = points.unionByName(eligible.select("direction", F.col("available").alias("_v"), F.lit(1).alias("_account"))).withColumn("_range", value("_v"))
-    inside = Window.partitionBy("direction", "_range").orderBy("_v", "_account").rowsBetween(Window.unboundedPreceding, -1)
-    lower = Window.partitionBy("direction").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = points.groupBy("direction", "_range").agg(F.sum("_account").alias("_in")).select("direction", "_range", F.coalesce(F.sum("_in").over(lower), F.lit(0)).alias("_below"))
-    level = F.col("_below") + F.coalesce(F.col("_seen"), F.lit(0))
-    levels = points.withColumn("_seen", F.sum("_account").over(inside)).filter(F.col("_account") == 0).join(ranges, ["direction", "_range"]).select("direction", F.col("_v").alias("_margin"), level.alias("_level"))
-    totals = eligible.groupBy("direction").agg(F.count(F.lit(1)).alias("_total"))
-    return asked.join(levels, ["direction", "_margin"], "left").join(totals, "direction", "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
-
-
-def candidates(orders: DataFrame, eligible: DataFrame, total_btc: float, mark_price: float) -> DataFrame:
-    """Per new order: how many accounts could take it and the smallest balance among them, before any
-    order of the round has taken one. One row per order throughout; no order-account pairs."""
-    asked = _placed(needs(orders.filter(F.col("status") == "NEW"), total_btc, mark_price), eligible)
-    nth = F.row_number().over(Window.partitionBy("direction").orderBy("available", "account"))
-    ladder = eligible.select("direction", F.col("account").alias("first_choice"), (nth - 1).cast("bigint").alias("_level"))
-    return asked.join(ladder, ["direction", "_level"], "left").select("id", "direction", F.coalesce(F.col("_total") - F.col("_level"), F.lit(0)).cast("bigint").alias("n_accounts"), "first_choice")
-
-
-def route(orders: DataFrame, accounts: DataFrame, total_btc: float, mark_price: float) -> DataFrame:
-    """Assign new orders in id order, each to the free account with the smallest sufficient balance.
-
-    An account takes one order per direction, so a round assigns at most as many orders as there are
-    accounts, however many orders wait. Which ones can win is found in parallel: a level is the number of
-    accounts whose balance is too small, and of the orders at one level only the first (by id) as many as
-    there are larger accounts can win. Only those rows are walked in sequence; all others are FAILED.
-    """
-    eligible = eligible_accounts(accounts, orders)
-    asked = needs(orders.filter(F.col("status") == "NEW"), total_btc, mark_price)
-    posed = _placed(asked, eligible).filter((F.col("_qty") > 0) & (F.col("_level") < F.col("_total")))
-    nth = F.row_number().over(Window.partitionBy("direction", "_level").orderBy("id"))
-    posed = posed.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_total") - F.col("_level"))
-
-    def walk(waiting: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-        free = free.sort_values(["available", "account"])
-        balances, names = free["available"].tolist(), free["account"].tolist()
-        taken = []
-        for order_id, margin in waiting.sort_values("id")[["id", "_margin"]].itertuples(index=False):
-            at = bisect.bisect_left(balances, margin)
-            if at < len(balances):
-                taken.append((order_id, names.pop(at)))
-                del balances[at]
-        return pd.DataFrame(taken, columns=["id", "_account"])
-
-    won = posed.select("direction", "id", "_margin").groupBy("direction").cogroup(eligible.groupBy("direction")).applyInPandas(walk, "id bigint, _account string")
-    rows = asked.join(won, "id", "left")
-    empty = F.col("_qty") <= 0
-    taken = F.col("_account").isNotNull()
-    zero = F.concat(F.lit("Calculated order quantity= "), F.col("_qty").cast("string"), F.lit(" is zero or negative"))
-    return rows.select(
-        "id",
-        "direction",
-        F.when(taken, "ASSIGNED").otherwise("FAILED").alias("status"),
-        F.col("_account").alias("assigned_account"),
-        F.when(taken, F.col("_qty")).alias("quantity"),
-        F.when(empty, zero).when(~taken, F.lit(NO_ACCOUNT_REASON)).alias("failed_reason"),
-    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.layout import Chunking
 from tickloom.functions.numeric import floor_to
-from tickloom.operators import decide, ledger, settle
+from tickloom.operators import decide, ledger, routing, settle
 from tickloom.plans import views
 from tickloom.sources import bars as src
 from tickloom.workload.base import BARS, FILLS, LEDGER, PREDICTIONS, query, rd
@@ -137,7 +137,7 @@ arg_min(f.account, (f.available, f.account)) filter (f.available >= a.margin) as
 def route_candidates(spark, d):
     """J-3, J-4 before any order of the round has taken an account."""
     r = _round(spark, d)
-    return settle.candidates(r, settle.eligible_accounts(_accounts(spark, d), r), 300.0, 25.0)
+    return routing.candidates(r, settle.eligible_accounts(_accounts(spark, d), r), 300.0, 25.0)
 
 
 @query(f"""with recursive {_ROUND[5:]},
@@ -155,7 +155,7 @@ select a.id, a.direction, case when w.account is not null then 'ASSIGNED' else '
 from asked a left join walk w on w.id = a.id""")
 def route(spark, d):
     """J-4: the round itself, accounts taken as it goes."""
-    return settle.route(_round(spark, d), _accounts(spark, d), 300.0, 25.0)
+    return routing.route(_round(spark, d), _accounts(spark, d), 300.0, 25.0, size=128)
 
 
 @query(f"with {LEDGER} select id, {rd('floor(quantity * kelly_rate * 7 * 1000) / 1000', 'scaled')} from ledger")
