@@ -108,3 +108,14 @@ def test_windows_forget_outliers(spark, w):
     want["deep"] = two(want["mean"], y, "corr")
     for name, values in want.items():
         np.testing.assert_allclose(got[name][calm], values[calm], rtol=1e-9, atol=1e-9, err_msg=name)
+
+
+def test_positions_over_many_tasks(spark):
+    from tickloom.operators.columns import positions
+
+    rows = [(k, float(v), v % 3 + 1) for k in ("a", None, "b") for v in range(50)]
+    df = spark.createDataFrame(rows, "k string, v double, n int").repartition(5)
+    want = sorted(((k or "", v, n, sum(m for j, w, m in rows if j == k and w < v)) for k, v, n in rows))
+    for size in (7, 1000):
+        got = positions(df, ["k"], "v", ["n"], size).collect()
+        assert sorted((r.k or "", r.v, r.n, r.n_before) for r in got) == want

@@ -1,8 +1,8 @@
 """Whole-column operators of the rolling library: rank, scale, norm, linear decay.
 
 Ranks over a whole symbol do not sort it in one task. Equal values are first reduced to one counted row;
-those are spread over value ranges by approximate quantiles - which only balance the work and never touch
-the result - and a prefix over the range totals completes the exact position.
+those are sorted by range over a number of tasks that follows from how many there are, and a prefix over the
+tasks' totals completes the exact position.
 """
 
 from __future__ import annotations
@@ -12,34 +12,30 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.layout import CHUNK, HALO, Chunking, chunked, unchunked
 from tickloom.functions.numeric import div
+from tickloom.session import materialize
 
 RANGE = "_range"
+ROWS_A_RANGE = 250_000
 
 
-def value_ranges(counted: DataFrame, keys: list[str], value: str, ranges: int = 256) -> DataFrame:
-    """``counted`` with the number of its value range, ascending, per key."""
-    points = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
-    splits = F.array_sort(F.array_distinct(F.percentile_approx(value, points, F.lit(10 * ranges))))
-    if keys:
-        joined = counted.join(counted.groupBy(*keys).agg(splits.alias("_splits")), keys)
-    else:
-        joined = counted.withColumn("_splits", counted.agg(splits).scalar())
-    below = F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    return joined.withColumn(RANGE, below).drop("_splits")
-
-
-def positions(counted: DataFrame, keys: list[str], value: str, weights: list[str], ranges: int = 256) -> DataFrame:
+def positions(counted: DataFrame, keys: list[str], value: str, weights: list[str], rows: int = ROWS_A_RANGE, at_most: int | None = None) -> DataFrame:
     """``counted`` (one row per key and value) plus ``<w>_before``: the sum of each weight over smaller
-    values of the key."""
-    laid = value_ranges(counted, keys, value, ranges)
-    tops = laid.groupBy(*keys, RANGE).agg(*[F.sum(w).alias(f"_{w}_top") for w in weights])
-    over_tops = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*keys, RANGE, *[F.coalesce(F.sum(f"_{w}_top").over(over_tops), F.lit(0)).alias(f"_{w}_base") for w in weights])
+    values of the key. Sorted by range over as many tasks as ``rows`` counted rows each ask for. A caller who knows that there are ``at_most`` so many saves the count."""
+    few = at_most is not None and at_most <= rows
+    kept = counted if few else materialize(counted, "counted")
+    tasks = 1 if few else -(-kept.count() // rows)
     inside = Window.partitionBy(*keys, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = laid.join(tops, [*keys, RANGE])
-    for w in weights:
-        out = out.withColumn(f"{w}_before", F.col(f"_{w}_base") + F.coalesce(F.sum(w).over(inside), F.lit(0)))
-    return out.drop(RANGE, *[f"_{w}_base" for w in weights])
+    if tasks <= 1:
+        one = kept.withColumn(RANGE, F.lit(0))
+        return one.select(*counted.columns, *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"{w}_before") for w in weights])
+    laid = materialize(kept.repartitionByRange(tasks, *keys, value).withColumn(RANGE, F.spark_partition_id()), "ranged")
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    tops = laid.groupBy(*keys, RANGE).agg(*[F.sum(w).alias(f"_{w}_top") for w in weights])
+    mine = [f"_{k}_of" for k in (*keys, RANGE)]
+    tops = tops.select(*[F.col(k).alias(m) for k, m in zip((*keys, RANGE), mine)], *[F.coalesce(F.sum(f"_{w}_top").over(earlier), F.lit(0)).alias(f"_{w}_base") for w in weights])
+    out = laid.join(tops, [F.col(k).eqNullSafe(F.col(m)) for k, m in zip((*keys, RANGE), mine)])  # keys may be null
+    before = [(F.col(f"_{w}_base") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"{w}_before") for w in weights]
+    return out.select(*counted.columns, *before)
 
 
 def pct_rank(df: DataFrame, value: str, out: str = "rank", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -26,14 +26,11 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     return placed.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
-def _ranges(df: DataFrame, value: str, out: str, splits: int) -> DataFrame:
-    """Number of the value's range. A split value is a range of its own (odd numbers), so one value that
-    fills a third of the table never shares its range; the open spans between splits are even."""
-    points = F.array(*[F.lit((i + 1) / (splits + 1)) for i in range(splits)])
-    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, points, F.lit(20 * splits)))))
-    laid = df.withColumn("_cuts", cuts.scalar())
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    return laid.withColumn(out, below * 2 + F.array_contains("_cuts", F.col(value)).cast("int")).drop("_cuts")
+def _ranges(cells: DataFrame, count: int, value: str, out: str, size: int) -> DataFrame:
+    """(value, out): ascending ranges of about ``size`` cells. A value with more cells than that is a range of its own
+    (odd numbers); the ranges between are even and hold fewer than twice as many."""
+    placed = positions(cells.groupBy(value).agg(F.count(F.lit(1)).alias("_c")), [], value, ["_c"], at_most=count)
+    return placed.select(value, (F.floor(F.col("_c_before") / size) * 2 + (F.col("_c") > size).cast("int")).alias(out))
 
 
 def _ordered_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
@@ -58,27 +55,29 @@ def _ordered_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
 CELLS_PER_RANGE = 20_000
 
 
-def regression_auc(df: DataFrame, y: str, score: str, splits: int | None = None) -> DataFrame:
+def regression_auc(df: DataFrame, y: str, score: str, size: int = CELLS_PER_RANGE) -> DataFrame:
     """Exact share of unequal-label pairs whose scores are ordered alike, score ties one half.
 
-    Pairs in different ranges of both label and score come from a small grid of counts. Pairs that share a
-    label range, or a score range only, are counted inside that range - about CELLS_PER_RANGE distinct cells
-    each - by merging; a range that is one repeated value has none. ``splits`` follows from the number of cells
-    unless it is given.
+    Equal rows are one counted cell; labels and scores are cut into ranges of about ``size`` cells. Pairs in
+    different ranges of both are found by a sweep over the bits of the score's range number: at the highest bit in
+    which two numbers differ they share all bits above, so for each bit one aggregate (bits above, label range) counts
+    zeros and ones, and a running sum over the label ranges gives how many zeros lie before the ones. Rows
+    are at most the cells times the bits. Pairs that share a label range, or a score range only, are
+    counted inside that range by merging; a range that is one repeated value has none.
     """
-    cells = df.groupBy(F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    if splits is None:
-        cells = materialize(cells, "cells")
-        splits = max(16, -(-cells.count() // CELLS_PER_RANGE))
-    laid = materialize(_ranges(_ranges(cells, "y", "yr", splits), "s", "sr", splits), "pairs")
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(score).cast("double").alias("s")).where("y is not null and s is not null")
+    cells = materialize(rows.groupBy("y", "s").agg(F.count(F.lit(1)).alias("n")), "cells")
+    count = cells.count()
+    laid = cells.join(_ranges(cells, count, "y", "yr", size), "y").join(_ranges(cells, count, "s", "sr", size), "s")
+    laid = materialize(laid.select("y", "s", "n", "yr", "sr"), "pairs")
 
     grid = laid.groupBy("yr", "sr").agg(F.sum("n").cast("double").alias("n"))
-    frame = laid.select("yr").distinct().select("yr", F.explode(F.sequence(F.lit(0), F.lit(2 * splits))).alias("sr"))
-    full = frame.join(grid, ["yr", "sr"], "left").fillna(0.0, ["n"])
-    earlier = lambda k, o: Window.partitionBy(k).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-    full = full.withColumn("_row", F.coalesce(F.sum("n").over(earlier("yr", "sr")), F.lit(0.0)))
-    full = full.withColumn("_both", F.coalesce(F.sum("_row").over(earlier("sr", "yr")), F.lit(0.0)))
-    across = full.agg(F.sum(F.col("n") * F.col("_both")).alias("c"))
+    bits = int(grid.agg(F.max("sr")).first()[0] or 0).bit_length()
+    levels = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(max(1, bits)))).alias("level"))
+    above, bit = F.expr("shiftright(sr, level)"), F.expr("shiftright(sr, level - 1) & 1")
+    swept = levels.groupBy("level", above.alias("above"), "yr").agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0.0)).alias("zeros"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0.0)).alias("ones"))
+    earlier = Window.partitionBy("level", "above").orderBy("yr").rowsBetween(Window.unboundedPreceding, -1)
+    across = swept.withColumn("before", F.sum("zeros").over(earlier)).agg(F.sum(F.col("ones") * F.col("before")).alias("c"))
 
     def inside(a: str, b: str):
         def per_range(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +87,7 @@ def regression_auc(df: DataFrame, y: str, score: str, splits: int | None = None)
 
     in_y = laid.filter(F.col("yr") % 2 == 0).groupBy("yr").applyInPandas(inside("y", "s"), "c double")
     in_s = laid.filter(F.col("sr") % 2 == 0).groupBy("sr").applyInPandas(inside("yr", "s"), "c double")
-    ordered = across.unionByName(in_y).unionByName(in_s).agg(F.sum("c").alias("ordered"))
+    ordered = across.unionByName(in_y).unionByName(in_s).agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("ordered"))
 
     def pairs(by: list[str]) -> DataFrame:
         sums = laid.groupBy(*by).agg(F.sum("n").cast("double").alias("m")) if by else laid.agg(F.sum("n").cast("double").alias("m"))
@@ -122,10 +121,10 @@ def regression_auc_sampled(df: DataFrame, y: str, score: str, rounds: int = 1000
     placed = positions(cells, ["y"], "s", ["n"]).join(labels, "y")
     first = F.col("_ny_before") + F.col("n_before")
     placed = materialize(placed.select("y", "s", "_ny", F.col("_ny_before").alias("_ystart"), first.alias("_from"), (first + F.col("n") - 1).alias("_to")), "placed")
-    total, kinds = cells.agg(F.sum("n"), F.count_distinct("y")).first()
+    total, count, kinds = cells.agg(F.sum("n"), F.count(F.lit(1)), F.count_distinct("y")).first()
     if kinds < 2:
         raise ValueError("all labels are equal: there is no pair to draw")
-    step = max(1, total // 1024)  # cells are found by the stretches of places they reach into
+    step = max(1, total // count)  # cells are found by the stretches of places they reach into, about one a cell
     bins = placed.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / step), F.floor(F.col("_to") / step))))
 
     def look_up(drawn: DataFrame, place: str, names: dict[str, str]) -> DataFrame:
