@@ -65,15 +65,33 @@ def test_dynamic_direction(spark, preds, rows):
     assert got == want
 
 
-def test_stream_equals_batch(spark, preds, tmp_path):
+@pytest.mark.parametrize("context", [0, 3])
+def test_dynamic_direction_of_a_dense_run_in_pieces(spark, context):
+    """No hour's pause: one run over many pieces, guesses that are wrong at most borders."""
+    rng = np.random.default_rng(9)
+    n = 1200
+    pdf = pd.DataFrame({"id": np.arange(n), "symbol": "AAA", "timestamp": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(rng.integers(0, 90, n)), unit="s"), "cur_price": 100.0, "t_trmt_out": rng.random(n), "t_ctrl_out": rng.random(n)})
+    pdf = pdf.assign(trmt_return_1h_out=3.9 + rng.random(n), ctrl_return_1h_out=3.9 + rng.random(n), trmt_sigma_1h_out=1.5, ctrl_sigma_1h_out=1.5)
+    pieces = Chunking(20, 300)
+    quantiled = decide.score_quantile(decide.decode(spark.createDataFrame(pdf), "ple"), CFG.queue_length, pieces)
+    got = as_dict(decide.dynamic_direction(quantiled, CFG, "ple", pieces, context=context))
+    want = walk(pdf, CFG)
+    assert sum(v[2] for v in want.values()) > 60
+    assert got == want
+
+
+@pytest.mark.parametrize("frame_rows", [100_000, 50])
+def test_stream_equals_batch(spark, preds, tmp_path, frame_rows):
     source = tmp_path / "in"
     ordered = preds.sort_values(["timestamp", "id"])
     for i, part in enumerate(np.array_split(np.arange(len(ordered)), 3)):
-        spark.createDataFrame(ordered.iloc[part]).coalesce(1).write.mode("append").parquet(str(source / f"p{i}"))
+        spark.createDataFrame(ordered.iloc[part].sample(frac=1, random_state=1)).coalesce(1).write.mode("append").parquet(str(source / f"p{i}"))
     schema = spark.read.parquet(str(source / "p0")).schema
     stream = spark.readStream.schema(schema).parquet(str(source / "p*"))
-    q = decisions.start(decisions.decide_stream(stream, CFG), str(tmp_path / "out"), str(tmp_path / "cp"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    q = decisions.start(decisions.decide_stream(stream, CFG, frame_rows=frame_rows), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert as_dict(spark.read.parquet(str(tmp_path / "out"))) == walk(preds, CFG)
 
 

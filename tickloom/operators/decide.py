@@ -208,63 +208,89 @@ def recent_valid(decided: DataFrame, cfg: StrategyConfig = StrategyConfig(), buc
     return laid.filter(F.col("_bucket") == F.col("_own")).drop("_sec", "_own", "_bucket")
 
 
-def _runs(candidates: DataFrame, gap: int, chunking: Chunking) -> DataFrame:
-    """Start second of the run each candidate belongs to: a run ends where more than ``gap`` seconds pass
-    without a candidate. Runs are independent of one another. The start is carried over chunk borders by
-    one row per chunk."""
-    keys = ("symbol", "direction")
-    cfg = Chunking(chunking.rows, chunking.micro_seconds, chunking.order, keys)
-    laid = chunked(candidates, 1, cfg)
-    w = Window.partitionBy(*keys, CHUNK).orderBy("timestamp", "id")
-    laid = laid.withColumn("_before", F.lag("_sec").over(w)).filter(~F.col(HALO))
-    starts = F.when(F.col("_before").isNull() | (F.col("_sec") - F.col("_before") > gap), F.col("_sec"))
-    laid = laid.withColumn("_starts", starts)
-    last = laid.groupBy(*keys, CHUNK).agg(F.max("_starts").alias("_last"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*keys, CHUNK, F.max("_last").over(before).alias("_carry"))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        laid.join(carry, [*keys, CHUNK])
-        .withColumn("_run", F.coalesce(F.max("_starts").over(running), F.col("_carry")))
-        .drop(CHUNK, HALO, "_before", "_starts", "_carry")
-    )
+CONTEXT = 256  # earlier candidates from which a piece guesses its start
+_STEP = "symbol string, direction string, _chunk bigint, _us bigint, id bigint, first_sec bigint, assumed array<bigint>, ended array<bigint>"
+_PIECE = ["symbol", "direction", CHUNK]
+
+
+def _walked(rows: DataFrame, cfg: StrategyConfig) -> DataFrame:
+    """Walk the pieces in order of time, as a stream over sorted partitions. ``kind`` 0: an accepted second to start
+    from, 1: context, 2: a row of the piece. Accepted rows come out, and for every piece one row without id: the accepted
+    seconds of the last hour that it started from and that it ended with."""
+    ordered = rows.repartition(*_PIECE).sortWithinPartitions(*_PIECE, "kind", "timestamp", "id")
+    top, bottom, k, span = cfg.top_threshold, cfg.bottom_threshold, cfg.k, cfg.recent_seconds
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece, recent, first, assumed = None, [], None, []
+
+        def border():
+            return [(*piece, None, None, first, assumed, recent)] if first is not None else []
+
+        for pdf in batches:
+            out = []
+            for key, kind, at, us, row, q in zip(zip(pdf["symbol"], pdf["direction"], pdf[CHUNK]), pdf["kind"], pdf["_sec"], pdf["_us"], pdf["id"], pdf["quantile"]):
+                if key != piece:
+                    out += border()
+                    piece, recent, first = key, [], None
+                if kind == 0:
+                    recent.append(at)
+                    continue
+                recent = [s for s in recent if s >= at - span]
+                if kind == 2 and first is None:
+                    first, assumed = at, recent
+                share = k * len(recent) + 1
+                ok = q >= 1.0 - (1.0 - top) / share if key[1] == "LONG" else q <= bottom / share
+                if ok:
+                    recent = [*recent, at]
+                    if kind == 2:
+                        out.append((*key, us, row, None, None, None))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _STEP.split(", ")])
+        if piece is not None:
+            yield pd.DataFrame(border(), columns=[c.split()[0] for c in _STEP.split(", ")])
+
+    return ordered.mapInPandas(walk, _STEP)
+
+
+def _accepted(could: DataFrame, cfg: StrategyConfig, chunking: Chunking, context: int) -> DataFrame:
+    """The candidates (symbol, _us, id) that the tightening thresholds let pass.
+
+    Candidates of a symbol and direction are cut into pieces of ``chunking.rows``, all walked at once: a piece guesses
+    the accepted seconds before it from ``context`` earlier rows. Then neighbours are compared. A piece whose
+    guess differs from what the piece before it ended with is walked again from there, until every border
+    agrees; the first piece is always right, so each round settles at least one more, mostly all.
+    """
+    by = Chunking(chunking.rows, chunking.micro_seconds, chunking.order, ("symbol", "direction"))
+    laid = chunked(could, context, by).withColumn("kind", F.when(F.col(HALO), 1).otherwise(2)).drop(HALO)
+    laid = materialize(laid, "candidates")
+    done = materialize(_walked(laid, cfg), "walked")
+    before = Window.partitionBy("symbol", "direction").orderBy(CHUNK)
+    told = F.filter(F.coalesce(F.lag("ended").over(before), F.array().cast("array<bigint>")), lambda s: s >= F.col("first_sec") - cfg.recent_seconds)
+    while True:
+        borders = done.where("id is null").withColumn("told", told)
+        wrong = materialize(borders.where(F.array_sort("told") != F.array_sort("assumed")).select(*_PIECE, "told"), "wrong")
+        if wrong.isEmpty():
+            return done.where("id is not null").select("symbol", "_us", "id")
+        again = laid.where("kind = 2").join(wrong.drop("told"), _PIECE, "left_semi")
+        start = wrong.select(*_PIECE, F.explode("told").alias("_sec"), F.lit(0).alias("kind"))
+        walked = _walked(again.unionByName(start, allowMissingColumns=True), cfg)
+        done = materialize(done.join(wrong.drop("told"), _PIECE, "left_anti").unionByName(walked), "walked")
 
 
 def dynamic_direction(
-    quantiled: DataFrame, cfg: StrategyConfig, strategy: str, chunking: Chunking = Chunking(), cut: bool = True
+    quantiled: DataFrame, cfg: StrategyConfig, strategy: str, chunking: Chunking = Chunking(), cut: bool = True, context: int = CONTEXT
 ) -> DataFrame:
     """Thresholds that tighten with the symbol's own valid decisions of the last hour.
 
     A decision depends on earlier decisions, but only through rows that pass the untightened thresholds
-    and all later checks, only within its own direction, and only one hour back. So the few rows that
-    could be valid are cut into runs more than an hour apart and only those runs are walked in time order,
-    streaming through sorted partitions; all other rows are decided by expressions. ``cut`` writes the
-    untightened decisions to the shared folder, for they are read three times.
+    and all later checks, only within its own direction, and only one hour back. So only the few rows that
+    could be valid are walked in time order, in pieces of bounded size; all other rows are decided by expressions.
+    ``cut`` writes the untightened decisions to the shared folder, for they are read three times.
     """
     static = finish(quantiled.withColumn("direction", static_direction(cfg, strategy)), cfg, strategy)
     if cut:
         static = materialize(static, "decisions")
     could = static.filter("is_valid").select("symbol", "direction", "timestamp", "id", "quantile", F.unix_timestamp("timestamp").alias("_sec"), F.unix_micros("timestamp").alias("_us"))
-    runs = _runs(could, cfg.recent_seconds, chunking)
-    ordered = runs.repartition("symbol", "direction", "_run").sortWithinPartitions("symbol", "direction", "_run", "timestamp", "id")
-    top, bottom, k, span = cfg.top_threshold, cfg.bottom_threshold, cfg.k, cfg.recent_seconds
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, recent = None, []
-        for pdf in batches:
-            kept = []
-            for key, at, q in zip(zip(pdf["symbol"], pdf["direction"], pdf["_run"]), pdf["_sec"], pdf["quantile"]):
-                if key != run:
-                    run, recent = key, []
-                recent = [s for s in recent if s >= at - span]
-                share = k * len(recent) + 1
-                ok = q >= 1.0 - (1.0 - top) / share if key[1] == "LONG" else q <= bottom / share
-                if ok:
-                    recent.append(at)
-                kept.append(ok)
-            yield pdf.loc[kept, ["symbol", "_us", "id"]]
-
-    accepted = ordered.mapInPandas(walk, "symbol string, _us bigint, id bigint").withColumn("_accepted", F.lit(True))
+    accepted = _accepted(could, cfg, chunking, context).withColumn("_accepted", F.lit(True))
     out = static.withColumn("_us", F.unix_micros("timestamp")).join(accepted, ["symbol", "_us", "id"], "left")
     refused = F.col("is_valid") & F.col("_accepted").isNull()
     # rows that passed the base thresholds but not a later check keep their direction only if the
