@@ -119,3 +119,26 @@ def test_positions_over_many_tasks(spark):
     for size in (7, 1000):
         got = positions(df, ["k"], "v", ["n"], size).collect()
         assert sorted((r.k or "", r.v, r.n, r.n_before) for r in got) == want
+
+
+@pytest.mark.parametrize("w", [2, 7, 60])
+@pytest.mark.parametrize("kind", ["rank", "share_below", "product"])
+def test_order_statistics_by_counts(monkeypatch, w, kind):
+    from tickloom.functions import kernels
+
+    rng = np.random.default_rng(w)
+    x = rng.normal(size=400).round(1)
+    x[[0, 90, 91, 250]] = np.nan
+    x[300:340] = 0.5
+    monkeypatch.setattr(kernels, "DIRECT_RANKS", 0)
+    got = kernels.evaluate(kind, x, w)
+    for i in range(len(x)):
+        window = x[i - w + 1 : i + 1]
+        if i < w - 1 or np.isnan(window).any():
+            assert np.isnan(got[i])
+        elif kind == "product":
+            assert abs(got[i] - window.prod()) <= 1e-12 * abs(window.prod())
+        elif kind == "rank":
+            assert got[i] == (window < window[-1]).sum() + ((window == window[-1]).sum() + 1) / 2
+        else:
+            assert got[i] == (window[:-1] < window[-1]).sum() / (w - 1)

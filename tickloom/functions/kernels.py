@@ -106,6 +106,10 @@ def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = (), y: np.ndarray
         return evaluate("rank", x - evaluate("max", x, int(params[0])), w)
     if kind in ("min", "max"):
         return getattr(pd.Series(x).rolling(w), kind)().to_numpy()
+    if kind == "product":
+        return _window_products(x, w)
+    if kind in ("rank", "share_below") and w > DIRECT_RANKS:
+        return _ranked(kind, x, w)
     weights = detail_means(w, int(params[0])) if kind == "wavelet" else None
     views = np.lib.stride_tricks.sliding_window_view(x, w)
     step = max(1, BLOCK_CELLS // w)
@@ -119,8 +123,6 @@ def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = (), y: np.ndarray
             got = (block[:, :-1] < block[:, -1:]).sum(axis=1) / (w - 1.0)
         elif kind == "wavelet":
             got = block @ weights
-        elif kind == "product":
-            got = block.prod(axis=1)
         else:
             got = _spectral(kind, block, w, params)
         got = np.where(np.isnan(block).any(axis=1), np.nan, got)
@@ -128,6 +130,66 @@ def evaluate(kind: str, x: np.ndarray, w: int, params: tuple = (), y: np.ndarray
     return out
 
 
+# -- order statistics -----------------------------------------------------------------------------
+
+DIRECT_RANKS = 512  # up to here looking at every row of the window is as fast; the counts are the same
+
+
+def counts_below(ranks: np.ndarray, start: np.ndarray, stop: np.ndarray, bounds: list[np.ndarray]) -> list[np.ndarray]:
+    """How many of ``ranks[start:stop]`` lie below each bound, for all queries at once.
+
+    Bit by bit from the top: the rows are split stably by the bit, zeros first, and a query follows its bound's bit,
+    taking along all zeros of its stretch where the bound has a one. Work per query is one step a bit, whatever the
+    stretch's length; one level is held at a time.
+    """
+    bits = max(1, int(max(ranks.max(initial=0), *(b.max(initial=0) for b in bounds))).bit_length())
+    spans = [[start.copy(), stop.copy(), np.zeros(len(start), np.int64)] for _ in bounds]
+    for bit in range(bits - 1, -1, -1):
+        one = (ranks >> bit) & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - one)))
+        for span, bound in zip(spans, bounds):
+            a, b = zeros[span[0]], zeros[span[1]]
+            up = (bound >> bit) & 1 == 1
+            span[2] += np.where(up, b - a, 0)
+            span[0], span[1] = np.where(up, zeros[-1] + span[0] - a, a), np.where(up, zeros[-1] + span[1] - b, b)
+        ranks = np.concatenate((ranks[one == 0], ranks[one == 1]))
+    return [span[2] for span in spans]
+
+
+def _ranked(kind: str, x: np.ndarray, w: int) -> np.ndarray:
+    """Average rank of the newest value of each window, or the share of the others below it."""
+    known = ~np.isnan(x)
+    dense = np.zeros(len(x), np.int64)
+    dense[known] = np.unique(x[known], return_inverse=True)[1]
+    stop = np.arange(w, len(x) + 1)
+    newest = dense[stop - 1]
+    out = np.full(len(x), np.nan)
+    if kind == "rank":
+        less, at_most = counts_below(dense, stop - w, stop, [newest, newest + 1])
+        got = less + (at_most - less + 1) / 2.0
+    else:
+        got = counts_below(dense, stop - w, stop - 1, [newest])[0] / (w - 1.0)
+    holes = np.concatenate(([0], np.cumsum(~known)))
+    out[w - 1 :] = np.where(holes[stop] == holes[stop - w], got, np.nan)
+    return out
+
+
+def _window_products(x: np.ndarray, w: int) -> np.ndarray:
+    """Product of each full window as the tail of one block of ``w`` rows times the head of the next; never divides."""
+    n = len(x)
+    blocks = -(-n // w)
+    padded = np.ones(blocks * w)
+    padded[:n] = x
+    cube = padded.reshape(blocks, w)
+    heads = np.cumprod(cube, axis=1).reshape(-1)[:n]
+    tails = np.cumprod(cube[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    out = np.full(n, np.nan)
+    end = np.arange(w - 1, n)
+    inner = (end + 1) % w != 0
+    out[end] = heads[end] * np.where(inner, tails[end - w + 1], 1.0)
+    return out
+
+
 # -- moments of full windows ----------------------------------------------------------------------
 
 MOMENTS = ("sum", "mean", "std", "skew", "cov", "corr")

@@ -256,6 +256,25 @@ def ts_rank_wide(spark, d):
     return seconds(_rolled(r, views.bars(spark, d), {"rank": r.rank(r.source("volume"), 90)}))
 
 
+_WIDE = 5040
+
+
+@query(f"""with t as (select event_id, value as v, value * (event_id % 7) as u, row_number() over (order by event_id) as i,
+  list(value) over (order by event_id rows between {_WIDE - 1} preceding and current row) as l,
+  list(1.0::double + (event_id % 5 - 2) / 4096.0::double) over (order by event_id rows between {_WIDE - 1} preceding and current row) as p from events)
+select event_id, case when i >= {_WIDE} then len(list_filter(l, lambda x: x < v)) + (len(list_filter(l, lambda x: x = v)) + 1) / 2.0::double end as rank,
+{rd(f"case when i >= {_WIDE} then len(list_filter(l[1 : {_WIDE - 1}], lambda x: x < v)) / {_WIDE - 1}.0::double end", "below")},
+{rd(f"case when i >= {_WIDE} then list_product(p) end", "product")} from t""")
+def order_statistics_wide(spark, d):
+    """W-6, W-7, D-3 over 5,040 rows: all ticks as one series, cut in chunks."""
+    e = views.table(spark, d, "events").select(F.lit("all").alias("symbol"), F.timestamp_seconds("event_id").alias("timestamp"), "event_id", "value", (1.0 + (F.col("event_id") % 5 - 2) / 4096.0).alias("factor"))
+    r = Rolling()
+    v, f = r.source("value"), r.source("factor")
+    out = {"rank": r.rank(v, _WIDE), "below": r.kernel("share_below", v, _WIDE), "product": r.product(f, _WIDE)}
+    laid = chunked(e, _WIDE - 1, Chunking(2000, 500))
+    return r.select(laid, out, ("event_id", HALO)).filter(~F.col(HALO)).drop(HALO)
+
+
 @query(f"""with {BARS} select symbol, {TS},
 {rd("(rank() over (partition by symbol order by volume) + (count(*) over (partition by symbol, volume) - 1) / 2.0::double) / count(*) over (partition by symbol)", "rank")}
 from bars""")
