@@ -770,3 +770,81 @@ def served_60(spark, d):
 def served_240(spark, d):
     """The same at 240 rows."""
     return _served(spark, d, {f"alpha{n:03d}": [240] for n in _SERVED})
+
+
+def _served_ranks_sql(w: int) -> str:
+    """The features that rank inside the window, at width ``w``, and the crossing of two means."""
+    out = {
+        f"alpha007_{w}_new": "case when volw >= volume then -1 else -rd * sign(d3) end",
+        f"alpha026_{w}_new": "-together",
+        f"alpha035_{w}_new": "rv2 * (1 - shape) * (1 - rr2)",
+        f"alpha043_{w}_new": "rbusy * rfall",
+        f"alpha084_{w}_new": "pow(rtop, d5 / 1000)",
+        f"alpha104_{w}_{4 * w}_new": f"case when ms > ml and {lag('ms')} <= {lag('ml')} then 1.0::double else 0.0::double end",
+    }
+    return f"""with {MINUTE_BARS},
+l1 as (select *, {win("avg", "volume", w)} as volw, {delta("close", w // 3)} as d3, abs({delta("close", w // 3)}) as ad3, {rank_of_last("volume", 5 * w)} as rv5,
+  {rank_of_last("high", 5 * w)} as rh5, {rank_of_last("volume", 2 * w)} as rv2, {rank_of_last("(close + high - low)", w)} as shape, {rank_of_last("returns", 2 * w)} as rr2,
+  volume / nullif({win("avg", "volume", 20 * w)}, 0) as busy, -{delta("close", 7 * w)} as fall, vwap - {win("max", "vwap", 15 * w)} as under, {delta("close", 5 * w)} as d5,
+  {win("avg", "close", w)} as ms, {win("avg", "close", 4 * w)} as ml from base),
+l2 as (select *, {rank_of_last("ad3", w)} as rd, {zero(win2("corr", "rv5", "rh5", 5 * w))} as c5, {rank_of_last("busy", 20 * w)} as rbusy,
+  {rank_of_last("fall", 8 * w)} as rfall, {rank_of_last("under", 21 * w)} as rtop from l1),
+l3 as (select *, {win("max", "c5", 3 * w)} as together from l2)
+select symbol, {TS}, {_clean(out, 4)} from l3"""
+
+
+def _served_ranks(spark, d, w):
+    one = [f"alpha{n:03d}" for n in (7, 26, 35, 43, 84)]
+    return _served(spark, d, {n: [w] for n in one} | {"alpha104": [[w, 4 * w]]})
+
+
+@query(_served_ranks_sql(60), 4)
+def served_ranks_60(spark, d):
+    """007, 026, 035, 043, 084 and 104 at 60 rows over minute bars."""
+    return _served_ranks(spark, d, 60)
+
+
+@query(_served_ranks_sql(240), 4)
+def served_ranks_240(spark, d):
+    """The same at 240 rows."""
+    return _served_ranks(spark, d, 240)
+
+
+def _served_spectrum_sql(w: int, high: float) -> str:
+    """127..131 at width ``w``: each frequency is two dot products of the window with a table of cosines and sines."""
+    half = w // 2
+    u = f"list_transform(range(1, {half}), lambda k: ln(k / {w}.0::double))"
+    logs = "list_transform(p[2:], lambda v: ln(case when v = 0 then 1e-10 else v end))"
+    share = "list_transform(p, lambda v: greatest(v / total, 1e-12) * ln(greatest(v / total, 1e-12)))"
+    over = f"list_sum(list_transform(range({half}), lambda k: case when k / {w}.0::double > {high!r}::double then p[k + 1] else 0 end))"
+    out = {
+        f"alpha127_{w}_new": f"list_position(p[2:], list_max(p[2:])) / {w}.0::double", f"alpha128_{w}_new": f"-list_dot_product({logs}, cu) / list_dot_product(cu, cu)",
+        f"alpha129_{w}_new": f"{over} / nullif(total, 0)", f"alpha130_{w}_new": f"-list_sum({share}) / ln({half})",
+    }
+    waves = {f"alpha131_{w}_1_new": "d4", f"alpha131_{w}_2_new": "d3"}
+    return f"""with {MINUTE_BARS},
+turn as (select k, list_transform(range({w}), lambda i: cos(2 * pi() * k * i / {w})) as re, list_transform(range({w}), lambda i: sin(2 * pi() * k * i / {w})) as im from range({half}) t(k)),
+c as (select symbol, timestamp, list(close) over (partition by symbol order by timestamp rows between {w - 1} preceding and current row) as c from bars),
+q as (select symbol, timestamp, list(sqrt(power(list_dot_product(c, re), 2) + power(list_dot_product(c, im), 2)) order by k) as p from c, turn where len(c) = {w} group by 1, 2),
+m as (select *, list_sum(p) as total, list_transform({u}, lambda v: v - list_avg({u})) as cu from q),
+o as (select symbol, timestamp, {", ".join(f'{e} as "{n}"' for n, e in out.items())} from m),
+{_wavelet_sql(w)}
+select symbol, {TS}, {", ".join(rd(zero(f'"{n}"'), n, 4) for n in out)}, {", ".join(rd(f"coalesce({e}, 0)", n, 4) for n, e in waves.items())}
+from bars left join o using (symbol, timestamp) left join s4 using (symbol, timestamp)"""
+
+
+def _served_spectrum(spark, d, w, high):
+    out = _served(spark, d, {"alpha127": [w], "alpha128": [w], "alpha129": [[w, high]], "alpha130": [w], "alpha131": [[w, 1], [w, 2]]})
+    return out.withColumnRenamed(f"alpha129_{w}_{high}_new", f"alpha129_{w}_new")
+
+
+@query(_served_spectrum_sql(60, 0.00556), 4)
+def served_spectrum_60(spark, d):
+    """127 to 131 at 60 rows over minute bars."""
+    return _served_spectrum(spark, d, 60, 0.00556)
+
+
+@query(_served_spectrum_sql(240, 0.00333), 4)
+def served_spectrum_240(spark, d):
+    """The same at 240 rows."""
+    return _served_spectrum(spark, d, 240, 0.00333)
