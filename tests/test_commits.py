@@ -84,7 +84,7 @@ def test_notes_cut_off_while_written(spark, tmp_path):
 def test_two_writers_of_one_sequence_collide(spark, tmp_path):
     path = str(tmp_path / "bars")
     commits.commit_bars(spark, path, rows(spark, [(0, 1.0)]), "w", 0)
-    folder = commits._Folder(spark, path)
+    folder = commits.Folder(spark, path)
     folder.create("x.json.tmp", {"a": 1})
     with pytest.raises(Exception, match="exists"):
         folder.create("x.json.tmp", {"a": 2})

@@ -124,7 +124,11 @@ def score(df: DataFrame, model: str, weights: Weights, features: str = "features
     return apply_network(df, forward, outputs, weights, features, keep)
 
 
-def apply_network(df: DataFrame, forward: Callable, outputs: list[str], weights: Weights, features: str, keep: tuple[str, ...]) -> DataFrame:
+def apply_network(df: DataFrame, forward: Callable, outputs: list[str], weights: Weights, features: str, keep: tuple[str, ...], max_bytes: int = MAX_WEIGHT_BYTES) -> DataFrame:
+    """The network over batches of rows; its weights go to every task, so their size is checked first."""
+    size = sum(a.nbytes for a in weights.values())
+    if size > max_bytes:
+        raise ValueError(f"weights hold {size} bytes, limit {max_bytes}")
     shared = df.sparkSession.sparkContext.broadcast(weights)
     names, sigmoid = list(keep), SIGMOID_OUTPUTS
 

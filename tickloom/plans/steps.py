@@ -2,6 +2,10 @@
 
     {"default": "a", "methods": {"m": "b"}, "jobs": {"a": {"steps": [{"type": "..."}]}, "b": {...}}}
 
+A step works on what the step before it made. ``"as": "x"`` names its result and ``"from": "x"`` takes an earlier named
+result instead (``input`` is the job's own input), so a job can branch: scores, orders and records are written from one
+decided table. A result that several steps take is written once to the shared folder.
+
 The whole configuration is parsed, settings included, before any step runs; an error lists every fault.
 """
 
@@ -10,6 +14,7 @@ from __future__ import annotations
 import inspect
 import json
 import os
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -17,7 +22,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import materialize
+
 Step = Callable[..., DataFrame]
+INPUT, LAST = "input", ""
 
 
 class ConfigError(ValueError):
@@ -40,6 +48,8 @@ class Stage:
 
     fn: Step
     settings: dict[str, Any]
+    source: str | None = None
+    name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -75,15 +85,23 @@ def parse(config: Any, registry: Mapping[str, Step]) -> Plan:
     for name, body in section(top.get("jobs"), "$.jobs", dict, {}).items():
         stages = []
         listed = section(section(body, f"$.jobs.{name}", dict, {}).get("steps"), f"$.jobs.{name}.steps", list, [])
+        named = {INPUT}
         for at, item in enumerate(listed):
             path = f"$.jobs.{name}.steps.{at}"
             settings = dict(section(item, path, dict, {}))
+            source, label = settings.pop("from", None), settings.pop("as", None)
+            if source is not None and source not in named:
+                faults.append(f"{path}.from: {source!r} is none of {sorted(named)}")
+            if label is not None and (not isinstance(label, str) or label in named):
+                faults.append(f"{path}.as: {label!r} is no new name")
+            elif label is not None:
+                named.add(label)
             fn = registry.get(str(settings.pop("type", "")))
             fault = f"no step of this type among {sorted(registry)}" if fn is None else _settings_fault(fn, settings)
             if fault:
                 faults.append(f"{path}: {fault}")
             else:
-                stages.append(Stage(fn, settings))
+                stages.append(Stage(fn, settings, source, label))
         if not listed:
             faults.append(f"$.jobs.{name}.steps: empty job")
         jobs[name] = tuple(stages)
@@ -114,10 +132,23 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def run(df: DataFrame, config: Any, registry: Mapping[str, Step], job: str | None = None, method: str | None = None) -> DataFrame:
+    """The result of the job's last step."""
+    return run_all(df, config, registry, job, method)[LAST]
+
+
+def run_all(df: DataFrame, config: Any, registry: Mapping[str, Step], job: str | None = None, method: str | None = None) -> dict[str, DataFrame]:
+    """Every named result of a job, and the last one under ``LAST``."""
     plan = parse(config, registry)
-    for stage in plan.jobs[choose(plan, job, method)]:
+    stages = plan.jobs[choose(plan, job, method)]
+    # a named result is also taken by the step after it, if that names no other source
+    readers = Counter(s.source for s in stages) + Counter(a.name for a, b in zip(stages, stages[1:]) if b.source is None)
+    made = {INPUT: df}
+    for stage in stages:
+        df = made[stage.source] if stage.source is not None else df
         df = df.transform(stage.fn, **stage.settings)
-    return df
+        if stage.name is not None:
+            df = made[stage.name] = materialize(df, f"job-{stage.name}") if readers[stage.name] > 1 else df
+    return made | {LAST: df}
 
 
 # -- the shipped steps ----------------------------------------------------------------------------
@@ -167,6 +198,52 @@ def _stats(df: DataFrame, window: int = 60) -> DataFrame:
     return previous_window_stats(need(df, "symbol", "timestamp", "open", "high", "low", "close", "volume"), window)
 
 
+def _offline(df: DataFrame, config: dict | None = None, window: int = 50000, tail: int = 1440) -> DataFrame:
+    from tickloom.operators.features import offline_matrix
+
+    return offline_matrix(need(df, "symbol", "timestamp", "open", "high", "low", "close", "volume"), config, window, tail)
+
+
+def _first_inputs(df: DataFrame, count: int) -> DataFrame:
+    return need(df, "features").withColumn("features", F.slice(F.transform("features", lambda v: v.cast("double")), 1, count))
+
+
+# Sinks write what they get and hand it on unchanged. ``batch`` makes a repeated run of a writer's batch do nothing.
+
+
+def _write_orders(df: DataFrame, path: str, writer: str, batch: int | None = None) -> DataFrame:
+    from tickloom.sources.ledgers import write_orders
+
+    write_orders(df.sparkSession, path, need(df, "id", "symbol", "direction", "is_valid"), writer, batch)
+    return df
+
+
+def _write_scores(df: DataFrame, path: str, writer: str, batch: int | None = None) -> DataFrame:
+    from tickloom.sources.ledgers import write_scores
+
+    write_scores(df.sparkSession, path, need(df, "id", "symbol", "final_score", "is_valid"), writer, batch)
+    return df
+
+
+def _write_bars(df: DataFrame, path: str, writer: str, batch: int | None = None) -> DataFrame:
+    from tickloom.sources.commits import commit_bars
+
+    commit_bars(df.sparkSession, path, need(df, "symbol", "interval", "timestamp"), writer, batch)
+    return df
+
+
+def _write_records(df: DataFrame, path: str, model_name: str = "ple") -> DataFrame:
+    from tickloom.sources.records import append_records, to_records
+
+    need(df, "symbol", "timestamp", "features")
+    defaults = {
+        "request_id": F.concat_ws("_", "symbol", F.unix_timestamp("timestamp").cast("string")), "model_name": F.lit(model_name),
+        "ohlcv_data": F.lit(None).cast("string"), "model_output": F.lit(None).cast("string"),
+    }
+    append_records(to_records(df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})), path)
+    return df
+
+
 def _number(df: DataFrame) -> DataFrame:
     return df.withColumn("id", F.xxhash64("symbol", "timestamp"))
 
@@ -180,4 +257,10 @@ REGISTRY: dict[str, Step] = {
     "number": _number,
     "decide": _decide,
     "previous_window_stats": _stats,
+    "offline": _offline,
+    "first_inputs": _first_inputs,
+    "write_orders": _write_orders,
+    "write_scores": _write_scores,
+    "write_bars": _write_bars,
+    "write_records": _write_records,
 }

@@ -24,11 +24,11 @@ VERSION = "ingest_ts"
 KEEP = 10  # states left in the log
 
 
-class _Folder:
+class Folder:
     """Small files of the log, through the file system that Spark reads the table with."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, os.path.join(path, LOG)
+    def __init__(self, spark: SparkSession, path: str, name: str = LOG):
+        self.jvm, self.path = spark._jvm, os.path.join(path, name)
         at = self.at("")
         self.fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -58,7 +58,7 @@ class _Folder:
         self.fs.delete(self.at(name), True)
 
 
-def _state(folder: _Folder) -> dict:
+def latest_state(folder: Folder) -> dict:
     for name in reversed([n for n in folder.names() if n.endswith(".json") and ".pending." not in n]):
         found = folder.read(name)
         if found:
@@ -66,7 +66,7 @@ def _state(folder: _Folder) -> dict:
     return {"sequence": 0, "writers": {}}
 
 
-def _finish(spark: SparkSession, path: str, folder: _Folder, state: dict, pending: dict) -> dict:
+def _finish(spark: SparkSession, path: str, folder: Folder, state: dict, pending: dict) -> dict:
     """Replace the touched days by the merged ones and note the commit; doing it twice gives the same."""
     name = f"{pending['sequence']:020d}"
     merged = folder.at(f"{name}.days").toString()
@@ -86,8 +86,8 @@ def _finish(spark: SparkSession, path: str, folder: _Folder, state: dict, pendin
 
 def recover(spark: SparkSession, path: str) -> dict:
     """Finish what a lost writer has begun; the state of the table: its last sequence and every writer's last batch."""
-    folder = _Folder(spark, path)
-    state = _state(folder)
+    folder = Folder(spark, path)
+    state = latest_state(folder)
     for name in folder.names():
         if name.endswith(".pending.json"):
             pending = folder.read(name)
@@ -116,7 +116,7 @@ def commit_bars(spark: SparkSession, path: str, incoming: DataFrame, writer: str
     if batch is not None and last is not None and batch <= last:
         return None
     sequence = state["sequence"] + 1
-    folder, name = _Folder(spark, path), f"{sequence:020d}"
+    folder, name = Folder(spark, path), f"{sequence:020d}"
     new = materialize(newest_in_batch(incoming, order).withColumn(VERSION, F.lit(sequence).cast("long")), "incoming")
     touched = new.select("symbol", "interval", F.to_date("timestamp").alias("dt")).distinct()
     days = [r["dt"] for r in touched.select("dt").distinct().collect()]  # one date per day in the batch
