@@ -200,6 +200,24 @@ def distilled(logits: Column, label: Column, buckets: int = 50, top: float = 1.0
     return _log_total(logits) - sums
 
 
+def probability(logit: Column) -> Column:
+    """Prediction of a log loss head."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-clamp_logit(logit)))
+
+
+def class_shares(logits: Column) -> Column:
+    """Prediction of a cross-entropy or focal head: softmax of the clamped logits."""
+    total = _log_total(logits)
+    return F.transform(logits, lambda v: F.exp(clamp_logit(v) - total))
+
+
+def bucket_expectation(logits: Column, buckets: int = 50, top: float = 1.0) -> Column:
+    """Prediction of a distilled head: the mean of the bucket labels under the softmax."""
+    step = top / (buckets - 1)
+    weighted = F.transform(class_shares(logits), lambda p, i: p * i * step)
+    return F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v)
+
+
 def masked_mean(loss: Column, mask: Column | None = None, weight: float = 1.0) -> Column:
     """Sum over the mask, over its size or 1."""
     m = F.lit(1.0) if mask is None else mask.cast("double")

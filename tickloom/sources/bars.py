@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import CHUNK, HALO, Chunking, chunked, tail_rows
 from tickloom.schemas import BARS, KLINE_FIELDS
 from tickloom.session import materialize
+from tickloom.sources.lookups import footer_counts
+from tickloom.sources.records import remove_expired_days
 
 # Minutes per interval name.
 INTERVAL_MINUTES = {
@@ -145,9 +149,52 @@ def cache_stats(bars: DataFrame) -> DataFrame:
 
 
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Files and bytes below a path, from file metadata alone (no column is read)."""
-    per_file = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct()
-    return per_file.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
+    """Files and bytes below a path, from a file listing: one row a file, no data is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    return listed.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def stored_stats(spark: SparkSession, path: str) -> DataFrame:
+    """``cache_stats`` of a stored table of days: rows from the file footers, times from the first and the last day of
+    each symbol only."""
+    counts = footer_counts(spark, path, ("symbol", "dt"))
+    ends = counts.groupBy("symbol").agg(F.sum("rows").alias("total_records"), F.min("dt").alias("low"), F.max("dt").alias("high"))
+    edge = ends.select("symbol", F.explode(F.array_distinct(F.array("low", "high"))).alias("dt"))
+    days = [r["dt"] for r in edge.select("dt").distinct().collect()]  # at most two a symbol; they prune the scan
+    times = spark.read.parquet(path).where(F.col("dt").isin(days)).join(F.broadcast(edge), ["symbol", "dt"], "left_semi") if days else spark.read.parquet(path).limit(0)
+    first, last = F.min("timestamp"), F.max("timestamp")
+    span = times.groupBy("symbol").agg(first.alias("earliest_time"), last.alias("latest_time"), F.round((last.cast("double") - first.cast("double")) / 86400.0, 2).alias("time_span_days"))
+    return ends.select("symbol", "total_records").join(span, "symbol")
+
+
+def remove_expired(spark: SparkSession, path: str, now: str, minutes: int = MAX_CACHE_MINUTES) -> tuple[int, int]:
+    """Remove the stored bars that are older than ``minutes`` before ``now``: whole days by their folders, the day that the
+    limit cuts by rewriting it. Returns how many day folders went and how many rows of the cut day."""
+    limit = datetime.datetime.fromisoformat(now) - datetime.timedelta(minutes=minutes)
+    cut = limit.date().isoformat()
+    gone = remove_expired_days(spark, path, cut, 0).first()["removed"]
+    old = F.col("timestamp") < F.lit(limit.isoformat(" ")).cast("timestamp")
+    cut_day = stored_days(spark, path, [limit.date()])
+    late = cut_day.where(old).count()
+    if late:
+        keep = materialize(cut_day.where(~old).drop("dt"), "kept")
+        touched = materialize(cut_day.select("symbol", "interval", "dt").distinct(), "touched")
+        empty = touched.join(keep.select("symbol", "interval").distinct(), ["symbol", "interval"], "left_anti")
+        if not keep.isEmpty():
+            write_days(keep, path)
+        for r in empty.collect():  # one row per symbol and interval of the cut day
+            remove_folder(spark, f"{path}/symbol={r['symbol']}/interval={r['interval']}/dt={cut}")
+    return gone, late
+
+
+def clear_store(spark: SparkSession, path: str, symbol: str | None = None) -> None:
+    """Remove everything stored, or everything of one symbol."""
+    remove_folder(spark, path if symbol is None else f"{path}/symbol={symbol}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def freshness(bars: DataFrame, expected: str, close_time: str = "close_time") -> DataFrame:

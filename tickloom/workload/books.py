@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tickloom.operators import ledger
 from tickloom.plans import views
 from tickloom.session import scratch_path
+from tickloom.sources import bars as src
+from tickloom.sources import lookups
 from tickloom.sources import records as rec
-from tickloom.workload.base import EVALSET, LEDGER, RECORDS, query, rd, rds
+from tickloom.workload.base import BARS, EVALSET, LEDGER, RECORDS, TS, nudge, query, rd, rds, seconds
 
 _ORDER = "id, symbol, direction, quantity, leverage, status, assigned_account, created_at"
 _COLS = ["id", "symbol", "direction", "quantity", "leverage", "status", "assigned_account", "created_at"]
@@ -396,3 +398,119 @@ def file_days(spark, d):
     r = views.records(spark, d).withColumn("file", F.concat(F.lit("/x/features_"), F.date_format("timestamp", "yyyyMMdd"), F.lit("_0101_000_AB12.h5")))
     day = F.date_format(rec.date_of_file(F.col("file")), "yyyyMMdd")
     return r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min(day).alias("first_day"))
+
+
+# -- reading little of a stored table -------------------------------------------------------------
+
+
+def _lookup_store(spark, d, where=None):
+    path = scratch_path(spark, "lookup")
+    r = _dated(spark, d)
+    lookups.write_lookup_store(r if where is None else r.where(where), path)
+    return path
+
+
+@query(f"{_DATED} select {_US}, request_id, symbol, model_name from dated order by dt desc, timestamp desc, request_id desc limit 50")
+def stored_latest(spark, d):
+    """R-18 from the store: newest day first, no further day read than needed."""
+    return _us(lookups.newest_first(spark, _lookup_store(spark, d), 50, day_first=True)[0], "request_id", "symbol", "model_name")
+
+
+@query(f"{_DATED} select {_US}, request_id, inserted_at from dated order by inserted_at desc, request_id desc limit 50")
+def stored_latest_inserted(spark, d):
+    """R-19 from the store: days by the greatest insert number in their footers."""
+    return _us(lookups.newest_first(spark, _lookup_store(spark, d), 50, "inserted_at")[0], "request_id", "inserted_at")
+
+
+@query(f"""{_DATED}, u as ((select *, 'hdf' as source from dated order by timestamp desc, request_id desc limit 40)
+union all (select *, 'sql' as source from dated where seq % 3 = 0 order by timestamp desc, request_id desc limit 40))
+select {_US}, request_id, source from u order by timestamp desc, request_id desc, source limit 40""")
+def stored_latest_merged(spark, d):
+    """R-21 from two stores."""
+    stores = {"hdf": _lookup_store(spark, d), "sql": _lookup_store(spark, d, "seq % 3 = 0")}
+    return _us(rec.latest_merged({k: lookups.newest_first(spark, p, 40)[0] for k, p in stores.items()}, 40), "request_id", "source")
+
+
+@query(f"""{_DATED} select {_US}, request_id, symbol, 'hdf' as source from dated where request_id = 'req_42'
+union all select {_US}, request_id, symbol, 'sql' as source from dated where request_id = 'req_42' and seq % 3 = 0""")
+def stored_lookup(spark, d):
+    """R-20 from two stores: Bloom filters leave out the row groups without the id."""
+    stores = {"hdf": _lookup_store(spark, d), "sql": _lookup_store(spark, d, "seq % 3 = 0")}
+    return _us(rec.by_request_id({k: spark.read.parquet(p) for k, p in stores.items()}, "req_42"), "request_id", "symbol", "source")
+
+
+@query(f"""{_DATED} select strftime(dt, '%Y-%m-%d') as day, count(*) as records, min(seq) as first_seq, max(seq) as last_seq, true as is_day from dated group by 1""")
+def stored_day_counts(spark, d):
+    """R-15 to R-17, R-22: counts and bounds of every stored day from file footers, and the days from their folders."""
+    path = _lookup_store(spark, d)
+    days = spark.createDataFrame([(x, True) for x in lookups.days_of(spark, path)], "day string, is_day boolean")
+    counts = lookups.footer_counts(spark, path, low=("seq",), high=("seq",)).select(F.date_format("dt", "yyyy-MM-dd").alias("day"), F.col("rows").alias("records"), F.col("min_seq").alias("first_seq"), F.col("max_seq").alias("last_seq"))
+    return counts.join(days, "day", "full")
+
+
+@query(f"{_DATED} select strftime(dt, '%Y-%m-%d') as day from dated group by dt")
+def store_partitions(spark, d):
+    """R-22: the partitions, newest first."""
+    return rec.partitions(_dated(spark, d)).select(F.date_format("dt", "yyyy-MM-dd").alias("day"))
+
+
+def _bar_store(spark, d):
+    path = scratch_path(spark, "bar-store")
+    src.write_days(views.bars(spark, d).withColumn("interval", F.lit("1h")), path)
+    return path
+
+
+@query(f"""with {BARS} select symbol, count(*) as total_records, epoch_us(min(timestamp)) as earliest_time, epoch_us(max(timestamp)) as latest_time,
+{rd("epoch(max(timestamp) - min(timestamp)) / 86400.0::double", "time_span_days", 2)}, true as has_bytes from bars group by 1""")
+def stored_cache_stats(spark, d):
+    """S-9 from the store: counts from footers, times from two days a symbol, bytes from a listing."""
+    path = _bar_store(spark, d)
+    size = src.stored_bytes(spark, path).first()
+    out = src.stored_stats(spark, path).withColumn("has_bytes", F.lit(size["files"] > 0 and size["bytes"] > 0))
+    return out.withColumns({c: F.unix_micros(c) for c in ("earliest_time", "latest_time")} | {"time_span_days": F.round(F.col("time_span_days") + nudge(2), 2)})
+
+
+@query(f"""with {BARS} select symbol, count(*) as n, epoch_us(min(timestamp)) as first_us from bars where timestamp >= timestamp '2024-01-20 10:30:00' and symbol <> 'click' group by 1""")
+def stored_bar_retention(spark, d):
+    """S-8 stored: old day folders go, the cut day is rewritten, one symbol is cleared."""
+    path = _bar_store(spark, d)
+    src.remove_expired(spark, path, "2024-01-30 10:30:00", 10 * 1440)
+    src.clear_store(spark, path, "click")
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("symbol").cast("string").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first_us"))
+
+
+@query(f"""with {LEDGER}, m as (select id, case when id % 5 = 0 then 'FLAT' when id % 7 = 0 then null else direction end as direction, case when id % 11 = 0 then 'LOST' else status end as status from ledger)
+select id, coalesce(direction in ('LONG', 'SHORT') and status in ('NEW', 'ASSIGNED', 'OPEN', 'CLOSED', 'FAILED', 'SETTLED'), false) as valid from m""")
+def order_domain(spark, d):
+    """V-2: orders whose direction and status are of the allowed values, and the rest."""
+    odd = F.when(F.col("id") % 5 == 0, "FLAT").when(F.col("id") % 7 != 0, F.col("direction"))
+    good, bad = ledger.valid_domain(views.ledger(spark, d).withColumns({"direction": odd, "status": F.when(F.col("id") % 11 == 0, "LOST").otherwise(F.col("status"))}))
+    return good.select("id", F.lit(True).alias("valid")).union(bad.select("id", F.lit(False).alias("valid")))
+
+
+_NAMES = list(src.INTERVAL_MINUTES)
+
+
+@query(f"""select event_id, coalesce(map {{{", ".join(f"'{k}': {v}" for k, v in src.INTERVAL_MINUTES.items())}}}[[{", ".join(f"'{k}'" for k in _NAMES)}, 'other'][event_id % {len(_NAMES) + 1} + 1]], 1) as minutes from events""")
+def interval_lengths(spark, d):
+    """S-6: minutes of an interval name, one for an unknown name."""
+    name = F.element_at(F.array(*[F.lit(n) for n in [*_NAMES, "other"]]), (F.col("event_id") % (len(_NAMES) + 1) + 1).cast("int"))
+    return views.table(spark, d, "events").select("event_id", src.interval_minutes(name).alias("minutes"))
+
+
+@query(f"with {BARS} select symbol, {TS}, {rds(['open', 'close', 'volume'])}, number_of_trades from bars")
+def bars_scanned(spark, d):
+    """S-1: stored bars read back with the explicit schema."""
+    return seconds(src.read_bars(spark, _bar_store(spark, d)).select(F.col("symbol").cast("string").alias("symbol"), "timestamp", "open", "close", "volume", "number_of_trades"))
+
+
+@query("""with t as (select user_id % 50 as request, event_id, value::decimal(12,2)::varchar as v from events),
+g as (select request, count(*) as n, min_by(v, event_id) as a, max_by(v, event_id) as z from t group by 1)
+select concat('req_', request) as request_id, cast(n as int) as n_bars, concat('["', a, '","1"]') as first_bar, concat('["', z, '","1"]') as last_bar from g""", None)
+def json_payload_bars(spark, d):
+    """R-23: payloads of different lengths, their first and last bar."""
+    e = views.table(spark, d, "events").select((F.col("user_id") % 50).alias("request"), "event_id", F.col("value").cast("decimal(12,2)").cast("string").alias("v"))
+    bars = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda b: F.array(b["v"], F.lit("1")))
+    r = e.groupBy("request").agg(F.to_json(bars).alias("ohlcv_data")).select(F.concat(F.lit("req_"), F.col("request")).alias("request_id"), "ohlcv_data", F.array(F.array(F.lit(1.0))).alias("features"))
+    return rec.payload_summary(r).select("request_id", "n_bars", "first_bar", "last_bar")

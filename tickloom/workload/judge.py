@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import Chunking
+from tickloom.functions.numeric import expm1_label, log1p_label
 from tickloom.functions.scalars import training_table
 from tickloom.operators import evaluate, scoring
 from tickloom.sources import bars as src
@@ -114,10 +115,66 @@ def score_dragonnet(spark, d):
     return scoring.score(_six(spark, d), "dragonnet", _formula_weights("dragonnet"))
 
 
-@query()
+def _served_weights(model: str) -> dict[str, np.ndarray]:
+    """Full-size layers from a formula that SQL can repeat, scaled so that values keep their size from layer to layer."""
+    out = {}
+    for c, (name, (rows, columns)) in enumerate(scoring.layer_sizes(model).items()):
+        i, j = np.arange(rows)[:, None], np.arange(columns)[None, :]
+        out[f"{name}.weight"], out[f"{name}.bias"] = ((i * 7 + j * 3 + c) % 11 - 5) / (3.0 * columns**0.5), ((np.arange(rows) + c) % 5 - 2) / 10.0
+    return out
+
+
+def _served_network_sql(model: str) -> str:
+    """The served network, 111 inputs: a layer is one list of dot products with rows made by the weight formula."""
+    sizes = scoring.layer_sizes(model)
+    order, steps = {n: c for c, n in enumerate(sizes)}, ["n as (select vec_id as id, list_concat(list_transform(embedding, lambda v: v::double), list_transform(range(47), lambda i: 0.0::double)) as x from embeddings)"]
+
+    def add(expr: str, more: str = "") -> str:
+        name = f"v{len(steps)}"
+        steps.append(f"n_{name} as (select p.*, {expr} as {name} from {steps[-1].split(' ')[0]} p{more})")
+        return name
+
+    def linear(x: str, name: str) -> str:
+        (rows, columns), c = sizes[name], order[name]
+        row = f"{{'w': list_transform(range({columns}), lambda j: ((i * 7 + j * 3 + {c}) % 11 - 5) / (3.0::double * sqrt({columns}::double))), 'b': ((i + {c}) % 5 - 2) / 10.0::double}}"
+        return add(f"list_transform(l.w, lambda r: list_dot_product(p.{x}, r.w) + r.b)", f", (select list({row} order by i) as w from range({rows}) t(i)) l")
+
+    def dense(x: str, name: str, last: bool) -> str:
+        i = 0
+        while f"{name}.{i}" in sizes:
+            x = linear(add(f"list_transform({x}, lambda v: greatest(v, 0))") if i else x, f"{name}.{i}")
+            i += 1
+        return add(f"list_transform({x}, lambda v: greatest(v, 0))") if last else x
+
+    def mix(x: str, name: str, experts: list[str]) -> str:
+        e = add(f"list_transform({linear(x, name)}, lambda v: exp(v))")
+        parts = " + ".join(f"{e}[{k + 1}] * {w}[i + 1]" for k, w in enumerate(experts))
+        return add(f"list_transform(range(128), lambda i: ({parts}) / list_sum({e}))")
+
+    if model == "dragonnet":
+        trunk = dense("x", "trunk", True)
+        heads = {o: dense(trunk, o, False) for o in scoring.DRAGON_OUTPUTS}
+    else:
+        at = {"shared": "x", "ctrl": "x", "trmt": "x"}
+        for level in (0, 1):
+            e = {g: [dense(at[g], f"{g}.{level}.{k}", True) for k in (0, 1)] for g in at}
+            seen = {"ctrl": e["ctrl"] + e["shared"], "trmt": e["trmt"] + e["shared"], "shared": e["shared"] + e["ctrl"] + e["trmt"]}
+            at = {g: mix(at[g], f"gate.{g}.{level}", seen[g]) for g in at}
+        heads = {o: dense(at["trmt" if "trmt" in o else "ctrl"], o, False) for o in scoring.PLE_OUTPUTS}
+    out = ", ".join(rd(f"1 / (1 + exp(-{v}[1]))" if o in scoring.SIGMOID_OUTPUTS else f"{v}[1]", o) for o, v in heads.items())
+    return "with " + ",\n".join(steps) + f"\nselect id, {out} from {steps[-1].split(' ')[0]}"
+
+
+@query(_served_network_sql("ple"))
 def score_served_width(spark, d):
-    """M-1 at the served size: 111 inputs, full layers, stand-in weights."""
-    return scoring.score(_vectors(spark, d), "ple", scoring.seeded_weights("ple"))
+    """M-1 at the served size: 111 inputs, full layers."""
+    return scoring.score(_vectors(spark, d), "ple", _served_weights("ple"))
+
+
+@query(_served_network_sql("dragonnet"))
+def score_served_dragonnet(spark, d):
+    """M-2 at the served size: 111 inputs, full layers."""
+    return scoring.score(_vectors(spark, d), "dragonnet", _served_weights("dragonnet"))
 
 
 _HIDDEN = ", ".join(
@@ -248,7 +305,7 @@ def _store(spark, d):
 
 
 @query(f"""with {RECORDS} select symbol, strftime(timestamp, '%Y-%m-%d') as dt, count(*) as records, count(*) as rows, {rd("count(*) / 70.0::double * 100", "completeness_pct")},
-count(*) < 63 as low, 'processed' as status from records group by 1, 2""")
+count(*) < 63 as low, 'processed' as status, null::varchar as error from records group by 1, 2""")
 def aggregation_report(spark, d):
     """R-32."""
     out = daily.report(views.records(spark, d), 70)
@@ -270,6 +327,31 @@ def daily_aggregation(spark, d):
     return back.select(F.col("symbol").cast("string").alias("symbol"), F.unix_micros("timestamp").alias("ts_us"), "close", "close_mean", "close_std", "window_rows")
 
 
+@query(f"""with {RECORDS}, r as (select symbol, cast(timestamp as date) as dt, count(*) as records, count(*) filter (symbol <> 'view') as ok from records where symbol in ('click', 'view') group by 1, 2)
+select symbol, strftime(dt, '%Y-%m-%d') as dt, records, ok as rows, {rd("ok / 70.0::double * 100", "completeness_pct")}, ok < 63 as low, case when ok = 0 then 'failed' else 'processed' end as status,
+  case when ok = 0 then concat('no usable payload among ', records, ' records') end as error from r
+union all select 'absent', null, 0, 0, 0.0::double, true, 'failed', 'no records'""")
+def aggregation_report_errors(spark, d):
+    """R-32: a subset of symbols, one with broken payloads, one that has no record."""
+    r = views.records(spark, d).withColumn("ohlcv_data", F.when(F.col("symbol") == "view", "{broken").otherwise(F.col("ohlcv_data")))
+    out = daily.report(r, 70, symbols=["click", "view", "absent"])
+    return out.withColumn("dt", F.date_format("dt", "yyyy-MM-dd"))
+
+
+@query(f"""with {RECORDS}, v as (select symbol, timestamp, json_extract(ohlcv_data, '$.close')::double as close from records where cast(timestamp as date) = date '2024-01-15')
+select symbol, epoch_us(timestamp) as ts_us, {rd("close")}, {rd(f"case when count(close) {_DAY} = 20 then avg(close) {_DAY} end", "close_mean")},
+{rd(f"case when count(close) {_DAY} = 20 then stddev_samp(close) {_DAY} end", "close_std")}, count(*) over (partition by symbol) as day_rows from v""")
+def daily_parts(spark, d):
+    """ST-2 in parts: three runs of eight hours, each reading its own records, the second one repeated."""
+    day = rec.read_records(spark, _store(spark, d)).filter(F.col("dt") == F.lit("2024-01-15").cast("date"))
+    out, counts = scratch_path(spark, "parts"), None
+    for batch in (0, 1, 1, 2):
+        part = day.where(F.floor(F.hour("timestamp") / 8) == batch)
+        counts = daily.run_part(spark, part, out, "hours", batch, 20, DAYS) or counts
+    back = daily.read_parts(spark, out).select(F.col("symbol").cast("string").alias("symbol"), F.unix_micros("timestamp").alias("ts_us"), "close", "close_mean", "close_std")
+    return back.join(counts.select("symbol", F.col("rows").alias("day_rows")), "symbol")
+
+
 # -- streaming ------------------------------------------------------------------------------------
 
 
@@ -349,3 +431,26 @@ def configured_job(spark, d):
     """U-1: the default job's steps."""
     out = steps.run(views.bars(spark, d), CONFIG, steps.REGISTRY)
     return seconds(out.select("symbol", "timestamp", "close_mean"))
+
+
+# -- predictions of the loss heads, labels ----------------------------------------------------------
+
+
+@query(f"""{_LOSS}, b as (select *, list_transform(range(50), lambda i: (y_pred % (i + 3)) / 10) as wide from c),
+e as (select *, list_transform(wide, lambda v: exp(v)) as ex from b)
+select doc_id, {rd("1 / (1 + exp(-x))", "p")}, {rd("exp(z[1] - lse)", "share_0")}, {rd("exp(z[2] - lse)", "share_1")},
+{rd("list_sum(list_transform(range(50), lambda i: ex[i + 1] * i / 49.0::double)) / list_sum(ex)", "expected")} from e""")
+def loss_predictions(spark, d):
+    """M-5, the prediction half: sigmoid, softmax, bucket expectation."""
+    v = views.evalset(spark, d).join(views.table(spark, d, "labels").select("doc_id"), "doc_id")
+    v = v.withColumn("x", (F.col("y_pred") % 200 - 100) / 20).withColumn("z", F.array((F.col("y_pred") % 7) / 3, (F.col("y_pred") % 11) / 4))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: (F.col("y_pred") % (i + 3)) / 10)
+    shares = evaluate.class_shares(F.col("z"))
+    return v.select("doc_id", evaluate.probability(F.col("x")).alias("p"), F.get(shares, F.lit(0)).alias("share_0"), F.get(shares, F.lit(1)).alias("share_1"), evaluate.bucket_expectation(wide).alias("expected"))
+
+
+@query(f"""select event_id, {rd("ln(1 + greatest(value - 50, 0))", "label")}, {rd("least(greatest((exp(ln(1 + greatest(value - 50, 0))) - 1) / 10, 0), 3)", "back")} from events""")
+def label_transform(spark, d):
+    """V-16: the forward label and its inverse."""
+    e = views.table(spark, d, "events").select("event_id", log1p_label(F.col("value") - 50).alias("label"))
+    return e.withColumn("back", expm1_label(F.col("label"), 3.0))

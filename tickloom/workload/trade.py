@@ -330,3 +330,11 @@ def emit_orders(spark, d):
     """D-10: the valid rows as new orders."""
     cfg = decide.StrategyConfig(queue_length=50, top_threshold=0.9, bottom_threshold=0.1, min_long_threshold=36.0, min_short_threshold=35.0)
     return decide.new_orders(_static(spark, d, cfg, "ple"))
+
+
+@query(f"""with {PREDICTIONS} select id, {rd("trmt_return_1h_out", "y0_trmt")}, {rd("ctrl_return_1h_out", "y0_ctrl")}, {rd("trmt_sigma_1h_out", "y1_trmt")},
+{rd("ctrl_sigma_1h_out", "y1_ctrl")}, {rd("t_trmt_out", "final_score")} from predictions""")
+def decode_raw_heads(spark, d):
+    """D-1, the other branch: heads as they come."""
+    p = views.predictions(spark, d).withColumn("t_out", F.col("t_trmt_out"))
+    return decide.decode(p, "first").select("id", "y0_trmt", "y0_ctrl", "y1_trmt", "y1_ctrl", "final_score")
