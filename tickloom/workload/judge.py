@@ -333,7 +333,7 @@ select symbol, strftime(dt, '%Y-%m-%d') as dt, records, ok as rows, {rd("ok / 70
 union all select 'absent', null, 0, 0, 0.0::double, true, 'failed', 'no records'""")
 def aggregation_report_errors(spark, d):
     """R-32: a subset of symbols, one with broken payloads, one that has no record."""
-    r = views.records(spark, d).withColumn("ohlcv_data", F.when(F.col("symbol") == "view", "{broken").otherwise(F.col("ohlcv_data")))
+    r = views.records(spark, d).withColumn("ohlcv_data", F.when(F.col("symbol") == "view", '{"open":"none"}').otherwise(F.col("ohlcv_data")))
     out = daily.report(r, 70, symbols=["click", "view", "absent"])
     return out.withColumn("dt", F.date_format("dt", "yyyy-MM-dd"))
 
