@@ -114,7 +114,8 @@ def _verify(cosine: float):
 
 def link(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(id, n_links, component_id): other vectors linked directly, and the least id reachable."""
-    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("embedding"), F.col(f"`{label}`").cast("long").alias("label"))
+    single = dict(df.dtypes)[vector] == "array<float>"  # any other type is compared as doubles
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>" if single else "array<double>").alias("embedding"), F.col(f"`{label}`").cast("long").alias("label"))
     good = rows.where(F.col("label").isNotNull() & usable(F.col("embedding")))
     classes = good.groupBy("label", "embedding").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(classes, "vectors")
