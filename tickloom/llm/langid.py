@@ -24,6 +24,7 @@ DIMS = 1024
 UNKNOWN = "und"
 SEED = 20
 KEEP = 24_000  # trigram vectors remembered by a worker
+BLOCK = 8192  # distinct trigrams worked on at once
 
 _LETTER: list[np.ndarray] = []
 _VECTORS: dict[int, np.ndarray] = {}
@@ -100,6 +101,23 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return a << 42 | b << 21 | c, place, owner[:-2][some]
 
 
+def bundled(place: np.ndarray, group: np.ndarray, weights: np.ndarray | None, found: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of trigram vectors by group, worked on in blocks of distinct trigrams: memory is a block's vectors and its
+    counts, however many different trigrams a text has."""
+    if len(found) <= BLOCK:
+        counts = np.bincount(group * len(found) + place, weights=weights, minlength=groups * len(found)).reshape(groups, -1)
+        return counts.astype(np.float32) @ bind(found).astype(np.float32)
+    order = np.argsort(place, kind="stable")
+    place, group, weights = place[order], group[order], None if weights is None else weights[order]
+    out = np.zeros((groups, DIMS), dtype=np.float32)
+    for first in range(0, len(found), BLOCK):
+        last = min(first + BLOCK, len(found))
+        a, b = np.searchsorted(place, (first, last))
+        counts = np.bincount(group[a:b] * (last - first) + place[a:b] - first, weights=None if weights is None else weights[a:b], minlength=groups * (last - first)).reshape(groups, -1)
+        out += counts.astype(np.float32) @ bind(found[first:last]).astype(np.float32)
+    return out
+
+
 def has_letter(texts: list[str | None]) -> list[bool]:
     return [any(map(str.isalpha, t)) if t else False for t in texts]
 
@@ -116,8 +134,7 @@ def learn(df: DataFrame, label: str = "lang", text: str = "text") -> dict[str, n
         if not len(found):
             return None
         per_text = np.bincount(owner, minlength=len(of))
-        weights = np.bincount(of[owner] * len(found) + place, weights=1.0 / per_text[owner], minlength=len(names) * len(found)).reshape(len(names), -1)
-        return {"label": names, "bundle": list(weights @ bind(found).astype(np.float32))}
+        return {"label": names, "bundle": list(bundled(place, of[owner], 1.0 / per_text[owner], found, len(names)).astype(np.float64))}
 
     parts = map_slices(rows, run, "label string, bundle array<double>")
     sums = parts.select("label", F.posexplode("bundle").alias("at", "x")).groupBy("label", "at").agg(F.sum("x").alias("x"))
@@ -135,8 +152,7 @@ def classify(texts: list[str | None], names: list[str], matrix: np.ndarray | Non
     found, place, owner = trigrams(texts)
     cosines = np.zeros((len(texts), len(names)))
     if len(found):
-        counts = np.bincount(owner * len(found) + place, minlength=len(texts) * len(found)).reshape(len(texts), -1).astype(np.float32)
-        bundles = counts @ bind(found).astype(np.float32)
+        bundles = bundled(place, owner, None, found, len(texts))
         size = np.linalg.norm(bundles, axis=1, keepdims=True)
         cosines = (bundles / np.where(size > 0, size, 1)) @ matrix
     best = cosines.argmax(axis=1)
