@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from html import unescape
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,12 +33,13 @@ from tickloom.llm.common import map_slices, small
 from tickloom.session import materialize
 
 GROUP = 32  # streams of a host aligned in one task
-LONG = 160  # children beyond which alignment is greedy instead of by a table
+DEPTH = 200  # elements nested deeper open no level of their own; their text stays where it stands
 MOST = 0.6  # share of the text that the article must hold where no element names it
 
 # How HTML elements behave.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template title textarea iframe svg math object select option button canvas audio video".split())
+TO_THE_END = {"script", "style", "textarea"}
 BLOCK = set(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr menu head center".split()
 )
@@ -92,7 +95,7 @@ def _step(tag: str, attributes: str) -> tuple[str, int]:
                 if kind == "role" and value == "main":
                     flags |= ARTICLE | MAIN
                 if value:
-                    name += "." + _DIGITS.sub("0", value.replace("/", "-"))[:60]
+                    name += "." + _DIGITS.sub("0", value.replace("/", "-"))
     if flags & ARTICLE or tag in ("html", "body"):
         flags &= ARTICLE | MAIN
     return name, flags
@@ -101,7 +104,14 @@ def _step(tag: str, attributes: str) -> tuple[str, int]:
 def events(html: str):
     """("open", step, flags), ("close",), ("text", raw) and ("break",) of a page; closing tags close what they must."""
     stack: list[str] = []
+    opened: Counter[str] = Counter()
     at, n = 0, len(html)
+
+    def pop() -> tuple[str, tuple]:
+        tag = stack.pop()
+        opened[tag] -= 1
+        return tag, ("close",) if len(stack) < DEPTH else ("break",)
+
     while at < n:
         m = _TAG.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -114,35 +124,40 @@ def events(html: str):
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in stack:
+            if opened[tag]:
                 while True:
-                    top = stack.pop()
-                    yield ("close",)
+                    top, left = pop()
+                    yield left
                     if top == tag:
                         break
             elif tag in BLOCK:
                 yield ("break",)
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if not m[3].endswith("/") else None
+            # a slash closes drawings and players, but no script or style; those run to the end if nothing closes them
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tag in TO_THE_END or not m[3].endswith("/") else None
             if end:
                 at = end.end()
+            elif tag in TO_THE_END:
+                return
         elif tag == "br":
             yield "text", " "
         elif tag in VOID or tag not in BLOCK:
             if tag in BLOCK:
                 yield ("break",)
         else:
-            if tag in CLOSES_P and "p" in stack and not {"td", "th", "li"} & set(stack[len(stack) - stack[::-1].index("p") :]):
-                while stack.pop() != "p":
-                    yield ("close",)
-                yield ("close",)
+            if tag in CLOSES_P and opened["p"] and not {"td", "th", "li"} & set(stack[len(stack) - stack[::-1].index("p") :]):
+                while True:
+                    top, left = pop()
+                    yield left
+                    if top == "p":
+                        break
             elif tag in ("li", "dt", "dd", "tr", "td", "th") and stack and stack[-1] == tag:
-                stack.pop()
-                yield ("close",)
+                yield pop()[1]
             stack.append(tag)
-            yield ("open", *_step(tag, m[3]))
-    for _ in stack:
-        yield ("close",)
+            opened[tag] += 1
+            yield ("open", *_step(tag, m[3])) if len(stack) <= DEPTH else ("break",)
+    while stack:
+        yield pop()[1]
 
 
 # ---- wrappers: a node is [step, flags, text mass, children] ----
@@ -210,34 +225,39 @@ def _matched(a: list, b: list) -> list[tuple[int, int]]:
     x, y = [c[0] for c in a], [c[0] for c in b]
     if x == y:
         return [(i, i) for i in range(len(x))]
-    if len(x) * len(y) > LONG * LONG:
-        where: dict[str, list[int]] = {}
-        for j, s in enumerate(y):
-            where.setdefault(s, []).append(j)
-        out, last, seen = [], -1, dict.fromkeys(where, 0)
-        for i, s in enumerate(x):
-            places = where.get(s, [])
-            k = seen.get(s, 0)
-            while k < len(places) and places[k] <= last:
-                k += 1
-            if k < len(places):
-                last = places[k]
-                out.append((i, last))
-                k += 1
-            if s in seen:
-                seen[s] = k
+    # longest common subsequence of what is left of each side, a row of bits per place of ``a`` (a zero bit: one longer);
+    # every so many rows are kept and the rows between made again, so memory is linear
+    n, m = len(x), len(y)
+    where: dict[str, int] = {}
+    for j, s in enumerate(y):
+        where[s] = where.get(s, 0) | 1 << (m - 1 - j)
+    full, step = (1 << m) - 1, isqrt(n) + 1
+
+    def rows(low: int, high: int, row: int) -> dict[int, int]:
+        out = {high: row}
+        for i in range(high - 1, low - 1, -1):
+            hit = row & where.get(x[i], 0)
+            row = ((row + hit) | (row - hit)) & full
+            out[i] = row
         return out
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, under = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if x[i] == y[j] else max(under[j], row[j + 1])
+
+    kept, row = {n: full}, full
+    for low in range((n - 1) // step * step, -1, -step):
+        row = kept[low] = rows(low, min(low + step, n), row)[low]
+    held = rows(0, min(step, n), kept[min(step, n)])
+
+    def best(i: int, j: int) -> int:
+        return m - j - (held[i] & ((1 << (m - j)) - 1)).bit_count()
+
     out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
+    while i < n and j < m:
+        if i + 1 not in held:
+            low = i // step * step
+            held = rows(low, min(low + step, n), kept[min(low + step, n)])
         if x[i] == y[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best(i + 1, j) >= best(i, j + 1):
             i += 1
         else:
             j += 1
