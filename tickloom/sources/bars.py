@@ -161,7 +161,7 @@ def stored_stats(spark: SparkSession, path: str) -> DataFrame:
     ends = counts.groupBy("symbol").agg(F.sum("rows").alias("total_records"), F.min("dt").alias("low"), F.max("dt").alias("high"))
     edge = ends.select("symbol", F.explode(F.array_distinct(F.array("low", "high"))).alias("dt"))
     days = [r["dt"] for r in edge.select("dt").distinct().collect()]  # at most two a symbol; they prune the scan
-    times = spark.read.parquet(path).where(F.col("dt").isin(days)).join(F.broadcast(edge), ["symbol", "dt"], "left_semi") if days else spark.read.parquet(path).limit(0)
+    times = spark.read.parquet(path).where(F.col("dt").isin(days)).join(edge, ["symbol", "dt"], "left_semi") if days else spark.read.parquet(path).limit(0)
     first, last = F.min("timestamp"), F.max("timestamp")
     span = times.groupBy("symbol").agg(first.alias("earliest_time"), last.alias("latest_time"), F.round((last.cast("double") - first.cast("double")) / 86400.0, 2).alias("time_span_days"))
     return ends.select("symbol", "total_records").join(span, "symbol")

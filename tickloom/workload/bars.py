@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -650,12 +652,6 @@ def vector_pad(spark, d):
     )
 
 
-@query()
-def feature_vectors(spark, d):
-    """A-4: the served job, 111 numbers per symbol for its newest bar."""
-    return seconds(features.feature_vectors(views.bars(spark, d), 111, chunking=HOURS), out="bar_ts")
-
-
 _SMALL = {"alpha012": [3], "alpha041": [None], "alpha103": [6], "alpha104": [[5, 12]]}
 _FVCOLS = NUMBERS[:6] + ["number_of_trades"] + NUMBERS[6:] + ["vwap", "returns", "alpha012_3_new", "alpha041_new", "alpha103_6_new"]
 
@@ -716,7 +712,7 @@ MINUTE_BARS = BARS.replace("date_trunc('hour'", "date_trunc('minute'")
 MINUTE_CHUNKS = Chunking(rows=700, micro_seconds=86_400)
 
 
-def _served_sql(w: int) -> str:
+def _served_sql(w: int, bars: str = MINUTE_BARS, digits: int = 4) -> str:
     """Every feature that frames can express, at width ``w``."""
     out = {
         "alpha006": f"-{zero('c6')}", "alpha009": "case when coalesce(lo5 > 0, false) or coalesce(hi5 < 0, false) then dw else -dw end",
@@ -732,7 +728,7 @@ def _served_sql(w: int) -> str:
         "alpha117": "((close - hw) - (lw - close)) / (lw - hw + 1e-6)", "alpha118": f"close - {lag('open', w - 1)}", "alpha120": "(volume - volw) / nullif(vsw, 0)", "alpha122": "pw - pvw",
         "alpha123": "(lw - hw) / nullif(close, 0)", "alpha125": "(lw - close) / nullif(lw - hw, 0) * -100", "alpha126": "100 - 100 / (1 + up126 / (down126 + 1e-6))",
     }
-    return f"""with {MINUTE_BARS},
+    return f"""with {bars},
 l1 as (select *, {delta("close", w)} as dw, {delta("volume", w)} as dvw, {delta("high", w)} as dhw, {delta("close", 1)} as d1, {delta("close", 33)} as d33,
   {pct("close", w)} as pw, {pct("volume", w)} as pvw, {pct("close", 1)} as p1, {lag("close", 5 * w)} as l5, {lag("close", 33 * w)} as l33,
   ({lag("close", 2 * w)} - {lag("close", w)}) / 10 - ({lag("close", w)} - close) / 10 as bend,
@@ -748,7 +744,7 @@ l2 as (select *, {win("min", "dw", 5 * w)} as lo5, {win("max", "dw", 5 * w)} as
   {win("avg", "greatest(d1, 0 * d1)", w)} as up102, {win("avg", "greatest(-d1, 0 * d1)", w)} as down102,
   case when tp > {lag("tp")} then tp * volume else 0 end as up, case when tp < {lag("tp")} then tp * volume else 0 end as down from l1),
 l3 as (select *, {win("sum", "up", w)} as up126, {win("sum", "down", w)} as down126 from l2)
-select symbol, {TS}, {_clean({f"{n}_{w}_new": e for n, e in out.items()}, 4)} from l3"""
+select symbol, {TS}, {_clean({f"{n}_{w}_new": e for n, e in out.items()}, digits)} from l3"""
 
 
 _SERVED = [6, 9, 10, 12, 13, 14, 21, 23, 24, 28, 46, 49, 51, 53, 102, 103, 105, 107, 108, 109, 110, 111, 112, 113, 115, 116, 117, 118, 120, 122, 123, 125, 126]
@@ -772,7 +768,7 @@ def served_240(spark, d):
     return _served(spark, d, {f"alpha{n:03d}": [240] for n in _SERVED})
 
 
-def _served_ranks_sql(w: int) -> str:
+def _served_ranks_sql(w: int, bars: str = MINUTE_BARS, digits: int = 4) -> str:
     """The features that rank inside the window, at width ``w``, and the crossing of two means."""
     out = {
         f"alpha007_{w}_new": "case when volw >= volume then -1 else -rd * sign(d3) end",
@@ -782,7 +778,7 @@ def _served_ranks_sql(w: int) -> str:
         f"alpha084_{w}_new": "pow(rtop, d5 / 1000)",
         f"alpha104_{w}_{4 * w}_new": f"case when ms > ml and {lag('ms')} <= {lag('ml')} then 1.0::double else 0.0::double end",
     }
-    return f"""with {MINUTE_BARS},
+    return f"""with {bars},
 l1 as (select *, {win("avg", "volume", w)} as volw, {delta("close", w // 3)} as d3, abs({delta("close", w // 3)}) as ad3, {rank_of_last("volume", 5 * w)} as rv5,
   {rank_of_last("high", 5 * w)} as rh5, {rank_of_last("volume", 2 * w)} as rv2, {rank_of_last("(close + high - low)", w)} as shape, {rank_of_last("returns", 2 * w)} as rr2,
   volume / nullif({win("avg", "volume", 20 * w)}, 0) as busy, -{delta("close", 7 * w)} as fall, vwap - {win("max", "vwap", 15 * w)} as under, {delta("close", 5 * w)} as d5,
@@ -790,7 +786,7 @@ l1 as (select *, {win("avg", "volume", w)} as volw, {delta("close", w // 3)} as
 l2 as (select *, {rank_of_last("ad3", w)} as rd, {zero(win2("corr", "rv5", "rh5", 5 * w))} as c5, {rank_of_last("busy", 20 * w)} as rbusy,
   {rank_of_last("fall", 8 * w)} as rfall, {rank_of_last("under", 21 * w)} as rtop from l1),
 l3 as (select *, {win("max", "c5", 3 * w)} as together from l2)
-select symbol, {TS}, {_clean(out, 4)} from l3"""
+select symbol, {TS}, {_clean(out, digits)} from l3"""
 
 
 def _served_ranks(spark, d, w):
@@ -810,7 +806,7 @@ def served_ranks_240(spark, d):
     return _served_ranks(spark, d, 240)
 
 
-def _served_spectrum_sql(w: int, high: float) -> str:
+def _served_spectrum_sql(w: int, high: float, bars: str = MINUTE_BARS, digits: int = 4) -> str:
     """127..131 at width ``w``: each frequency is two dot products of the window with a table of cosines and sines."""
     half = w // 2
     u = f"list_transform(range(1, {half}), lambda k: ln(k / {w}.0::double))"
@@ -822,14 +818,14 @@ def _served_spectrum_sql(w: int, high: float) -> str:
         f"alpha129_{w}_new": f"{over} / nullif(total, 0)", f"alpha130_{w}_new": f"-list_sum({share}) / ln({half})",
     }
     waves = {f"alpha131_{w}_1_new": "d4", f"alpha131_{w}_2_new": "d3"}
-    return f"""with {MINUTE_BARS},
+    return f"""with {bars},
 turn as (select k, list_transform(range({w}), lambda i: cos(2 * pi() * k * i / {w})) as re, list_transform(range({w}), lambda i: sin(2 * pi() * k * i / {w})) as im from range({half}) t(k)),
 c as (select symbol, timestamp, list(close) over (partition by symbol order by timestamp rows between {w - 1} preceding and current row) as c from bars),
 q as (select symbol, timestamp, list(sqrt(power(list_dot_product(c, re), 2) + power(list_dot_product(c, im), 2)) order by k) as p from c, turn where len(c) = {w} group by 1, 2),
 m as (select *, list_sum(p) as total, list_transform({u}, lambda v: v - list_avg({u})) as cu from q),
 o as (select symbol, timestamp, {", ".join(f'{e} as "{n}"' for n, e in out.items())} from m),
 {_wavelet_sql(w)}
-select symbol, {TS}, {", ".join(rd(zero(f'"{n}"'), n, 4) for n in out)}, {", ".join(rd(f"coalesce({e}, 0)", n, 4) for n, e in waves.items())}
+select symbol, {TS}, {", ".join(rd(zero(f'"{n}"'), n, digits) for n in out)}, {", ".join(rd(f"coalesce({e}, 0)", n, digits) for n, e in waves.items())}
 from bars left join o using (symbol, timestamp) left join s4 using (symbol, timestamp)"""
 
 
@@ -855,3 +851,78 @@ def alpha_sized(spark, d):
     """114: return against size, here volume times close."""
     bars = views.bars(spark, d).withColumn("market_cap", F.col("volume") * F.col("close"))
     return seconds(alphas.compute(bars, {"alpha114": [None]}, HOURS).select("symbol", "timestamp", "alpha114_new"))
+
+
+# -- the served vector: 100 features and 11 columns, number by number -----------------------------
+
+
+# a bar of one price has a mean price that differs from it by rounding only, and ratios of such differences are noise
+MOVING_BARS = BARS.replace("from ticks group by 1, 2),", "from ticks group by 1, 2 having max(value) > min(value)),")
+assert MOVING_BARS != BARS
+
+
+def _odd_features_sql() -> str:
+    """The served features whose widths are no pair of 60 and 240, or that have none."""
+    out = {f"alpha013_{w}_new": f"avg{w} / 7 * {w} - close" for w in (30, 40, 60)}
+    out |= {f"alpha014_{w}_new": f"far{w}" for w in (30, 40, 60)}
+    out |= {n: _SHAPE[n] for n in ("alpha041_new", "alpha054_new", "alpha101_new")}
+    out |= {f"alpha104_{a}_{b}_new": f"case when m{a} > m{b} and {lag(f'm{a}')} <= {lag(f'm{b}')} then 1.0::double else 0.0::double end" for a, b in ((60, 240), (240, 720))}
+    out |= {"alpha106_new": f"d1 - {lag('d1')}", "alpha124_new": "(close - vwap) / vwap"}
+    out |= {f"alpha112_{w}_new": f"(close - (m{w} - 2 * s{w})) / nullif(4 * s{w}, 0)" for w in (20, 60, 240)}
+    out |= {"alpha119_new": "row_number() over (partition by symbol, grp order by timestamp) * dir", "alpha121_new": "sum(case when returns > 0 then volume else -volume end) over (partition by symbol order by timestamp rows unbounded preceding)"}
+    far = ", ".join(f"{lag('close', 5 * w)} as back{w}, {win('avg', 'close', 7 * w)} as avg{w}" for w in (30, 40, 60))
+    means = ", ".join(f"{win('avg', 'close', w)} as m{w}, {win('stddev_samp', 'close', w)} as s{w}" for w in (20, 60, 240, 720))
+    return f"""with {MOVING_BARS},
+l0 as (select *, sign(returns) as dir, {delta("close", 1)} as d1, {far}, {means} from base),
+l1 as (select *, case when dir is distinct from {lag("dir")} then 1 else 0 end as ch, {", ".join(f"{win2('corr', 'vwap', f'back{w}', 230 * w)} as far{w}" for w in (30, 40, 60))} from l0),
+l2 as (select *, sum(ch) over (partition by symbol order by timestamp rows unbounded preceding) as grp from l1)
+select symbol, {TS}, {_clean(out, 12)} from l2"""
+
+
+def _vector_sql() -> str:
+    names = [c for c, _, _ in alphas.tasks(alphas.DEFAULT_CONFIG)]
+    parts = [_odd_features_sql()]
+    for w, high in ((60, 0.00556), (240, 0.00333)):
+        parts += [_served_sql(w, MOVING_BARS, 12), _served_ranks_sql(w, MOVING_BARS, 12), _served_spectrum_sql(w, high, MOVING_BARS, 12)]
+    columns = [*_FVCOLS[:11], *names]
+    of = {c: c if i < 11 else f'"{c}"' for i, c in enumerate(columns)} | {f"alpha129_{w}_{h}_new": f'"alpha129_{w}_new"' for w, h in ((60, 0.00556), (240, 0.00333))}
+    # a feature that two of the parts hold is the same in both: the first one is taken
+    tables = ", ".join(f"p{k} as ({sql})" for k, sql in enumerate(parts))
+    taken, picks = set(), []
+    for k, sql in enumerate(parts):
+        held = set(re.findall(r'as "(alpha[^"]+)"', sql.rsplit("\nselect symbol", 1)[1]))
+        for c in names:
+            q = of[c].strip('"')
+            if q in held and c not in taken:
+                taken.add(c)
+                picks.append(f'p{k}."{q}" as c{columns.index(c)}')
+    assert taken == set(names), set(names) - taken
+    base = ", ".join(f"{zero(f'cast({c} as double)')} as c{i}" for i, c in enumerate(columns[:11]))
+    joined = " ".join(f"join p{k} using (symbol, bar_ts)" for k in range(len(parts)))
+    n = range(len(columns))
+    before = ", ".join(f"lag(c{i}) over w as b{i}" for i in n)
+    moved = ", ".join(f"c{i} / coalesce(nullif(stddev_samp(case when b{i} is null or (b{i} = 0 and c{i} = 0) then 0 else c{i} / nullif(b{i}, 0) - 1 end) over w, 0), 1) as x{i}" for i in n)
+    raw = {columns.index(c) for c in features.RANK_COLUMNS}
+    z = ", ".join(
+        f"round({'max(case when rn = 1 then c%d end)' % i if i in raw else f'coalesce((max(case when rn = 1 then x{i} end) - avg(case when rn > 1 then x{i} end)) / nullif(stddev_samp(case when rn > 1 then x{i} end), 0), 0)'} + 1.3e-6::double, 3) + 0.0::double" for i in n
+    )
+    over = "(partition by symbol order by bar_ts rows between 119 preceding and current row)"
+    return f"""with {tables},
+b as (with {MOVING_BARS} select symbol, {TS}, {base} from base),
+f as (select b.*, {", ".join(picks)} from b {joined}),
+l as (select *, {before} from f window w as (partition by symbol order by bar_ts)),
+v as (select *, row_number() over (partition by symbol order by bar_ts desc) as rn, {moved} from l window w as {over})
+select symbol, max(bar_ts) as bar_ts, [{z}] as features from v group by symbol"""
+
+
+@query()
+def feature_vectors(spark, d):
+    """A-4: the served job over all bars, 111 numbers per symbol for its newest bar."""
+    return seconds(features.feature_vectors(views.bars(spark, d), 111, chunking=HOURS), out="bar_ts")
+
+
+@query(_vector_sql(), None)
+def served_vectors(spark, d):
+    """A-2, A-4: the served job checked number by number, over the bars whose price moves."""
+    out = features.feature_vectors(views.bars(spark, d).where("high > low"), 111, chunking=HOURS)
+    return seconds(out.withColumn("features", F.transform("features", lambda v: F.round(v + F.lit(1.3e-6), 3) + F.lit(0.0))))
