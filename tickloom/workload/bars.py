@@ -846,10 +846,10 @@ def served_spectrum_240(spark, d):
     return _served_spectrum(spark, d, 240, 0.00333)
 
 
-@query(f"""with {BARS} select symbol, {TS}, {rd(zero("returns / (volume * close + 1e-9::double)"), "alpha114_new", 9)} from base""", 9)
+@query(f"""with {BARS} select symbol, {TS}, {rd(zero("returns / (volume * close + 1 + 1e-9::double)"), "alpha114_new", 9)} from base""", 9)
 def alpha_sized(spark, d):
-    """114: return against size, here volume times close."""
-    bars = views.bars(spark, d).withColumn("market_cap", F.col("volume") * F.col("close"))
+    """114: return against size, here one more than volume times close."""
+    bars = views.bars(spark, d).withColumn("market_cap", F.col("volume") * F.col("close") + 1)
     return seconds(alphas.compute(bars, {"alpha114": [None]}, HOURS).select("symbol", "timestamp", "alpha114_new"))
 
 
