@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,6 +170,97 @@ def test_shards(spark, docs):
     assert by_bytes == 4
 
 
+def _plain_tree(rows, leaves, whole):
+    """The same tree by sorting each node's rows: [(keys, tie, size, doc_id)] -> shard by place in ``rows``."""
+    out = {}
+
+    def split(mine, first, h):
+        if h == 1 or not mine:
+            out.update((i, first) for i in mine)
+            return
+        spans = [max(rows[i][0][d] >> 32 for i in mine) - min(rows[i][0][d] >> 32 for i in mine) for d in range(4)]
+        d = spans.index(max(spans))
+        weight = sum(rows[i][2] for i in mine)
+        need = weight * (h // 2) // h
+        room = weight - need
+        lefts, rights, best = set(), set(), None
+        while True:
+            prior, found = 0, None
+            free = sorted((i for i in mine if rows[i][0][d] not in lefts | rights), key=lambda i: rows[i][0][d])
+            for key in dict.fromkeys(rows[i][0][d] for i in free):
+                some = [i for i in free if rows[i][0][d] == key]
+                w = sum(rows[i][2] for i in some)
+                if prior + w >= need:
+                    found = key, some, w
+                    break
+                prior += w
+            if found is None or need <= 0:
+                cut, miss = (0 if need <= 0 else 1 << 62, 0), abs(need - prior)
+            else:
+                key, some, w = found
+                cut, miss = ((key, 0), need - prior) if need - prior <= prior + w - need else ((key + 1, 0), prior + w - need)
+                if miss and w > whole:
+                    at = prior
+                    for i in sorted(some, key=lambda i: rows[i][1]):
+                        if at + rows[i][2] >= need:
+                            cut = (key, rows[i][1] + (need - at > at + rows[i][2] - need))
+                            break
+                        at += rows[i][2]
+                    miss = -1
+            if best is None or miss < best[0]:
+                best = miss, cut, set(lefts), set(rights)
+            if found is None or need <= 0 or miss <= 0 or len(lefts) + len(rights) == shards.TRIES:
+                break
+            if w <= need and (2 * (need - prior) >= w or w > room):
+                lefts.add(key)
+                need -= w
+            elif w <= room:
+                rights.add(key)
+                room -= w
+            else:
+                break
+        _, cut, lefts, rights = best
+        left = {i for i in mine if rows[i][0][d] in lefts or (rows[i][0][d] not in rights and (rows[i][0][d], rows[i][1]) < cut)}
+        split([i for i in mine if i in left], first, h // 2)
+        split([i for i in mine if i not in left], first + h // 2, h - h // 2)
+
+    split(list(range(len(rows))), 0, leaves)
+    return out
+
+
+def test_shards_equal_a_plain_tree(spark, docs):
+    rng = random.Random(8)
+    texts = [f"text {i} " * rng.randint(1, 40) for i in range(60)]
+    rows = [(i, rng.choice(texts), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c"])) for i in range(400)] + [(900 + i, "one heavy text " * 9, "en", f"s{i % 7}") for i in range(300)]
+    table = docs(rows)
+    known = [((r["k0"], r["k1"], r["k2"], r["k3"]), r["tie"], r["size"], r["doc_id"]) for r in shards.metadata(table).collect()]
+    total = sum(r[2] for r in known)
+    for leaves in (3, 4):
+        want = _plain_tree(known, leaves, total / leaves)
+        got = {r["doc_id"]: r["shard"] for r in shards.kd_shards(table, shards=leaves, tolerance=0).collect()}
+        assert got == {known[i][3]: shard for i, shard in want.items()}
+
+
+def test_equal_texts_stay_together(spark, docs):
+    """No group that fits a shard is cut, however heavy; one that fits none is cut and spread; many leaves."""
+    rng = random.Random(4)
+    rows = [(i, f"word{i} " * rng.randint(5, 30), "en", "a") for i in range(600)]
+    rows += [(1000 + 100 * g + i, f"copies of group {g} " * 12, "en", f"s{i % 3}") for g in range(5) for i in range(20 + 9 * g)] + [(3000 + i, "everywhere the same words " * 4, None, None) for i in range(900)]
+    total = sum(len(r[1]) + 1 for r in rows)
+    text = {r[0]: r[1] for r in rows}
+    for leaves in (8,):
+        got = shards.kd_shards(docs(rows), shards=leaves).collect()
+        groups, held = {}, Counter()
+        for r in got:
+            groups.setdefault(text[r["doc_id"]], []).append(r)
+            held[r["shard"]] += r["size"]
+        cut = {t for t, g in groups.items() if len({r["shard"] for r in g}) > 1}
+        assert all(sum(r["size"] for r in groups[t]) > total / leaves for t in cut) and len(cut) <= 1
+        assert all(abs(held[k] - total / leaves) <= 0.05 * total / leaves for k in range(leaves))
+    many = shards.kd_shards(docs(rows[:600]), shards=60, tolerance=0.5).select("shard").distinct().count()
+    assert many == 60
+
+
 def test_pages(spark):
     page = lambda i, body: f"<html><head><title>t{i}</title><script>x='</p>'</script></head><body><nav><a>menu {i}</a></nav>{body}<footer>foot {i}</footer></body></html>"
     rows = [(i, "http://a.example/x", page(i, f"<article><h1>Title {i}</h1>" + "".join(f"<p>part {j}  of\n{i} &amp; <b>bold</b>" for j in range(i % 4 + 1)) + '<div class="comments"><p>no</p></div></article>')) for i in range(40)]

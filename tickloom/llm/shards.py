@@ -2,10 +2,15 @@
 
 A node holding several shards is split along its widest dimension (length, source, language, id; each scaled to
 the whole table) at the weighted median, where weights are bytes. Medians are found by histograms: rows are
-counted by the leading bits of their sort key, the driver reads one bounded histogram per open node, picks the
-bucket where the bytes cross the wanted share, and refines there. The sort key is (scaled value, checksum of the
-text, hash of the row), and equal texts (same bytes and checksum) share the least metadata of their group, so
-they lie side by side and are cut apart only where one group of copies weighs more than ``tolerance`` of all bytes. Leaves are reached when a node holds one shard of the target bytes.
+counted by the leading bits of their sort key, running sums pick in every open node the bucket where the bytes cross
+the wanted share, and the next pass refines there. The driver reads one row per open node and pass, and sends the
+decisions back as a table of one row per open node, so its work grows with the leaves and not with the rows.
+
+The sort key is (scaled value, checksum of the text, hash of the row), and equal texts (same bytes and checksum)
+share the least metadata of their group, so they lie side by side. A group that weighs no more than a shard's even
+share is never cut: where the median falls inside it, it goes whole to the side that has room and the median is
+looked for again among the other rows. Only a group too heavy for one shard is cut, by the hash of its rows. Leaves
+are reached when a node holds one shard of the target bytes.
 
 Rows: null texts weigh one byte; null metadata counts as the least value; repeated rows are all placed; an empty
 table gives an empty one; other columns are ignored. Slots are numbered without gaps from 0 in every shard.
@@ -13,6 +18,7 @@ table gives an empty one; other columns are ignored. Slots are numbered without
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +27,12 @@ from pyspark.sql.window import Window
 
 from tickloom.session import materialize
 
-BITS = 11  # a histogram has 2**BITS buckets per open node
+BITS = 16  # a histogram has at most 2**BITS buckets per open node
 KEY_BITS = 62
-TOLERANCE = 0.001
+TOLERANCE = 0.008  # of a shard's even share: how far from the wanted bytes a cut may fall
+TRIES = 6  # groups that one cut may move whole to a side before the nearest cut beside a group is taken
+HOT_GROUPS = 2_000  # groups of copies with more than this part of all rows are sent to every task; so at most as many
+NODES_SENT = 100_000  # decisions on up to so many nodes, at about 100 bytes each, are sent to every task
 ROWS_PER_SLOT_GROUP = 20_000
 
 
@@ -42,8 +51,13 @@ def metadata(docs: DataFrame) -> DataFrame:
     rows = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), *[m.alias(n) for m, n in zip(measures, names)]), "shard-meta"
     )
-    shared = rows.groupBy("text_crc32", "size").agg(*[F.min(n).alias(n) for n in names])
-    rows = materialize(rows.select("doc_id", "text_crc32", "size").join(shared, ["text_crc32", "size"]), "shard-meta")
+    group = ["text_crc32", "size"]
+    shared = materialize(rows.groupBy(group).agg(F.count(F.lit(1)).alias("copies"), *[F.min(n).alias(n) for n in names]), "shard-groups")
+    many = F.col("copies") * HOT_GROUPS > (shared.agg(F.sum("copies")).first()[0] or 0)
+    # the few hot groups go to every task, so that no task gets all copies of a text
+    slim = rows.select("doc_id", *group).join(F.broadcast(shared.where(many)), group, "left")
+    rest = slim.where("copies is null").select("doc_id", *group).join(shared.where(~many), group)
+    rows = materialize(slim.where("copies is not null").unionByName(rest), "shard-meta")
     bounds = rows.agg(*[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]).first()
 
     def key(n: str) -> Column:
@@ -55,94 +69,122 @@ def metadata(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", *[key(n).alias(f"k{k}") for k, n in enumerate(names)], tie.alias("tie"), F.lit(0).alias("node"))
 
 
-def _choose(rows: DataFrame, of: dict[int, int], dims: int) -> tuple[dict[int, int], dict[int, int]]:
-    """Widest dimension and bytes of every node in ``of``; the earlier dimension wins a tie."""
-    top = lambda k: F.shiftright(F.col(f"k{k}"), 32)
-    found = rows.where(F.col("node").isin(list(of))).groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(top(k)) - F.min(top(k))).alias(f"w{k}") for k in range(dims)]).collect()  # a row per open node
-    return {r["node"]: max(range(dims), key=lambda k: (r[f"w{k}"], -k)) for r in found}, {r["node"]: r["bytes"] for r in found}
+def _with(rows: DataFrame, decisions: list[dict], schema: str, how: str = "inner") -> DataFrame:
+    """``rows`` with what was decided on their node."""
+    table = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(decisions)), f"array<struct<node: int, {schema}>>")))
+    return rows.join(F.broadcast(table) if len(decisions) <= NODES_SENT else table, "node", how)
 
 
-def _case(values: dict[int, Column]) -> Column:
-    out = F.lit(None)
-    for node, value in values.items():
-        out = F.when(F.col("node") == node, value).otherwise(out)
-    return out
+def _key(rows: DataFrame) -> Column:
+    """A row's sort key along the dimension ``dim`` of its node."""
+    return F.element_at(F.array(*[c for c in rows.columns if c[0] == "k" and c[1:].isdigit()]), F.col("dim") + 1)
 
 
-def _cuts(rows: DataFrame, dim: dict[int, int], want: dict[int, float], slack: float) -> dict[int, tuple[int, int]]:
-    """(key, tie) below which a row goes left, so that the left side holds ``want`` bytes to within ``slack``."""
-    open_ = {n: {"part": 0, "prefix": 0, "left": 0, "before": 0.0, "key": 0} for n in dim}
-    done: dict[int, tuple[int, int]] = {}
+def _choose(rows: DataFrame, nodes: list[int], dims: int) -> dict[int, tuple[int, int]]:
+    """Widest dimension and bytes of every node in ``nodes``; the earlier dimension wins a tie."""
+    top = lambda k: F.shiftright(F.col(f"k{k}"), 32)
+    here = _with(rows, [{"node": n, "open": True} for n in nodes], "open: boolean")
+    found = here.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(top(k)) - F.min(top(k))).alias(f"w{k}") for k in range(dims)]).collect()  # a row per open node
+    return {r["node"]: (max(range(dims), key=lambda k: (r[f"w{k}"], -k)), r["bytes"]) for r in found}
+
+
+class Cut:
+    """The search for one node's cut: where it stands, and the best cut so far."""
+
+    def __init__(self, node: int, dim: int, weight: int, want: int):
+        self.node, self.dim, self.need, self.room = node, dim, want, weight - want
+        self.lefts: list[int] = []  # keys of whole groups that go left, and right, whatever the cut
+        self.rights: list[int] = []
+        self.best: dict | None = None
+        self.miss = math.inf
+        self.restart()
+
+    def restart(self):
+        self.part, self.key, self.prefix, self.left, self.before = 0, 0, 0, 0, 0
+
+    def asked(self) -> dict:
+        return {"node": self.node, "dim": self.dim, "part": self.part, "key": self.key, "prefix": self.prefix, "left": self.left, "step": min(BITS, KEY_BITS - self.left), "need": self.need - self.before, "placed": self.lefts + self.rights}
+
+    def take(self, key: int, tie: int, miss: float):
+        if miss < self.miss:
+            self.miss, self.best = miss, {"node": self.node, "dim": self.dim, "key": key, "tie": tie, "lefts": list(self.lefts), "rights": list(self.rights)}
+
+    def step(self, found, slack: float, whole: float) -> bool:
+        """Go on from the bucket where the bytes cross what is needed (None: no rows are left). True when done."""
+        if found is None or self.need <= self.before:
+            self.take(self.key, 0, abs(self.need - self.before))
+            return True
+        bucket, weight, total = found["bucket"], found["bytes"], found["total"] + self.before
+        prior = total - weight
+        bits = min(BITS, KEY_BITS - self.left)
+        shift = KEY_BITS - self.left - bits
+        edge = bucket if self.need - prior <= total - self.need else bucket + 1
+        miss = min(self.need - prior, abs(total - self.need))
+        if miss <= slack or shift == 0:
+            self.take(*((self.key, edge << shift) if self.part else (edge << shift, 0)), miss)
+        if miss <= slack or (shift == 0 and self.part):
+            return True
+        if shift:
+            self.prefix, self.left, self.before = bucket, self.left + bits, prior
+            return False
+        if weight > whole:  # one group of equal texts that no shard can hold: cut it by the rows' hashes
+            self.part, self.key, self.prefix, self.left, self.before = 1, bucket, 0, 0, prior
+            return False
+        if len(self.lefts) + len(self.rights) == TRIES:
+            return True
+        if weight <= self.need and (2 * (self.need - prior) >= weight or weight > self.room):
+            self.lefts.append(bucket)
+            self.need -= weight
+        elif weight <= self.room:
+            self.rights.append(bucket)
+            self.room -= weight
+        else:
+            return True
+        self.restart()
+        return False
+
+
+def _cuts(rows: DataFrame, cuts: list[Cut], slack: float, whole: float) -> list[dict]:
+    """(key, tie) below which a row of a node goes left, and the groups that go left or right whole. The left side
+    then holds the wanted bytes to within ``slack``, or as near as groups of up to ``whole`` bytes allow."""
+    open_ = {c.node: c for c in cuts}
     while open_:
-        conditions, buckets = {}, {}
-        for n, s in open_.items():
-            shift = max(KEY_BITS - s["left"] - BITS, 0)
-            s["shift"], s["step"] = shift, min(BITS, KEY_BITS - s["left"])
-            value = F.col("tie") if s["part"] else F.col(f"k{dim[n]}")
-            here = F.col("node") == n
-            if s["part"]:
-                here &= F.col(f"k{dim[n]}") == s["key"]
-            conditions[n] = here & (F.shiftright(value, KEY_BITS - s["left"]) == s["prefix"] if s["left"] else F.lit(True))
-            buckets[n] = F.shiftright(value, shift)
-        some = None
-        for c in conditions.values():
-            some = c if some is None else some | c
-        counted = rows.where(some).groupBy("node", _case(buckets).alias("bucket")).agg(F.sum("size").alias("bytes")).collect()  # at most 2**BITS rows per open node
-        for n, s in list(open_.items()):
-            total, prior = s["before"], s["before"]
-            mine = sorted((r["bucket"], r["bytes"]) for r in counted if r["node"] == n)
-            if not mine:
-                done[n] = (s["key"], 0)
-                del open_[n]
-                continue
-            for bucket, weight in mine:
-                prior = total
-                total += weight
-                if total >= want[n]:
-                    break
-            edge = bucket if want[n] - prior <= total - want[n] else bucket + 1
-            miss = min(want[n] - prior, total - want[n])
-            end = s["shift"] == 0
-            if miss <= slack or (end and s["part"]):
-                at = edge << s["shift"]
-                done[n] = (s["key"], at) if s["part"] else (at, 0)
-                del open_[n]
-            elif end:  # one key, one group of equal texts, is heavier than the slack: cut it by the rows' hashes
-                s.update(part=1, prefix=0, left=0, before=prior, key=bucket)
-            else:
-                s.update(prefix=bucket, left=s["left"] + s["step"], before=prior)
-    return done
+        asked = _with(rows, [c.asked() for c in open_.values()], "dim: int, part: int, key: long, prefix: long, left: int, step: int, need: long, placed: array<long>")
+        asked = asked.withColumn("k", _key(rows))
+        asked = asked.where(~F.array_contains("placed", F.col("k")) & ((F.col("part") == 0) | (F.col("k") == F.col("key"))))
+        asked = asked.withColumn("v", F.when(F.col("part") == 0, F.col("k")).otherwise(F.col("tie")))
+        asked = asked.where(F.expr(f"left = 0 or shiftright(v, {KEY_BITS} - left) = prefix"))
+        counted = asked.groupBy("node", "need", F.expr(f"shiftright(v, {KEY_BITS} - left - step)").alias("bucket")).agg(F.sum("size").alias("bytes"))
+        # at most 2**BITS buckets a node
+        running = counted.withColumn("total", F.sum("bytes").over(Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+        place = F.struct("bucket", "bytes", "total")
+        crossed = running.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("total") >= F.col("need"), place)), F.max(place)).alias("at"))
+        found = {r["node"]: r["at"] for r in crossed.collect()}  # a row per open node
+        open_ = {n: c for n, c in open_.items() if not c.step(found.get(n), slack, whole)}
+    return [c.best for c in cuts]
 
 
 def kd_shards(docs: DataFrame, target_bytes: int | None = None, shards: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot). Give the number of shards, or the bytes each leaf should hold."""
+    """(doc_id, size, text_crc32, shard, slot). Give the number of shards, or the bytes each leaf should hold.
+    A node is named by its first shard."""
     rows = metadata(docs)
-    dims = sum(c.startswith("k") for c in rows.columns)
+    dims = sum(c[0] == "k" for c in rows.columns)
     total = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     all_bytes, count = total[0] or 0, total[1]
     leaves = shards or max(1, math.ceil(all_bytes / (target_bytes or max(all_bytes, 1))))
-    first = {0: 0}  # node -> its first shard
     holds = {0: leaves}
-    step = 1
-    while all_bytes and any(h > 1 for h in holds.values()):
+    even = all_bytes / leaves
+    while count and any(h > 1 for h in holds.values()):
         open_ = {n: h for n, h in holds.items() if h > 1}
-        dim, weight = _choose(rows, open_, dims)
-        cut = _cuts(rows, dim, {n: weight[n] * (open_[n] // 2) / open_[n] for n in dim}, tolerance * all_bytes)
-        left, right = {}, {}
+        seen = _choose(rows, list(open_), dims)
+        cuts = _cuts(rows, [Cut(n, dim, weight, weight * (open_[n] // 2) // open_[n]) for n, (dim, weight) in seen.items()], tolerance * even, even)
         for n, h in open_.items():
-            left[n], right[n] = step, step + 1
-            step += 2
-            first[left[n]], holds[left[n]] = first[n], h // 2
-            first[right[n]], holds[right[n]] = first[n] + h // 2, h - h // 2
-            del holds[n]
-        moved = {}
-        for n in dim:
-            key, tie = cut[n]
-            k = F.col(f"k{dim[n]}")
-            below = (k < F.lit(key)) | ((k == F.lit(key)) & (F.col("tie") < F.lit(tie)))
-            moved[n] = F.when(below, left[n]).otherwise(right[n])
-        rows = materialize(rows.withColumn("node", F.coalesce(_case(moved).cast("int"), F.col("node"))), "shard-level")
-    placed = rows.withColumn("shard", F.coalesce(_case({n: F.lit(first[n]) for n in holds}), F.lit(0)).cast("int"))
+            holds[n], holds[n + h // 2] = h // 2, h - h // 2
+        moves = [{"node": c["node"], "dim": c["dim"], "key": c["key"], "cut": c["tie"], "lefts": c["lefts"], "rights": c["rights"], "right": c["node"] + open_[c["node"]] // 2} for c in cuts]
+        decided = _with(rows, moves, "dim: int, key: long, cut: long, lefts: array<long>, rights: array<long>, right: int", "left").withColumn("k", _key(rows))
+        below = F.expr("array_contains(lefts, k) or (not array_contains(rights, k) and (k < key or (k = key and tie < cut)))")
+        rows = materialize(decided.select(*[F.when(F.col("right").isNull() | below, F.col("node")).otherwise(F.col("right")).alias("node") if c == "node" else F.col(c) for c in rows.columns]), "shard-level")
+    placed = rows.withColumn("shard", F.col("node").cast("int"))
     groups = max(1, math.ceil(count / ROWS_PER_SLOT_GROUP))
     placed = placed.withColumn("part", F.pmod(F.col("tie"), F.lit(groups)).cast("int"))
     sizes = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
