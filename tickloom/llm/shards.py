@@ -66,7 +66,8 @@ def metadata(docs: DataFrame) -> DataFrame:
         return F.shiftleft(scaled, 32) + F.col("text_crc32")
 
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", *names), 64 - KEY_BITS)
-    return rows.select("doc_id", "size", "text_crc32", *[key(n).alias(f"k{k}") for k, n in enumerate(names)], tie.alias("tie"), F.lit(0).alias("node"))
+    keyed = rows.select("doc_id", "size", "text_crc32", *[key(n).alias(f"k{k}") for k, n in enumerate(names)], tie.alias("tie"), F.lit(0).alias("node"))
+    return materialize(keyed, "shard-level")  # the passes over the first node read keys instead of making them again
 
 
 def _with(rows: DataFrame, decisions: list[dict], schema: str, how: str = "inner") -> DataFrame:
