@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import Chunking
-from tickloom.operators import decide, evaluate, ledger, routing
+from tickloom.operators import decide, evaluate, ledger, routing, settle
 from tickloom.streaming import decisions
 
 CFG = decide.StrategyConfig(queue_length=40, top_threshold=0.8, bottom_threshold=0.2, min_long_threshold=3.0, min_short_threshold=3.0, k=2.0)
@@ -224,3 +224,50 @@ def test_ledger_argument_checks(spark):
     none = df.withColumns({"assigned_account": F.lit("a"), "leverage": F.lit(1), "entry_price": F.lit(1.0), "exit_price": F.lit(1.0), "quantity": F.lit(1.0)})
     with pytest.raises(ValueError):
         ledger.account_stats(none, "missing").collect()
+
+
+def join_rows(plan):
+    """Rows that each join of an executed plan has put out."""
+    inner = [n for i in range(plan.children().size()) for n in join_rows(plan.children().apply(i))]
+    return inner + ([plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else [])
+
+
+def test_first_exit_meets_few_rows_an_order_however_dense_the_prices(spark):
+    rng = np.random.default_rng(5)
+    start, now, n = 1_704_067_200, 1_704_067_200 + 7000, 3000
+    whole = lambda k: start + rng.integers(0, 9000, k)
+    ticks = [(s, int(t), float(p)) for s, t, p in zip(rng.choice(["A", "B"], n), whole(n), 100 + rng.normal(0, 1, n), strict=True)]
+    ticks += [(None, start + 5, 1.0), ("A", None, 1.0), ("A", start + 6, None), ("C", start + 3600, 50.0), ("C", start + 7260, 50.0), ("C", start + 59, 20.0), ("D", start + 9, float("nan"))]
+    orders = [(i, str(rng.choice(["A", "B"])), "LONG" if i % 2 else "SHORT", int(t), 100 + (-1 if i % 2 else 1) * float(rng.choice([0.5, 2.5, 3.2, 9.0]))) for i, t in enumerate(whole(n))]
+    orders += [
+        (n, "C", "LONG", start, 60.0), (n + 1, "C", "LONG", start, 30.0), (n + 2, "C", "LONG", start + 60, 30.0), (n + 3, "C", "LONG", start + 3601, 60.0), (n + 4, "C", "SHORT", start + 3660, 50.0), (n + 5, "C", "LONG", start + 3659, 50.0),
+        (n + 6, "A", "LONG", start, None), (n + 7, "A", "LONG", start, 0.0), (n + 8, "A", None, start, 100.0), (n + 9, None, "LONG", start, 100.0), (n + 10, "A", "SHORT", None, 1.0), (None, "A", "SHORT", start, 1.0),
+        (n + 11, "A", "LONG", start, 5.0), (n + 11, "B", "LONG", start + 3, 99.0), (n + 12, "A", "LONG", start, float("nan")), (n + 13, "D", "SHORT", start, 9e9), (n + 14, "D", "LONG", start, 9e9),
+    ]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan that ran is then the one held by the frame
+    try:
+        bars = spark.createDataFrame(ticks, "symbol string, at long, close double").select("symbol", F.timestamp_seconds("at").alias("timestamp"), "close")
+        out = settle.first_exit(spark.createDataFrame(orders, "id long, symbol string, direction string, open_time long, stop_loss double"), bars, now)
+        got = sorted(((r["id"], r["symbol"], r["exit_at"], r["exit_reason"]) for r in out.collect()), key=str)
+        joined = join_rows(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+    above = lambda a, b: a != a or (b == b and a >= b)  # NaN is the largest value
+    stops = {}
+    for i, symbol, direction, opened, stop in orders:
+        if None in (i, symbol, direction, opened, stop) or stop == 0:
+            continue
+        met = [t for s, t, p in ticks if s == symbol and t is not None and p is not None and opened <= t <= opened + 3600 and (above(stop, p) if direction == "LONG" else above(p, stop))]
+        if met:
+            stops[i] = min(stops.get(i, min(met)), min(met))
+    want = []
+    for i, symbol, _, opened, _ in orders:
+        timed = opened + 3600 if opened is not None and opened + 3600 <= now else None
+        stopped = stops[i] if i in stops and stops[i] <= now else None
+        reason = "stop" if stopped is not None and (timed is None or stopped < timed) else "time" if timed is not None else None
+        want.append((i, symbol, min((x for x in (timed, stopped) if x is not None), default=None), reason))
+    assert got == sorted(want, key=str)
+    assert {r for *_, r in got} == {"stop", "time", None}
+    assert joined and max(joined) <= 2 * len(orders)

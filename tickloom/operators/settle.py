@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.numeric import floor_to
@@ -56,7 +56,7 @@ def settle(closed: DataFrame, fills: DataFrame, accounts: DataFrame | None = Non
     return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in names])
 
 
-def _stop_hit(price: str = "price"):
+def _stop_hit(price: str):
     has_stop = F.col("stop_loss").isNotNull() & (F.col("stop_loss") != 0)
     below = (F.col("direction") == "LONG") & (F.col(price) <= F.col("stop_loss"))
     above = (F.col("direction") == "SHORT") & (F.col(price) >= F.col("stop_loss"))
@@ -71,28 +71,46 @@ def exit_now(open_orders: DataFrame, prices: DataFrame, now: int, price: str = "
     return rows.withColumn("exit_reason", why).withColumn("should_close", why.isNotNull()).drop("_mark")
 
 
+def _crossing(ranges: str, start: Column, end: Column) -> Column:
+    """The entries (at, low, high) of a list between ``start`` and ``end`` that cross the order's stop, in the list's order."""
+    of = lambda hit: F.filter(ranges, lambda r: hit(r) & r["at"].between(start, end))
+    below, above = of(lambda r: r["low"] <= F.col("stop_loss")), of(lambda r: r["high"] >= F.col("stop_loss"))
+    return F.when(F.col("direction") == "LONG", below).when(F.col("direction") == "SHORT", above)
+
+
 def first_exit(open_orders: DataFrame, bars: DataFrame, now: int, price: str = "close") -> DataFrame:
     """When each order should have been closed, over price history: the first bar in its first hour that
     crosses the stop, else the end of that hour if ``now`` has passed it.
 
-    The time range becomes an equi-join on (symbol, hour): an hour after opening touches exactly two
-    hour buckets, so each order meets at most two hours of bars and is then reduced to one row.
+    Bars become the low and the high of every second, lists of them by minute, and lists of the minutes by
+    hour with the next hour, so no list grows with the number of bars. An order meets one list of minutes and
+    looks into at most two of them: the first that crosses and, as that one may cross before the order was
+    opened, the next. ``exit_at`` is in whole seconds.
     """
-    orders = open_orders.withColumn("_hour", F.explode(F.array(*[F.floor(F.col("open_time") / 3600) + i for i in (0, 1)])))
-    ticks = bars.select(
-        "symbol", F.unix_timestamp("timestamp").alias("_at"), F.col(price).alias("price"),
-        F.floor(F.unix_timestamp("timestamp") / 3600).alias("_hour"),
+    low, high = F.min("low").alias("low"), F.max("high").alias("high")
+    at = F.unix_timestamp("timestamp").alias("at")
+    seconds = bars.groupBy("symbol", at).agg(F.min(price).alias("low"), F.max(price).alias("high"))
+    minutes = seconds.groupBy("symbol", F.floor(F.col("at") / 60).alias("_minute")).agg(F.collect_list(F.struct("at", "low", "high")).alias("_seconds"), low, high)
+    hour = F.floor(F.col("_minute") / 60)
+    hours = (
+        minutes.select("symbol", F.struct(F.col("_minute").alias("at"), "low", "high").alias("_one"), F.explode(F.array(hour - 1, hour)).alias("_hour"))
+        .groupBy("symbol", "_hour")
+        .agg(F.sort_array(F.collect_list("_one")).alias("_minutes"))
+    )
+    opened, until = F.col("open_time"), F.col("open_time") + MAX_HOLD_SECONDS
+    orders = open_orders.filter(F.coalesce(F.col("stop_loss") != 0, F.lit(False))).select(
+        "id", "symbol", "direction", "stop_loss", "open_time",
+        F.floor(opened / 3600).alias("_hour"), F.floor(opened / 60).alias("_first"), F.floor(until / 60).alias("_last"),
     )
-    has_stop = F.coalesce(F.col("stop_loss") != 0, F.lit(False))
+    two = F.slice(_crossing("_minutes", F.col("_first"), F.col("_last"))["at"], 1, 2)
+    # outer: an inner explode would add a filter that works the list out twice; the join drops its null minutes
+    asked = orders.join(hours, ["symbol", "_hour"]).select("id", "symbol", "direction", "stop_loss", "open_time", F.explode_outer(two).alias("_minute"))
     hits = (
-        orders.filter(has_stop)
-        .join(ticks, ["symbol", "_hour"])
-        .filter(F.col("_at").between(F.col("open_time"), F.col("open_time") + MAX_HOLD_SECONDS) & _stop_hit())
+        asked.join(minutes.select("symbol", "_minute", "_seconds"), ["symbol", "_minute"])
         .groupBy("id")
-        .agg(F.min("_at").alias("_stop_at"))
+        .agg(F.min(F.array_min(_crossing("_seconds", opened, until)["at"])).alias("_stop_at"))
     )
-    late = F.col("open_time") + MAX_HOLD_SECONDS
-    timed = F.when(late <= F.lit(now), late)
+    timed = F.when(until <= F.lit(now), until)
     stopped = F.when(F.col("_stop_at") <= F.lit(now), F.col("_stop_at"))
     reason = F.when(stopped.isNotNull() & (timed.isNull() | (stopped < timed)), "stop").when(timed.isNotNull(), "time")
     return (
