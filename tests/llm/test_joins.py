@@ -94,6 +94,46 @@ def test_jaccard_join_on_odd_rows(spark, docs):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7, 8, 9]
 
 
+def test_sketches_lose_no_link():
+    """Sketches differ in no more bits than their sets do in elements, also when the wider one is folded, and tell strangers apart."""
+    rng = np.random.default_rng(5)
+    rule = jaccard_join.Rule(5, 8, 10, 10)
+    sets = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (1, 31, 33, 60, 70, 400, 500, 520, 5000)]
+    sets += [np.concatenate((s[len(s) // 9 :], rng.integers(0, 2**63, len(s) // 10).astype(np.uint64))) for s in sets]
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    kept = jaccard_join.sketches(np.concatenate(sets), at)
+    to = np.concatenate(([0], np.cumsum([len(k) for k in kept])))
+    data = np.frombuffer(b"".join(kept), np.uint8)
+    n = np.array([len(s) for s in sets])
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            words = jaccard_join._folded(data, to, np.array([i, j]))
+            differ = int(np.bitwise_count(np.bitwise_xor(*words[min(words)])).sum())
+            assert differ <= len(set(s.tolist()) ^ set(t.tolist()))
+            if i - j != 9 and min(n[i], n[j]) > 300 and 10 * min(n[i], n[j]) >= 8 * max(n[i], n[j]):
+                assert not rule.possible(differ, n[i], n[j])
+
+
+def test_texts_with_a_common_passage_are_no_family(spark, docs, monkeypatch):
+    """Texts go to the tasks that count shingles only where their sketches let them be linked, in blocks of any size."""
+    sent = []
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) + " " + " ".join(passage) for _ in range(300)]
+    rows += [rows[i] + f" x{i}" for i in range(0, 60, 3)]
+    rows = list(enumerate(rows))
+    sets = [shingle_set(t, 5) for _, t in rows]
+    want = classes(sets, lambda a, b: 10 * len(a & b) >= 8 * len(a | b))
+    keep = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: (sent.append(df.count()) if label == "dealt" else None, keep(df, label))[1])
+    for crowd, few in ((4096, 64), (40, 64), (40, 2)):
+        monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        got = {r["id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs(rows), 5, 8, 10).collect()}
+        assert got == {rows[a][0]: rows[c][0] for a, c in enumerate(want)}
+    assert sent == [40] * 3
+
+
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("node", T.StringType())])
 
 

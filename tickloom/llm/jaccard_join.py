@@ -11,9 +11,12 @@ them, so every set may leave out its ``spare`` costliest entries, as long as all
 segments come first, then entries by how many texts have them. What is left out are segments that unrelated texts
 share, such as those filled by one common passage. Both ways are exact.
 
-What shares an index entry forms a family (connected by one entry per hub, never by pairs). A family's distinct
-sets are fetched once, dealt by size into blocks of bounded size, and every pair of blocks that can hold a link
-is counted exactly in a task of its own; a task returns a spanning forest of its links. Nothing is capped.
+What shares an index entry with an entry's hub (its least set) is compared by sketches first: the parities of two to
+four buckets a shingle, so that two sets differ in at least as many shingles as their sketches do in bits. Pairs whose
+sketches differ by more than a link allows are no links; a spanning forest of the others makes families, so that texts
+with one common passage are no family, however many they are. A family's distinct sets are fetched once, dealt by size
+into blocks of bounded size, and every pair of blocks that can hold a link is counted exactly in a task of its own; a
+task returns a spanning forest of its links. Nothing is capped.
 
 Rows: a null or empty text has an empty set and is linked with nothing; texts of fewer than k words are one
 shingle; equal sets are one class, whatever the ids; null ids and repeated rows are kept; other columns are
@@ -39,6 +42,9 @@ BLOCK = 1024  # sets compared with each other in a task, twice that for two bloc
 BLOCK_SHINGLES = 1_000_000  # and about so many shingles
 BROADCAST_ROWS = 500_000  # rows of three numbers that may be sent to every task
 SEEN = 200_000  # texts a task remembers, so that copies are indexed once
+LEAST_BITS, MOST_BITS = 64, 1 << 20  # of a sketch; beyond, sketches tell less apart and lose nothing
+CROWD, FEW = 4096, 64  # sets whose sketches are compared in a task, twice that for two blocks; fewer share a task with others
+SKETCH_BYTES = 16 << 20  # of sketches in a task, or sent to every task
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -92,6 +98,10 @@ class Rule:
     def linked(self, shared, a, b):
         return self.den * shared >= self.num * (a + b - shared)
 
+    def possible(self, differ, a, b):
+        """Whether sets of sizes a and b that differ in ``differ`` elements or more can be linked."""
+        return (self.den + self.num) * differ <= (self.den - self.num) * (a + b)
+
 
 def entries(tokens: np.ndarray, size: int, rule: Rule) -> list[tuple[int, int, np.ndarray]]:
     """(view, how many more entries may be left out, index entries) of one set, for each of its views."""
@@ -117,8 +127,19 @@ def entries(tokens: np.ndarray, size: int, rule: Rule) -> list[tuple[int, int, n
     return out
 
 
+def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of every set (hashes ``h`` between the offsets ``at``) the parities of its elements by their lowest bits. The
+    number of buckets is a power of two, so a sketch folded in half is the narrower sketch of the same set."""
+    n = np.diff(at)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    to = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(n > 0, bits, 0))))
+    place = np.repeat(to[:-1], n) + (h & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=int(to[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((to[:-1] // 8).tolist(), (to[1:] // 8).tolist())]
+
+
 def shingle_sets(df: DataFrame, rule: Rule) -> DataFrame:
-    """(id, th, n, s1, s2): size and two independent sums of the set's hashes; equal sums mean equal sets."""
+    """(id, th, n, s1, s2, sketch): size and two independent sums of the set's hashes; equal sums mean equal sets."""
 
     def run(part: pa.RecordBatch):
         h, _, owner = shingles_of(part.column("text"), rule.k)
@@ -126,9 +147,9 @@ def shingle_sets(df: DataFrame, rule: Rule) -> DataFrame:
         h, at = distinct_by_owner(h, owner, n)
         sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(c)), dtype=np.uint64))) for c in (11, 17)]
         s1, s2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums)
-        return {"id": part.column("id"), "th": part.column("th"), "n": np.diff(at), "s1": s1, "s2": s2}
+        return {"id": part.column("id"), "th": part.column("th"), "n": np.diff(at), "s1": s1, "s2": s2, "sketch": sketches(h, at)}
 
-    return map_slices(df, run, "id long, th long, n long, s1 long, s2 long")
+    return map_slices(df, run, "id long, th long, n long, s1 long, s2 long, sketch binary")
 
 
 def index(df: DataFrame, rule: Rule) -> DataFrame:
@@ -202,6 +223,65 @@ def _shared(tokens: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, rig
     return out
 
 
+def _folded(data: np.ndarray, at: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """By sketch width in bytes the 64-bit words of the sketches of ``rows`` that are as wide or wider, folded to it."""
+    size = at[rows + 1] - at[rows]
+    out = {width: np.zeros((len(rows), width), dtype=np.uint8) for width in np.unique(size).tolist()}
+    for one in out:
+        some = np.flatnonzero(size == one)
+        wide = data[at[rows[some]][:, None] + np.arange(one)]
+        for width in out:
+            if width <= one:
+                out[width][some] = np.bitwise_xor.reduce(wide.reshape(len(some), -1, width), axis=1)
+    return {width: words.view(np.uint64) for width, words in out.items()}
+
+
+def _spread(rule: Rule, words: dict[int, np.ndarray], width: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A spanning forest of the pairs that sizes (ascending) and sketches let be links: what has been reached is
+    compared with what has not."""
+    rest, queue = np.arange(len(n)), np.zeros(0, np.int64)
+    a, b = [], []
+    while len(rest):
+        if not len(queue):
+            queue, rest = rest[:1], rest[1:]
+        same = width[queue] == width[queue[0]]
+        same &= np.cumsum(same) <= max(1, (1 << 21) // max(len(rest) * int(width[queue[0]]), 1))
+        now, queue = queue[same], queue[~same]
+        sizes = n[now]
+        low, high = np.searchsorted(n[rest], (-(-int(sizes.min()) * rule.num // rule.den), int(sizes.max()) * rule.den // rule.num + 1))
+        some = rest[low:high]
+        if not len(some):
+            continue
+        bits = words[int(min(width[now[0]], width[some[0]]))]
+        differ = np.bitwise_count(bits[now][:, None] ^ bits[some][None]).sum(axis=2, dtype=np.int64)
+        near = rule.possible(differ, sizes[:, None], n[some][None])
+        hit = near.any(axis=0)
+        if hit.any():
+            a.append(now[near.argmax(axis=0)[hit]])
+            b.append(some[hit])
+            queue = np.concatenate((queue, some[hit]))
+            rest = np.concatenate((rest[:low], some[~hit], rest[high:]))
+    return a, b
+
+
+def _near(rule: Rule):
+    def run(table: pa.Table) -> pa.Table:
+        hub, node, n = (np.asarray(table.column(c)) for c in ("hub", "node", "n"))
+        kept = pa.concat_arrays(table.column("sketch").chunks).cast(pa.large_binary())
+        at = np.frombuffer(kept.buffers()[1], np.int64)[kept.offset : kept.offset + len(kept) + 1]
+        data = np.frombuffer(kept.buffers()[2], np.uint8)
+        order = np.lexsort((n, hub))
+        cuts = np.flatnonzero(np.diff(hub[order])) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in np.split(order, cuts):
+            left, right = _spread(rule, _folded(data, at, rows), at[rows + 1] - at[rows], n[rows])
+            a += [node[rows[x]] for x in left]
+            b += [node[rows[x]] for x in right]
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
 def _compare(rule: Rule):
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
@@ -259,6 +339,29 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 8, den: int = 10, key: str
     return kept.drop("__i", "__th")
 
 
+def _possible(hot: DataFrame, nodes: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links enough to connect all sets that share an entry of ``hot`` and that their sketches let be linked.
+
+    An entry's hub is its least set. All sets that share an entry with a hub are compared around it, so what meets
+    under many entries is sent once; where they are many, they are dealt into blocks, each pair of them a task."""
+    posts = materialize(hot.join(nodes, "th").select("entry", "node", "n"), "posts")
+    hubs = posts.groupBy("entry").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("entry", "hub")
+    around = materialize(posts.join(hubs, "entry").select("hub", "node", "n").distinct(), "around")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CROWD, F.sum("n") / (2 * SKETCH_BYTES))).cast("int")
+    groups = materialize(around.groupBy("hub").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"), blocks.alias("blocks")), "hubs")
+    alone = (F.col("sets") > FEW) | (F.col("blocks") > 1)
+    parts = 1 + (groups.where(~alone).agg(F.sum("elements")).first()[0] or 0) // (2 * SKETCH_BYTES)
+    at = F.when(alone, F.col("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(parts)))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != block) | (F.col("blocks") == 1))
+    pairs = F.transform(others, lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
+    dealt = around.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "hub").select("hub", "node", "n", at.alias("at"), F.explode(pairs).alias("t"))
+    kept = members.select("node", "sketch")
+    size = kept.agg(F.sum(F.length("sketch"))).first()[0] or 0
+    dealt = dealt.select("hub", "node", "n", "at", "t.*").join(F.broadcast(kept) if size <= SKETCH_BYTES else kept, "node")
+    return dealt.groupBy("at", "x", "y").applyInArrow(_near(rule), "a long, b long")
+
+
 def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Sets by row, and (s1, s2, component) of the sets that are linked with another."""
     docs = keyed_text(df, key, text).withColumn("th", _hash())
@@ -271,15 +374,16 @@ def _classes(df: DataFrame, k: int, num: int, den: int, key: str, text: str) ->
     costly = Window.partitionBy("th", "view").orderBy(F.col("texts").desc(), "entry")
     hot = posted.join(shared, "entry").withColumn("nth", F.row_number().over(costly)).where("nth > (view & 65535)").select("entry", "th")
     hot = materialize(hot, "entries")
-    hubs = hot.groupBy("entry").agg(F.min("th").alias("hub"), F.max("th").alias("other")).where("hub <> other").select("entry", "hub")
-    touching = hot.join(hubs, "entry").where("th <> hub").select(F.col("th").alias("a"), F.col("hub").alias("b"))
-    families = with_roots(components(touching, "families")).select(F.col("node").alias("th"), F.col("component").alias("family"))
 
-    # One member for each distinct set of a family: the least (id, text hash), numbered by a written table.
-    members = sets.where("n > 0").join(families, "th").groupBy("family", "s1", "s2").agg(F.min(F.struct(F.coalesce("id", F.lit(-1)).alias("i"), "th")).alias("one"), F.first("n").alias("n"))
+    # One member for each distinct set under a shared entry: the least (id, text hash), numbered by a written table.
+    full = sets.where("n > 0")
+    members = full.join(hot.select("th").distinct(), "th").groupBy("s1", "s2").agg(F.min(F.struct(F.coalesce("id", F.lit(-1)).alias("i"), "th")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     step = math.log(den / num)
-    members = members.select("family", "s1", "s2", "n", "one.i", "one.th", F.floor(F.log("n") / step).cast("int").alias("bin"), F.monotonically_increasing_id().alias("node"))
+    members = members.select("s1", "s2", "n", "sketch", "one.i", "one.th", F.floor(F.log("n") / step).cast("int").alias("bin"), F.monotonically_increasing_id().alias("node"))
     members = materialize(members, "members")
+    nodes = full.select("th", "s1", "s2").distinct().join(members.select("s1", "s2", "node", "n"), ["s1", "s2"]).select("th", "node", "n")
+    families = with_roots(components(_possible(hot, nodes, members, rule), "families")).select("node", F.col("component").alias("family"))
+    members = materialize(members.drop("sketch").join(families, "node"), "relatives")
     fits = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
     blocks = members.groupBy("family", "bin").agg(fits.alias("blocks"), F.count(F.lit(1)).alias("sets"))
     alone = blocks.groupBy("family").agg(F.sum("sets").alias("all_sets")).where("all_sets > 1").select("family")
